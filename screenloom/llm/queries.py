@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from screenloom.llm.common import table
 from screenloom.llm.exact_dedup import exact_groups
 from screenloom.llm.mixing import mix
+from screenloom.llm.simhash import near_groups
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +21,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), width=3, radius=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
