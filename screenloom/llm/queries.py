@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenloom.llm.common import table
+from screenloom.llm.suffix_dedup import remove_repeats
 from screenloom.llm.exact_dedup import exact_groups
 from screenloom.llm.mixing import mix
 from screenloom.llm.simhash import near_groups
@@ -25,7 +26,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_suffix_dedup": op10_suffix_dedup,
     "op2_mixing": op2_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_simhash": op8_simhash,
