@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenloom.llm.common import table
+from screenloom.llm.packing import pack_documents
 from screenloom.llm.suffix_dedup import remove_repeats
 from screenloom.llm.exact_dedup import exact_groups
 from screenloom.llm.mixing import mix
@@ -30,7 +31,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=100)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_packing": op7_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op2_mixing": op2_mixing,
     "op6_exact_dedup": op6_exact_dedup,
