@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenloom.llm.common import table
+from screenloom.llm.fingerprint import near_neighbours
 from screenloom.llm.packing import pack_documents
 from screenloom.llm.suffix_dedup import remove_repeats
 from screenloom.llm.exact_dedup import exact_groups
@@ -37,7 +38,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_neighbours(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_fingerprints": op9_fingerprints,
     "op7_packing": op7_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op2_mixing": op2_mixing,
