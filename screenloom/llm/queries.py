@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenloom.llm.common import table
+from screenloom.llm.toxicity import score_documents, train, training_labels
+from screenloom.llm.pii import find_personal_data
 from screenloom.llm.fingerprint import near_neighbours
 from screenloom.llm.packing import pack_documents
 from screenloom.llm.suffix_dedup import remove_repeats
@@ -42,7 +44,19 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, training_labels(table(spark, sf_dir, "labels")))
+    return score_documents(docs, model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op5_pii": op5_pii,
     "op9_fingerprints": op9_fingerprints,
     "op7_packing": op7_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
