@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenloom.llm.common import cut_lineage, text_or_empty
+from screenloom.llm.common import text_or_empty, written
 
 WINDOW = 72  # K-byte strings a window chooses its anchor from; K = length - WINDOW + 1
 BLOCK = 1 << 20  # bytes hashed at once
@@ -154,23 +154,27 @@ def batch_contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengt
 # --- suffix arrays --------------------------------------------------------------------------------
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+def packed(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one big-endian number, zeros past the end; one more zero at the end."""
+    padded = np.concatenate([text, np.zeros(8, dtype=np.uint8)])
+    words = np.zeros(len(text) + 1, dtype=U)
+    for i in range(8):
+        words[:-1] = (words[:-1] << U(8)) | padded[i : i + len(text)].astype(U)
+    return words
+
+
+def suffix_array(text: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first ``depth`` bytes at least (Larsson-Sadakane refinement).
 
     Ranks start from eight packed bytes and double in reach; each round sorts only the groups that
     are still undecided. A rank is the place of its group's first member, so settled suffixes keep theirs.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, dtype=np.uint8)])
-    words = np.zeros(n, dtype=U)
-    for i in range(8):
-        words = (words << U(8)) | padded[i : i + n].astype(U)
-    order = np.argsort(words, kind="stable")
-    tied = words[order[1:]] == words[order[:-1]]
-    # a suffix shorter than the padding sorts with its zeros; its length breaks the tie in the next round
+    order = np.argsort(words[:-1])
+    sorted_words = words[order]
+    tied = sorted_words[1:] == sorted_words[:-1]
+    place = np.maximum.accumulate(np.where(np.concatenate([[True], ~tied]), np.arange(n), 0))
     rank = np.empty(n + 1, dtype=np.int64)
-    first = np.concatenate([[True], ~tied])
-    place = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     rank[order], rank[n] = place, -1
     reach = 8
     while reach < depth:
@@ -179,7 +183,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
             break
         here = order[open_at]
         key = (place[open_at].astype(U) << U(32)) | (rank[np.minimum(here + reach, n)] + 1).astype(U)
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         order[open_at], key = here[by], key[by]
         differ = np.concatenate([[True], key[1:] != key[:-1]])
         place[open_at] = np.maximum.accumulate(np.where(differ, open_at, 0))
@@ -189,30 +193,38 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(text: np.ndarray, words: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """Length (up to ``most``) of what each suffix shares with the one before it in ``order``.
 
     Kasai's recurrence: if the neighbour of suffix i is the next one after the neighbour of i - 1, the
-    prefix is one shorter than that of i - 1. Only the starts of such runs are compared byte by byte.
+    prefix is one shorter than that of i - 1. Only the starts of such runs are compared, eight bytes
+    at a time.
     """
     n = len(text)
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
     run = np.concatenate([[True], (before[1:] != before[:-1] + 1) | (before[1:] < 1)])
     starts = np.flatnonzero(run)
-    padded = np.concatenate([text.astype(np.int16), np.full(8, -1, dtype=np.int16)])
     found = np.zeros(len(starts), dtype=np.int64)
     live = np.flatnonzero(before[starts] >= 0)
     at, other = starts[live], before[starts[live]]
-    span = np.diff(np.append(starts, n))
-    limit = most + span[live]  # a run of s suffixes needs s more bytes to stay exact up to ``most``
+    # a run of s suffixes needs s bytes more to stay exact up to ``most``
+    limit = np.minimum(most + np.diff(np.append(starts, n))[live], n - np.maximum(at, other))
+    reach = 0
     while len(live):
-        i, j = at + found[live], other + found[live]
-        same = (found[live] < limit) & (i < n) & (j < n)
-        same &= padded[np.minimum(i, n)] == padded[np.minimum(j, n)]
-        found[live[same]] += 1
-        live, at, other, limit = live[same], at[same], other[same], limit[same]
-    length = np.where(before >= 0, np.maximum(found[np.cumsum(run) - 1] - (np.arange(n) - starts[np.cumsum(run) - 1]), 0), 0)
+        differ = words[at + reach] ^ words[other + reach]
+        whole = differ == 0
+        same = np.zeros((~whole).sum(), dtype=np.int64)
+        for k in range(1, 8):
+            same += differ[~whole] >> U(64 - 8 * k) == 0
+        found[live[~whole]] = np.minimum(reach + same, limit[~whole])
+        reach += 8
+        done = whole & (reach >= limit)
+        found[live[done]] = limit[done]
+        on = whole & ~done
+        live, at, other, limit = live[on], at[on], other[on], limit[on]
+    which = np.cumsum(run) - 1
+    length = np.where(before >= 0, np.maximum(found[which] - (np.arange(n) - starts[which]), 0), 0)
     return np.minimum(length, most)[order]
 
 
@@ -223,8 +235,9 @@ def shard_repeats(
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
     text = np.frombuffer(b"".join(parts), dtype=np.uint8)
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    order = suffix_array(text, length)
-    shared = common_prefixes(text, order, length)
+    words = packed(text)
+    order = suffix_array(text, words, length)
+    shared = common_prefixes(text, words, order, length)
     group = np.cumsum(shared < length)  # suffixes that share `length` bytes
     context = np.repeat(np.arange(len(parts)), sizes)[order]
     offset = order - begin[context]
@@ -348,6 +361,8 @@ def class_repeats(contexts: DataFrame, length: int) -> tuple[DataFrame, DataFram
         for batch in it:
             id_type[0] = batch.schema.field("id").type
             for row in batch.to_pylist():
+                if rows and all(rows[-1][x] == row[x] for x in ("h", "part", "id", "th", "lo")):
+                    continue  # rows repeated with id and text
                 if size >= SHARD and (row["h"], row["part"]) != last:
                     yield flush(rows)
                     rows, size = [], 0
@@ -357,8 +372,8 @@ def class_repeats(contexts: DataFrame, length: int) -> tuple[DataFrame, DataFram
             yield flush(rows)
 
     longs = [T.StructField(x, T.LongType()) for x in ("th", "lo", "n", "x", "y")]
-    dealt = contexts.repartition("h", "part").sortWithinPartitions("h", "part")
-    found = cut_lineage(dealt.mapInArrow(shards, T.StructType([T.StructField("id", id_field.dataType), *longs])))
+    dealt = contexts.repartition("h", "part").sortWithinPartitions("h", "part", "id", "th", "lo")
+    found = written(dealt.mapInArrow(shards, T.StructType([T.StructField("id", id_field.dataType), *longs])))
     return found.filter("x IS NULL").select("id", "th", "lo", "n"), found.filter("x IS NOT NULL").drop("n")
 
 
@@ -369,8 +384,11 @@ def remove_repeats(
     if length <= WINDOW:
         raise ValueError(f"length must exceed {WINDOW} bytes")
     body = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("th"), body.cast("binary").alias("body"))
-    decided = cut_lineage(repeated_contexts(rows, length))
+    # the hash of the text tells rows apart that share an id; where none do, it need not be moved
+    repeated = not docs.groupBy(id_col).count().filter("count > 1").isEmpty()
+    told = F.xxhash64(body) if repeated else F.lit(0).cast("long")
+    rows = docs.select(F.col(id_col).alias("id"), told.alias("th"), body.cast("binary").alias("body"))
+    decided = written(repeated_contexts(rows, length))
     parts = F.ceil(F.col("k") / CLASS)
     wanted = decided.filter("h IS NOT NULL").select(
         "id", "th", F.struct("lo", "n", "h", F.pmod("c", parts).alias("part"), (parts > 1).alias("split")).alias("w")
@@ -380,7 +398,7 @@ def remove_repeats(
     contexts = fetched.select("id", "th", "body", F.explode("ws").alias("w")).select(
         "id", "th", "w.*", F.substring("body", F.col("w.lo") + 1, F.col("w.n") + length - 1).alias("body")
     )
-    repeats, firsts = class_repeats(contexts.dropDuplicates(["id", "th", "lo"]), length)
+    repeats, firsts = class_repeats(contexts, length)
     # split classes: all but the earliest of equal first windows are repeats too
     merged = firsts.groupBy("x", "y").agg(F.min(F.struct("id", "th", "lo")).alias("m"))
     later = firsts.join(merged, ["x", "y"]).filter(~F.struct("id", "th", "lo").eqNullSafe(F.col("m")))
