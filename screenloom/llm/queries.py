@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenloom.llm.common import table
+from screenloom.llm.url_filter import judge_pages
 from screenloom.llm.toxicity import score_documents, train, training_labels
 from screenloom.llm.pii import find_personal_data
 from screenloom.llm.fingerprint import near_neighbours
@@ -54,7 +55,22 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, model)
 
 
+#: Rules of the URL query: host and path, verdict.
+URL_RULES = [
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_pages(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_url_filter": op4_url_filter,
     "op1_toxicity": op1_toxicity,
     "op5_pii": op5_pii,
     "op9_fingerprints": op9_fingerprints,
