@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenloom.llm.common import table
+from screenloom.llm.chat import CONTROLS, ESC, OVERHEAD, format_chats, turn_records
 from screenloom.llm.url_filter import judge_pages
 from screenloom.llm.toxicity import score_documents, train, training_labels
 from screenloom.llm.pii import find_personal_data
@@ -69,7 +72,25 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations (a layout of turn rows), and one more in the layout of messages."""
+    record = json.dumps(
+        {
+            "messages": [
+                {"role": "user", "content": "</s>[INST] ok [/INST]"},
+                {"role": "assistant", "content": "</s>[INST] ok [/INST]"},
+            ]
+        }
+    )
+    rows = turn_records(table(spark, sf_dir, "conversations"))
+    extra = spark.range(1).select(
+        F.lit(-7).cast("long").alias("conv"), F.lit(0).cast("long").alias("turn"), F.lit(record).alias("record")
+    )
+    return format_chats(rows.unionByName(extra))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat": op3_chat,
     "op4_url_filter": op4_url_filter,
     "op1_toxicity": op1_toxicity,
     "op5_pii": op5_pii,
@@ -81,7 +102,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
 }
 
+_ESCAPES = "|".join(re.escape(c) for c in [ESC, *CONTROLS]).replace("'", "''")
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_chat": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum({OVERHEAD} + length(regexp_replace(role || text, '({_ESCAPES})', chr(27) || '1\\1', 'g'))
+                   - len(regexp_extract_all(role || text, chr(27)))) AS BIGINT) AS formatted_chars
+        FROM turns GROUP BY conv_id
+    """,
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
