@@ -32,7 +32,7 @@ ROWS = """rows AS (
     FROM (SELECT DISTINCT dataset, context, pert FROM cond))"""
 PRED = f"""{COND}, pred AS (
     SELECT dataset, context, pert, 0 AS row, gene, fdr < 0.05::DOUBLE AS de, log2(fold_change) AS lt,
-           CASE WHEN l_suppkey % 7 <> 0 THEN log2(fold_change) + ((l_suppkey % 11) - 5) / 4.0::DOUBLE END AS lp,
+           CASE WHEN l_suppkey % 7 <> 0 THEN log2(fold_change) + ((l_suppkey % 11) - 5) / 3.7::DOUBLE END AS lp,
            CASE WHEN l_suppkey % 7 <> 0 THEN (l_partkey % 101) / 100.0::DOUBLE ELSE 0 END AS p,
            (l_partkey % 13) / 13.0::DOUBLE - 0.5 AS delta_pred, delta AS delta_true
     FROM cond)"""
@@ -82,7 +82,7 @@ AP = f"""lv AS (SELECT {KEY}, row, p, count(*) AS n, sum(de::INT) AS hits FROM p
     ap AS (SELECT {KEY}, row, CASE WHEN max(all_hits) = 0 OR max(all_hits) = max(all_n) THEN 0.0
                   ELSE sum(hits / nullif(all_hits, 0)::DOUBLE * found / seen) END AS binary_auprc FROM cum GROUP BY ALL)"""
 JD = f"""jd AS (SELECT {KEY}, row,
-        count(*) FILTER ((p >= 0.5 OR de) AND gene <> pert) AS either, count(*) FILTER (p >= 0.5 AND de AND gene <> pert) AS both,
+        count(*) FILTER ((p >= 0.5 OR de) AND gene <> pert) AS either, count(*) FILTER (p >= 0.5 AND de AND gene <> pert) AS shared,
         count(*) FILTER (de AND lp IS NOT NULL AND sign(lt) = sign(lp)) AS hits, count(*) FILTER (de) AS n_de FROM pred GROUP BY ALL)"""
 
 
@@ -105,7 +105,7 @@ L1 = f"""fx AS (SELECT {KEY}, gene, greatest(0.5::DOUBLE + avg(delta_true), 0) -
     dist AS (SELECT a.dataset, a.context, a.pert, b.pert AS other, sum(abs(a.pr - b.re)) AS d FROM fx a JOIN fx b USING (dataset, context, gene) WHERE gene <> a.pert GROUP BY ALL),
     l1 AS (SELECT {KEY}, 1 - k / n::DOUBLE AS discrimination_score_l1 FROM (
         SELECT {KEY}, other, row_number() OVER (PARTITION BY {KEY} ORDER BY round(d, 9), other) - 1 AS k, count(*) OVER (PARTITION BY {KEY}) AS n FROM dist) WHERE other = pert)"""
-PAIRM = f"""pairm AS (SELECT {KEY}, count(*) AS n_rows, avg(binary_auprc) AS binary_auprc, avg(CASE WHEN either > 0 THEN both / either::DOUBLE ELSE 1 END) AS sig_jaccard,
+PAIRM = f"""pairm AS (SELECT {KEY}, count(*) AS n_rows, avg(binary_auprc) AS binary_auprc, avg(CASE WHEN either > 0 THEN shared / either::DOUBLE ELSE 1 END) AS sig_jaccard,
         avg(CASE WHEN n_de > 0 THEN hits / n_de::DOUBLE ELSE 0 END) AS direction_match, avg(spearman_lfc) AS spearman_lfc
         FROM ap JOIN jd USING ({KEY}, row) LEFT JOIN sp USING ({KEY}, row) GROUP BY ALL),
     ctx AS (SELECT dataset, context, sum(n_rows)::BIGINT AS n_rows, avg(binary_auprc) AS binary_auprc, avg(sig_jaccard) AS sig_jaccard, avg(direction_match) AS direction_match,
@@ -128,7 +128,7 @@ ORACLE_SQL: dict[str, str] = {
     "ctrl_means": f"{SCREEN} SELECT context, gene, round(mean, 6) AS value FROM means WHERE pert = 'non-targeting'",
     "cell_totals": f"WITH {COUNTS} SELECT cell_id, round(sum(value), 6) AS total FROM counts GROUP BY 1",
     "normalize_log1p": f"""WITH {COUNTS}, tot AS (SELECT cell_id, sum(value) AS t FROM counts GROUP BY 1)
-        SELECT cell_id, gene, round(ln(1 + value / (t / 10000.0::DOUBLE)), 4) AS value FROM counts JOIN tot USING (cell_id)""",
+        SELECT cell_id, gene, round(ln(1 + (value::FLOAT / (t / 10000.0::DOUBLE)::FLOAT)::DOUBLE)::FLOAT::DOUBLE, 4) AS value FROM counts JOIN tot USING (cell_id)""",
     "count_checks": f"""WITH {CELLS}, {COUNTS} SELECT count(*) AS stored, count(*) FILTER (value <> 0) AS nonzero, count(*) FILTER (value <> floor(value)) AS non_integral,
         (SELECT count(*) FROM cells WHERE cell_id NOT IN (SELECT cell_id FROM counts)) AS empty_cells, 0::BIGINT AS denormalized FROM counts""",
     "knockdown_keep": f"{KNOCK} SELECT * FROM marks",
@@ -217,7 +217,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT {KEY}, gene, lo::BIGINT AS bin, round(1 - (u - lo), 6) + 0.0 AS weight FROM u UNION ALL SELECT {KEY}, gene, (lo + 1)::BIGINT, round(u - lo, 6) + 0.0 FROM u""",
     "control_features": f"""{SCREEN} SELECT context, gene, round(mean, 6) AS f0, round(ln(1 + 100 * mean), 6) AS f1, (mean = 0)::INT::DOUBLE AS f2 FROM means WHERE pert = 'non-targeting'""",
     "metric_auprc": f"WITH {PRED}, {AP} SELECT {KEY}, row, round(binary_auprc, 6) AS binary_auprc FROM ap",
-    "metric_jaccard": f"WITH {PRED}, {JD} SELECT {KEY}, row, round(CASE WHEN either > 0 THEN both / either::DOUBLE ELSE 1 END, 6) AS sig_jaccard FROM jd",
+    "metric_jaccard": f"WITH {PRED}, {JD} SELECT {KEY}, row, round(CASE WHEN either > 0 THEN shared / either::DOUBLE ELSE 1 END, 6) AS sig_jaccard FROM jd",
     "metric_direction": f"WITH {PRED}, {JD} SELECT {KEY}, row, round(CASE WHEN n_de > 0 THEN hits / n_de::DOUBLE ELSE 0 END, 6) AS direction_match FROM jd",
     "metric_spearman": f"WITH {PRED}, {SPEAR} SELECT {KEY}, row, round(spearman_lfc, 6) + 0.0 AS spearman_lfc FROM sp",
     "metric_nsig": f"WITH {PRED}, {NSIG} SELECT dataset, context, round(spearman_nsig, 6) AS spearman_nsig FROM ns",

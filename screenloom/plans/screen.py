@@ -72,7 +72,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         *keys,
         F.lit(0).alias("row"),
         ((F.col("v.l_partkey") % 101) / 100.0).alias("p_de"),
-        F.when(F.col("v.l_suppkey") % 7 != 0, lfc + ((F.col("v.l_suppkey") % 11) - 5) / 4.0).alias("lfc_pred"),
+        F.when(F.col("v.l_suppkey") % 7 != 0, lfc + ((F.col("v.l_suppkey") % 11) - 5) / 3.7).alias("lfc_pred"),
         ((F.col("v.l_partkey") % 13) / 13.0 - 0.5).alias("delta_pred"),
         (F.col("v.fdr") < 0.05).alias("de_true"),
         F.lit(True).alias("tested"),
