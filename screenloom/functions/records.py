@@ -66,9 +66,11 @@ def cell_line_entries(parsed: DataFrame) -> DataFrame:
         F.filter(keyed, lambda x: F.lit(False)),
         lambda acc, x: F.when(F.exists(acc, lambda y: (y["a"] == x["a"]) & (y["b"] == x["b"]) & (y["c"] == x["c"])), acc).otherwise(F.concat(acc, F.array(x))),
     )
-    references = {
-        d: clean_list(F.transform(F.filter(r["xref-list"], lambda x, d=d: x["database"] == d), lambda x: x["accession"])) for d in ("DepMap", "ATCC", "Cosmic")
-    }
+
+    def references(database: str) -> Column:
+        own = F.filter(r["xref-list"], lambda x: x["database"] == database)
+        return clean_list(F.transform(own, lambda x: x["accession"]))
+
     return parsed.select(
         "key",
         accession.alias("accession"),
@@ -78,7 +80,7 @@ def cell_line_entries(parsed: DataFrame) -> DataFrame:
         sites.alias("sites"),
         clean_list(F.transform(r["disease-list"], lambda d: d["label"])).alias("diseases"),
         F.transform(F.array_sort(distinct), lambda x: x["v"]).alias("variations"),
-        *[v.alias(d.lower()) for d, v in references.items()],
+        *[references(d).alias(d.lower()) for d in ("DepMap", "ATCC", "Cosmic")],
         r["age"].alias("age"),
         r["sex"].alias("sex"),
         r["category"].alias("category"),

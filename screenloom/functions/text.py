@@ -253,8 +253,11 @@ def drug_text(name: Column, dose: Column, title: Column, synonyms: Column, field
 
 def primary_description(descriptions: Column, preferred: Sequence[str]) -> Column:
     """Text of the best source of array<struct(source, text)>: in the order of ``preferred``, else the first."""
-    picks = [F.get(F.filter(descriptions, lambda d, s=s: d["source"] == s), 0)["text"] for s in preferred]
-    return F.coalesce(*picks, F.get(descriptions, 0)["text"], F.lit(""))
+
+    def of(source: str) -> Column:
+        return F.get(F.filter(descriptions, lambda d: d["source"] == source), 0)["text"]
+
+    return F.coalesce(*[of(s) for s in preferred], F.get(descriptions, 0)["text"], F.lit(""))
 
 
 def token_windows(tokens: Column, size: int) -> Column:

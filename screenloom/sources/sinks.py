@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,8 +24,12 @@ def prediction_lists(pred: DataFrame, axis: DataFrame) -> DataFrame:
     placed = pred.join(F.broadcast(axis.select("gene", "pos")), "gene")
     entry = F.struct("pos", *[F.col(c).cast("float").alias(c) for c in ("p_de", "lfc_pred", "delta_pred")])
     rows = placed.groupBy("dataset", "context", "pert", "row").agg(F.array_sort(F.collect_list(entry)).alias("v"))
+
+    def values(c: str) -> Column:
+        return F.transform("v", lambda x: x[c])
+
     lists = {"p_de": "p_de", "lfc_pred": "lfc_pred", "delta_p_pred": "delta_pred"}
-    return rows.select("dataset", "context", "pert", "row", *[F.transform("v", lambda x, c=c: x[c]).alias(n) for n, c in lists.items()])
+    return rows.select("dataset", "context", "pert", "row", *[values(c).alias(n) for n, c in lists.items()])
 
 
 def write_artifact(tables: Mapping[str, DataFrame], meta: Mapping[str, object], path: str, overwrite: bool = False) -> None:
