@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from screenloom.llm.common import WORD, text_or_empty
+from screenloom.llm.common import WORD, cut_lineage, fresh, text_or_empty, written
 
 
 def water_fill(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
@@ -74,7 +74,8 @@ def mix(
         F.col(source_col).isNull().alias("k0"),
         F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
     ).withColumn("order_hash", F.xxhash64(F.col("id"), F.lit(seed)))
-    base = base.withColumn("bucket", F.shiftrightunsigned("order_hash", 64 - (buckets - 1).bit_length()))
+    # read more than once below: sizes are counted in one pass over the texts
+    base = written(base.withColumn("bucket", F.shiftrightunsigned("order_hash", 64 - (buckets - 1).bit_length())))
 
     # totals by hash range, then by source
     ranges = base.groupBy("k", "k0", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -111,28 +112,34 @@ def mix(
             ),
         )
         .filter("before < rest AND before + bucket_size >= rest")
-        .select("k", "k0", F.col("bucket").alias("last_bucket"), (F.col("rest") - F.col("before")).alias("last_rest"))
+        .select("k", "k0", "bucket", (F.col("rest") - F.col("before")).alias("last_rest"))
     )
-    settled = plan.join(walked, ["k", "k0"], "left").drop("words")
-    placed = base.join(settled, ["k", "k0"])
-    # only the range in which the walk ends is put in order row by row
-    inside = F.col("last_bucket").isNotNull() & (F.col("bucket") == F.col("last_bucket"))
-    ordered = (
-        placed.filter(inside)
+    ends = walked.select("k", "k0", F.col("bucket").alias("last_bucket"))
+    # one row per source; cut, so that the joins below stand on plain exchanges, which can be split
+    settled = cut_lineage(plan.join(ends, ["k", "k0"], "left").drop("source", "words"))
+    # only the range in which the walk ends is put in order row by row; it is found by source and range,
+    # so that a hot source is spread over its ranges
+    inside = (
+        base.join(walked, ["k", "k0", "bucket"])
         .withColumn(
             "before",
             F.coalesce(
                 F.sum("size").over(
-                    W.partitionBy("k", "k0").orderBy("order_hash", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+                    W.partitionBy("k", "k0", "bucket")
+                    .orderBy("order_hash", "id", "size")
+                    .rowsBetween(W.unboundedPreceding, -1)
                 ),
                 F.lit(0),
             ),
         )
         .withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("last_rest") - F.col("before"))))
-        .drop("before")
     )
-    others = placed.filter(~inside).withColumn(
-        "part", F.when(F.col("last_bucket").isNotNull() & (F.col("bucket") < F.col("last_bucket")), F.col("size")).otherwise(F.lit(0))
+    ordered = inside.select("id", "k", "k0", "size", "part").join(settled, ["k", "k0"])
+    others = (
+        base.join(settled, ["k", "k0"])
+        .filter(F.col("last_bucket").isNull() | (F.col("bucket") != F.col("last_bucket")))
+        .withColumn("part", F.when(F.col("bucket") < F.col("last_bucket"), F.col("size")).otherwise(F.lit(0)))
+        .select(ordered.columns)
     )
     return ordered.unionByName(others).select(
         F.col("id").alias(id_col),
@@ -143,3 +150,36 @@ def mix(
         F.col("whole").cast("long").alias("whole"),
         F.col("part").cast("long").alias("part"),
     )
+
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: Sequence[float] = (5, 2, 1),
+    max_epochs: int = 3,
+    seed: int = 17,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: rows with all their columns, repeated; a further part is a row with that many words of the text."""
+    id_, size, nth, plan, copy, row = (fresh(docs.columns, x) for x in ("id", "size", "nth", "plan", "copy", "row"))
+    chosen = mix(docs.select(id_col, text_col, source_col), weights, max_epochs, seed, id_col=id_col, text_col=text_col, source_col=source_col)
+    # rows that share id and size are alike to the mix; they take their plans in any order
+    plans = chosen.groupBy(F.col(id_col).alias(id_), F.col("size").alias(size)).agg(
+        F.collect_list(F.struct("whole", "part")).alias(plan)
+    )
+    sized = docs.withColumn(row, F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long"))
+    joined = sized.join(plans, sized[id_col].eqNullSafe(plans[id_]) & (sized[row] == plans[size]))
+    numbered = joined.withColumn(nth, F.row_number().over(W.partitionBy(id_, size).orderBy(F.lit(0)))).withColumn(
+        plan, F.element_at(plan, F.col(nth))
+    )
+    whole, part = F.col(f"`{plan}`.whole"), F.col(f"`{plan}`.part")
+    times = whole + F.when((part == F.col(size)) & (part > 0), 1).otherwise(0)
+    copies = F.concat(
+        F.array_repeat(F.lit(0).cast("long"), times.cast("int")),
+        F.when((part > 0) & (part < F.col(size)), F.array(part)).otherwise(F.array().cast("array<bigint>")),
+    )
+    spread = numbered.withColumn(copy, F.explode(copies))
+    words = F.regexp_extract_all(text_or_empty(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    text = F.when(F.col(copy) == 0, F.col(text_col)).otherwise(F.array_join(F.slice(words, 1, F.col(copy).cast("int")), ""))
+    return spread.withColumn(text_col, text).select(docs.columns)
