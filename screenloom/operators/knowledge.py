@@ -258,3 +258,89 @@ def merge_descriptions(prior: DataFrame, new: DataFrame, on_conflict: str = "err
 def unembedded(prior: DataFrame, keys: DataFrame) -> DataFrame:
     """Keys that have no vector yet: the only ones to embed."""
     return keys.select("key").distinct().join(prior.select("key"), "key", "left_anti")
+
+
+# --- identities and tiers -------------------------------------------------------------------------
+
+
+def first_of_tiers(keys: DataFrame, *tiers: DataFrame) -> DataFrame:
+    """(key, text, tier): the text of the first of the (key, text) tables that has the key; null without any."""
+    out = keys.select("key")
+    for i, tier in enumerate(tiers):
+        out = out.join(tier.select("key", F.col("text").alias(f"t{i}")), "key", "left")
+    names = [f"t{i}" for i in range(len(tiers))]
+    which = F.coalesce(*[F.when(F.col(n).isNotNull(), i) for i, n in enumerate(names)])
+    return out.select("key", F.coalesce(*names).alias("text"), which.alias("tier"))
+
+
+def compound_ids(names: DataFrame, metadata: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(name, cid, relationship): the reviewed override of a name, else its metadata id as primary.
+
+    A name twice in the metadata, missing from it, without any id, or with an id that its override does not list is an error.
+    """
+    name = F.regexp_replace("drug", r"(?U)^\s+|\s+$", "")
+    table = metadata.groupBy(name.alias("name")).agg(F.count("*").alias("n"), F.max("cid").alias("meta"))
+    listed = overrides.groupBy("name").agg(F.collect_list(F.struct("cid", "relationship")).alias("o"))
+    joined = names.select("name").distinct().join(table, "name", "left").join(listed, "name", "left")
+
+    def error(text: str) -> Column:
+        return F.raise_error(F.concat(F.lit(f"{text}: "), F.col("name"))).cast("array<struct<cid:bigint,relationship:string>>")
+
+    own = F.array(F.struct(F.col("meta").cast("bigint").alias("cid"), F.lit("primary").alias("relationship")))
+    given = F.col("o").cast("array<struct<cid:bigint,relationship:string>>")
+    disagrees = F.col("meta").isNotNull() & ~F.exists("o", lambda x: x["cid"] == F.col("meta"))
+    ids = (
+        F.when(F.col("n").isNull(), error("not in the metadata")).when(F.col("n") > 1, error("twice in the metadata"))
+        .when(F.col("o").isNotNull() & disagrees, error("id disagrees with its override")).when(F.col("o").isNotNull(), given)
+        .when(F.col("meta").isNull(), error("no id")).otherwise(own)
+    )
+    return joined.select("name", F.explode(ids).alias("i")).select("name", "i.cid", "i.relationship")
+
+
+def invalid_properties(properties: DataFrame) -> DataFrame:
+    """(cid, field, value string) rows that break a compound property's rule: must be empty.
+
+    Numbers must be finite; a weight is above 0, areas and complexities are not negative, counts are whole and
+    not negative, a charge is whole.
+    """
+    v = F.col("value").try_cast("decimal(38,12)")
+    whole = v == F.floor(v)
+    rule = {
+        "MolecularWeight": v > 0, "TPSA": v >= 0, "Complexity": v >= 0, "HBondDonorCount": whole & (v >= 0),
+        "HBondAcceptorCount": whole & (v >= 0), "RotatableBondCount": whole & (v >= 0), "Charge": whole,
+    }
+    fine = v.isNotNull()
+    for name, ok in rule.items():
+        fine = fine & ((F.col("field") != name) | F.coalesce(ok, F.lit(False)))
+    return properties.filter(~fine)
+
+
+def first_protein_per_name(proteins: DataFrame, names: DataFrame) -> DataFrame:
+    """(protein, pos, vector) by preferred name: the first protein in order has the name; the result is ordered by name when collected."""
+    joined = proteins.join(names.select("protein", "name"), "protein")
+    return joined.groupBy("name").agg(F.min_by("vector", "pos").alias("vector"))
+
+
+def window_means(windows: DataFrame) -> DataFrame:
+    """(key, start, states array<array<double>>) to (key, vector): positions averaged over the windows that cover them, then over the key."""
+    states = windows.select("key", F.col("start"), F.posexplode("states").alias("i", "state"))
+    flat = states.select("key", (F.col("start") + F.col("i")).alias("pos"), F.posexplode("state").alias("d", "v"))
+    per_place = flat.groupBy("key", "pos", "d").agg(F.avg("v").alias("v"))
+    per_dim = per_place.groupBy("key", "d").agg(F.avg("v").alias("v"))
+    return per_dim.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda x: x["v"]).alias("vector"))
+
+
+def padded_tokens(rows: DataFrame, *batch: str) -> DataFrame:
+    """(batch, row, tokens array<array<double>>) padded with zeros to the longest list of its batch, with a mask."""
+    longest = F.max(F.size("tokens")).over(W.partitionBy(*batch))
+    wide = rows.withColumns({"longest": longest, "dim": F.max(F.coalesce(F.size(F.get("tokens", 0)), F.lit(0))).over(W.partitionBy(*batch))})
+    blank = F.array_repeat(F.array_repeat(F.lit(0.0), F.col("dim")), F.col("longest") - F.size("tokens"))
+    mask = F.concat(F.array_repeat(F.lit(True), F.size("tokens")), F.array_repeat(F.lit(False), F.col("longest") - F.size("tokens")))
+    return wide.select(*batch, "row", F.concat("tokens", blank).alias("tokens"), mask.alias("mask"))
+
+
+def uncovered_genes(parts: DataFrame, axis: DataFrame) -> DataFrame:
+    """(gene, where) that are in the artifact's shards but not on its axis, or the other way: must be empty."""
+    have = parts.select("gene").distinct()
+    extra = have.join(axis, "gene", "left_anti").select("gene", F.lit("not on the axis").alias("where"))
+    return extra.unionByName(axis.select("gene").join(have, "gene", "left_anti").withColumn("where", F.lit("in no shard")))

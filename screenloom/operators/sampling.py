@@ -50,31 +50,44 @@ def largest_remainder(weights: list[float], total: int) -> list[int]:
 class BlendedSampler:
     """Exact per-epoch mix of groups, each drawn without replacement across epochs, in contiguous shards per replica.
 
-    ``rows`` holds the row ids of each group and ``weights`` its weight; a weight of 0 is never drawn. Pure
-    driver-side index arithmetic: it feeds loaders, not queries.
+    ``members`` holds each numbered group's rows and ``weights`` its weight; a weight of 0 is never drawn. The
+    generator seeds are fixed values: (seed, 0, epoch) deals slots to groups, (seed, 1, group, cycle) orders a
+    group's cycle. Index arithmetic on the driver: it feeds loaders, not queries.
     """
 
-    def __init__(self, rows: Mapping[str, list[int]], weights: Mapping[str, float], replicas: int = 1, rank: int = 0, seed: int = 0) -> None:
-        if set(rows) != set(weights) or any(w < 0 for w in weights.values()) or sum(weights.values()) <= 0:
-            raise ValueError("weights must name the groups, be non-negative and have a positive sum")
-        self.names = [n for n in sorted(rows) if weights[n] > 0]
-        if any(not rows[n] for n in self.names):
-            raise ValueError("a weighted group has no rows")
-        self.rows, self.replicas, self.rank, self.seed, self.epoch = rows, replicas, rank, seed, 0
-        size = sum(len(rows[n]) for n in self.names) // replicas * replicas
-        self.counts = dict(zip(self.names, largest_remainder([weights[n] for n in self.names], size), strict=True))
-
-    def stream(self, name: str, start: int, length: int) -> list[int]:
+    def __init__(self, members: Mapping[int, list[int]], weights: Mapping[int, float], replicas: int = 1, rank: int = 0, seed: int = 0) -> None:
+        if any(w < 0 for w in weights.values()) or sum(weights.values()) <= 0:
+            raise ValueError("weights must be non-negative and have a positive sum")
+        used = {g: np.asarray(members.get(g, ()), dtype=np.int64) for g in sorted(weights) if weights[g] > 0}
+        if bare := [g for g, rows in used.items() if not len(rows)]:
+            raise ValueError(f"weighted groups without rows: {bare}")
+        self.members, self.seed, self.epoch = used, seed, 0
+        self.share = -(-sum(map(len, used.values())) // replicas)
+        self.first = rank * self.share
+        self.total = self.share * replicas
+        self.counts = dict(zip(used, largest_remainder([weights[g] for g in used], self.total), strict=True))
+
+    def __len__(self) -> int:
+        return self.share
+
+    def stream(self, group: int, start: int, length: int) -> np.ndarray:
         """Places start .. start + length of the group's endless sequence of permuted cycles."""
-        ids, out = self.rows[name], []
-        while len(out) < length:
-            cycle, at = divmod(start + len(out), len(ids))
-            order = np.random.default_rng([self.seed, self.names.index(name), cycle]).permutation(len(ids))
-            out += [ids[i] for i in order[at : at + length - len(out)]]
-        return out
+        rows = self.members[group]
+        n = len(rows)
+        cycles = range(start // n, -(-(start + length) // n))
+        if n == 1:
+            return np.repeat(rows, length)
+        orders = [np.random.default_rng([self.seed, 1, group, c]).permutation(n) for c in cycles]
+        if not orders:
+            return rows[:0]
+        skip = start - cycles[0] * n
+        return rows[np.concatenate(orders)[skip : skip + length]]
 
     def __iter__(self) -> Iterator[int]:
-        drawn = [i for n in self.names for i in self.stream(n, self.epoch * self.counts[n], self.counts[n])]
-        mixed = [drawn[i] for i in np.random.default_rng([self.seed, self.epoch]).permutation(len(drawn))]
-        share = len(mixed) // self.replicas
-        return iter(mixed[self.rank * share : (self.rank + 1) * share])
+        owner = np.array([g for g, n in self.counts.items() for _ in range(n)], dtype=np.int64)
+        np.random.default_rng([self.seed, 0, self.epoch]).shuffle(owner)
+        # the i-th slot of a group takes the i-th row of its stream in this epoch
+        dealt = np.empty(self.total, dtype=np.int64)
+        for g, n in self.counts.items():
+            dealt[np.flatnonzero(owner == g)] = self.stream(g, self.epoch * n, n)
+        return iter(dealt[self.first : self.first + self.share].tolist())

@@ -168,13 +168,16 @@ def test_apportion(spark):
 
 
 def test_blended_sampler():
-    rows = {"a": list(range(60)), "b": list(range(100, 130)), "c": [999]}
-    make = lambda rank: sampling.BlendedSampler(rows, {"a": 0.5, "b": 0.5, "c": 0.0}, replicas=2, rank=rank, seed=3)
+    members = {0: list(range(60)), 1: list(range(100, 130)), 2: [999]}
+    make = lambda rank: sampling.BlendedSampler(members, {0: 0.5, 1: 0.5, 2: 0.0}, replicas=2, rank=rank, seed=3)
     first, second = list(make(0)), list(make(1))
     both = first + second
-    assert len(first) == len(second) == 45 and sum(i < 100 for i in both) == 45 and 999 not in both
+    assert len(first) == len(second) == len(make(0)) == 45 and sum(i < 100 for i in both) == 45 and 999 not in both
     a = make(0)
-    assert len(set(a.stream("a", 0, 60))) == 60 and a.stream("a", 50, 20) == a.stream("a", 50, 10) + a.stream("a", 60, 10)
-    assert list(make(0)) == first
+    assert sorted(a.stream(0, 0, 60).tolist()) == members[0]
+    assert a.stream(0, 50, 20).tolist() == a.stream(0, 50, 10).tolist() + a.stream(0, 60, 10).tolist()
+    assert list(make(0)) == first and a.stream(0, 5, 0).size == 0
     with pytest.raises(ValueError):
-        sampling.BlendedSampler(rows, {"a": 1.0})
+        sampling.BlendedSampler(members, {0: 1.0, 7: 1.0})
+    with pytest.raises(ValueError):
+        sampling.BlendedSampler(members, {0: -1.0, 1: 3.0})
