@@ -2,7 +2,7 @@
 
 Plain identifiers are found by fixed patterns. Then small transducers undo disguises, each giving
 the rewritten text together with segments that map every place back to the source: look-alike and
-full-width characters and invisible ones; spelled digits; words and brackets that stand for the
+full-width characters and invisible ones; letters drawn like digits; spelled digits; words and brackets that stand for the
 at sign and the dot. The same patterns run on the rewritten text, and what they find is mapped
 through all transducers to spans of source characters. A span is added if it covers a rewritten
 character and overlaps no plain span of its kind. Texts without any trace of a disguise, nearly
@@ -53,6 +53,8 @@ _ODD = re.compile(f"[{''.join(LOOKALIKES)}{INVISIBLE}\uff01-\uff5e\u0660-\u0669\
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _DIGIT = re.compile(rf"(?i:\b(?:{_WORD})\b)|[0-9]+")
 _RUN = re.compile(rf"(?i)\b(?:{_WORD})\b(?:[\s,.-]{{1,3}}(?:(?:{_WORD})\b|[0-9]{{1,4}}\b)){{5,}}")
+_LEET = re.compile(r"(?<![A-Za-z])[OIl]?[0-9][0-9OIl]*(?![A-Za-z])")
+_LEET_HINT = re.compile(r"[0-9][OIl]|[OIl][0-9]")
 _PLUS = re.compile(r"(?i)(?:\bplus\b|\+)[\s]{0,3}\Z")
 _SIGN = re.compile(
     r"(?i)\s{0,3}[\[({<]\s{0,2}(?P<at>at|arobase|arroba|klammeraffe|@|a)\s{0,2}[\])}>]\s{0,3}"
@@ -60,9 +62,12 @@ _SIGN = re.compile(
     r"|(?P<at2>&#64;|&commat;|%40)|(?P<dot2>&#46;|&period;)"
     r"|(?<=[A-Za-z0-9_%+-])\s{1,3}(?P<at3>at|arobase|arroba)\s{1,3}(?=[A-Za-z0-9-]{1,64}(?:\.|\s{1,3}(?:dot|punkt|point|punto)\s|\s{0,3}[\[({<]\s{0,2}(?:dot|punkt|point|punto|\.)))"
     r"|(?<=[A-Za-z0-9_-])\s{1,3}(?P<dot3>dot|punkt|punto|point)\s{1,3}(?=[A-Za-z0-9-])"
+    r"|(?<=[A-Za-z0-9_%+-])(?:\s{1,3}(?P<at4>@)\s{0,3}|(?P<at5>@)\s{1,3})(?=[A-Za-z0-9-])"
+    r"|(?<=[A-Za-z0-9])[-_](?P<at6>at)[-_](?=[A-Za-z0-9-]{1,64}?[-_]dot[-_])|(?<=[A-Za-z0-9])[-_](?P<dot4>dot)[-_](?=[A-Za-z])"
+    r"|(?<=[A-Za-z0-9-])\s{1,3}(?P<dot5>\.)\s{1,3}(?=(?-i:[a-z0-9]))"
 )
-_SIGN_BARE = re.compile(r" (?:at|arobase|arroba) [a-z0-9-]{1,64}(?:\.[a-z0-9]|\s)| (?:dot|punkt|punto|point) ")
-_SIGN_SIGNS = ("[", "(", "{", "<", "&#", "&commat", "&period", "%40")
+_SIGN_BARE = re.compile(r" (?:at|arobase|arroba) [a-z0-9-]{1,64}\.[a-z0-9]| (?:dot|punkt|punto|point) ")
+_SIGN_SIGNS = ("[", "(", "{", "<", "&#", "&commat", "&period", "%40", " @", "@ ", "-dot-", "_dot_")
 #: Words before a bare "at" that make it a preposition, not a sign.
 BEFORE_AT = frozenset("is was are were be been am me us it him her them you look looking available hosted located found and or visit website site page online".split())
 
@@ -158,6 +163,13 @@ def undo_spelled_digits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def undo_letter_digits(text: str) -> list[tuple[int, int, str]]:
+    """O, I and l between digits, as the digits they are drawn like."""
+    return [
+        (m.start() + i, m.start() + i + 1, "0" if c == "O" else "1") for m in _LEET.finditer(text) for i, c in enumerate(m[0]) if c in "OIl"
+    ]
+
+
 def undo_signs(text: str) -> list[tuple[int, int, str]]:
     return [
         (m.start(), m.end(), "@" if m.lastgroup.startswith("at") else ".")
@@ -189,7 +201,13 @@ def disguised_spans(text: str, plain: dict[str, list[tuple[int, int]]]) -> dict[
     added: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     layers: list[Rewritten] = []
     now = text
-    for hint, undo in ((_ODD.search, undo_lookalikes), (may_spell, undo_spelled_digits), (may_sign, undo_signs)):
+    steps = (
+        (_ODD.search, undo_lookalikes),
+        (_LEET_HINT.search, undo_letter_digits),
+        (may_spell, undo_spelled_digits),
+        (may_sign, undo_signs),
+    )
+    for hint, undo in steps:
         if hint(now) and (edits := undo(now)):
             layers.append(rewrite(now, edits))
             now = layers[-1].text

@@ -35,6 +35,11 @@ def test_plain_kinds():
         ("mail: a&#64;b&#46;org", "email", "a&#64;b&#46;org"),
         ("call plus one four five six five five five two one eight six!", "phone", "plus one four five six five five five two one eight six"),
         ("num 中 ４１１１ １１１１ １１１１ １１１１.", "card", "４１１１ １１１１ １１１１ １１１１"),
+        ("mail john @ example . com soon", "email", "john @ example . com"),
+        ("mail john-at-example-dot-com soon", "email", "john-at-example-dot-com"),
+        ("host 192[.]168[.]0[.]1", "ip", "192[.]168[.]0[.]1"),
+        ("host 192 dot 168 dot 0 dot 1 is up", "ip", "192 dot 168 dot 0 dot 1"),
+        ("card 4l11 1111 1111 11I1", "card", "4l11 1111 1111 11I1"),
         ("ip １９２.168.0.1", "ip", "１９２.168.0.1"),
         ("karte vier eins eins eins eins eins eins eins eins eins eins eins eins eins eins eins ok", "card", "vier" + " eins" * 15),
     ],
@@ -47,7 +52,7 @@ def test_disguises(text, kind, found):
 
 @pytest.mark.parametrize(
     "text",
-    ["He was at example.com today.", "Look at point dot", "un deux trois quatre", "a (b) [c] {d} <e> (a) (.)", "one two three four five six", "the end. at home.", "Ütf-8 naïve café"],
+    ["He was at example.com today.", "Look at point dot", "un deux trois quatre", "a (b) [c] {d} <e> (a) (.)", "one two three four five six", "the end. at home.", "Ütf-8 naïve café", "at 5 @ home . So 3 l of H2O, I2 and O2.", "it ended . com is short @ all"],
 )
 def test_clean_text_stays_clean(text):
     assert not any(disguised_spans(text, plain_spans(text)).values())
