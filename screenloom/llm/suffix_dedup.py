@@ -44,6 +44,8 @@ WINDOW = 72  # K-byte strings a window chooses its anchor from; K = length - WIN
 BLOCK = 1 << 20  # bytes hashed at once
 SHARD = 1 << 21  # bytes in one suffix array
 CLASS = 4096  # contexts of one anchor class in one shard
+PARTS = 1024  # shards of a class too large for one; a power of two
+HELD = 200_000  # rows of one class held by a task
 U = np.uint64
 
 
@@ -271,7 +273,7 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_contexts(rows: DataFrame, length: int) -> DataFrame:
-    """(id, th, lo, n, h, k): windows lo..lo+n-1 are repeats if h is null, else a context to be compared in class h of k rows."""
+    """(id, th, lo, n, h, c, part, split): windows lo..lo+n-1 are repeats if h is null, else a context to be compared in a shard (h, part)."""
 
     def contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -309,18 +311,87 @@ def repeated_contexts(rows: DataFrame, length: int) -> DataFrame:
                 names=["id", "th", "lo", "n", "h", "c"],
             )
 
-    id_type = rows.schema["id"].dataType
-    found = rows.mapInArrow(
-        contexts,
-        T.StructType([T.StructField("id", id_type), *(T.StructField(x, T.LongType()) for x in ("th", "lo", "n", "h", "c"))]),
-    )
-    classes = W.partitionBy("h")
-    told = found.withColumns({"low": F.min("c").over(classes), "high": F.max("c").over(classes), "k": F.count("c").over(classes)})
-    told = told.withColumn("nth", F.rank().over(W.partitionBy("h", "c").orderBy("id", "th", "lo")))
-    settled = F.col("c").isNull() | (F.col("nth") > 1)
-    return told.filter(settled | (F.col("low") < F.col("high"))).select(
-        "id", "th", "lo", "n", F.when(~settled, F.col("h")).alias("h"), F.when(~settled, F.col("c")).alias("c"), "k"
-    )
+    id_field = T.StructField("id", rows.schema["id"].dataType)
+    longs = [T.StructField(x, T.LongType()) for x in ("th", "lo", "n", "h", "c")]
+    found = rows.mapInArrow(contexts, T.StructType([id_field, *longs]))
+    # dealt by ranges of (h, c): a class of very many contexts lies in several neighbouring partitions
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = found.repartitionByRange(parts, "h", "c").sortWithinPartitions("h", "c", "id", "th", "lo")
+    out = [*longs, T.StructField("part", T.LongType()), T.StructField("split", T.BooleanType())]
+    return dealt.mapInArrow(class_marks, T.StructType([id_field, *out]))
+
+
+def _equal_to_previous(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether each value but the first equals the one before it, nulls included."""
+    a = column.combine_chunks()
+    both_null = pc.and_(pc.is_null(a[1:]), pc.is_null(a[:-1]))
+    return pc.or_(pc.equal(a[1:], a[:-1]).fill_null(False), both_null).to_numpy(zero_copy_only=False)
+
+
+def _marked(rows: pa.Table, before: tuple | None, opened: set[int]) -> pa.Table:
+    """Of sorted rows of whole classes, or of classes in ``opened``: repeats (h null), and contexts to be compared."""
+    h, c = rows.column("h").to_numpy(), rows.column("c").fill_null(0).to_numpy()
+    settled = rows.column("c").is_null().to_numpy(zero_copy_only=False)
+    new_h = np.concatenate([[before is None or before[0] != h[0]], h[1:] != h[:-1]])
+    new = new_h | np.concatenate([[before is None or before[1] != c[0]], c[1:] != c[:-1]])
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    which = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
+    contexts = np.add.reduceat((new & ~settled).astype(np.int64), start)[which]
+    split = np.isin(h, list(opened)) | (contexts > CLASS)
+    repeat = settled | ~new
+    # of rows repeated with id and text one stands for all
+    twice = np.concatenate([[before is not None and before[2:] == _place(rows, 0)], np.ones(len(h) - 1, dtype=bool)]) & ~new
+    for name in ("id", "th", "lo"):
+        twice[1:] &= _equal_to_previous(rows.column(name))
+    keep = (repeat | (contexts > 1) | split) & ~(twice & ~settled)
+    part = np.where(split, c & (PARTS - 1), 0)
+    table = rows.drop_columns(["h", "c"])
+    for name, values in (("h", h), ("c", c), ("part", part)):  # null for repeats
+        table = table.append_column(name, pa.array(values, mask=repeat))
+    return table.append_column("split", pa.array(split)).filter(pa.array(keep))
+
+
+def _place(rows: pa.Table, i: int) -> tuple:
+    return tuple(rows.column(x)[i].as_py() for x in ("id", "th", "lo"))
+
+
+def class_marks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts in the order of (h, c, id, th, lo), a partition at a time: what repeats, and what is to be compared by bytes.
+
+    The first and last class of a partition may go on in its neighbours, and a class of more than HELD rows is not
+    held together: their contexts are all compared, in shards that are merged by window.
+    """
+    held: pa.Table | None = None
+    before: tuple | None = None
+    opened: set[int] = set()
+    started = False
+
+    def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        nonlocal before
+        marked = _marked(rows, before, opened)
+        before = (rows.column("h")[-1].as_py(), rows.column("c")[-1].as_py() or 0, *_place(rows, -1))
+        yield from marked.combine_chunks().to_batches()
+
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if not started:
+            started = True
+            opened.add(table.column("h")[0].as_py())
+        held = table if held is None else pa.concat_tables([held, table])
+        h = held.column("h").to_numpy()
+        last = int(np.searchsorted(h, h[-1]))
+        if last:
+            yield from told(held.slice(0, last))
+            held = held.slice(last)
+        if held.num_rows > HELD:
+            opened.add(int(h[-1]))
+            yield from told(held)
+            held = None
+    if held is not None and held.num_rows:
+        opened.add(held.column("h")[0].as_py())
+        yield from told(held)
 
 
 def class_repeats(contexts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
@@ -363,7 +434,7 @@ def class_repeats(contexts: DataFrame, length: int) -> tuple[DataFrame, DataFram
             for row in batch.to_pylist():
                 if rows and all(rows[-1][x] == row[x] for x in ("h", "part", "id", "th", "lo")):
                     continue  # rows repeated with id and text
-                if size >= SHARD and (row["h"], row["part"]) != last:
+                if size >= SHARD and (row["split"] or (row["h"], row["part"]) != last):
                     yield flush(rows)
                     rows, size = [], 0
                 rows.append(row)
@@ -389,10 +460,7 @@ def remove_repeats(
     told = F.xxhash64(body) if repeated else F.lit(0).cast("long")
     rows = docs.select(F.col(id_col).alias("id"), told.alias("th"), body.cast("binary").alias("body"))
     decided = written(repeated_contexts(rows, length))
-    parts = F.ceil(F.col("k") / CLASS)
-    wanted = decided.filter("h IS NOT NULL").select(
-        "id", "th", F.struct("lo", "n", "h", F.pmod("c", parts).alias("part"), (parts > 1).alias("split")).alias("w")
-    )
+    wanted = decided.filter("h IS NOT NULL").select("id", "th", F.struct("lo", "n", "h", "part", "split").alias("w"))
     wanted = wanted.groupBy(F.col("id").alias("wid"), F.col("th").alias("wth")).agg(F.collect_list("w").alias("ws"))
     fetched = rows.join(wanted, rows["id"].eqNullSafe(wanted["wid"]) & (rows["th"] == wanted["wth"]))
     contexts = fetched.select("id", "th", "body", F.explode("ws").alias("w")).select(

@@ -53,6 +53,7 @@ def test_split_classes_and_small_shards(spark, monkeypatch):
     # limits so small that classes are split over shards and blocks cut documents
     monkeypatch.setattr(S, "CLASS", 2)
     monkeypatch.setattr(S, "SHARD", 400)
+    monkeypatch.setattr(S, "HELD", 5)
     docs = corpus(random.Random(9), 60)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     assert result(S.remove_repeats(df)) == brute(docs, 100)
@@ -73,6 +74,25 @@ def test_edges(edge_docs):
     assert result(S.remove_repeats(edge_docs)) == brute(rows, 100)
 
 
+def test_repeated_rows_in_several_batches(spark):
+    text = "".join(random.Random(4).choice("abc def") for _ in range(900))
+    rows = [(5, text)] * 7 + [(6, text[100:700]), (None, text[:300]), (None, text[:300]), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    assert result(S.remove_repeats(df)) == brute(order, 100)
+
+
+def test_one_passage_in_every_document(spark, monkeypatch):
+    # one anchor class of very many contexts, held by no task as a whole
+    monkeypatch.setattr(S, "HELD", 8)
+    monkeypatch.setattr(S, "CLASS", 4)
+    rng = random.Random(6)
+    passage = "".join(rng.choice("pqrst ") for _ in range(130))
+    docs = [(i, "".join(rng.choice("uvwxyz") for _ in range(60)) + passage + "".join(rng.choice("uvwxyz") for _ in range(60))) for i in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    assert result(S.remove_repeats(df)) == brute(docs, 100)
+
+
 def test_empty_table(no_docs):
     assert S.remove_repeats(no_docs).count() == 0
 
