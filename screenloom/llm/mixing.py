@@ -8,7 +8,7 @@ exact fixed point of "clamp, redistribute the excess proportionally, repeat".
 Sampling. A source at e = target / size epochs takes every document floor(e) times whole; the
 remaining fraction walks the source's documents in a seeded hash order until the words are spent,
 and the last document gives the words still missing. To avoid one sorted window over a hot source,
-the walk is two-level: documents fall into ``buckets`` hash ranges per source, running sums over
+the walk is two-level: documents fall into 16**``digits`` hash ranges per source, running sums over
 bucket totals find the one range in which the walk ends, and only that range is sorted by row.
 
 Defined results. Null and empty texts have size 0, take 0 words and their sources, if nothing
@@ -61,7 +61,7 @@ def mix(
     weights: Sequence[float] = (5, 2, 1),
     max_epochs: int = 3,
     seed: int = 17,
-    buckets: int = 4096,
+    digits: int = 3,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -73,9 +73,9 @@ def mix(
         F.coalesce(F.col(source_col), F.lit("")).alias("k"),
         F.col(source_col).isNull().alias("k0"),
         F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
-    ).withColumn("order_hash", F.xxhash64(F.col("id"), F.lit(seed)))
+    ).withColumn("order_hash", F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f":{seed}"))))
     # read more than once below: sizes are counted in one pass over the texts
-    base = written(base.withColumn("bucket", F.shiftrightunsigned("order_hash", 64 - (buckets - 1).bit_length())))
+    base = written(base.withColumn("bucket", F.substring("order_hash", 1, digits)))
 
     # totals by hash range, then by source
     ranges = base.groupBy("k", "k0", "bucket").agg(F.sum("size").alias("bucket_size"))

@@ -69,7 +69,8 @@ URL_RULES = [
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_pages(table(spark, sf_dir, "pages"), URL_RULES)
+    judged = judge_pages(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.withColumn("score", F.round("score", 6) + F.lit(0.0))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +105,72 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _ESCAPES = "|".join(re.escape(c) for c in [ESC, *CONTROLS]).replace("'", "''")
 
+
+
+def _url_sql() -> str:
+    """The URL query in SQL: rules, counts of four orders, Witten-Bell probabilities, the threshold, verdicts."""
+    from screenloom.llm.url_filter import CLASS_OF
+
+    classes = ", ".join(map(str, CLASS_OF))
+    own, seen, joins, prob = [], [], [], {x: f"{1 / 32}::DOUBLE" for x in "ar"}
+    for k in range(4):
+        own.append(f"own{k} AS (SELECT g & {32 ** (k + 1) - 1} AS g, sum(a) AS a, sum(r) AS r FROM counted GROUP BY 1)")
+        seen.append(
+            f"seen{k} AS (SELECT g >> 5 AS c, sum(a) AS na, sum(r) AS nr, count(*) FILTER (a > 0) AS ta, count(*) FILTER (r > 0) AS tr FROM own{k} GROUP BY 1)"
+        )
+        joins.append(f"LEFT JOIN own{k} ON own{k}.g = d.g & {32 ** (k + 1) - 1} LEFT JOIN seen{k} ON seen{k}.c = (d.g & {32 ** (k + 1) - 1}) >> 5")
+        for x in "ar":
+            n, t, c = f"seen{k}.n{x}", f"seen{k}.t{x}", f"coalesce(own{k}.{x}, 0)"
+            prob[x] = f"CASE WHEN coalesce({n}, 0) > 0 THEN ({c} + {t} * ({prob[x]})) / ({n} + {t}) ELSE {prob[x]} END"
+    rules = sorted(URL_RULES, key=lambda r: -len(r[0]))
+    fits = [
+        (f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{rest}')", text, says)
+        for text, says in rules
+        for h, _, rest in [text.partition("/")]
+    ]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{text}'" for f, text, _ in fits) + " END"
+    says = "CASE " + " ".join(f"WHEN {f} THEN '{s}'" for f, _, s in fits) + " END"
+    return f"""
+        WITH parts AS (SELECT page_id, url, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS after FROM pages),
+        named AS (SELECT *, translate(regexp_extract(after, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(after, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+        ruled AS (SELECT *, {rule} AS rule, {says} AS says, ascii(md5(url)) % 2 AS fold, row_number() OVER () AS n FROM named),
+        places AS (SELECT n, after, unnest(range(1, length(after) + 1)) AS i FROM ruled),
+        codes AS (SELECT n, i, CASE WHEN unicode(after[i]) < 128 THEN [{classes}][unicode(after[i]) + 1] ELSE 31 END AS c FROM places),
+        grams AS (SELECT n, i, (coalesce(lag(c, 3) OVER w, 28) << 15) + (coalesce(lag(c, 2) OVER w, 28) << 10) + (coalesce(lag(c) OVER w, 28) << 5) + c AS g
+            FROM codes WINDOW w AS (PARTITION BY n ORDER BY i)),
+        counted AS (SELECT g, count(*) FILTER (says = 'allow') AS a, count(*) FILTER (says = 'block') AS r FROM grams JOIN ruled USING (n) WHERE rule IS NOT NULL AND fold = 0 GROUP BY 1),
+        {", ".join(own)}, {", ".join(seen)},
+        ratios AS (SELECT d.g, log2(({prob["a"]}) / ({prob["r"]})) AS v FROM (SELECT DISTINCT g FROM grams) d {" ".join(joins)}),
+        scored AS (SELECT r.*, coalesce(s.score, 0) AS score FROM ruled r LEFT JOIN (SELECT n, sum(v ORDER BY i) / count(*) AS score FROM grams JOIN ratios USING (g) GROUP BY n) s USING (n)),
+        cells AS (SELECT cell, sum(a) AS a, sum(r) AS r FROM (
+            SELECT greatest(-1000, least(1000, floor(score / 0.01::DOUBLE)))::INT AS cell, (says = 'allow')::INT AS a, (says = 'block')::INT AS r FROM scored WHERE rule IS NOT NULL AND fold = 1
+            UNION ALL SELECT i::INT, 0, 0 FROM range(-1000, 1002) t(i)) GROUP BY 1),
+        gains AS (SELECT cell, coalesce(sum(r) OVER b, 0) * sum(a) OVER () - coalesce(sum(a) OVER b, 0) * sum(r) OVER () AS gain, sum(a) OVER () AS na, sum(r) OVER () AS nr
+            FROM cells WINDOW b AS (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        best AS (SELECT floor((min(cell) + max(cell)) / 2.0::DOUBLE) * 0.01::DOUBLE AS threshold FROM (SELECT * FROM gains WHERE na > 0 AND nr > 0 QUALIFY gain = max(gain) OVER ()))
+        SELECT page_id, host, path, rule, coalesce(says, CASE WHEN score < threshold THEN 'block' ELSE 'allow' END) AS verdict, round(score, 6) + 0.0 AS score FROM scored, best
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": _url_sql(),
+    "op2_mixing": """
+        WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(doc_id || ':17') AS h FROM documents),
+        ranked AS (SELECT source, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM docs GROUP BY source),
+        caps AS (SELECT source, size, 3 * size AS cap, [5.0::DOUBLE, 2.0, 1.0][k % 3 + 1] AS weight, cap / weight AS ratio FROM ranked),
+        sums AS (SELECT *, coalesce(sum(cap) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
+                sum(weight) OVER (b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open, sum(size) OVER () AS total
+            FROM caps WINDOW b AS (ORDER BY ratio, source NULLS LAST)),
+        levels AS (SELECT *, (total - spent)::DOUBLE / open AS level, ratio <= level AS clamped FROM sums),
+        filled AS (SELECT source, size AS source_size, CASE WHEN clamped OR f IS NULL THEN cap::DOUBLE ELSE weight * f END AS target
+            FROM (SELECT *, max(CASE WHEN NOT clamped THEN level END) OVER () AS f FROM levels)),
+        plan AS (SELECT *, round(target)::BIGINT AS words, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS whole,
+                CASE WHEN source_size > 0 THEN words % source_size ELSE 0 END AS rest FROM filled),
+        walked AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM docs),
+        parts AS (SELECT w.*, p.source_size, p.target, p.whole, greatest(0, least(size, rest - before)) AS part FROM walked w JOIN plan p ON w.source IS NOT DISTINCT FROM p.source)
+        SELECT doc_id, size::BIGINT AS size, source_size, target, (whole * size + part)::BIGINT AS taken, whole::BIGINT AS whole, part::BIGINT AS part FROM parts
+    """,
     "op3_chat": f"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -122,4 +188,17 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op10_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99)) AS i FROM d)),
+        again AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+        marks AS (SELECT doc_id, i, coalesce((i > lag(i) OVER o + 100)::INT, 1) AS new FROM again WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        runs AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marks),
+        spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY doc_id, run),
+        gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM spans),
+        heads AS (SELECT doc_id, string_agg(substr(x, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS head, max(b) AS last, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed
+            FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+            sha256(unhex(coalesce(head || substr(x, 2 * last + 1), x))) AS kept_sha256 FROM d LEFT JOIN heads USING (doc_id)
+    """,
 }
