@@ -42,7 +42,7 @@ from screenloom.llm.common import text_or_empty, written
 
 WINDOW = 72  # K-byte strings a window chooses its anchor from; K = length - WINDOW + 1
 BLOCK = 1 << 20  # bytes hashed at once
-SHARD = 1 << 21  # bytes in one suffix array
+SHARD = 1 << 20  # bytes in one suffix array
 CLASS = 4096  # contexts of one anchor class in one shard
 PARTS = 1024  # shards of a class too large for one; a power of two
 HELD = 200_000  # rows of one class held by a task
@@ -66,7 +66,7 @@ class _Rolling:
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         if len(self.up) <= len(data):
-            n = max(len(data), 2 * BLOCK)
+            n = max(len(data), BLOCK)
             self.up = np.cumprod(np.concatenate([[U(1)], np.full(n, U(self.base))]))
             self.down = np.cumprod(np.concatenate([[U(1)], np.full(n, U(pow(self.base, -1, 2**64)))]))
         out = np.zeros(len(data) + 1, dtype=U)
