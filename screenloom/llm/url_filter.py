@@ -91,7 +91,8 @@ def log_ratios(examples: DataFrame) -> DataFrame:
         lower = dense.select(F.col("gram").alias("lower"), F.col("pa").alias("qa"), F.col("pr").alias("qr"))
         cells = spark.range(size).select(F.col("id").cast("int").alias("gram"))
         cells = cells.withColumns({"lower": F.col("gram").bitwiseAND(max(size // SYMBOLS, 1) - 1), "context": F.shiftright("gram", 5)})
-        joined = cells.join(own, "gram", "left").join(seen, "context", "left").join(lower, "lower")
+        # contexts and lower orders number 32**3 at most, whatever the input
+        joined = cells.join(own, "gram", "left").join(F.broadcast(seen), "context", "left").join(F.broadcast(lower), "lower")
         value = {
             f"p{x}": F.when(
                 F.coalesce(f"n{x}", F.lit(0)) > 0,
