@@ -79,6 +79,7 @@ def log_ratios(examples: DataFrame) -> DataFrame:
     counted = examples.groupBy("gram").agg(
         F.count_if(F.col("accepted")).alias("a"), F.count_if(~F.col("accepted")).alias("r")
     )
+    counted = cut_lineage(counted)  # read for every order; 32**4 rows at most
     uniform = 1.0 / SYMBOLS
     dense = spark.range(1).select(F.lit(0).alias("gram"), F.lit(uniform).alias("pa"), F.lit(uniform).alias("pr"))
     for order in range(4):
