@@ -9,6 +9,11 @@ most for radius 2), so it is bounded whatever the data. Instead of all pairs, ea
 the bucket's smallest one; the link is verified, and since variants within floor(r/2) and
 ceil(r/2) meet at distance r at most, such stars join the same components as all pairs would.
 
+Documents that stay. The radius that ball variants can afford links few pairs of texts below a similarity
+of 0.98, so ``near_survivors`` takes its candidates from MinHash bands over the same shingles: members of a
+bucket are paired with four of it at most, whatever its size, and pairs are verified by the Jaccard
+similarity of their shingle sets. Texts count as equal if their 64-bit hashes are.
+
 Defined results. Null text is the empty text; a text without words has fingerprint zero, linked
 like any other. Repeated rows give repeated result rows. An empty table gives an empty result.
 Extra columns are ignored by ``near_groups`` and carried by ``near_survivors``.
@@ -26,11 +31,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenloom.llm.common import cut_lineage, text_or_empty
+from screenloom.llm.common import cut_lineage, text_or_empty, written
 from screenloom.llm.components import components
 
 BLOCK = 1 << 20
 
+#: Bands and permutations in each. A pair of similarity s meets in some bucket with probability 1 - (1 - s**6)**24, 0.9993 at 0.8.
+BANDS, PER_BAND = 24, 6
+_FACTORS, _TERMS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * PER_BAND, 1), dtype=np.uint64)
+_FACTORS |= np.uint64(1)
+_ORDERS = [0, *np.random.default_rng(43).integers(-(1 << 63), 1 << 63, 3).tolist()]
+
 
 def word_blocks(data: bytes, size: int = BLOCK) -> Iterator[list[bytes]]:
     """The words of ``data`` (runs without ASCII white space), some ``size`` bytes at a time."""
@@ -119,11 +130,81 @@ def near_groups(
     )
 
 
+def shingles(text: bytes, width: int, seed: int = 42) -> np.ndarray:
+    """Distinct 64-bit hashes of the word shingles of a UTF-8 text; a text of fewer words is one shingle."""
+    carry: list[bytes] = []
+    found, words = [np.empty(0, dtype=np.uint64)], 0
+    digest = xxhash.xxh64_intdigest
+    for block in word_blocks(text.lower()):
+        words += len(block)
+        block = carry + block
+        found.append(np.array([digest(b" ".join(s), seed) for s in zip(*(block[i:] for i in range(width)), strict=False)], dtype=np.uint64))
+        carry = block[len(block) - min(width - 1, len(block)) :]
+    if 0 < words < width:
+        found.append(np.array([digest(b" ".join(carry), seed)], dtype=np.uint64))
+    return np.unique(np.concatenate(found))
+
+
+def buckets(hashes: np.ndarray) -> list[int]:
+    """One signed long for each band: the hash of the least values of its permutations."""
+    least = np.full(BANDS * PER_BAND, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, (_FACTORS * hashes[at : at + 4096] + _TERMS).min(axis=1), out=least)
+    keys = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, PER_BAND))]
+    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is that high; two empty sets are equal."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def similar_links(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(node, body), equal nodes having equal bodies -> verified links (a, b) between nodes."""
+
+    def banded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = [buckets(shingles(t.as_py(), width)) for t in batch.column("body").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, type=pa.list_(pa.int64()))], names=["node", "buckets"])
+
+    def verified(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            last, first, keep = None, np.empty(0, dtype=np.uint64), []
+            for node, x, y in zip(batch.column("a").to_pylist(), batch.column("a_body").cast(pa.binary()), batch.column("b_body").cast(pa.binary()), strict=True):
+                if node != last:  # rows of one node mostly stand together
+                    last, first = node, shingles(x.as_py(), width)
+                keep.append(alike(first, shingles(y.as_py(), width), similarity))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+
+    rows = cut_lineage(texts.mapInArrow(banded, "node long, buckets array<long>"))
+    rows = rows.select("node", F.explode("buckets").alias("bucket"))
+    # the least nodes in some orders that all buckets share, so that a large group has few partners
+    partners = [F.min(F.col("node").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)) for m in _ORDERS]
+    centre = rows.groupBy("bucket").agg(F.array_distinct(F.array(*partners)).alias("partners"), F.min("node").alias("low"), F.max("node").alias("top"))
+    centre = centre.filter("low <> top").select("bucket", "partners")
+    pairs = rows.join(centre, "bucket").select("node", F.explode("partners").alias("partner")).filter("node <> partner")
+    links = cut_lineage(pairs.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct())
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    bodies = written(texts.dropDuplicates(["node"]).join(ends, "node", "left_semi"))
+    both = links.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("b_body")), "b")
+    both = both.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("a_body")), "a")
+    return both.mapInArrow(verified, "a long, b long")
+
+
 def near_survivors(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """The rows of one document of each group, the one of smallest id; rows repeated under that id go too."""
-    kept = near_groups(docs, id_col, text_col, width, radius).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col(id_col).alias("kept_id")).distinct()
+    """The rows of one document of each group of near copies, the one of smallest id; rows repeated under that id go too.
+
+    Near copies are texts whose sets of word shingles have that Jaccard similarity, and what such pairs join.
+    """
+    body, node = text_or_empty(text_col), F.xxhash64(text_or_empty(text_col))
+    roots = components(similar_links(docs.select(node.alias("node"), body.alias("body")), width, similarity))
+    rows = docs.select(F.col(id_col).alias("id"), node.alias("node"))
+    rooted = rows.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("id").alias("kept_id")).select("kept_id").distinct()
     here = docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
     return here.dropDuplicates([id_col])

@@ -128,3 +128,27 @@ def test_components_of_a_long_path(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components(df).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}
+
+
+def word_sets(text, width=5):
+    w = text.split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def test_near_survivors_at_a_similarity_of_080(spark):
+    rng = random.Random(11)
+    docs = []
+    for n, edits in [(100, 1), (100, 2), (300, 4), (1000, 1), (1000, 8), (1000, 20), (60, 8), (300, 40)] * 15:
+        text = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        docs.append(text)
+        copy = list(text)
+        for i in rng.sample(range(n), edits):
+            copy[i] = f"e{rng.randrange(10**6)}"
+        docs.append(copy)
+    texts = [" ".join(t) for t in docs]
+    sets = list(map(word_sets, texts))
+    near = [i for i in range(1, len(texts), 2) if len(sets[i] & sets[i - 1]) >= 0.8 * len(sets[i] | sets[i - 1])]
+    assert 60 < len(near) < len(texts) // 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in near_survivors(df).collect()}
+    assert got == set(range(len(texts))) - set(near)
