@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenloom.llm.common import cut_lineage, text_or_empty, written
+from screenloom.llm.common import cut_lineage, fresh, text_or_empty, written
 from screenloom.llm.components import components
 
 BLOCK = 1 << 20
@@ -197,14 +197,20 @@ def similar_links(texts: DataFrame, width: int, similarity: float) -> DataFrame:
 def near_survivors(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """The rows of one document of each group of near copies, the one of smallest id; rows repeated under that id go too.
+    """One row of each group of near copies: that of smallest id, then of smallest text hash; a null id comes first.
 
     Near copies are texts whose sets of word shingles have that Jaccard similarity, and what such pairs join.
+    Rows that share an id, null or not, but are no near copies each stay.
     """
-    body, node = text_or_empty(text_col), F.xxhash64(text_or_empty(text_col))
-    roots = components(similar_links(docs.select(node.alias("node"), body.alias("body")), width, similarity))
-    rows = docs.select(F.col(id_col).alias("id"), node.alias("node"))
-    rooted = rows.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("id").alias("kept_id")).select("kept_id").distinct()
-    here = docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
-    return here.dropDuplicates([id_col])
+    node, number = (fresh(docs.columns, x) for x in ("node", "number"))
+    body, text_hash = text_or_empty(text_col), F.xxhash64(text_or_empty(text_col))
+    # the id as one long, since a null-safe key would cost the texts another exchange
+    id_hash = F.xxhash64(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"))
+    roots = components(similar_links(docs.select(text_hash.alias("node"), body.alias("body")), width, similarity))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), id_hash.alias("number"), text_hash.alias("node"))
+    rooted = rows.join(roots, "node", "left").select("id", "number", "node", F.coalesce("root", "node").alias("root"))
+    first = F.min(F.struct(F.col("id").isNotNull(), "id", "node", "number")).alias("first")
+    kept = rooted.groupBy("root").agg(first).select(F.col("first.node").alias(node), F.col("first.number").alias(number))
+    keyed = docs.withColumns({node: text_hash, number: id_hash})
+    here = keyed.join(kept, [node, number], "left_semi").dropDuplicates([node, number])
+    return here.select([F.col(f"`{c}`") for c in docs.columns])

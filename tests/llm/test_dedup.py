@@ -152,3 +152,18 @@ def test_near_survivors_at_a_similarity_of_080(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id for r in near_survivors(df).collect()}
     assert got == set(range(len(texts))) - set(near)
+
+
+def test_near_survivors_keep_different_texts_under_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    long = [[f"w{rng.randrange(10**6)}" for _ in range(200)] for _ in range(8)]
+    texts = [" ".join(t) for t in long]
+    copies = [" ".join([*t[:100], "edited", *t[101:]]) for t in long]
+    docs = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (1, copies[4])]
+    docs += [(None, copies[0]), (2, copies[1]), (7, copies[3]), (9, texts[5]), (8, copies[5]), (3, texts[6]), (7, copies[6])]
+    got = [(r.doc_id, r.text) for r in near_survivors(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    group = {t: i for i in range(8) for t in (texts[i], copies[i])}
+    by_group = {group[t]: (i, t) for i, t in got}
+    assert len(got) == len(by_group) == 7
+    assert {g: i for g, (i, _) in by_group.items()} == {0: None, 1: None, 2: None, 3: 7, 4: 1, 5: 8, 6: 3}
+    assert by_group[1] == (None, texts[1]) and by_group[4] == (1, copies[4])
