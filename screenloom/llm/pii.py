@@ -66,8 +66,11 @@ _SIGN = re.compile(
     r"|(?<=[A-Za-z0-9])[-_](?P<at6>at)[-_](?=[A-Za-z0-9-]{1,64}?[-_]dot[-_])|(?<=[A-Za-z0-9])[-_](?P<dot4>dot)[-_](?=[A-Za-z])"
     r"|(?<=[A-Za-z0-9-])\s{1,3}(?P<dot5>\.)\s{1,3}(?=(?-i:[a-z0-9]))"
 )
-_SIGN_BARE = re.compile(r" (?:at|arobase|arroba) [a-z0-9-]{1,64}\.[a-z0-9]| (?:dot|punkt|punto|point) ")
-_SIGN_SIGNS = ("[", "(", "{", "<", "&#", "&commat", "&period", "%40", " @", "@ ", "-dot-", "_dot_")
+#: Matches in every text that _SIGN matches in, and costs less.
+_SIGN_HINT = re.compile(
+    r"(?i)[\[({<]|&#|&commat|&period|%40|\s@|@\s|\s\.\s|[-_]dot[-_]"
+    r"|\s(?:dot|punkt|punto|point)\s|\s(?:at|arobase|arroba)\s{1,3}[a-z0-9-]{1,64}\."
+)
 #: Words before a bare "at" that make it a preposition, not a sign.
 BEFORE_AT = frozenset("is was are were be been am me us it him her them you look looking available hosted located found and or visit website site page online".split())
 
@@ -193,7 +196,7 @@ def may_spell(text: str) -> bool:
 
 def may_sign(text: str) -> bool:
     """Whether anything that could stand for an at sign or a dot is there at all."""
-    return any(s in text for s in _SIGN_SIGNS) or bool(_SIGN_BARE.search(text.lower()))
+    return _SIGN_HINT.search(text) is not None
 
 
 def disguised_spans(text: str, plain: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:

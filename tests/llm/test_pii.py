@@ -104,3 +104,17 @@ def test_against_brute_force(spark):
         want = ",".join(f"{k}:{s}:{e}" for k in KINDS for s, e in spans[k])
         assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert set(want.split(",")) <= {*got[i].spans.split(","), ""}
+
+
+@pytest.mark.parametrize(
+    "address",
+    [
+        "joe@example . com", "joe  at  example.com", "joe at\nexample.com", "joe\tat example.com", "joe-AT-example-DOT-com", "joe_at_example_Dot_com",
+        "joe@example\tDOT\tcom", "joe@example  dot  com", "joe\n@example.com", "joe@\texample.com", "joe[at]example.com", "joe@example{.}com",
+        "joe&commat;example.com", "joe%40example.com", "joe@example&PERIOD;com", "joe AT example.com",
+    ],
+)
+def test_every_sign_fires_alone(address):
+    for text in (address, f"mail {address} soon"):
+        more = disguised_spans(text, plain_spans(text))
+        assert [text[s:e] for s, e in more["email"]] == [address]
