@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -52,7 +53,8 @@ INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _ODD = re.compile(f"[{''.join(LOOKALIKES)}{INVISIBLE}\uff01-\uff5e\u0660-\u0669\u06f0-\u06f9\u0966-\u096f]")
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _DIGIT = re.compile(rf"(?i:\b(?:{_WORD})\b)|[0-9]+")
-_RUN = re.compile(rf"(?i)\b(?:{_WORD})\b(?:[\s,.-]{{1,3}}(?:(?:{_WORD})\b|[0-9]{{1,4}}\b)){{5,}}")
+_SPELLED = re.compile(rf"(?i)\b(?:{_WORD})\b")
+_BETWEEN = re.compile(r"[\s,.-]{1,3}")
 _LEET = re.compile(r"(?<![A-Za-z])[OIl]?[0-9][0-9OIl]*(?![A-Za-z])")
 _LEET_HINT = re.compile(r"[0-9][OIl]|[OIl][0-9]")
 _PLUS = re.compile(r"(?i)(?:\bplus\b|\+)[\s]{0,3}\Z")
@@ -152,17 +154,33 @@ def undo_lookalikes(text: str) -> list[tuple[int, int, str]]:
 
 
 def undo_spelled_digits(text: str) -> list[tuple[int, int, str]]:
+    """Runs of digits and digit words, of any length and with a word in them, as digits in a row."""
     edits: list[tuple[int, int, str]] = []
-    for run in _RUN.finditer(text):
-        at = run.start()
-        plus = _PLUS.search(text, max(0, at - 8), at)
-        if plus:
-            edits.append((plus.start(), at, "+"))
-        for m in _DIGIT.finditer(text, run.start(), run.end()):
-            if at < m.start():
-                edits.append((at, m.start(), ""))
-            edits.append((m.start(), m.end(), DIGIT_WORDS.get(m[0].lower(), m[0])))
-            at = m.end()
+    run: list[re.Match[str]] = []
+    for m in itertools.chain(_DIGIT.finditer(text), [None]):
+        if run and (m is None or not _BETWEEN.fullmatch(text, run[-1].end(), m.start())):
+            if not all(x[0].isdecimal() for x in run):
+                edits += _joined(text, run)
+            run = []
+        if m is not None:
+            run.append(m)
+    return edits
+
+
+def _joined(text: str, run: list[re.Match[str]]) -> list[tuple[int, int, str]]:
+    edits: list[tuple[int, int, str]] = []
+    at = run[0].start()
+    plus = _PLUS.search(text, max(0, at - 8), at)
+    if plus:
+        edits.append((plus.start(), at, "+"))
+    new = [DIGIT_WORDS.get(m[0].lower(), m[0]) for m in run]
+    octets = sum(map(len, new)) <= 12  # then single dots may be those of an IP
+    for m, digits in zip(run, new, strict=True):
+        if at < m.start() and not (octets and text[at : m.start()] == "."):
+            edits.append((at, m.start(), ""))
+        if digits != m[0]:
+            edits.append((m.start(), m.end(), digits))
+        at = m.end()
     return edits
 
 
@@ -182,16 +200,8 @@ def undo_signs(text: str) -> list[tuple[int, int, str]]:
 
 
 def may_spell(text: str) -> bool:
-    """Whether four spelled digits stand in a row; only then the run pattern is tried."""
-    words = text.lower().replace("-", " ").replace(",", " ").replace(".", " ").split()
-    if DIGIT_WORDS.keys().isdisjoint(words):
-        return False
-    row = 0
-    for word in words:
-        row = row + 1 if word in DIGIT_WORDS else row if word.isdigit() else 0
-        if row == 4:
-            return True
-    return False
+    """Whether any digit word is there."""
+    return _SPELLED.search(text) is not None
 
 
 def may_sign(text: str) -> bool:

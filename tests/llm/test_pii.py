@@ -118,3 +118,17 @@ def test_every_sign_fires_alone(address):
     for text in (address, f"mail {address} soon"):
         more = disguised_spans(text, plain_spans(text))
         assert [text[s:e] for s, e in more["email"]] == [address]
+
+
+@pytest.mark.parametrize(
+    ("found", "kind"),
+    [
+        ("one nine two dot one six eight dot zero dot one", "ip"), ("192 dot 168 dot zero dot one", "ip"), ("192.168.zero.one", "ip"),
+        ("192.168.0 dot one", "ip"), ("+49 151 two three four 5678 90", "phone"), ("plus 49 one five one 234 5678", "phone"),
+        ("4111 one one one one 1111 1111", "card"), ("4111.one one one one.1111.1111", "card"), ("four one one one 1111 1111 1111", "card"),
+    ],
+)
+def test_digits_spelled_in_part(found, kind):
+    text = f"it is ({found}) here"
+    more = disguised_spans(text, plain_spans(text))
+    assert [text[s:e] for s, e in more[kind]] == [found]
