@@ -163,3 +163,15 @@ def test_pack_documents(spark, per_partition):
 def test_pack_edges(edge_docs, no_docs):
     check_packing(edge_docs, pack_documents(edge_docs, TOKENIZER).collect(), 2048)
     assert pack_documents(no_docs, TOKENIZER).count() == 0
+
+
+def test_added_tokens_in_texts_are_read_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "a <|endoftext| > b"]
+    library = Tokenizer.from_file(TOKENIZER)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in pack_documents(df, TOKENIZER).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
