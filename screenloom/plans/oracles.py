@@ -265,15 +265,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT q.key, o.gene, CASE WHEN o.key IS NULL THEN 'missing' WHEN o.gene IS NULL THEN 'ambiguous' ELSE ['ensembl', 'symbol', 'synonym'][o.step + 1] END AS how
         FROM q LEFT JOIN o USING (key)""",
     "nearest_dose": """WITH j AS (SELECT p_partkey AS drug, p_size::DOUBLE AS query_dose, l_quantity AS dose, l_extendedprice AS value, abs(log10(l_quantity / p_size::DOUBLE)) AS d
-            FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_partkey % 5 = 0),
+            FROM part JOIN lineitem ON l_partkey = p_partkey),
         n AS (SELECT *, min(d) OVER (PARTITION BY drug, query_dose) AS m FROM j), k AS (SELECT *, min(dose) OVER (PARTITION BY drug, query_dose) AS low FROM n WHERE d <= m + 1e-10)
         SELECT drug, round(query_dose, 6) AS query_dose, round(dose, 6) AS dose, round(value, 6) AS value FROM k WHERE abs(dose - low) <= 1e-8 * low""",
     "nearest_signature": """WITH j AS (SELECT p_partkey AS drug, p_size::DOUBLE AS dose, l_returnflag AS cell, l_extendedprice AS value,
             abs(log10(l_quantity * CASE WHEN l_linenumber % 2 = 0 THEN 1.0::DOUBLE ELSE 1e-3::DOUBLE END / p_size::DOUBLE)) + abs(log2(l_linenumber * 6.0::DOUBLE / 24)) AS d
-            FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_partkey % 5 = 0 AND l_linenumber <> 7),
+            FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_linenumber <> 7),
         n AS (SELECT *, min(d) OVER (PARTITION BY drug, dose, cell) AS m FROM j)
         SELECT drug, round(dose, 6) AS dose, cell, round(median(value), 6) AS value FROM n WHERE d <= m + 1e-10 GROUP BY ALL""",
-    "prefer_redo": """WITH r AS (SELECT l_partkey AS drug, l_linenumber AS dose, l_returnflag AS cell, l_suppkey % 4 = 0 AS redo, l_quantity AS value FROM lineitem WHERE l_partkey % 3 = 0),
+    "prefer_redo": """WITH r AS (SELECT l_partkey AS drug, l_linenumber AS dose, l_returnflag AS cell, l_suppkey % 4 = 0 AS redo, l_quantity AS value FROM lineitem),
         h AS (SELECT *, bool_or(redo) OVER (PARTITION BY drug, dose, cell) AS any_redo FROM r)
         SELECT drug, dose, cell, round(median(value), 6) AS value FROM h WHERE redo OR NOT any_redo GROUP BY ALL""",
     "compound_cascade": """WITH d AS (SELECT p_partkey AS drug, 'K' || (p_partkey % 40) AS k, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS nk FROM part),

@@ -472,7 +472,7 @@ def gene_cascade(s: SparkSession, d: str) -> DataFrame:
 @query
 def nearest_dose(s: SparkSession, d: str) -> DataFrame:
     parts, items = screen.load(s, d, "part"), screen.load(s, d, "lineitem")
-    queries = parts.filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("drug"), F.col("p_size").cast("double").alias("dose"))
+    queries = parts.select(F.col("p_partkey").alias("drug"), F.col("p_size").cast("double").alias("dose"))
     measured = items.select(F.col("l_partkey").alias("drug"), F.col("l_quantity").alias("dose"), F.col("l_extendedprice").alias("value"))
     return rounded(K.nearest_dose(queries, measured), "dose", "query_dose", "value")
 
@@ -480,7 +480,7 @@ def nearest_dose(s: SparkSession, d: str) -> DataFrame:
 @query
 def nearest_signature(s: SparkSession, d: str) -> DataFrame:
     parts, items = screen.load(s, d, "part"), screen.load(s, d, "lineitem")
-    queries = parts.filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("drug"), F.col("p_size").cast("double").alias("dose"))
+    queries = parts.select(F.col("p_partkey").alias("drug"), F.col("p_size").cast("double").alias("dose"))
     unit = F.when(F.col("l_linenumber") % 2 == 0, "uM").otherwise("nM")
     value = F.when(F.col("l_linenumber") == 7, -666.0).otherwise(F.col("l_extendedprice"))
     rows = items.select(F.col("l_partkey").alias("drug"), F.col("l_returnflag").alias("cell"), F.col("l_quantity").alias("pert_dose"), unit.alias("dose_unit"), (F.col("l_linenumber") * 6.0).alias("hours"), value.alias("value"))
@@ -489,8 +489,7 @@ def nearest_signature(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def prefer_redo(s: SparkSession, d: str) -> DataFrame:
-    items = screen.load(s, d, "lineitem").filter("l_partkey % 3 = 0")
-    rows = items.select(
+    rows = screen.load(s, d, "lineitem").select(
         F.col("l_partkey").alias("drug"), F.col("l_linenumber").alias("dose"), F.col("l_returnflag").alias("cell"),
         F.when(F.col("l_suppkey") % 4 == 0, "MTS010").otherwise("MTS005").alias("screen"), F.col("l_quantity").alias("value"),
     )

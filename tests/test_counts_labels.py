@@ -1,6 +1,7 @@
-"""Hand-computed cases for counts, labels and the rank-sum."""
+"""Counts, labels and the rank-sum against plain versions on random screens."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,61 +10,92 @@ from screenloom.operators import counts as C
 from screenloom.operators import labels as L
 from screenloom.operators.ranksum import adjusted, differential_expression
 
-OWN = [("G0", [0, 0, 1, 5]), ("G1", [3, 3]), ("G2", [1, 1]), ("NOPE", [2, 2]), ("G3", [0, 0, 7])]
-GENES = ["G0", "G1", "G2", "G3", "H0"]
-
-
-def knockdown_case(spark, second_context=False):
-    rows = [("non-targeting", [10, 10, 0, 8, 2])] * 4
-    for pert, values in OWN:
-        rows += [(pert, [v if g == pert else 2 for g in GENES]) for v in values]
-    cells = [(i, "c1", p, v) for i, (p, v) in enumerate(rows)]
-    if second_context:
-        cells += [(100 + i, "c2", p, [1, 10, 0, 8, 2] if p == "non-targeting" else v) for i, (p, v) in enumerate(rows)]
-    c = spark.createDataFrame([(i, x, p) for i, x, p, _ in cells], "cell_id long, context string, pert string")
-    k = spark.createDataFrame([(i, g, float(n)) for i, _, _, v in cells for g, n in zip(GENES, v, strict=True) if n], "cell_id long, gene string, value float")
+def random_screen(seed, n=150):
+    """Cells of three contexts with small random counts: [(cell, context, pert)] and {(cell, gene): count}."""
+    rng = random.Random(seed)
+    genes = [f"gene{i}" for i in range(6)]
+    perts = ["gene0", "gene1", "gene4", "gene5", "elsewhere", C.CONTROL]
+    cells = [(i, rng.choice(["left", "right", "far"]), rng.choice(perts)) for i in range(n)]
+    values = {}
+    for i, _, pert in cells:
+        for k, g in enumerate(genes):
+            high = 2 if g == pert else 7 - k
+            if count := rng.randint(0, high) if g != "gene5" or pert != C.CONTROL else 0:
+                values[i, g] = count
+    return cells, values
+
+
+def as_tables(spark, cells, values):
+    c = spark.createDataFrame(cells, "cell_id long, context string, pert string")
+    k = spark.createDataFrame([(i, g, float(v)) for (i, g), v in values.items()], "cell_id long, gene string, value float")
     return c, k
 
 
-@pytest.mark.parametrize(
-    ("kwargs", "kept"),
-    [
-        ({"residual": 0.30, "cell_residual": 0.50, "min_cells": 3}, [0, 1, 2, 3, 4, 5, 6]),
-        ({"residual": 0.30, "cell_residual": 0.50, "min_cells": 2}, [0, 1, 2, 3, 4, 5, 6, 14, 15]),
-        ({"residual": 0.31, "cell_residual": 0.50, "min_cells": 2}, [0, 1, 2, 3, 4, 5, 6, 8, 9, 14, 15]),
-        ({"residual": 0.30, "cell_residual": 0.51, "min_cells": 3}, [0, 1, 2, 3, 4, 5, 6, 7]),
-        ({"residual": 100, "cell_residual": 100, "min_cells": 1}, [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 14, 15, 16]),
-    ],
-)
-def test_knockdown_thresholds(spark, kwargs, kept):
-    cells, counts = knockdown_case(spark)
-    got = [r.cell_id for r in C.knockdown_marks(cells, counts, **kwargs).filter("keep").orderBy("cell_id").collect()]
-    assert got == kept
-
-
-def test_knockdown_by_context(spark):
-    cells, counts = knockdown_case(spark, second_context=True)
-    marks = C.knockdown_marks(cells, counts, min_cells=3)
-    assert [r.cell_id for r in marks.filter("keep").orderBy("cell_id").collect()] == [0, 1, 2, 3, 4, 5, 6, 100, 101, 102, 103]
-    stats = {r.context: tuple(r)[1:] for r in C.knockdown_stats(marks).collect()}
-    assert stats == {"c1": (17, 7, 4, 5, 1, 4), "c2": (17, 4, 4, 5, 0, 5)}
-    assert C.knockdown_dropped(marks).count() == 9
-
-
-def test_unmatched_targets_keep_controls_only(spark):
-    cells, counts = knockdown_case(spark)
-    marks = C.knockdown_marks(cells, counts, residual=100, cell_residual=100, min_cells=1, genes=spark.createDataFrame([("other",)], "gene string"))
-    assert sorted(r.cell_id for r in marks.filter("keep").collect()) == [0, 1, 2, 3]
+def plain_marks(cells, values, residual, cell_residual, min_cells, genes):
+    """The three stages, group by group."""
+    kept = {i for i, _, p in cells if p == C.CONTROL}
+    for context, pert in {(x, p) for _, x, p in cells if p != C.CONTROL}:
+        controls = [i for i, x, p in cells if (x, p) == (context, C.CONTROL)]
+        own = {i: values.get((i, pert), 0) for i, x, p in cells if (x, p) == (context, pert)}
+        base = sum(values.get((i, pert), 0) for i in controls) / len(controls) if controls else 0
+        if pert not in genes or base <= 1e-8 or sum(own.values()) / len(own) / base >= residual:
+            continue
+        low = {i for i, v in own.items() if v / base < cell_residual}
+        kept |= low if len(low) >= min_cells else set()
+    return kept
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("kwargs", [{"residual": 0.35, "cell_residual": 0.5, "min_cells": 2}, {"residual": 0.6, "cell_residual": 0.4, "min_cells": 4}, {"residual": 50.0, "cell_residual": 50.0, "min_cells": 1}])
+def test_knockdown_stages(spark, seed, kwargs):
+    cells, values = random_screen(seed)
+    marks = C.knockdown_marks(*as_tables(spark, cells, values), **kwargs)
+    kept = plain_marks(cells, values, genes={g for _, g in values}, **kwargs)
+    assert {r.cell_id for r in marks.filter("keep").collect()} == kept
+    for r in C.knockdown_stats(marks).collect():
+        own = [(i, p) for i, x, p in cells if x == r.context]
+        perts, left = {p for _, p in own if p != C.CONTROL}, {p for i, p in own if p != C.CONTROL and i in kept}
+        assert (r.cells_in, r.cells_out, r.control_cells) == (len(own), sum(i in kept for i, _ in own), sum(p == C.CONTROL for _, p in own))
+        assert (r.perts_in, r.perts_out, r.perts_dropped) == (len(perts), len(left), len(perts - left))
+    groups = {(x, p) for _, x, p in cells}
+    assert {tuple(r) for r in C.knockdown_dropped(marks).collect()} == groups - {(x, p) for i, x, p in cells if i in kept}
+
+
+def test_knockdown_thresholds_are_strict(spark):
+    """A mean or a value exactly at its threshold does not pass; a count of cells exactly at its own does."""
+    cells = [(0, "x", C.CONTROL), (1, "x", C.CONTROL), (2, "x", "a"), (3, "x", "a"), (4, "x", "b"), (5, "x", "b")]
+    values = {(0, "a"): 12, (1, "a"): 4, (2, "a"): 1, (3, "a"): 3, (0, "b"): 16, (5, "b"): 4}
+    tables = as_tables(spark, cells, values)
+
+    def kept(residual, cell_residual, min_cells):
+        marks = C.knockdown_marks(*tables, residual=residual, cell_residual=cell_residual, min_cells=min_cells)
+        return {r.cell_id for r in marks.filter("keep").collect()} - {0, 1}
+
+    assert kept(0.25, 1.0, 1) == set()  # the mean of a is 2 of 8, that of b 2 of 8
+    assert kept(0.26, 1.0, 2) == {2, 3, 4, 5}
+    assert kept(0.26, 0.375, 1) == {2, 4}  # 3 of 8, 4 of 8
+    assert kept(0.26, 0.376, 2) == {2, 3}
+
+
+def test_targets_off_the_gene_list_keep_controls_only(spark):
+    cells, values = random_screen(7)
+    other = spark.createDataFrame([("nowhere",)], "gene string")
+    marks = C.knockdown_marks(*as_tables(spark, cells, values), residual=50, cell_residual=50, min_cells=1, genes=other)
+    assert {r.cell_id for r in marks.filter("keep").collect()} == {i for i, _, p in cells if p == C.CONTROL}
 
 
 def test_normalize(spark):
-    rows = [(0, "a", 1.0), (0, "b", 3.0), (1, "a", 2.0), (1, "b", 6.0), (2, "c", 4.0)]
-    counts = spark.createDataFrame(rows, "cell_id long, gene string, value float")
-    got = {(r.cell_id, r.gene): r.value for r in C.normalize_log1p(counts, 4.0).collect()}
-    want = {(0, "a"): 1, (0, "b"): 3, (1, "a"): 1, (1, "b"): 3, (2, "c"): 4}
-    assert all(got[k] == pytest.approx(math.log1p(v), rel=1e-6) for k, v in want.items())
-    assert C.denormalized(C.normalize_log1p(counts, 4.0), 4.0).count() == 0
-    assert C.denormalized(counts, 4.0).count() == 3
+    _, values = random_screen(3, 40)
+    counts = spark.createDataFrame([(i, g, float(v)) for (i, g), v in values.items()], "cell_id long, gene string, value float")
+    totals = {}
+    for (i, _), v in values.items():
+        totals[i] = totals.get(i, 0) + v
+    done = C.normalize_log1p(counts, 50.0)
+    got = {(r.cell_id, r.gene): r.value for r in done.collect()}
+    assert got.keys() == values.keys()
+    assert all(got[k] == pytest.approx(math.log1p(v * 50 / totals[k[0]]), rel=1e-5) for k, v in values.items())
+    assert C.denormalized(done, 50.0).count() == 0
+    assert C.denormalized(counts, 50.0).count() == len(totals)
 
 
 def test_checks(spark):
@@ -74,22 +106,22 @@ def test_checks(spark):
     assert tuple(C.stored_counts(counts).first()) == (3, 2)
 
 
-SCREEN = [
-    ("ctxa", "non-targeting", [1, 2, 3, 4]), ("ctxa", "non-targeting", [3, 4, 5, 6]), ("ctxa", "P1", [5, 5, 5, 5]), ("ctxa", "P2", [2, 2, 2, 2]),
-    ("ctxa", "P2", [4, 4, 4, 4]), ("ctxb", "non-targeting", [0, 1, 0, 1]), ("ctxb", "P1", [1, 1, 1, 1]), ("ctxb", "P9", [9, 9, 9, 9]),
-]
-AXIS = ["G3", "G1", "G2", "G4"]
+def test_pseudobulk_delta(spark):
+    cells, values = random_screen(11)
+    tables = as_tables(spark, cells, values)
 
+    def mean(context, pert, gene):
+        own = [i for i, x, p in cells if (x, p) == (context, pert)]
+        return sum(values.get((i, gene), 0) for i in own) / len(own)
 
-def test_pseudobulk_delta(spark):
-    cells = spark.createDataFrame([(i, c, p) for i, (c, p, _) in enumerate(SCREEN)], "cell_id long, context string, pert string")
-    counts = spark.createDataFrame([(i, g, float(n)) for i, (_, _, v) in enumerate(SCREEN) for g, n in zip(AXIS, v, strict=True) if n], "cell_id long, gene string, value float")
-    got = {(r.context, r.pert, r.gene): r.delta for r in C.pseudobulk_delta(cells, counts).collect()}
-    want = {("ctxa", "P1"): [3, 2, 1], ("ctxa", "P2"): [1, 0, -1], ("ctxb", "P1"): [1, 0, 1]}
-    for (c, p), deltas in want.items():
-        assert [got[c, p, g] for g in AXIS[:3]] == deltas
-    means = {(r.context, r.gene): r.value for r in C.control_means(cells, counts).collect()}
-    assert [means.get(("ctxa", g), 0) for g in AXIS[:3]] == [2, 3, 4] and [means.get(("ctxb", g), 0) for g in AXIS[:3]] == [0, 1, 0]
+    genes = {(x, g) for i, x, _ in cells for j, g in values if i == j}
+    wanted = {(x, p, g) for _, x, p in cells if p != C.CONTROL for y, g in genes if x == y}
+    got = {(r.context, r.pert, r.gene): r for r in C.pseudobulk_delta(*tables).collect()}
+    assert got.keys() == wanted
+    for (x, p, g), r in got.items():
+        assert r.delta == pytest.approx(mean(x, p, g) - mean(x, C.CONTROL, g))
+    means = {(r.context, r.gene): r.value for r in C.control_means(*tables).collect()}
+    assert all(means.get(k, 0) == pytest.approx(mean(k[0], C.CONTROL, k[1])) for k in genes)
 
 
 def test_context_without_controls(spark):
@@ -99,18 +131,22 @@ def test_context_without_controls(spark):
 
 
 def test_label_arrays(spark):
-    rows = [("A", "P2", "G1", 0.01, 2.0), ("A", "P2", "G2", 0.5, 0.5), ("A", "P1", "G3", 0.02, 4.0), ("A", "P1", "GX", 0.01, 8.0), ("B", "P1", "G1", 0.2, 1.0)]
-    labels = L.normalize_labels(spark.createDataFrame(rows, "context string, pert string, gene string, fdr double, fold_change double"), lower=True, context_map={"a": "ctxa", "b": "ctxb"})
-    matrix = spark.createDataFrame([(g, 0, i) for i, g in enumerate(AXIS)], "gene string, file_ord int, pos int")
-    axis = L.gene_axis(matrix, labels)
-    assert [r.gene for r in axis.orderBy("pos").collect()] == ["G3", "G1", "G2"]
-    got = {}
-    for r in L.label_arrays(labels, axis).collect():
-        got.setdefault((r.context, r.pert), {})[r.gene] = (r.fold_change, round(r.fdr, 5), r.tested, r.lfc)
-    order = ["G3", "G1", "G2"]
-    assert {k: [v[g][0] for g in order] for k, v in got.items()} == {("ctxa", "P1"): [4, 0, 0], ("ctxa", "P2"): [0, 2, 0.5], ("ctxb", "P1"): [0, 1, 0]}
-    assert {k: [v[g][1] for g in order] for k, v in got.items()} == {("ctxa", "P1"): [0.02, 1, 1], ("ctxa", "P2"): [1, 0.01, 0.5], ("ctxb", "P1"): [1, 0.2, 1]}
-    assert [got["ctxa", "P2"][g][3] for g in order] == [None, 1, -1]
+    rng = random.Random(21)
+    names = [f"n{i}" for i in range(9)]
+    rows = [(x, p, g, rng.randint(1, 99) / 100, 2.0 ** rng.randint(-3, 3)) for x in ("One", "TWO") for p in ("u", "v", "w") for g in rng.sample(names, 3)]
+    labels = spark.createDataFrame(rows, "context string, pert string, gene string, fdr double, fold_change double")
+    labels = L.normalize_labels(labels, lower=True, context_map={"one": "c1", "two": "c2"})
+    listed = rng.sample(names[:7], 7)
+    axis = L.gene_axis(spark.createDataFrame([(g, 0, i) for i, g in enumerate(listed)], "gene string, file_ord int, pos int"), labels)
+    order = [g for g in listed if g in {r[2] for r in rows}]
+    assert [r.gene for r in axis.orderBy("pos").collect()] == order
+    known = {({"One": "c1", "TWO": "c2"}[x], p, g): (q, fc) for x, p, g, q, fc in rows if g in order}
+    got = {(r.context, r.pert, r.gene): r for r in L.label_arrays(labels, axis).collect()}
+    assert got.keys() == {(x, p, g) for x, p, _ in known for g in order}
+    for key, r in got.items():
+        q, fc = known.get(key, (1.0, 0.0))
+        assert (r.tested, r.fold_change, r.lfc) == (key in known, fc, math.log2(fc) if key in known else None)
+        assert r.fdr == pytest.approx(q, rel=1e-6)
 
 
 def test_unmapped_context_is_an_error(spark):
@@ -160,8 +196,6 @@ def test_column_roles(spark):
 
 
 def test_ranksum_against_pairs(spark):
-    import random
-
     rng = random.Random(4)
     cells = [(i, "c", "non-targeting" if i < 9 else "P") for i in range(15)]
     values = {(i, g): rng.choice([0, 0, 1, 2, 3]) for i in range(15) for g in ("a", "b")} | {(i, "z"): 5 for i in range(15)}
