@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenloom.llm.common import text_or_empty
+from screenloom.llm.common import map_batches, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 
 #: The base patterns.
 AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match can't begin inside a run of digits; so each run is read a few times, not once per digit
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: Digits as words in English, German, French and Spanish.
@@ -53,7 +53,7 @@ INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _ODD = re.compile(f"[{''.join(LOOKALIKES)}{INVISIBLE}\uff01-\uff5e\u0660-\u0669\u06f0-\u06f9\u0966-\u096f]")
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _DIGIT = re.compile(rf"(?i:\b(?:{_WORD})\b)|[0-9]+")
-_SPELLED = re.compile(rf"(?i)\b(?:{_WORD})\b")
+_SPELLED = re.compile(rf"\b(?:{_WORD}|plus)\b")  # of lower-cased text
 _BETWEEN = re.compile(r"[\s,.-]{1,3}")
 _LEET = re.compile(r"(?<![A-Za-z])[OIl]?[0-9][0-9OIl]*(?![A-Za-z])")
 _LEET_HINT = re.compile(r"[0-9][OIl]|[OIl][0-9]")
@@ -102,9 +102,15 @@ def _digits(text: str) -> str:
     return re.sub("[^0-9]", "", text)
 
 
+def _octet(part: str) -> bool:
+    """Whether the number, however long, is 255 at most."""
+    value = part.lstrip("0")
+    return len(value) < 3 or (len(value) == 3 and value <= "255")
+
+
 def plain_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """The base spans of each kind."""
-    ips = [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    ips = [m.span() for m in IP.finditer(text) if all(_octet(p) for p in m[0].split("."))]
     cards = [m.span() for m in CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     phones = [m.span() for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15] if "+" in text else []
     return {"email": emails(text), "ip": ips, "card": cards, "phone": phones}
@@ -161,17 +167,23 @@ def undo_spelled_digits(text: str) -> list[tuple[int, int, str]]:
         if run and (m is None or not _BETWEEN.fullmatch(text, run[-1].end(), m.start())):
             if not all(x[0].isdecimal() for x in run):
                 edits += _joined(text, run)
+            elif (plus := _plus(text, run[0].start())) and plus[0] != "+":  # spelled before written digits
+                edits.append((plus.start(), run[0].start(), "+"))
             run = []
         if m is not None:
             run.append(m)
     return edits
 
 
+def _plus(text: str, at: int) -> re.Match[str] | None:
+    """A plus, sign or word, just before ``at``."""
+    return _PLUS.search(text, max(0, at - 8), at)
+
+
 def _joined(text: str, run: list[re.Match[str]]) -> list[tuple[int, int, str]]:
     edits: list[tuple[int, int, str]] = []
     at = run[0].start()
-    plus = _PLUS.search(text, max(0, at - 8), at)
-    if plus:
+    if plus := _plus(text, at):
         edits.append((plus.start(), at, "+"))
     new = [DIGIT_WORDS.get(m[0].lower(), m[0]) for m in run]
     octets = sum(map(len, new)) <= 12  # then single dots may be those of an IP
@@ -200,8 +212,8 @@ def undo_signs(text: str) -> list[tuple[int, int, str]]:
 
 
 def may_spell(text: str) -> bool:
-    """Whether any digit word is there."""
-    return _SPELLED.search(text) is not None
+    """Whether any digit word, or a plus in letters, is there."""
+    return _SPELLED.search(text.lower()) is not None
 
 
 def may_sign(text: str) -> bool:
@@ -227,15 +239,16 @@ def disguised_spans(text: str, plain: dict[str, list[tuple[int, int]]]) -> dict[
     if not layers:
         return added
     for kind, spans in plain_spans(now).items():
-        taken = list(plain[kind])
+        taken = sorted(plain[kind])
         for start, end in spans:
             new = False
             for layer in reversed(layers):
                 start, end, hit = layer.back(start, end)
                 new |= hit
-            if new and all(end <= s or e <= start for s, e in taken):
+            at = bisect.bisect(taken, (start, end))
+            if new and (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
                 added[kind].append((start, end))
-                taken.append((start, end))
+                taken.insert(at, (start, end))
     return added
 
 
@@ -270,4 +283,4 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             T.StructField("n_disguised", T.LongType()),
         ]
     )
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body")).mapInArrow(search, schema)
+    return map_batches(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body")), search, schema)
