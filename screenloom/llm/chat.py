@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenloom.llm.common import map_batches
+
 ESC = "\x1b"
 START, SEP, END = "<|start|>", "<|sep|>", "<|end|>"
 #: Control strings that must not be read as such when they stand in a text.
@@ -208,4 +210,4 @@ def format_chats(records: DataFrame, id_col: str = "conv_id", loss_roles: Sequen
     schema += ", formatted string, loss_spans array<long>" if with_text else ""
     role, text = F.get_json_object("record", "$.role"), F.get_json_object("record", "$.text")
     told = records.select("conv", "turn", "record").repartition("conv").sortWithinPartitions("conv", "turn", F.coalesce(role, F.lit("")), F.coalesce(text, F.lit("")))
-    return told.mapInArrow(stream, schema)
+    return map_batches(told, stream, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenloom.llm.common import cut_lineage, text_or_empty
+from screenloom.llm.common import cut_lineage, map_batches, text_or_empty
 
 PER_PARTITION = 50_000
 ROUNDS = 4
@@ -107,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int, closing: int, id
             *(T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32")),
         ]
     )
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body")).mapInArrow(tokenise, schema)
+    return map_batches(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body")), tokenise, schema)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:

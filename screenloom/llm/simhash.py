@@ -10,9 +10,10 @@ the bucket's smallest one; the link is verified, and since variants within floor
 ceil(r/2) meet at distance r at most, such stars join the same components as all pairs would.
 
 Documents that stay. The radius that ball variants can afford links few pairs of texts below a similarity
-of 0.98, so ``near_survivors`` takes its candidates from MinHash bands over the same shingles: members of a
-bucket are paired with four of it at most, whatever its size, and pairs are verified by the Jaccard
-similarity of their shingle sets. Texts count as equal if their 64-bit hashes are.
+of 0.98, so ``near_survivors`` takes its candidates from MinHash bands over the same shingles. Members of a
+bucket are first paired with four of it; where that leaves several components in one bucket, their members
+are paired across, crowds by further bands. Pairs are verified by the Jaccard similarity of their shingle sets, or by
+their sketches alone where these lie ``SIGMAS`` deviations off the threshold. Texts count as equal if their 64-bit hashes are.
 
 Defined results. Null text is the empty text; a text without words has fingerprint zero, linked
 like any other. Repeated rows give repeated result rows. An empty table gives an empty result.
@@ -21,6 +22,7 @@ Extra columns are ignored by ``near_groups`` and carried by ``near_survivors``.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenloom.llm.common import cut_lineage, fresh, text_or_empty, written
+from screenloom.llm.common import cut_lineage, fresh, map_batches, text_or_empty, written
 from screenloom.llm.components import components
 
 BLOCK = 1 << 20
@@ -40,6 +42,10 @@ BLOCK = 1 << 20
 BANDS, PER_BAND = 24, 6
 _FACTORS, _TERMS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * PER_BAND, 1), dtype=np.uint64)
 _FACTORS |= np.uint64(1)
+#: Deviations of a sketch's estimate beyond which it decides alone: at 4.5, some 3 of a million pairs at the threshold are told wrong.
+SIGMAS = 4.5
+#: Components that are paired with each other in one bucket.
+CROWD = 16
 _ORDERS = [0, *np.random.default_rng(43).integers(-(1 << 63), 1 << 63, 3).tolist()]
 
 
@@ -84,7 +90,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return rows.mapInArrow(batches, schema)
+    return map_batches(rows, batches, schema)
 
 
 def masks(bits: int) -> list[int]:
@@ -145,11 +151,16 @@ def shingles(text: bytes, width: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def buckets(hashes: np.ndarray) -> list[int]:
-    """One signed long for each band: the hash of the least values of its permutations."""
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The least value of each permutation over a set of shingle hashes."""
     least = np.full(BANDS * PER_BAND, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), 4096):
         np.minimum(least, (_FACTORS * hashes[at : at + 4096] + _TERMS).min(axis=1), out=least)
+    return least
+
+
+def buckets(least: np.ndarray) -> list[int]:
+    """One signed long for each band of a sketch."""
     keys = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, PER_BAND))]
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
@@ -162,36 +173,112 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def similar_links(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(node, body), equal nodes having equal bodies -> verified links (a, b) between nodes."""
+def _sketched(texts: DataFrame, width: int) -> DataFrame:
+    """(node, sketch of 4 bytes a permutation, buckets) of (node, body)."""
+
+    def mark(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            least = [sketch(shingles(t.as_py(), width)) for t in batch.column("body").cast(pa.binary())]
+            short = [((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32).tobytes() for x in least]
+            columns = [batch.column("node"), pa.array(short, type=pa.binary()), pa.array([buckets(x) for x in least], type=pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "sketch", "buckets"])
+
+    return written(map_batches(texts, mark, "node long, sketch binary, buckets array<long>"))
+
+
+def _shares(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """(a, b) -> (a, b, share): the share of permutations on which the sketches agree, which estimates their similarity."""
 
-    def banded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = [buckets(shingles(t.as_py(), width)) for t in batch.column("body").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, type=pa.list_(pa.int64()))], names=["node", "buckets"])
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(-1, BANDS * PER_BAND) for c in ("x", "y"))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x == y).mean(axis=1))], names=["a", "b", "share"])
+
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    known = marked.select("node", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    both = pairs.join(known.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+    both = both.join(known.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
+    return cut_lineage(map_batches(both, compare, "a long, b long, share double"))
+
+
+def _verified(pairs: DataFrame, marked: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of that Jaccard similarity: by their sketches where these leave no doubt, else by their shingle sets."""
 
-    def verified(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             last, first, keep = None, np.empty(0, dtype=np.uint64), []
-            for node, x, y in zip(batch.column("a").to_pylist(), batch.column("a_body").cast(pa.binary()), batch.column("b_body").cast(pa.binary()), strict=True):
+            for node, x, y in zip(batch.column("a").to_pylist(), batch.column("x").cast(pa.binary()), batch.column("y").cast(pa.binary()), strict=True):
                 if node != last:  # rows of one node mostly stand together
                     last, first = node, shingles(x.as_py(), width)
                 keep.append(alike(first, shingles(y.as_py(), width), similarity))
             yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-    rows = cut_lineage(texts.mapInArrow(banded, "node long, buckets array<long>"))
-    rows = rows.select("node", F.explode("buckets").alias("bucket"))
-    # the least nodes in some orders that all buckets share, so that a large group has few partners
-    partners = [F.min(F.col("node").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)) for m in _ORDERS]
-    centre = rows.groupBy("bucket").agg(F.array_distinct(F.array(*partners)).alias("partners"), F.min("node").alias("low"), F.max("node").alias("top"))
+    shares = _shares(pairs, marked)
+    doubt = SIGMAS * (similarity * (1 - similarity) / (BANDS * PER_BAND)) ** 0.5
+    high = similarity + doubt
+    unsure = shares.filter((F.col("share") >= similarity - doubt) & (F.col("share") < high)).select("a", "b")
+    ends = unsure.select(F.col("a").alias("node")).unionByName(unsure.select(F.col("b").alias("node"))).distinct()
+    bodies = written(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]))
+    both = unsure.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
+    both = both.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
+    sure = shares.filter(F.col("share") >= high).select("a", "b")
+    return cut_lineage(sure.unionByName(map_batches(both, verify, "a long, b long")))
+
+
+def _partners() -> list[Column]:
+    """The least node in some orders, the same ones everywhere."""
+    return [F.min(F.col("node").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)) for m in _ORDERS]
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
+
+
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """(node, bucket) -> pairs (a, b) of every member of a bucket with the bucket's least nodes in four orders."""
+    centre = rows.groupBy("bucket").agg(F.array_distinct(F.array(*_partners())).alias("partners"), F.min("node").alias("low"), F.max("node").alias("top"))
     centre = centre.filter("low <> top").select("bucket", "partners")
-    pairs = rows.join(centre, "bucket").select("node", F.explode("partners").alias("partner")).filter("node <> partner")
-    links = cut_lineage(pairs.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct())
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    bodies = written(texts.dropDuplicates(["node"]).join(ends, "node", "left_semi"))
-    both = links.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("b_body")), "b")
-    both = both.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("a_body")), "a")
-    return both.mapInArrow(verified, "a long, b long")
+    return _ordered(rows.join(centre, "bucket").select("node", F.explode("partners").alias("partner")).filter("node <> partner"))
+
+
+def open_pairs(rows: DataFrame, roots: DataFrame, marked: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Pairs that stars may have missed: of every bucket that several components share, their members against each other.
+
+    A component stands in a bucket by four of its members at most. Of more than ``crowd`` components the members
+    are dealt by a second band that they share as well, then a third, and so on: so a crowd is never paired throughout.
+    """
+    found: list[DataFrame] = []
+    while True:
+        named = rows.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        groups = named.groupBy("bucket", "root").agg(F.array_distinct(F.array(*_partners())).alias("members"))
+        several = groups.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        groups = cut_lineage(groups.join(several, "bucket"))
+        listed = groups.filter(F.col("n") <= crowd).groupBy("bucket").agg(F.collect_list(F.struct("root", "members")).alias("c"))
+        crossed = listed.select("c", F.explode("c").alias("p")).select("p", F.explode("c").alias("q")).filter("p.root < q.root")
+        crossed = crossed.select(F.explode("p.members").alias("node"), F.col("q.members").alias("others")).select("node", F.explode("others").alias("partner"))
+        found.append(_ordered(crossed))
+        crowded = groups.filter(F.col("n") > crowd).select("bucket", F.explode("members").alias("node"))
+        if crowded.isEmpty():
+            return functools.reduce(DataFrame.unionByName, found).distinct()
+        # bands in ascending order of their keys, so that each set of bands is met once
+        keys = marked.select("node", "buckets").join(crowded.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+        first = F.coalesce(*([F.col("band")] if "band" in rows.columns else []), "bucket")
+        bands = rows.select("node", "bucket", first.alias("band")).distinct()
+        further = crowded.join(bands, ["node", "bucket"]).join(keys, "node").select("node", "bucket", F.explode(F.filter("buckets", lambda k: k > F.col("band"))).alias("band"))
+        rows = cut_lineage(further.select("node", F.xxhash64("bucket", "band").alias("bucket"), "band"))
+
+
+def similar_components(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(node, body), equal nodes having equal bodies -> components (node, root) of the similar ones."""
+    marked = _sketched(texts, width)
+    rows = marked.select("node", F.explode("buckets").alias("bucket"))
+    pairs = cut_lineage(star_pairs(rows))
+    links = _verified(pairs, marked, texts, width, similarity)
+    roots = components(links)
+    missed = cut_lineage(open_pairs(rows, roots, marked).join(pairs, ["a", "b"], "left_anti"))
+    if missed.isEmpty():
+        return roots
+    return components(links.unionByName(_verified(missed, marked, texts, width, similarity)))
 
 
 def near_survivors(
@@ -206,7 +293,7 @@ def near_survivors(
     body, text_hash = text_or_empty(text_col), F.xxhash64(text_or_empty(text_col))
     # the id as one long, since a null-safe key would cost the texts another exchange
     id_hash = F.xxhash64(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"))
-    roots = components(similar_links(docs.select(text_hash.alias("node"), body.alias("body")), width, similarity))
+    roots = similar_components(docs.select(text_hash.alias("node"), body.alias("body")), width, similarity)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), id_hash.alias("number"), text_hash.alias("node"))
     rooted = rows.join(roots, "node", "left").select("id", "number", "node", F.coalesce("root", "node").alias("root"))
     first = F.min(F.struct(F.col("id").isNotNull(), "id", "node", "number")).alias("first")

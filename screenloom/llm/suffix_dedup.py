@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenloom.llm.common import text_or_empty, written
+from screenloom.llm.common import map_batches, text_or_empty, written
 
 WINDOW = 72  # K-byte strings a window chooses its anchor from; K = length - WINDOW + 1
 BLOCK = 1 << 20  # bytes hashed at once
@@ -313,12 +313,12 @@ def repeated_contexts(rows: DataFrame, length: int) -> DataFrame:
 
     id_field = T.StructField("id", rows.schema["id"].dataType)
     longs = [T.StructField(x, T.LongType()) for x in ("th", "lo", "n", "h", "c")]
-    found = rows.mapInArrow(contexts, T.StructType([id_field, *longs]))
+    found = map_batches(rows, contexts, T.StructType([id_field, *longs]))
     # dealt by ranges of (h, c): a class of very many contexts lies in several neighbouring partitions
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = found.repartitionByRange(parts, "h", "c").sortWithinPartitions("h", "c", "id", "th", "lo")
     out = [*longs, T.StructField("part", T.LongType()), T.StructField("split", T.BooleanType())]
-    return dealt.mapInArrow(class_marks, T.StructType([id_field, *out]))
+    return map_batches(dealt, class_marks, T.StructType([id_field, *out]))
 
 
 def _equal_to_previous(column: pa.ChunkedArray) -> np.ndarray:
@@ -444,7 +444,7 @@ def class_repeats(contexts: DataFrame, length: int) -> tuple[DataFrame, DataFram
 
     longs = [T.StructField(x, T.LongType()) for x in ("th", "lo", "n", "x", "y")]
     dealt = contexts.repartition("h", "part").sortWithinPartitions("h", "part", "id", "th", "lo")
-    found = written(dealt.mapInArrow(shards, T.StructType([T.StructField("id", id_field.dataType), *longs])))
+    found = written(map_batches(dealt, shards, T.StructType([T.StructField("id", id_field.dataType), *longs])))
     return found.filter("x IS NULL").select("id", "th", "lo", "n"), found.filter("x IS NOT NULL").drop("n")
 
 
@@ -503,4 +503,4 @@ def remove_repeats(
     fields = [T.StructField(id_col, docs.schema[id_col].dataType)]
     fields += [T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
     fields += [T.StructField("kept", T.BinaryType())] if with_text else []
-    return numbered.select("id", "body", "los", "ns", "copy").mapInArrow(cut, T.StructType(fields))
+    return map_batches(numbered.select("id", "body", "los", "ns", "copy"), cut, T.StructType(fields))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenloom.llm.common import text_or_empty
+from screenloom.llm.common import map_batches, text_or_empty
 
 SAMPLE = 12_000
 FEATURES = 1_000
@@ -234,7 +234,7 @@ def score_documents(
         ]
     )
     key = F.col(id_col).cast("string").alias("key")
-    return docs.select(F.col(id_col).alias("id"), key, text_or_empty(text_col).alias("body")).mapInArrow(score, schema)
+    return map_batches(docs.select(F.col(id_col).alias("id"), key, text_or_empty(text_col).alias("body")), score, schema)
 
 
 def clean_documents(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -245,4 +245,4 @@ def clean_documents(docs: DataFrame, model: Model, text_col: str = "text", thres
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([model.score(t or "") < threshold for t in texts], type=pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_batches(docs, keep, docs.schema)

@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from screenloom.llm import simhash as simhash_module
 from screenloom.llm.components import components
 from screenloom.llm.exact_dedup import exact_groups, exact_survivors
 from screenloom.llm.simhash import ball_links, masks, near_groups, near_survivors, simhash, word_blocks
@@ -167,3 +168,35 @@ def test_near_survivors_keep_different_texts_under_null_and_repeated_ids(spark):
     assert len(got) == len(by_group) == 7
     assert {g: i for g, (i, _) in by_group.items()} == {0: None, 1: None, 2: None, 3: 7, 4: 1, 5: 8, 6: 3}
     assert by_group[1] == (None, texts[1]) and by_group[4] == (1, copies[4])
+
+
+@pytest.mark.parametrize("crowd", [4, 16])
+def test_crowded_buckets_lose_no_pair(spark, crowd):
+    """Texts that share most of a passage stand in the same buckets without being alike; the pairs among them that are must be found."""
+    rng = random.Random(crowd)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    common = [word() for _ in range(150)]
+    docs = []
+    for i in range(60):
+        text = common + [word() for _ in range(60 if i % 3 else 70)]
+        docs.append(text)
+        if i % 4 == 0:
+            docs.append([*text[:200], word(), *text[201:]])
+            docs.append([*docs[-1][:20], word(), *docs[-1][21:]])
+    texts = [" ".join(t) for t in docs]
+    sets = list(map(word_sets, texts))
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    assert len(set(root)) == 60
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, body string")
+    marked = simhash_module._sketched(df, 5)
+    rows = marked.select("node", F.explode("buckets").alias("bucket"))
+    nobody = spark.createDataFrame([], "node long, root long")
+    pairs = {(r.a, r.b) for r in simhash_module.open_pairs(rows, nobody, marked, crowd).collect()}
+    want = {(j, i) for i in range(len(texts)) for j in range(i) if root[i] == root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(want & pairs) >= 0.97 * len(want)
+    assert {r.doc_id for r in near_survivors(df.withColumnsRenamed({"node": "doc_id", "body": "text"})).collect()} == set(root)

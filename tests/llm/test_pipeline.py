@@ -8,7 +8,6 @@ import pytest
 
 from screenloom.llm.mixing import mix
 from screenloom.llm.packing import encoder
-from screenloom.llm.simhash import simhash
 from screenloom.llm.toxicity import train, training_labels
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -77,10 +76,12 @@ def test_exact_dedup(stages):
 
 def test_near_dedup(stages):
     before, after = stages["near_dedup"]
-    prints = {r.doc_id: simhash((r.text or "").encode()) for r in before.collect()}
-    ids, root = sorted(prints), {}
-    for i in ids:
-        root[i] = i
+    sets = {}
+    for r in before.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").lower())
+        sets[r.doc_id] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    ids = sorted(sets)
+    root = {i: i for i in ids}
 
     def find(x):
         while root[x] != x:
@@ -89,7 +90,7 @@ def test_near_dedup(stages):
 
     for k, a in enumerate(ids):
         for b in ids[:k]:
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     assert sorted(r.doc_id for r in after.collect()) == sorted({find(i) for i in ids})
