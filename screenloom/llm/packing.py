@@ -3,9 +3,12 @@
 Documents become token ids and a closing id; longer ones are cut into full pieces of the capacity,
 the shorter piece first. Full pieces fill a sequence each. The others are dealt by hash to partitions
 of some ``PER_PARTITION`` pieces and packed by best-fit decreasing. Dual feasible functions give
-a lower bound on each partition's bins; a partition that meets it is certified and done. The
-pieces of the others are dealt anew to larger partitions and packed again, for as long as that
-saves a bin. Only lengths and ids of pieces are shuffled, no text.
+a lower bound on each partition's bins; a partition that meets it is certified and done. In one
+with a gap, sequences exchange pieces first: those of the loosest ones and of others, drawn by a
+seeded generator, are packed anew in a slightly shaken order, until the gap is closed or
+``TRIES`` draws in a row saved nothing. Then the partitions that still have a gap exchange theirs: all
+their pieces are dealt anew and packed again, for as long as that saves a bin. Only lengths and ids
+of pieces are shuffled, no text. Every row says how many bins its partition took and the bound.
 
 Defined results. Null text is the empty text: its closing id alone. Repeated rows are packed each
 on its own. Equal lengths are taken in the order of ids. An empty table gives an empty result.
@@ -29,7 +32,8 @@ from pyspark.sql import types as T
 from screenloom.llm.common import cut_lineage, map_batches, text_or_empty
 
 PER_PARTITION = 50_000
-ROUNDS = 4
+#: Exchanges inside a partition that may fail in a row, and sequences in each.
+TRIES, DRAWN = 40, 24
 
 
 @functools.cache
@@ -111,7 +115,12 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int, closing: int, id
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(bin, offset) of every item, and the number of bins.
+    """(bin, offset) of every item, and the number of bins."""
+    return best_fit(lengths, capacity, np.argsort(-lengths, kind="stable"))
+
+
+def best_fit(lengths: np.ndarray, capacity: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(bin, offset) of every item, taken in that order, and the number of bins.
 
     Open bins are stacked by the room they have left; a bit set over rooms finds the least one
     that suffices.
@@ -119,7 +128,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     where, offset = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64)
     rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
     present, bins = 0, 0
-    for i in np.argsort(-lengths, kind="stable").tolist():
+    for i in order.tolist():
         need = int(lengths[i])
         fitting = present >> need
         if fitting:
@@ -158,22 +167,49 @@ def bin_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
+def exchanged(lengths: np.ndarray, where: np.ndarray, bins: int, bound: int, capacity: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """A packing with fewer bins, if exchanges between some bins find one: (bin, offset, bins)."""
+    rng = np.random.default_rng(seed)
+    where = where.copy()
+    failed = 0
+    while bins > bound and failed < TRIES:
+        loose = np.argsort(np.bincount(where, weights=lengths, minlength=bins), kind="stable")
+        drawn = np.union1d(loose[: DRAWN // 2], rng.choice(bins, min(bins, DRAWN // 2), replace=False))
+        own = np.flatnonzero(np.isin(where, drawn))
+        shaken = np.argsort(-lengths[own] * rng.uniform(1 - 0.4 * rng.random(), 1, len(own)), kind="stable")
+        found, _, n = best_fit(lengths[own], capacity, shaken)
+        failed = 0 if n < len(drawn) else failed + 1
+        if n <= len(drawn):  # an exchange that saves nothing still moves pieces
+            names = np.concatenate([drawn[:n], [-1]])
+            where[own] = names[found]
+            gone = drawn[n:]
+            for b in sorted(gone.tolist(), reverse=True):  # the last bins take the numbers that are free
+                bins -= 1
+                where[where == bins] = b
+    order = np.argsort(where, kind="stable")
+    ends = np.cumsum(lengths[order])
+    first = np.searchsorted(where[order], np.arange(bins))
+    offset = np.empty(len(lengths), dtype=np.int64)
+    offset[order] = ends - lengths[order] - (ends - lengths[order])[first][where[order]]
+    return where, offset, bins
+
+
 def _packed(items: DataFrame, n_parts: int, round_no: int, capacity: int) -> DataFrame:
-    """Items dealt to ``n_parts`` partitions and packed: with sequence_id, offset, gap, first (one per bin)."""
+    """Items dealt to ``n_parts`` partitions and packed: with sequence_id, offset, bins, bound, first (one per bin)."""
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("uid", kind="stable")
         lengths = rows["length"].to_numpy(dtype=np.int64)
-        where, offset, bins = best_fit_decreasing(lengths, capacity)
-        base = (round_no << 56) | (int(rows["part"].iloc[0]) << 32)
-        return rows.drop(columns="part").assign(
-            sequence_id=base + where, offset=offset, gap=bins - bin_bound(lengths, capacity), first=offset == 0
-        )
+        part, bound = int(rows["part"].iloc[0]), bin_bound(lengths, capacity)
+        where, offset, bins = best_fit(lengths, capacity, np.argsort(-lengths, kind="stable"))
+        if bins > bound:
+            where, offset, bins = exchanged(lengths, where, bins, bound, capacity, seed=part)
+        base = (round_no << 56) | (part << 32)
+        return rows.drop(columns="part").assign(sequence_id=base + where, offset=offset, bins=bins, bound=bound, first=offset == 0)
 
     dealt = items.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(round_no)), F.lit(n_parts)))
-    schema = T.StructType(
-        [*items.schema.fields, *(T.StructField(x, T.LongType()) for x in ("sequence_id", "offset", "gap")), T.StructField("first", T.BooleanType())]
-    )
+    longs = [T.StructField(x, T.LongType()) for x in ("sequence_id", "offset", "bins", "bound")]
+    schema = T.StructType([*items.schema.fields, *longs, T.StructField("first", T.BooleanType())])
     return cut_lineage(dealt.groupBy("part").applyInPandas(pack, schema))
 
 
@@ -186,26 +222,29 @@ def pack_documents(
     text_col: str = "text",
     per_partition: int = PER_PARTITION,
 ) -> DataFrame:
-    """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset, and bins and bound of the partition it was packed in.
+
+    A partition with bins = bound is certified: no packing of its pieces takes fewer. A full piece is a partition of its own.
+    """
     found = cut_lineage(pieces(docs, tokenizer_json, capacity, closing, id_col, text_col))
     found = found.withColumn("uid", F.monotonically_increasing_id())  # of files written already: stable
     full = found.filter(F.col("length") == capacity)
-    full = full.withColumns({"sequence_id": F.col("uid").bitwiseOR(F.lit(1 << 62)), "offset": F.lit(0).cast("long")})
+    one = F.lit(1).cast("long")
+    full = full.withColumns({"sequence_id": F.col("uid").bitwiseOR(F.lit(1 << 62)), "offset": F.lit(0).cast("long"), "bins": one, "bound": one})
     items = found.filter(F.col("length") < capacity)
-    n = items.count()
     settled: list[DataFrame] = [full]
-    packed = _packed(items, max(1, -(-n // per_partition)), 0, capacity)
-    for round_no in range(1, ROUNDS + 1):
-        state = packed.agg(F.count_if(F.col("gap") > 0), F.count_if((F.col("gap") > 0) & F.col("first"))).first()
-        # one partition that holds all open pieces has nothing to exchange with
-        parts = -(-state[0] // (per_partition * 2))
-        if not state[0] or (n <= per_partition and round_no == 1) or (parts == 1 and round_no > 2):
+    packed = _packed(items, max(1, -(-items.count() // per_partition)), 0, capacity)
+    round_no = 0
+    while True:
+        left, bins, parts = packed.filter("bins > bound").agg(F.count("*"), F.count_if("first"), F.count_distinct(F.shiftright("sequence_id", 32))).first()
+        if parts < 2:  # certified, or with nobody to exchange with
             break
-        again = _packed(packed.filter("gap > 0").select(items.columns), parts, round_no, capacity)
-        if again.filter("first").count() >= state[1]:
+        round_no += 1
+        again = _packed(packed.filter("bins > bound").select(items.columns), -(-left // per_partition), round_no % 32, capacity)
+        if again.filter("first").count() >= bins:
             break
-        settled.append(packed.filter("gap <= 0"))
+        settled.append(packed.filter("bins <= bound"))
         packed = again
-    names = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    names = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bins", "bound"]
     out = [x.select(F.col("id").alias(id_col), *names) for x in [*settled, packed]]
     return functools.reduce(DataFrame.unionByName, out)
