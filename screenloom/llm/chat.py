@@ -2,7 +2,9 @@
 
 Records arrive as JSON. The nested field paths of a record (list levels as ``[]``, no values) are sorted
 and hashed; the hash selects a declarative mapping from a registry, which says where the turns,
-roles and texts lie. Unknown layouts are an error that names the paths. One record may hold a
+roles and texts lie. Fields that a layout does not name (an id, a score) do not hide it: if no mapping has the
+hash of all paths, the one whose paths are all there decides, the one of most paths first. Roles of turn rows
+are taken as they are; those of other layouts are mapped (``human`` is the user). One record may hold a
 conversation, or one turn of it; turns of a conversation are brought together by a sort inside hash
 partitions and streamed, so a conversation is never held as a group in memory but for its own text.
 
@@ -11,9 +13,11 @@ escape character U+001B is doubled to ESC ``0``, and the first character of any
 template's own and those of common other templates, is preceded by ESC ``1``; reading undoes both.
 A text can so never open or close a turn, here or in a template that is laid over it.
 
-Defined results. Null text is the empty text, a null role the empty role. Turns are in the order of
-``turn`` (null first), ties in the order of role and text; repeated rows are turns of their own. A
-conversation of no turns gives no row. An empty table gives an empty result.
+Defined results. Null text is the empty text, a null role the empty role; a number, a truth value or a nested
+value as text is its JSON. Turns are in the order of ``turn`` (null first), ties in the order of role and
+text; repeated rows are turns of their own. A conversation of no turns gives no row. A record that is null, no
+JSON object or in no known layout gives no turn; ``problem`` then says why, and a conversation of such
+records alone has a row without turns. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,7 +97,7 @@ class Layout:
 
 #: The known layouts: a sample of the fields that matter, and the mapping for it.
 LAYOUTS: list[tuple[Any, Layout]] = [
-    ({"turn": 0, "role": "", "text": ""}, Layout("turn rows", None, "role", "text")),
+    ({"turn": 0, "role": "", "text": ""}, Layout("turn rows", None, "role", "text", roles=())),
     ({"messages": [{"role": "", "content": ""}]}, Layout("messages", "messages", "role", "content")),
     ({"conversations": [{"from": "", "value": ""}]}, Layout("conversations", "conversations", "from", "value")),
     ({"instruction": "", "output": ""}, Layout("instruction", fields=(("user", "instruction"), ("assistant", "output")))),
@@ -127,25 +131,57 @@ def fingerprint(record: Any) -> str:
 
 
 REGISTRY: dict[str, Layout] = {fingerprint(sample): mapping for sample, mapping in LAYOUTS}
+KNOWN: list[tuple[frozenset[str], Layout]] = sorted(((frozenset(paths(x)), m) for x, m in LAYOUTS), key=lambda k: -len(k[0]))
 
 
-def canonical_turns(record: Mapping[str, Any], registry: Mapping[str, Layout] = REGISTRY) -> list[tuple[str, str]]:
-    """(role, text) of a record in a known layout."""
-    mapping = registry.get(fingerprint(record))
-    if mapping is None and any(isinstance(v, list) and not v for v in record.values()):
+def layout_of(record: Any, registry: Mapping[str, Layout] = REGISTRY, known: Sequence[tuple[frozenset[str], Layout]] = KNOWN) -> Layout | None:
+    """The mapping for a record: by the hash of its paths, else the largest known layout whose paths it has."""
+    found = registry.get(fingerprint(record))
+    if found is None:
+        own = paths(record)
+        own |= {p[: m.start()] for p in own for m in re.finditer(r"\.|\[\]", p)}  # a nested value stands where a text may
+        found = next((layout for needed, layout in known if needed <= own), None)
+    return found
+
+
+def _text(value: Any) -> str:
+    """A value as text: null as the empty one, what is no text as JSON."""
+    if value is None:
+        return ""
+    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
+
+
+def canonical_turns(record: Any, registry: Mapping[str, Layout] = REGISTRY) -> list[tuple[str, str]]:
+    """(role, text) of a record; ``ValueError`` names the paths of one in no known layout."""
+    if not isinstance(record, Mapping):
+        raise ValueError("no JSON object")
+    layout = layout_of(record, registry)
+    if layout is None and any(record.get(x.turns) == [] for x in registry.values() if x.turns):
         return []  # an empty list of turns has no paths inside
-    if mapping is None:
-        raise ValueError(f"unknown layout: {sorted(paths(record))}")
-    roles = dict(mapping.roles)
-    if mapping.fields:
+    if layout is None:
+        raise ValueError(f"unknown layout: {', '.join(sorted(paths(record)))}")
+    if layout.fields:
         found = []
-        for role, field in mapping.fields:
-            parts = [record.get(f) or "" for f in field.split("\n\n")]
+        for role, field in layout.fields:
+            parts = [_text(record.get(f)) for f in field.split("\n\n")]
             if role != "system" or any(parts):
                 found.append((role, "\n\n".join(p for p in parts if p)))
         return found
-    turns = record[mapping.turns] if mapping.turns else [record]
-    return [(roles.get(r := t.get(mapping.role) or "", r), t.get(mapping.text) or "") for t in turns]
+    roles = dict(layout.roles)
+    turns = [t for t in record[layout.turns] if isinstance(t, Mapping)] if layout.turns else [record]
+    return [(roles.get(r := _text(t.get(layout.role)), r), _text(t.get(layout.text))) for t in turns]
+
+
+def turns_or_problem(text: str | None) -> tuple[list[tuple[str, str]], str | None]:
+    """The turns of a record given as JSON, or why there are none."""
+    if text is None:
+        return [], "null record"
+    try:
+        return canonical_turns(json.loads(text)), None
+    except RecursionError:
+        return [], "nested too deeply"
+    except ValueError as e:  # json.JSONDecodeError is one
+        return [], "no JSON" if isinstance(e, json.JSONDecodeError) else str(e)
 
 
 # --- the operator ---------------------------------------------------------------------------------
@@ -162,12 +198,12 @@ def turn_records(rows: DataFrame, id_col: str = "conv_id", turn: str = "turn", r
 def format_chats(records: DataFrame, id_col: str = "conv_id", loss_roles: Sequence[str] = ("assistant",), with_text: bool = False) -> DataFrame:
     """(conv, turn, record JSON) -> per conversation what is read back from its formatted text.
 
-    id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars; with ``with_text`` also
+    id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, problem (the first record's that gave no turn); with ``with_text`` also
     ``formatted`` and ``loss_spans`` (start and end of each text under the loss, escaped, alternating).
     """
     learned = frozenset(loss_roles)
 
-    def finish(conv: Any, pieces: list[str]) -> tuple:
+    def finish(conv: Any, pieces: list[str], problem: str | None) -> tuple:
         formatted = "".join(pieces)
         every, loss, chars, spans = hashlib.sha256(), hashlib.sha256(), 0, []
         turns = parse(formatted)
@@ -177,36 +213,38 @@ def format_chats(records: DataFrame, id_col: str = "conv_id", loss_roles: Sequen
                 loss.update(text.encode())
                 chars += len(text)
                 spans += [start, end]
-        out = (conv, len(turns), every.hexdigest(), chars, loss.hexdigest(), len(formatted))
+        out = (conv, len(turns), every.hexdigest(), chars, loss.hexdigest(), len(formatted), problem)
         return (*out, formatted, spans) if with_text else out
 
-    columns = [id_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    columns = [id_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "problem"]
     columns += ["formatted", "loss_spans"] if with_text else []
 
     def stream(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, pieces, started, kind = None, [], False, pa.null()
+        conv, pieces, problem, started, kind = None, [], None, False, pa.null()
 
         def flush(done: list[tuple]) -> pa.RecordBatch:
             longs, text = pa.int64(), pa.string()
-            kinds = [kind, longs, text, longs, text, longs, *([text, pa.list_(longs)] if with_text else [])]
+            kinds = [kind, longs, text, longs, text, longs, text, *([text, pa.list_(longs)] if with_text else [])]
             return pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=columns)
 
         for batch in it:
             kind, done = batch.schema.field("conv").type, []
             for key, record in zip(batch.column("conv").to_pylist(), batch.column("record").to_pylist(), strict=True):
                 if started and key != conv:
-                    if pieces:
-                        done.append(finish(conv, pieces))
-                    pieces = []
+                    if pieces or problem:
+                        done.append(finish(conv, pieces, problem))
+                    pieces, problem = [], None
                 conv, started = key, True
-                pieces += [render(r, t) for r, t in canonical_turns(json.loads(record))]
+                turns, why = turns_or_problem(record)
+                pieces += [render(r, t) for r, t in turns]
+                problem = problem or why
             if done:
                 yield flush(done)
-        if pieces:
-            yield flush([finish(conv, pieces)])
+        if pieces or problem:
+            yield flush([finish(conv, pieces, problem)])
 
     kind = records.schema["conv"].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    schema = f"`{id_col}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, problem string"
     schema += ", formatted string, loss_spans array<long>" if with_text else ""
     role, text = F.get_json_object("record", "$.role"), F.get_json_object("record", "$.text")
     told = records.select("conv", "turn", "record").repartition("conv").sortWithinPartitions("conv", "turn", F.coalesce(role, F.lit("")), F.coalesce(text, F.lit("")))

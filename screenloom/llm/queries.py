@@ -149,7 +149,7 @@ def _url_sql() -> str:
         gains AS (SELECT cell, coalesce(sum(r) OVER b, 0) * sum(a) OVER () - coalesce(sum(a) OVER b, 0) * sum(r) OVER () AS gain, sum(a) OVER () AS na, sum(r) OVER () AS nr
             FROM cells WINDOW b AS (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         best AS (SELECT floor((min(cell) + max(cell)) / 2.0::DOUBLE) * 0.01::DOUBLE AS threshold FROM (SELECT * FROM gains WHERE na > 0 AND nr > 0 QUALIFY gain = max(gain) OVER ()))
-        SELECT page_id, host, path, rule, coalesce(says, CASE WHEN score < threshold THEN 'block' ELSE 'allow' END) AS verdict, round(score, 6) + 0.0 AS score FROM scored, best
+        SELECT page_id, host, path, rule, coalesce(says, CASE WHEN after <> '' AND score < threshold THEN 'block' ELSE 'allow' END) AS verdict, round(score, 6) + 0.0 AS score FROM scored, best
     """
 
 
@@ -180,7 +180,7 @@ ORACLE_SQL: dict[str, str] = {
                CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum({OVERHEAD} + length(regexp_replace(role || text, '({_ESCAPES})', chr(27) || '1\\1', 'g'))
-                   - len(regexp_extract_all(role || text, chr(27)))) AS BIGINT) AS formatted_chars
+                   - len(regexp_extract_all(role || text, chr(27)))) AS BIGINT) AS formatted_chars, CAST(NULL AS VARCHAR) AS problem
         FROM turns GROUP BY conv_id
     """,
     "op6_exact_dedup": """

@@ -11,7 +11,7 @@ An address scores the mean log2 ratio per character; the threshold is the one wi
 accuracy on the half of the examples that the models haven't counted, chosen by hash of the address.
 
 Defined results. Null addresses, and those without ``://``, have empty host and path and an empty
-text: they score 0 and are allowed, as is everything when either class has no examples. Of rules
+text: they score 0 and are allowed, whatever the threshold, as is everything when either class has no examples. Of rules
 equally long the first given wins. Repeated rows give repeated result rows. An empty table gives an
 empty result. Extra columns are ignored.
 """
@@ -52,24 +52,24 @@ def rule_columns(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return rule, verdict
 
 
-def grams(text: Column) -> Column:
-    """One number per character: the classes of the three before it (dots before the start) and its own."""
+def symbols(text: Column) -> Column:
+    """The class of every character."""
     classes = F.array(*[F.lit(c) for c in CLASS_OF])
-    codes = F.transform(
+    return F.transform(
         F.filter(F.split(text, ""), lambda c: c != ""),
         lambda c: F.when(F.ascii(c) < 128, F.get(classes, F.ascii(c))).otherwise(31),
     )
-    start = (28 << 10) | (28 << 5) | 28
-    zero = F.struct(F.lit(start).alias("last"), F.array().cast("array<int>").alias("out"))
-    # the running context is at most 15 bits, so each step depends on the three characters before it
-    return F.aggregate(
+
+
+def grams(codes: str) -> Column:
+    """One number per character of a column of classes: those of the three before it (dots before the start) and its own."""
+
+    def before(i: Column, k: int) -> Column:
+        return F.coalesce(F.get(codes, i - k), F.lit(28))
+
+    return F.transform(
         codes,
-        zero,
-        lambda s, c: F.struct(
-            F.expr("0").bitwiseOR(F.shiftleft(s["last"].bitwiseAND(1023), 5)).bitwiseOR(c).alias("last"),
-            F.concat(s["out"], F.array(F.shiftleft(s["last"], 5).bitwiseOR(c))).alias("out"),
-        ),
-        lambda s: s["out"],
+        lambda c, i: F.shiftleft(before(i, 3), 15).bitwiseOR(F.shiftleft(before(i, 2), 10)).bitwiseOR(F.shiftleft(before(i, 1), 5)).bitwiseOR(c),
     )
 
 
@@ -141,7 +141,7 @@ def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str
     rule, says = rule_columns(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "says": says, "fold": F.ascii(F.md5("url")) % 2})
     text = F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://(.*)$", 1)
-    rows = rows.withColumn("grams", grams(text)).drop("url")
+    rows = rows.withColumn("codes", symbols(text)).withColumn("grams", grams("codes")).drop("url", "codes")
     examples = rows.filter("rule IS NOT NULL").withColumn("accepted", F.col("says") == "allow")
     fitting = examples.filter("fold = 0").select("accepted", F.explode("grams").alias("gram"))
     model = cut_lineage(log_ratios(fitting))
@@ -153,11 +153,12 @@ def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str
     )
 
     def scored(df: DataFrame) -> DataFrame:
-        return df.withColumn("cells", model.scalar()).withColumn("score", score).drop("cells", "grams")
+        told = df.withColumn("cells", model.scalar()).withColumns({"score": score, "empty": F.size("grams") == 0})
+        return told.drop("cells", "grams")
 
     threshold = cut_lineage(best_threshold(scored(examples.filter("fold = 1")).select("accepted", "score")))
     judged = scored(rows).withColumn("threshold", threshold.scalar())
-    by_model = F.when(F.col("score") < F.col("threshold"), F.lit("block")).otherwise(F.lit("allow"))
+    by_model = F.when(~F.col("empty") & (F.col("score") < F.col("threshold")), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("says", by_model).alias("verdict"), "score"
     )

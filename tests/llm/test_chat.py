@@ -44,6 +44,10 @@ def test_escaped_text_holds_no_plain_control(text):
         ({"system": "s", "prompt": "p", "response": "r"}, [("system", "s"), ("user", "p"), ("assistant", "r")]),
         ({"turn": 3, "role": "user", "text": "t"}, [("user", "t")]),
         ({"messages": []}, []),
+        ({"turn": 3, "role": "human", "text": "t"}, [("human", "t")]),  # turn rows name their roles themselves
+        ({"id": 7, "messages": [{"role": "user", "content": 5, "weight": 1}, "stray"], "meta": {"a": [1]}}, [("user", "5")]),
+        ({"id": "x", "system": "s", "prompt": "p", "response": {"b": 1}}, [("system", "s"), ("user", "p"), ("assistant", '{"b": 1}')]),
+        ({"messages": [], "id": 1}, []),
     ],
 )
 def test_layouts(record, turns):
@@ -89,3 +93,14 @@ def test_empty_and_records(spark):
     record = json.dumps({"prompt": "p", "completion": "c"})
     one = spark.createDataFrame([(4, 0, record)], "conv long, turn long, record string")
     assert format_chats(one).first().formatted_chars == 2 * OVERHEAD + len("userpassistantc")
+
+
+def test_records_that_hold_no_turn_say_why(spark):
+    good = json.dumps({"messages": [{"role": "user", "content": "q", "id": 1}]})
+    rows = [(1, 0, None), (2, 0, "{broken"), (3, 0, "[1]"), (4, 0, '{"z": 1}'), (5, 0, good), (5, 1, "7"), (6, 0, good), (7, 0, '{"messages": []}'), (None, 0, "null")]
+    df = spark.createDataFrame(rows, "conv long, turn long, record string").withColumns({"problem": F.lit(1), "conv_id": F.lit(2)})
+    got = {r.conv_id: r for r in format_chats(df).collect()}
+    assert {k: r.problem for k, r in got.items()} == {
+        1: "null record", 2: "no JSON", 3: "no JSON object", 4: "unknown layout: z", 5: "no JSON object", 6: None, None: "no JSON object",
+    }
+    assert {k: r.n_turns for k, r in got.items()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 1, None: 0}

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import time
 import re
 import struct
 
@@ -148,7 +149,8 @@ def test_scores_against_brute_force(spark):
     for p, r in got.items():
         assert r.score == pytest.approx(scores[p], abs=1e-9)
         assert r.verdict == (verdict[r.rule] if r.rule else r.verdict) and r.verdict in ("allow", "block")
-    free = [r for r in got.values() if r.rule is None]
+    assert {got[p].verdict for p in (500, 501)} == {"allow"}
+    free = [r for r in got.values() if r.rule is None and r.page_id not in (500, 501)]
     blocked, allowed = [r.score for r in free if r.verdict == "block"], [r.score for r in free if r.verdict == "allow"]
     assert max(blocked, default=-99) < min(allowed)  # one threshold
 
@@ -158,3 +160,18 @@ def test_url_edges(spark):
     assert judge_pages(empty, URL_RULES).count() == 0
     one = spark.createDataFrame([(1, "http://q.org/"), (2, None), (2, None)], "page_id long, url string")
     assert [r.verdict for r in judge_pages(one, URL_RULES).collect()] == ["allow"] * 3
+
+
+def test_addresses_without_text_are_allowed_whatever_the_threshold(spark):
+    """Examples whose accepted addresses all score well above 0 put the threshold above 0, where a score of 0 would be blocked."""
+    pages = [(i, f"http://aaaa{i % 7}.com/") for i in range(300)] + [(1000 + i, f"http://zqxj{i % 7}.net/es/") for i in range(3)] + [(2000, None), (2001, "no address"), (2002, "x://")]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    got = {r.page_id: r for r in judge_pages(df, URL_RULES).collect()}
+    assert [(got[i].verdict, got[i].score) for i in (2000, 2001, 2002)] == [("allow", 0.0)] * 3
+
+
+def test_long_addresses_take_linear_time(spark):
+    df = spark.createDataFrame([(1, "http://x.org/" + "ab/" * 100_000), (2, "http://a.com/")], "page_id long, url string")
+    began = time.time()
+    assert len(judge_pages(df, URL_RULES).collect()) == 2
+    assert time.time() - began < 60
