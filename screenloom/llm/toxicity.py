@@ -1,11 +1,17 @@
 """Toxicity by a logistic classifier with a counterfactual penalty.
 
 Features of a text are the words it holds and their beginnings (so inflected forms share a
-weight), each once. Sentences of the training texts that mention a group of people are copied
-with the mention swapped for another of the same kind; the squared change of the score between
-such a pair is penalised, so that the mention itself carries no weight, whatever the labels of texts that
-mention it. The fit is sparse (L1) and runs on the driver over a bounded sample: at most
-``sample`` labelled rows, those of smallest seeded hash. Scoring reads every text whole, in one map.
+weight), each once. Sentences of the training texts that hold a term of a swap class are copied with
+the term swapped for each other member of its class; the squared change of the score between
+such a pair is penalised, so that the term itself carries no weight, whatever the labels of texts that
+hold it. Swap classes are a parameter (groups of people, by default) and are also induced from the
+training texts: words that are no evidence for either label and fill the same slots, in toxic and in
+clean texts alike. All terms of the classes are features, and the model says how many pairs the penalty saw.
+
+The fit is sparse (L1) and runs on the driver over a bounded sample: at most ``sample`` labelled rows, those of
+smallest seeded hash, of ``sample_bytes`` in all, and at most ``pairs`` sentence pairs, of smallest hash. Features need
+``LEAST_TEXTS`` texts and ``EVIDENCE`` (of a likelihood ratio test) to enter; the strongest ``FEATURES`` do, which at
+12,000 texts of the test tables are all. Scoring reads every text whole, in one map.
 
 Defined results. Null text is the empty text and gets the score of no features. Repeated rows give
 repeated result rows. Labels of ids that occur in no document are ignored. With no labels, or of
@@ -18,8 +24,9 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence, Set
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +34,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenloom.llm.common import map_batches, text_or_empty
+from screenloom.llm.common import map_batches, text_or_empty, written
 
 SAMPLE = 12_000
-FEATURES = 1_000
+SAMPLE_BYTES = 256 << 20
+FEATURES = 50_000
 LEAST_TEXTS = 4
 EVIDENCE = 14.0
+PAIRS = 20_000
+#: Of induced classes: words looked at, the most frequent ones; likeness of their slots; members of a class.
+SLOT_WORDS, SLOT_LIKENESS, CLASS_SIZE = 400, 0.9, 6
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
 
 #: Words for groups of people, by kind and language; a swap stays within one line.
-IDENTITIES = [
+IDENTITIES: list[list[str]] = [
     line.split()
     for line in """
     women men girls boys
@@ -63,7 +74,6 @@ IDENTITIES = [
     negros blancos árabes
     """.strip().splitlines()
 ]
-_SWAP = {term: group[(i + 1) % len(group)] for group in IDENTITIES for i, term in enumerate(group)}
 
 
 def word_features(word: str) -> tuple[str, ...]:
@@ -75,28 +85,59 @@ def features(text: str) -> set[str]:
     return {f for w in set(WORDS.findall(text.lower())) for f in word_features(w)}
 
 
-def swapped_pairs(text: str) -> list[tuple[set[str], set[str]]]:
-    """Features of each sentence that mentions a group, and of its copy with the mentions swapped."""
+def swapped_pairs(text: str, classes: Sequence[Sequence[str]] = IDENTITIES) -> list[tuple[list[str], list[str]]]:
+    """Words of each sentence that holds terms of a class, and of its copies: the class's terms moved on by 1, 2, ... members."""
+    of = {term: (c, i) for c, group in enumerate(classes) for i, term in enumerate(group)}
     out = []
     for sentence in SENTENCE.split(text.lower()):
         words = WORDS.findall(sentence)
-        if not _SWAP.keys().isdisjoint(words):
-            pair = ({f for w in ws for f in word_features(w)} for ws in (words, [_SWAP.get(w, w) for w in words]))
-            out.append(tuple(pair))
+        for c in sorted({of[w][0] for w in words if w in of}):
+            group = classes[c]
+            for step in range(1, len(group)):
+                out.append((words, [group[(of[w][1] + step) % len(group)] if w in of and of[w][0] == c else w for w in words]))
     return out
 
 
+def induced_classes(texts: Sequence[str], toxic: Sequence[int], words: Sequence[str], taken: Set[str] = frozenset()) -> list[list[str]]:
+    """Classes among ``words``: those that stand before and after the same words, in toxic texts and in clean ones."""
+    at = {w: i for i, w in enumerate(words)}
+    n = len(words)
+    slots = np.zeros((2, n, 2 * n + 2))
+    for text, label in zip(texts, toxic, strict=True):
+        ids = np.array([at.get(w, n) for w in WORDS.findall(text.lower())], dtype=np.int64)
+        left, right = ids[:-1], ids[1:]
+        known = left < n
+        np.add.at(slots[label], (left[known], right[known]), 1)
+        known = right < n
+        np.add.at(slots[label], (right[known], n + 1 + left[known]), 1)
+    shape = np.sqrt(slots)  # the cosine of square roots compares distributions
+    size = np.linalg.norm(shape, axis=2, keepdims=True)
+    shape /= np.maximum(size, 1e-9)
+    like = np.minimum(*(shape[k] @ shape[k].T for k in (0, 1)))
+    classes, free = [], [w not in taken for w in words]
+    for i in range(n):
+        if free[i]:
+            near = [j for j in np.argsort(-like[i], kind="stable").tolist() if j != i and free[j] and like[i, j] >= SLOT_LIKENESS]
+            if near:
+                group = [i, *near[: CLASS_SIZE - 1]]
+                classes.append([words[j] for j in group])
+                for j in group:
+                    free[j] = False
+    return classes
+
+
 @dataclass
 class Model:
     bias: float = 0.0
     weights: dict[str, float] = field(default_factory=dict)
+    pairs: int = 0
 
     def score(self, text: str) -> float:
         hits: set[str] = set()
         for word in set(WORDS.findall(text.lower())) if self.weights else ():
             found = self._known.get(word)
             if found is None:
-                if len(self._known) > 1 << 19:
+                if len(self._known) > 1 << 17:
                     self._known.clear()
                 found = self._known[word] = tuple(f for f in word_features(word) if f in self.weights)
             hits.update(found)
@@ -107,27 +148,54 @@ class Model:
         self._known: dict[str, tuple[str, ...]] = {}
 
     def __getstate__(self) -> tuple:
-        return self.bias, self.weights
+        return self.bias, self.weights, self.pairs
 
     def __setstate__(self, state: tuple) -> None:
-        self.bias, self.weights = state
+        self.bias, self.weights, self.pairs = state
         self._known = {}
 
 
-def _rows(sets: Iterable[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The row and column of every feature that is in ``index``."""
-    pairs = [(r, index[f]) for r, s in enumerate(sets) for f in sorted(s) if f in index]
-    return tuple(np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
-
-
-def _evidence(counts: np.ndarray, totals: np.ndarray) -> float:
-    """Likelihood ratio statistic that a feature is more frequent in one class."""
-    table = np.array([counts, totals - counts])
-    expected = np.outer(table.sum(axis=1), totals) / totals.sum()
-    return float(2 * (table * np.log(np.maximum(table, 1e-12) / np.maximum(expected, 1e-12))).sum())
-
-
-def fit(texts: list[str], toxic: list[int], penalty: float = 4.0, l1: float = 1e-3, steps: int = 400) -> Model:
+def _rows(texts: Iterable[Iterable[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The row and column of every feature in ``index`` of texts given as words."""
+    known: dict[str, tuple[int, ...]] = {}
+    rows, cols = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for r, words in enumerate(texts):
+        hits: set[int] = set()
+        for w in set(words):
+            if w not in known:
+                known[w] = tuple(index[f] for f in word_features(w) if f in index)
+            hits.update(known[w])
+        cols.append(np.array(sorted(hits), dtype=np.int64))
+        rows.append(np.full(len(hits), r, dtype=np.int64))
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def _evidence(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Likelihood ratio statistic that a feature is more frequent in one class; ``counts`` has a row per feature."""
+    table = np.stack([counts, totals - counts], axis=1).astype(float)
+    expected = table.sum(axis=2, keepdims=True) * totals / totals.sum()
+    return 2 * (table * np.log(np.maximum(table, 1e-12) / np.maximum(expected, 1e-12))).sum(axis=(1, 2))
+
+
+def _changes(pairs: Sequence[tuple[list[str], list[str]]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, feature, +1 or -1) of what each swap takes away and brings."""
+    (r0, c0), (r1, c1) = (_rows((p[side] for p in pairs), index) for side in (0, 1))
+    one, two = r0 * (len(index) + 1) + c0, r1 * (len(index) + 1) + c1
+    gone, new = ~np.isin(one, two), ~np.isin(two, one)
+    sign = np.concatenate([np.ones(gone.sum()), -np.ones(new.sum())])
+    return np.concatenate([r0[gone], r1[new]]), np.concatenate([c0[gone], c1[new]]), sign
+
+
+def fit(
+    texts: Sequence[str],
+    toxic: Sequence[int],
+    penalty: float = 4.0,
+    l1: float = 1e-3,
+    steps: int = 400,
+    classes: Sequence[Sequence[str]] = IDENTITIES,
+    induce: bool = True,
+    most_pairs: int = PAIRS,
+) -> Model:
     """A sparse classifier on (text, label); ``penalty`` weighs the mean squared change under swaps (0: none)."""
     y = np.array(toxic, dtype=float)
     if not len(y) or y.min() == y.max():
@@ -138,14 +206,28 @@ def fit(texts: list[str], toxic: list[int], penalty: float = 4.0, l1: float = 1e
         for f in features(text):
             counts.setdefault(f, [0, 0])[label] += 1
     totals = np.array([len(y) - y.sum(), y.sum()])
-    evidence = {f: _evidence(np.array(c), totals) for f, c in counts.items() if sum(c) >= LEAST_TEXTS}
-    known = sorted((f for f, e in evidence.items() if e >= EVIDENCE), key=lambda f: (-evidence[f], f))[:FEATURES]
+    names = [f for f, c in counts.items() if sum(c) >= LEAST_TEXTS]
+    table = np.array([counts[f] for f in names]).reshape(-1, 2)
+    evidence = dict(zip(names, _evidence(table, totals).tolist(), strict=True))
+    strong = sorted((f for f, e in evidence.items() if e >= EVIDENCE), key=lambda f: (-evidence[f], f))[:FEATURES]
+    swaps = [list(c) for c in classes]
+    if induce:
+        given = {w for c in swaps for w in c}
+        common = sorted((f for f, e in evidence.items() if e < EVIDENCE and f[-1] != "*"), key=lambda f: (-sum(counts[f]), f))[:SLOT_WORDS]
+        swaps += induced_classes(texts, toxic, common, given)
+    terms = {f for c in swaps for w in c for f in word_features(w) if f in evidence}
+    known = [*strong, *sorted(terms.difference(strong))]
     index = {f: i for i, f in enumerate(known)}
-    row, col = _rows(map(features, texts), index)
-    pairs = [p for t in texts for p in swapped_pairs(t)]
-    left, right = _rows([a - b for a, b in pairs], index), _rows([b - a for a, b in pairs], index)
-    d_row, d_col = np.concatenate([left[0], right[0]]), np.concatenate([left[1], right[1]])
-    sign = np.concatenate([np.ones(len(left[0])), -np.ones(len(right[0]))])
+    row, col = _rows((WORDS.findall(t.lower()) for t in texts), index)
+    held_by = {w for c in swaps for w in c}
+    sentences = sorted({s for t in texts for s in SENTENCE.split(t.lower()) if not held_by.isdisjoint(WORDS.findall(s))}, key=lambda s: (zlib.crc32(s.encode()), s))
+    pairs: list[tuple[list[str], list[str]]] = []
+    for sentence in sentences:
+        if len(pairs) >= most_pairs:
+            break
+        pairs += swapped_pairs(sentence, swaps)
+    pairs = pairs[:most_pairs]
+    d_row, d_col, sign = _changes(pairs, index)
 
     # hold out every fifth text for the threshold
     held = np.arange(len(y)) % 5 == 0
@@ -177,7 +259,7 @@ def fit(texts: list[str], toxic: list[int], penalty: float = 4.0, l1: float = 1e
     w, b = v[:k], v[k]
     z = b + np.bincount(row, weights=w[col], minlength=len(y))
     b += np.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut(z[held], y[held])
-    return Model(float(b), {f: float(x) for f, x in zip(known, w, strict=True) if abs(x) > 1e-6})
+    return Model(float(b), {f: float(x) for f, x in zip(known, w, strict=True) if abs(x) > 1e-6}, len(pairs))
 
 
 def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
@@ -192,20 +274,33 @@ def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 5, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    labels: DataFrame,
+    sample: int = SAMPLE,
+    seed: int = 5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sample_bytes: int = SAMPLE_BYTES,
+    **fit_options: Any,
 ) -> Model:
-    """Fit on the ``sample`` labelled rows of smallest seeded hash; the sample alone is sent around."""
+    """Fit on the ``sample`` labelled rows of smallest seeded hash, as many as ``sample_bytes`` hold; the sample alone is sent around."""
+    order = F.xxhash64("label_id", F.lit(seed)).alias("place")
     chosen = (
         labels.filter("toxic IS NOT NULL")
         .select(F.col(id_col).alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
         .filter("toxic IN (0, 1)")
-        .orderBy(F.xxhash64("label_id", F.lit(seed)), "label_id")
+        .select("label_id", "toxic", order)
+        .orderBy("place", "label_id")
         .limit(sample)
     )
     rows = docs.select(F.col(id_col).alias("label_id"), text_or_empty(text_col).alias("body"))
-    found = rows.join(F.broadcast(chosen), "label_id").select("label_id", "body", "toxic").toArrow()
-    found = found.sort_by([("label_id", "ascending"), ("body", "ascending")])
-    return fit(found.column("body").to_pylist(), found.column("toxic").to_pylist())
+    found = written(rows.join(F.broadcast(chosen), "label_id").select("label_id", "body", "toxic", "place", F.octet_length("body").cast("long").alias("size")))
+    sizes = found.groupBy("place").agg(F.sum("size").alias("size")).toPandas().sort_values("place")
+    within = sizes["place"][sizes["size"].cumsum() <= sample_bytes]
+    last = int(within.iloc[-1]) if len(within) else -(1 << 63)
+    table = found.filter(F.col("place") <= last).select("label_id", "body", "toxic").toArrow()
+    table = table.sort_by([("label_id", "ascending"), ("body", "ascending")])
+    return fit(table.column("body").to_pylist(), table.column("toxic").to_pylist(), **fit_options)
 
 
 def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -216,13 +311,13 @@ def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def score_documents(
     docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """Per input row: id, held_out, score, predicted."""
+    """Per input row: id, held_out, score, predicted, and the number of pairs that the model's penalty saw."""
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             scores = np.array([model.score(t.as_py()) for t in batch.column("body")], dtype=float)
             held = [zlib.crc32(i.encode()) % 4 == 2 if i is not None else False for i in batch.column("key").to_pylist()]
-            arrays = [batch.column("id"), pa.array(held, type=pa.bool_()), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
+            arrays = [batch.column("id"), pa.array(held, type=pa.bool_()), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(np.full(len(scores), model.pairs))]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
     schema = T.StructType(
@@ -231,6 +326,7 @@ def score_documents(
             T.StructField("held_out", T.BooleanType()),
             T.StructField("score", T.DoubleType()),
             T.StructField("predicted", T.IntegerType()),
+            T.StructField("pairs", T.LongType()),
         ]
     )
     key = F.col(id_col).cast("string").alias("key")

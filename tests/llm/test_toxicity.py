@@ -4,7 +4,7 @@ import zlib
 
 import pytest
 
-from screenloom.llm.toxicity import Model, clean_documents, fit, score_documents, swapped_pairs, train, training_labels
+from screenloom.llm.toxicity import Model, clean_documents, fit, induced_classes, score_documents, swapped_pairs, train, training_labels
 
 
 def sentences(n, seed=1):
@@ -38,8 +38,8 @@ def test_penalty_removes_the_weight_of_mentions():
 
 
 def test_swaps():
-    (a, b), *rest = swapped_pairs("The women sang. Nobody else did.")
-    assert "women" in a and "women" not in b and "men" in b and not rest
+    pairs = swapped_pairs("The women sang. Nobody else did.")
+    assert all("women" in a and "women" not in b for a, b in pairs) and {b[1] for _, b in pairs} == {"men", "girls", "boys"}
 
 
 def test_one_class_and_none():
@@ -89,3 +89,48 @@ def test_edges(tables, edge_docs, no_docs):
     kept = clean_documents(edge_docs, model)
     assert kept.columns == edge_docs.columns and kept.count() == edge_docs.count()
     assert clean_documents(docs, model).count() == sum(r.score < 0.3 for r in score_documents(docs, model).collect())
+
+
+def test_swaps_go_to_every_member():
+    pairs = swapped_pairs("A fox ran. Cats and a wolf slept. None.", [["fox", "wolf", "bear"], ["cats", "dogs"]])
+    got = [" ".join(b) for _, b in pairs]
+    assert got == ["a wolf ran", "a bear ran", "cats and a bear slept", "cats and a fox slept", "dogs and a wolf slept"]
+
+
+def test_induced_classes_share_slots_and_leave_insults_out():
+    rng = random.Random(3)
+    texts, labels = [], []
+    for i in range(800):
+        toxic = i % 4 == 0
+        words = []
+        for _ in range(10):
+            words += ["the", rng.choice(["fox", "wolf", "bear"]), rng.choice(["ran", "slept"])]
+        if toxic:
+            words.insert(4, rng.choice(["scum", "idiot"]))
+        texts.append(" ".join(words))
+        labels.append(int(toxic))
+    classes = induced_classes(texts, labels, ["the", "fox", "wolf", "bear", "ran", "slept"])
+    assert sorted(map(sorted, classes)) == [["bear", "fox", "wolf"], ["ran", "slept"]]
+    model = fit(texts, labels)
+    assert model.pairs > 0 and model.score("the scum ran") >= 0.3 > model.score("the fox ran")
+
+
+def test_the_query_path_reports_pairs_and_spares_neutral_mentions(spark):
+    """The whole path: train on the tables, score all documents. The penalty lowers calls of clean texts that name the group."""
+    rows = sentences(900)
+    clean = [f"lorem muslim {w} ipsum amet." for w in ("dolor", "tempor", "labore", "lorem")] * 10
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([t for t, _ in rows] + clean)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    calls = {}
+    for penalty in (0.0, 8.0):
+        got = score_documents(docs, train(docs, training_labels(labels), penalty=penalty)).collect()
+        assert {r.pairs for r in got} != {0} and len({r.pairs for r in got}) == 1
+        calls[penalty] = (sum(r.predicted for r in got if r.doc_id >= len(rows)), sum(r.predicted for r in got if r.doc_id < len(rows) and rows[r.doc_id][1]))
+    assert calls[8.0][0] < calls[0.0][0] or calls[0.0][0] == 0
+    assert calls[8.0][0] == 0 and calls[8.0][1] >= 0.95 * sum(y for _, y in rows)
+
+
+def test_the_sample_is_bounded_by_bytes(tables):
+    docs, labels, _ = tables
+    assert train(docs, labels, sample_bytes=0).weights == {}
+    assert train(docs, labels, sample_bytes=20_000).weights != train(docs, labels).weights
