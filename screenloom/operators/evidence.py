@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from screenloom.operators.grid import exact_percentile
+
 STATS = ["dp_sum", "dp_sumsq", "dp_cnt", "tested_cnt", "up_cnt", "down_cnt", "lfc_sum", "lfc_sumsq", "lfc_cnt"]
 COUNTS = [s for s in STATS if s.endswith("_cnt")]
 #: Largest values of the stored counts.
@@ -52,7 +54,7 @@ def clip_at(rows: DataFrame, percentile: float = 95.0) -> DataFrame:
     """One row ``clip``: exact percentile of abs(log2 fold change) over tested cells; 1 if it is 0 or there are none."""
     fc = F.col("fold_change").cast("double")
     value = F.abs(F.log2(F.when(F.col("tested") & (fc > 0) & (fc < float("inf")), fc)))
-    found = rows.agg(F.percentile(value, percentile / 100).alias("p"))
+    found = exact_percentile(rows.select(value.alias("size")), "size", percentile / 100).agg(F.max("p").alias("p"))
     return found.select(F.when(F.col("p") > 0, F.col("p")).otherwise(1.0).alias("clip"))
 
 

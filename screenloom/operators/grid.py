@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MISSING = -100
@@ -19,11 +20,42 @@ class Grid:
     bins: int
 
 
+def exact_percentile(rows: DataFrame, value: str, share: float, *keys: str, cells: int = 4096) -> DataFrame:
+    """(keys, p): exact, linearly interpolated percentile of finite values; groups without values have no row.
+
+    A histogram of equal cells between the least and the largest value finds the cells of the two ranks wanted; only
+    their values are put in order, ties counted together. So no task holds all values of a group.
+    """
+    v = F.col("v")
+    named = rows.select(*keys, F.col(value).cast("double").alias("v")).filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    named = named.withColumn("g", F.lit(0)) if not keys else named
+    by = list(keys) or ["g"]
+    position = share * (F.col("n") - 1)
+    ends = named.groupBy(*by).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    ends = ends.withColumns({"first": F.floor(position), "last": F.ceil(position), "part": position - F.floor(position)})
+    width = F.col("high") / cells - F.col("low") / cells
+    cell = F.when(width > 0, F.least(F.lit(cells - 1), F.floor((v - F.col("low")) / width))).otherwise(0)
+    placed = named.join(ends.select(*by, "low", "high"), by).select(*by, "v", cell.alias("cell"))
+    before = W.partitionBy(*by).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    counted = placed.groupBy(*by, "cell").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
+
+    def holds(rank: str, start: str, n: str) -> Column:
+        return (F.col(start) <= F.col(rank)) & (F.col(rank) < F.col(start) + F.col(n))
+
+    wanted = counted.join(ends, by).filter(holds("first", "before", "c") | holds("last", "before", "c"))
+    inside = placed.join(wanted.select(*by, "cell", "before"), [*by, "cell"]).groupBy(*by, "cell", "before", "v").agg(F.count("*").alias("m"))
+    below = W.partitionBy(*by, "cell").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+    ranked = inside.withColumn("at", F.col("before") + F.coalesce(F.sum("m").over(below), F.lit(0))).join(ends, by)
+    found = ranked.groupBy(*by).agg(
+        F.max(F.when(holds("first", "at", "m"), v)).alias("a"), F.max(F.when(holds("last", "at", "m"), v)).alias("b"), F.max("part").alias("part")
+    )
+    return found.select(*keys, ((1 - F.col("part")) * F.col("a") + F.col("part") * F.col("b")).alias("p"))
+
+
 def delta_percentiles(rows: DataFrame, percentile: float = 99.9) -> DataFrame:
     """(dataset, p): exact, linearly interpolated percentile of finite abs(delta); datasets without values have no row."""
-    value = F.abs(F.col("delta").cast("double"))
-    finite = rows.select("dataset", value.alias("v")).filter(~F.isnan("v") & (F.col("v") < float("inf")))
-    return finite.groupBy("dataset").agg(F.percentile("v", percentile / 100).alias("p"))
+    sized = rows.select("dataset", F.abs(F.col("delta").cast("double")).alias("size"))
+    return exact_percentile(sized, "size", percentile / 100, "dataset")
 
 
 def fit(percentiles: DataFrame, ratio: float = 1.1, override: float | None = None) -> DataFrame:
@@ -83,8 +115,6 @@ def readout(de_logits: Column, delta_logits: Column, top: Column, bins: Column,
 
 def control_features(means: DataFrame, *keys: str) -> DataFrame:
     """[z, log1p(100 z), z = 0] per gene; a context with any missing mean gives zeros throughout."""
-    from pyspark.sql import Window as W
-
     z = F.col("value").cast("double")
     odd = F.max(F.coalesce(F.isnan(z), F.lit(True)) | z.isNull()).over(W.partitionBy(*keys))
     three = F.array(z, F.log1p(100 * z), (z == 0).cast("double"))

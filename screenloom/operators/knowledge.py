@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TIE = 1e-10
 
@@ -70,14 +71,23 @@ def comparison_summary(new: DataFrame, reference: DataFrame) -> DataFrame:
     )
 
 
-def token_sample(lengths: DataFrame, size: int = 256) -> DataFrame:
-    """Systematic sample: every n-th of the keys whose two lengths agree, ``size`` at most."""
+def token_sample(lengths: DataFrame, size: int = 256, ranges: int = 64) -> DataFrame:
+    """Systematic sample: every n-th of the keys whose two lengths agree, ``size`` at most.
+
+    Keys are numbered range by range: a key's place is its place in its range, after the counts of the ranges before it.
+    """
     equal = lengths.filter(F.col("a_len") == F.col("b_len")).select("key")
-    numbered = equal.withColumns(
-        {"i": F.row_number().over(W.orderBy("key")) - 1, "n": F.count(F.lit(1)).over(W.partitionBy())}
-    )
-    step = F.greatest(F.lit(1), F.ceil(F.col("n") / size))
-    return numbered.filter(F.col("i") % step == 0).select("key")
+    # the ranges' upper ends, a row each; the same ones for counts and keys
+    tops = equal.repartitionByRange(ranges, "key").groupBy(F.spark_partition_id()).agg(F.max("key").alias("top")).collect()
+    bounds = F.array(*[F.lit(t) for t in sorted(r["top"] for r in tops)[:-1]]).cast(T.ArrayType(lengths.schema["key"].dataType))
+    dealt = equal.withColumn("part", F.size(F.filter(bounds, lambda b: b < F.col("key"))))
+    counts = dealt.groupBy("part").agg(F.count("*").alias("c"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+    numbered = dealt.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy("key")) - 1).join(starts, "part")
+    n = counts.agg(F.sum("c").alias("n")).scalar()
+    step = F.greatest(F.lit(1), F.ceil(n / size))
+    return numbered.filter((F.col("before") + F.col("k")) % step == 0).select("key")
 
 
 def token_vectors(tokens: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +22,9 @@ from screenloom.operators.counts import CONTROL, cell_totals
 
 @F.pandas_udf(T.DoubleType())
 def two_sided(z: pd.Series) -> pd.Series:
-    """Two-sided normal tail; the built-in functions have none."""
-    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v == v else np.nan)
+    """Two-sided normal tail; the built-in functions have none. Each distinct statistic is computed once."""
+    values, which = np.unique(np.abs(z.to_numpy(dtype=float)), return_inverse=True)
+    return pd.Series(np.array([math.erfc(v / math.sqrt(2)) for v in values.tolist()])[which])
 
 
 def ranksum(cells: DataFrame, counts: DataFrame, target: float = 10_000.0, control: str = CONTROL) -> DataFrame:
@@ -40,30 +41,38 @@ def ranksum(cells: DataFrame, counts: DataFrame, target: float = 10_000.0, contr
     sizes = cells.groupBy("context", "pert").agg(F.count("*").alias("size"))
     refs = sizes.filter(F.col("pert") == control).select("context", F.col("size").alias("n2"))
     tested = sizes.filter(F.col("pert") != control).select("context", "pert", F.col("size").alias("n1")).join(refs, "context")
-    ref_values = per_value.filter(F.col("pert") == control).select("context", "gene", "v", F.col("n").alias("c"))
+    is_ref = F.col("pert") == control
+    # per context and gene: the controls' counts at and below every value; no control value is copied to a perturbation
+    c = F.when(is_ref, F.col("n")).otherwise(0)
+    by_gene = W.partitionBy("context", "gene")
+    placed = per_value.withColumns(
+        {
+            "c_le": F.sum(c).over(by_gene.orderBy("v").rangeBetween(W.unboundedPreceding, W.currentRow)),
+            "c_eq": F.sum(c).over(W.partitionBy("context", "gene", "v")),
+        }
+    )
+
+    def tied(m: Column) -> Column:
+        return (m * m * m - m).cast("double")
+
+    t = F.col("n")
+    own = placed.filter(~is_ref).groupBy("context", "pert", "gene").agg(
+        F.sum("n").alias("t_pos"),
+        F.sum(t * (F.col("c_le") - F.col("c_eq") / 2.0)).alias("wins"),  # over the controls that hold the gene, ties by half
+        F.sum(tied(t + F.col("c_eq")) - tied(F.col("c_eq"))).alias("more_ties"),
+        F.sum(t * F.col("v")).alias("sum1"),
+    )
+    refs_by_gene = per_value.filter(is_ref).groupBy("context", "gene").agg(
+        F.sum("n").alias("c_pos"), F.sum(tied(F.col("n"))).alias("c_ties"), F.sum(F.col("n") * F.col("v")).alias("sum2")
+    )
     genes = per_value.select("context", "gene").distinct()
     pairs = tested.join(genes, "context")
-    # the union of values of a perturbation and of its controls, ranked once
-    from_ref = pairs.join(ref_values, ["context", "gene"]).select("context", "pert", "gene", "v", F.lit(0).cast("long").alias("t"), "c")
-    from_own = per_value.filter(F.col("pert") != control).select("context", "pert", "gene", "v", F.col("n").alias("t"), F.lit(0).cast("long").alias("c"))
-    levels = from_ref.unionByName(from_own).groupBy("context", "pert", "gene", "v").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    order = W.partitionBy("context", "pert", "gene").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    placed = levels.withColumn("below", F.coalesce(F.sum(F.col("t") + F.col("c")).over(order), F.lit(0)))
-    m = F.col("t") + F.col("c")
-    sums = placed.groupBy("context", "pert", "gene").agg(
-        F.sum("t").alias("t_pos"),
-        F.sum("c").alias("c_pos"),
-        F.sum(F.col("t") * (F.col("below") + (m + 1) / 2.0)).alias("rank_pos"),
-        F.sum((m * m * m - m).cast("double")).alias("ties"),
-        F.sum(F.col("t") * F.col("v")).alias("sum1"),
-        F.sum(F.col("c") * F.col("v")).alias("sum2"),
-    )
-    joined = sums.join(tested, ["context", "pert"])
-    zeros1, zeros = F.col("n1") - F.col("t_pos"), F.col("n1") + F.col("n2") - F.col("t_pos") - F.col("c_pos")
-    n = F.col("n1") + F.col("n2")
-    rank_sum = zeros1 * (zeros + 1) / 2.0 + F.col("rank_pos") + F.col("t_pos") * zeros
-    u = rank_sum - F.col("n1") * (F.col("n1") + 1) / 2.0
-    ties = F.col("ties") + (zeros * zeros * zeros - zeros).cast("double")
+    joined = pairs.join(own, ["context", "pert", "gene"], "left").join(refs_by_gene, ["context", "gene"], "left")
+    joined = joined.fillna(0, ["t_pos", "wins", "more_ties", "sum1", "c_pos", "c_ties", "sum2"]).filter("t_pos + c_pos > 0")
+    zeros1, zeros2 = F.col("n1") - F.col("t_pos"), F.col("n2") - F.col("c_pos")
+    n, zeros = F.col("n1") + F.col("n2"), zeros1 + zeros2
+    u = F.col("wins") + F.col("t_pos") * zeros2 + zeros1 * zeros2 / 2.0
+    ties = F.col("c_ties") + F.col("more_ties") + tied(zeros)
     spread = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.try_divide(ties, (n * (n - 1)).cast("double"))))
     return joined.select(
         "context",

@@ -307,4 +307,34 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT *, sum(ch) OVER (PARTITION BY shard ORDER BY ord) AS run FROM f),
         p AS (SELECT *, row_number() OVER (PARTITION BY shard, run ORDER BY ord) - 1 AS k FROM g)
         SELECT shard, ord, (sum((k % 2 = 0)::INT) OVER (PARTITION BY shard ORDER BY ord) - 1)::BIGINT AS batch FROM p""",
+    "loss_de": f"""WITH {PRED}, r AS (SELECT {KEY}, de, 4 * p - 2 AS x FROM pred WHERE lp IS NOT NULL),
+        w AS (SELECT *, least(1.5::DOUBLE, count(*) OVER (PARTITION BY {KEY}) / (2.0::DOUBLE * count(*) OVER (PARTITION BY {KEY}, de))) AS w FROM r)
+        SELECT round(avg((ln(1 + exp(x)) - CASE WHEN de THEN x ELSE 0 END) * w), 6) AS de_loss FROM w""",
+    "loss_lfc": f"""WITH {PRED}, h AS (SELECT de, gene = pert AS own, abs(coalesce(lp, 0) - lt) AS g, CASE WHEN g <= 1 THEN 0.5::DOUBLE * g * g ELSE g - 0.5 END AS h FROM pred)
+        SELECT round(coalesce(avg(h) FILTER (de AND NOT own), 0) + 2 * coalesce(avg(h) FILTER (de AND own), 0), 6) AS lfc_loss FROM h""",
+    "loss_direction": f"WITH {PRED} SELECT round(avg(greatest(0, -sign(lt) * coalesce(lp, 0) / 2.0::DOUBLE)) FILTER (de AND lt <> 0), 6) + 0.0 AS lfc_dir_loss FROM pred",
+    "loss_delta": f"""WITH {PRED}, b AS (SELECT {KEY}, gene, (delta_pred + 0.5) * 16 AS x, delta_true AS delta FROM pred),
+        u AS (SELECT {KEY}, gene, x, ln(list_sum(list_transform(range(17), lambda i: exp(-abs(i - x) / 4)))) AS lse, {UNIT} AS u, least(floor(u), 15) AS lo FROM b),
+        t AS (SELECT {KEY}, gene, x, lse, lo AS bin, 1 - (u - lo) AS w FROM u UNION ALL SELECT {KEY}, gene, x, lse, lo + 1, u - lo FROM u),
+        s AS (SELECT *, sum(w) OVER (PARTITION BY {KEY}, bin) AS soft FROM t), n AS (SELECT {KEY}, count(DISTINCT gene) AS n FROM t GROUP BY ALL),
+        c AS (SELECT {KEY}, gene, sum(w * (lse + abs(bin - x) / 4)) * sum(w * least(3.0::DOUBLE, n / (17 * greatest(soft, 1e-6::DOUBLE)))) AS l FROM s JOIN n USING ({KEY}) GROUP BY ALL)
+        SELECT round(avg(l), 6) AS dp_loss FROM c""",
+    "loss_total": f"""WITH {COND}, t AS (SELECT dataset, count(*) AS n, avg((l_partkey % 101) / 100.0::DOUBLE) AS a, avg(abs(log2(fold_change))) AS b, avg(abs(delta)) AS c FROM cond GROUP BY 1),
+        w AS (SELECT sum(a * n) / sum(n) AS a, sum(b * n) / sum(n) AS b, sum(c * n) / sum(n) AS c FROM t)
+        SELECT round(a, 6) AS de_loss, round(b, 6) AS lfc_loss, 0.5::DOUBLE AS lfc_dir_loss, round(c, 6) AS dp_loss, round(a + b + c + 0.5, 6) AS loss FROM w""",
+    "readout": f"""WITH {COND}, x AS (SELECT {KEY}, gene, (l_partkey % 101) / 100.0::DOUBLE AS p, list_transform(range(17), lambda i: -abs(i - ((l_partkey % 13) / 13.0::DOUBLE - 0.5 + 0.5) * 16) / 4 / 4.5::DOUBLE) AS l FROM cond)
+        SELECT {KEY}, gene, round(1 / (1 + exp(-(4 * p - 2) / 4.0::DOUBLE)), 6) AS p, round(((list_position(l, list_max(l)) - 1 + 0.5::DOUBLE) / 17 * 2 - 1) * {GRID}, 6) + 0.0 AS delta FROM x""",
+    "truth_targets": f"""WITH {COND} SELECT {KEY}, gene, fdr < 0.05::DOUBLE AS de, gene = pert AS target, CASE WHEN fdr < 0.05::DOUBLE AND fold_change > 0 THEN round(log2(fold_change), 6) + 0.0 END AS lfc FROM cond""",
+    "inconsistent_controls": f"WITH {PRED} SELECT DISTINCT dataset, context FROM (SELECT dataset, context, bool_or(delta_pred > 0.4::DOUBLE) AS holes, bool_and(delta_pred > 0.4::DOUBLE) AS bare FROM pred GROUP BY ALL) WHERE dataset = 'P' AND holes AND NOT bare",
+    "text_tiers": """SELECT c_name AS key, CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 0 THEN c_name END AS text,
+        CASE WHEN c_custkey % 5 = 0 THEN 0 WHEN c_custkey % 3 = 0 THEN 1 ELSE -1 END::BIGINT AS tier FROM customer""",
+    "unembedded": "SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
+    "uncovered_genes": """WITH a AS (SELECT DISTINCT p_brand || '|' || p_size AS gene FROM part WHERE p_size < 40), b AS (SELECT DISTINCT p_brand || '|' || p_size AS gene FROM part WHERE p_size > 10)
+        SELECT gene, 'not on the axis' AS "where" FROM a WHERE gene NOT IN (SELECT gene FROM b) UNION ALL SELECT gene, 'in no shard' FROM b WHERE gene NOT IN (SELECT gene FROM a)""",
+    "invalid_properties": """WITH r AS (SELECT p_partkey AS cid, ['MolecularWeight', 'TPSA', 'HBondDonorCount', 'Charge'][p_size % 4 + 1] AS field,
+            CASE p_partkey % 5 WHEN 0 THEN '-' || p_size WHEN 1 THEN p_size || '.5' WHEN 2 THEN 'x' ELSE p_size::VARCHAR END AS value, try_cast(value AS DOUBLE) AS v FROM part)
+        SELECT cid, field, value FROM r WHERE v IS NULL OR (field = 'MolecularWeight' AND v <= 0) OR (field IN ('TPSA', 'HBondDonorCount') AND v < 0) OR (field IN ('HBondDonorCount', 'Charge') AND v <> floor(v))""",
+    "window_means": """WITH v AS (SELECT vec_id AS key, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT key, v, unnest(range(1, len(v) + 1)) AS i FROM v),
+        m AS (SELECT key, i, (v[i] + (v[len(v) + 1 - i] + v[i]) / 2 + v[i]) / 3 AS x FROM p)
+        SELECT key, round(max(x) FILTER (i = 1), 6) + 0.0 AS first, round(sum(x), 6) + 0.0 AS total FROM m GROUP BY 1""",
 }

@@ -15,6 +15,7 @@ from screenloom.operators import evidence as E
 from screenloom.operators import grid as G
 from screenloom.operators import knowledge as K
 from screenloom.operators import labels as L
+from screenloom.operators import losses
 from screenloom.operators import metrics as M
 from screenloom.operators import sampling, splits
 from screenloom.operators.ranksum import adjusted, ranksum
@@ -371,6 +372,77 @@ def metric_aggregate(s: SparkSession, d: str) -> DataFrame:
     return rounded(M.aggregate_metrics(M.context_metrics(_ready(s, d))), *M.CONTEXT_METRICS)
 
 
+# --- losses and readout ---------------------------------------------------------------------------
+
+
+def _steps(x: Column) -> Column:
+    """17 logits that fall off around place ``x`` of the grid."""
+    return F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: -F.abs(i - x) / 4)
+
+
+def _row(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("row", F.concat_ws("|", *M.PAIR))
+
+
+@query
+def loss_de(s: SparkSession, d: str) -> DataFrame:
+    logits = F.array(F.lit(0.0), F.col("p_de") * 4 - 2)
+    rows = _row(screen.predictions(s, d)).select("row", "gene", logits.alias("logits"), F.col("de_true").cast("int").alias("target"), F.col("lfc_pred").isNotNull().alias("valid"))
+    return rounded(losses.de_loss(rows, 1.5), "de_loss")
+
+
+def _effects(s: SparkSession, d: str) -> DataFrame:
+    rows = screen.predictions(s, d)
+    return rows.select("dataset", F.coalesce("lfc_pred", F.lit(0.0)).alias("pred"), F.col("lfc_true").alias("lfc"), F.col("de_true").alias("mask"), (F.col("gene") == F.col("pert")).alias("own"))
+
+
+@query
+def loss_lfc(s: SparkSession, d: str) -> DataFrame:
+    return rounded(losses.lfc_loss(_effects(s, d), 2.0, 1.0), "lfc_loss")
+
+
+@query
+def loss_direction(s: SparkSession, d: str) -> DataFrame:
+    return rounded(losses.direction_loss(_effects(s, d), 2.0), "lfc_dir_loss")
+
+
+@query
+def loss_delta(s: SparkSession, d: str) -> DataFrame:
+    target = G.two_hot(F.col("delta_true"), *_grid())
+    rows = _row(screen.predictions(s, d)).select("row", "gene", _steps((F.col("delta_pred") + 0.5) * 16).alias("logits"), target.alias("target"), F.lit(True).alias("valid"))
+    return rounded(losses.delta_loss(rows, 3.0), "dp_loss")
+
+
+@query
+def loss_total(s: SparkSession, d: str) -> DataFrame:
+    """Terms of each dataset, here from its mean effects, weighted by its rows."""
+    terms = screen.predictions(s, d).groupBy("dataset").agg(
+        F.count("*").alias("rows"), F.avg("p_de").alias("de_loss"), F.avg(F.abs("lfc_true")).alias("lfc_loss"), F.avg("ctrl_mean").alias("lfc_dir_loss"), F.avg(F.abs("delta_true")).alias("dp_loss")
+    )
+    return rounded(losses.weighted_total(terms), "de_loss", "lfc_loss", "lfc_dir_loss", "dp_loss", "loss")
+
+
+@query
+def readout(s: SparkSession, d: str) -> DataFrame:
+    logits = F.array(F.lit(0.0), F.col("p_de") * 4 - 2)
+    p, delta = G.readout(logits, _steps((F.col("delta_pred") + 0.5) * 16), *_grid())
+    return rounded(screen.predictions(s, d).select(*E.OWN_KEY, p.alias("p"), delta.alias("delta")), "p", "delta")
+
+
+@query
+def truth_targets(s: SparkSession, d: str) -> DataFrame:
+    told = L.de_truth(screen.conditions(s, d))
+    target = L.lfc_target(F.col("fold_change"), F.col("de"))
+    return rounded(told.select(*E.OWN_KEY, "de", "target", F.when(~F.isnan(target), target).alias("lfc")), "lfc")
+
+
+@query
+def inconsistent_controls(s: SparkSession, d: str) -> DataFrame:
+    """Control means that are partly missing in the contexts of one dataset."""
+    odd = (F.col("dataset") == "P") & (F.col("delta_pred") > 0.4)
+    return M.inconsistent_controls(screen.predictions(s, d).withColumn("ctrl_mean", F.when(~odd, F.col("ctrl_mean"))))
+
+
 # --- knowledge ------------------------------------------------------------------------------------
 
 
@@ -559,6 +631,45 @@ def json_flatten(s: SparkSession, d: str) -> DataFrame:
     return events.select("event_id", F.explode(value).alias("p")).select("event_id", F.col("p.k").alias("k"))
 
 
+@query
+def text_tiers(s: SparkSession, d: str) -> DataFrame:
+    customers = screen.load(s, d, "customer")
+    tiers = [customers.filter(f"c_custkey % {m} = 0").select(F.col("c_name").alias("key"), F.col(c).alias("text")) for m, c in ((5, "c_mktsegment"), (3, "c_name"))]
+    return K.first_of_tiers(customers.select(F.col("c_name").alias("key")), *tiers).withColumn("tier", F.coalesce("tier", F.lit(-1)).cast("long"))
+
+
+@query
+def unembedded(s: SparkSession, d: str) -> DataFrame:
+    """Customers without an urgent order have no vector yet."""
+    keys = screen.load(s, d, "customer").select(F.col("c_custkey").alias("key"))
+    return K.unembedded(screen.load(s, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("key")), keys)
+
+
+@query
+def uncovered_genes(s: SparkSession, d: str) -> DataFrame:
+    parts = screen.load(s, d, "part").select(F.concat_ws("|", "p_brand", "p_size").alias("gene"), "p_size")
+    return K.uncovered_genes(parts.filter("p_size < 40").select("gene"), parts.filter("p_size > 10").select("gene").distinct())
+
+
+@query
+def invalid_properties(s: SparkSession, d: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in ("MolecularWeight", "TPSA", "HBondDonorCount", "Charge")])
+    size = F.col("p_size").cast("string")
+    value = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("-"), size)).when(F.col("p_partkey") % 5 == 1, F.concat(size, F.lit(".5"))).when(F.col("p_partkey") % 5 == 2, "x").otherwise(size)
+    rows = screen.load(s, d, "part").select(F.col("p_partkey").alias("cid"), F.element_at(names, (F.col("p_size") % 4 + 1).cast("int")).alias("field"), value.alias("value"))
+    return K.invalid_properties(rows)
+
+
+@query
+def window_means(s: SparkSession, d: str) -> DataFrame:
+    """Two windows of two states for each vector, the second starting on the first one's last place."""
+    vectors = screen.load(s, d, "embeddings").select(F.col("vec_id").alias("key"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    starts = F.explode(F.array(F.lit(0), F.lit(1))).alias("start")
+    windows = vectors.select("key", "v", starts).select("key", "start", F.array("v", F.when(F.col("start") == 0, F.reverse("v")).otherwise(F.col("v"))).alias("states"))
+    means = K.window_means(windows)
+    return rounded(means.select("key", F.get("vector", 0).alias("first"), F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("total")), "first", "total")
+
+
 # --- sampling -------------------------------------------------------------------------------------
 
 

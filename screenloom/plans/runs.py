@@ -80,7 +80,7 @@ def run_prep(spark: SparkSession, cfg: Prep) -> str:
     raw = readers.read_labels(spark, cfg.labels, cfg.table.columns, cfg.table.context_from)
     labels = L.normalize_labels(raw, cfg.table.lower, cfg.table.context_map, cfg.table.drug_dose)
     must_be_empty({"pair in several files": L.pairs_in_several_files(labels)})
-    last = L.last_wins(labels, "ord")
+    last = L.last_wins(labels, "file", "ord")
     if cfg.genes is not None:
         axis = readers.read_gene_list(spark, cfg.genes)
     else:

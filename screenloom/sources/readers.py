@@ -29,7 +29,7 @@ def read_labels(spark: SparkSession, path: str, columns: Mapping[str, str], cont
     """(context, pert, gene, fdr, fold_change, file, ord) of CSV or Parquet files; only mapped columns are read.
 
     ``columns`` maps roles to columns; it names a context exactly when the context comes from a column. ``ord``
-    grows with the place in a file for files read in one split.
+    is the place in the file, however it is split: the split's first byte, then the row's number in it.
     """
     if ("context" in columns) != (context_from == "column"):
         raise ValueError("a context column is named exactly when the context comes from one")
@@ -38,7 +38,7 @@ def read_labels(spark: SparkSession, path: str, columns: Mapping[str, str], cont
     meta = {"file": F.col("_metadata.file_path")}
     if context_from != "column":
         meta["file_context"] = file_context(context_from)
-    told = df.withColumns(meta | {"ord": F.monotonically_increasing_id()})
+    told = df.withColumns(meta | {"ord": F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))})
     roles = dict(columns) | {"file": "file", "ord": "ord"} | ({"context": "file_context"} if context_from != "column" else {})
     mapped = map_columns(told, roles)
     return mapped.withColumns({c: F.col(c).cast("double") for c in NUMBERS if c in columns})

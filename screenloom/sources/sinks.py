@@ -33,8 +33,14 @@ def prediction_lists(pred: DataFrame, axis: DataFrame) -> DataFrame:
 
 
 def write_artifact(tables: Mapping[str, DataFrame], meta: Mapping[str, object], path: str, overwrite: bool = False) -> None:
-    """Several tables under one folder, and last their ``meta``: a folder without it is not complete."""
+    """Several tables under one folder, and last their ``meta``: a folder without it is not complete.
+
+    On overwrite the old ``meta`` goes first, so that a run that breaks off leaves no folder that seems whole.
+    """
     spark: SparkSession = next(iter(tables.values())).sparkSession
+    if overwrite:
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
     for name, df in tables.items():
         write_table(df, f"{path}/{name}", overwrite)
     write_table(spark.createDataFrame([(json.dumps(dict(meta), sort_keys=True, separators=(",", ":")),)], "meta string"), f"{path}/meta", overwrite)
