@@ -2,13 +2,14 @@
 
 A sketch keeps every shingle hash up to a fixed fraction of the hash range, so sketches of any two
 documents are samples of the same hashes: they merge by union, and shares of one text in another
-are estimated however unequal the two are. A text too short to have ``least`` hashes below the
-threshold keeps its ``least`` smallest, and with them a threshold of its own; a comparison uses
-the lower of two thresholds. Everything is one expression on the text column, without a shuffle.
+are estimated however unequal the two are. A sketch carries its threshold; a comparison and a merge use
+the lower of two. The parameter ``least`` raises the threshold of a text that has fewer hashes below the fraction,
+so far that its ``least`` smallest are kept: short texts then keep a sketch that tells something. 0 switches that
+off. Everything is one expression on the text column, without a shuffle.
 
 ``near_neighbours`` edits each text with the start of the next document's. Documents are dealt by
-ranges of ids (bounds from a percentile sketch, found by binary search in the plan), and each range
-receives a copy of the next range's first document, so no global window is needed.
+ranges of ids (bounds from a percentile sketch, for ids that are no numbers from Spark's range partitioning; found by
+binary search in the plan), and each range receives a copy of the next range's first document, so no global window is needed.
 
 Defined results. Null text is the empty text. Texts without words have an empty sketch: likeness 1
 to each other and 0 to all others. Fewer words than a shingle: the whole sequence is one. Order is
@@ -21,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from screenloom.llm.common import text_or_empty
 
@@ -75,17 +77,28 @@ def likeness(a: Column, b: Column, jaccard: bool = False) -> Column:
     return F.when(base > 0, both / base).otherwise(empty)
 
 
+def merged(a: Column, b: Column) -> Column:
+    """The sketch of two texts' shingles together, known up to the lower of the two thresholds."""
+    limit = F.least(a["limit"], b["limit"])
+    both = F.array_sort(F.array_union(a["hashes"], b["hashes"]))
+    return F.struct(F.filter(both, lambda h: h <= limit).alias("hashes"), limit.alias("limit"))
+
+
+def _bounds(rows: DataFrame, ranges: int) -> list:
+    """Ids that part the rows into about that many ranges, ascending."""
+    if isinstance(rows.schema["id"].dataType, T.NumericType) and not isinstance(rows.schema["id"].dataType, T.DecimalType):
+        shares = [(i + 1) / ranges for i in range(ranges - 1)]
+        return sorted(set(rows.agg(F.percentile_approx("id", shares, max(10_000, 8 * ranges))).first()[0] or ()))
+    tops = rows.filter("id IS NOT NULL").repartitionByRange(ranges, "id").groupBy(F.spark_partition_id()).agg(F.max("id").alias("top"))
+    return sorted({r["top"] for r in tops.collect()})[:-1]  # a row per range
+
+
 def _ranges(rows: DataFrame) -> Column:
-    """Number of the row's range of ids; about RANGE_ROWS rows each, equal ids together."""
-    n = rows.count()
-    most = min(MOST_RANGES, n // RANGE_ROWS)
-    if most < 1:
-        return F.lit(0)
-    shares = [(i + 1) / (most + 1) for i in range(most)]
-    bounds = rows.agg(F.percentile_approx("id", shares, max(10_000, 8 * most))).first()[0]
-    if bounds is None:
+    """Number of the row's range of ids; about RANGE_ROWS rows each, equal ids together; ids of any type in order."""
+    most = min(MOST_RANGES, rows.count() // RANGE_ROWS)
+    bounds = _bounds(rows, most + 1) if most else []
+    if not bounds:
         return F.lit(0)
-    bounds = sorted(set(bounds))
     depth = len(bounds).bit_length()
     padded = F.lit(bounds + [bounds[-1]] * ((1 << depth) - len(bounds)))
     # binary search for the number of bounds that lie below the id; steps beyond the bounds are not taken
@@ -97,7 +110,7 @@ def _ranges(rows: DataFrame) -> Column:
     )
 
 
-def near_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float = FRACTION, least: int = LEAST) -> DataFrame:
     """Per input row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (and Jaccard estimates)."""
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
     rows = rows.withColumn("th", F.xxhash64("body"))
@@ -112,7 +125,7 @@ def near_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     match = rows["id"].eqNullSafe(F.col("key.id")) & (rows["th"] == F.col("key.th"))
     guests = rows.join(F.broadcast(following), match).dropDuplicates(["into"])
     guests = guests.select("id", "th", "body", F.col("into").alias("range"), F.lit(1).alias("guest"))
-    sketched = with_sketch(rows.withColumn("guest", F.lit(0)).unionByName(guests), F.col("body"), "own")
+    sketched = with_sketch(rows.withColumn("guest", F.lit(0)).unionByName(guests), F.col("body"), "own", fraction=fraction, least=least)
     lined = W.partitionBy("range").orderBy("guest", "id", "th")
     paired = sketched.select(
         "id", "guest", "body", "own", F.lead("body").over(lined).alias("next_body"), F.lead("own").over(lined).alias("next_own")
@@ -121,7 +134,7 @@ def near_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("body", F.lit(1), n - half), F.substring("next_body", F.lit(1), half))
     made = paired.select("id", "own", "next_own", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    done = with_sketch(made, F.col("edited"), "new")
+    done = with_sketch(made, F.col("edited"), "new", fraction=fraction, least=least)
     own, new, after = F.col("own"), F.col("new"), F.col("next_own")
     return done.select(
         F.col("id").alias(id_col),

@@ -1,15 +1,16 @@
 import collections
 import hashlib
 import math
-import time
+import random
 import re
 import struct
+import time
 
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from screenloom.llm.fingerprint import FRACTION, LEAST, near_neighbours
+from screenloom.llm.fingerprint import FRACTION, LEAST, RANGE_ROWS, merged, near_neighbours, with_sketch
 from screenloom.llm.queries import URL_RULES
 from screenloom.llm.url_filter import CLASS_OF, address_parts, judge_pages, rule_columns
 
@@ -175,3 +176,29 @@ def test_long_addresses_take_linear_time(spark):
     began = time.time()
     assert len(judge_pages(df, URL_RULES).collect()) == 2
     assert time.time() - began < 60
+
+
+def test_merged_sketches_are_those_of_the_joined_texts(spark):
+    """Thresholds that differ included: a short text keeps its few hashes under a threshold of its own."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (3, 9, 40, 400, 4000)]
+    rows = [(i * 10 + j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, a string, b string")
+    for least in (0, 8):
+        told = with_sketch(with_sketch(df, F.col("a"), "x", least=least), F.col("b"), "y", least=least)
+        for r in told.select("doc_id", "x", "y", merged(F.col("x"), F.col("y")).alias("m")).collect():
+            limit = min(r.x.limit, r.y.limit)
+            assert r.m.limit == limit
+            assert r.m.hashes == sorted({h for h in [*r.x.hashes, *r.y.hashes] if h <= limit})
+
+
+def test_ids_of_any_type_and_any_number(spark):
+    """Above RANGE_ROWS rows several ranges are formed; text ids go in their own order."""
+    n = 2 * RANGE_ROWS + 100
+    rows = [(f"id{i:06}", f"text {i} of some words and more of them") for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: r.edited_sha256 for r in near_neighbours(df).select("doc_id", "edited_sha256").collect()}
+    assert len(got) == n
+    for i, (key, text) in enumerate(rows):
+        after, half = rows[(i + 1) % n][1], len(text) // 2
+        assert got[key] == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
