@@ -24,8 +24,10 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence, Set
 from dataclasses import dataclass, field
+from itertools import islice
 from typing import Any
 
 import numpy as np
@@ -85,17 +87,37 @@ def features(text: str) -> set[str]:
     return {f for w in set(WORDS.findall(text.lower())) for f in word_features(w)}
 
 
-def swapped_pairs(text: str, classes: Sequence[Sequence[str]] = IDENTITIES) -> list[tuple[list[str], list[str]]]:
-    """Words of each sentence that holds terms of a class, and of its copies: the class's terms moved on by 1, 2, ... members."""
+Pair = tuple[list[str], list[str]]
+
+
+def _swaps(sentences: Iterable[str], classes: Sequence[Sequence[str]]) -> Iterator[Pair]:
     of = {term: (c, i) for c, group in enumerate(classes) for i, term in enumerate(group)}
-    out = []
-    for sentence in SENTENCE.split(text.lower()):
+    for sentence in sentences:
         words = WORDS.findall(sentence)
         for c in sorted({of[w][0] for w in words if w in of}):
             group = classes[c]
             for step in range(1, len(group)):
-                out.append((words, [group[(of[w][1] + step) % len(group)] if w in of and of[w][0] == c else w for w in words]))
-    return out
+                yield words, [group[(of[w][1] + step) % len(group)] if w in of and of[w][0] == c else w for w in words]
+
+
+def swapped_pairs(text: str, classes: Sequence[Sequence[str]] = IDENTITIES) -> list[Pair]:
+    """Words of each sentence that holds terms of a class, and of its copies: the class's terms moved on by 1, 2, ... members."""
+    return list(_swaps(SENTENCE.split(text.lower()), classes))
+
+
+def held_sentences(texts: Iterable[str], terms: Set[str], most: int) -> list[str]:
+    """The ``most`` distinct sentences of smallest hash that hold a term; no more than twice as many are held at once."""
+    kept: set[tuple[int, str]] = set()
+    top = 1 << 32
+    for text in texts:
+        for s in SENTENCE.split(text.lower()):
+            key = zlib.crc32(s.encode())
+            if key <= top and not terms.isdisjoint(WORDS.findall(s)):
+                kept.add((key, s))
+                if len(kept) > 2 * most:
+                    kept = set(sorted(kept)[:most])
+                    top = max(kept, default=(-1, ""))[0]
+    return [s for _, s in sorted(kept)[:most]]
 
 
 def induced_classes(texts: Sequence[str], toxic: Sequence[int], words: Sequence[str], taken: Set[str] = frozenset()) -> list[list[str]]:
@@ -177,13 +199,27 @@ def _evidence(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return 2 * (table * np.log(np.maximum(table, 1e-12) / np.maximum(expected, 1e-12))).sum(axis=(1, 2))
 
 
-def _changes(pairs: Sequence[tuple[list[str], list[str]]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair, feature, +1 or -1) of what each swap takes away and brings."""
-    (r0, c0), (r1, c1) = (_rows((p[side] for p in pairs), index) for side in (0, 1))
-    one, two = r0 * (len(index) + 1) + c0, r1 * (len(index) + 1) + c1
-    gone, new = ~np.isin(one, two), ~np.isin(two, one)
-    sign = np.concatenate([np.ones(gone.sum()), -np.ones(new.sum())])
-    return np.concatenate([r0[gone], r1[new]]), np.concatenate([c0[gone], c1[new]]), sign
+def _changes(pairs: Iterable[Pair], index: dict[str, int]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of pairs, and (pair, feature, +1 or -1) of what each swap takes away and brings; one pair is held at a time."""
+    known: dict[str, tuple[int, ...]] = {}
+
+    def columns(words: list[str]) -> set[int]:
+        for w in set(words).difference(known):
+            known[w] = tuple(index[f] for f in word_features(w) if f in index)
+        return {c for w in set(words) for c in known[w]}
+
+    sides: tuple[list[tuple[int, int]], list[tuple[int, int]]] = ([], [])
+    n, last, own = 0, None, set()
+    for words, other in pairs:
+        if words is not last:
+            last, own = words, columns(words)
+        changed = columns(other)
+        sides[0].extend((n, c) for c in sorted(own - changed))
+        sides[1].extend((n, c) for c in sorted(changed - own))
+        n += 1
+    gone, new = (np.array(side, dtype=np.int64).reshape(-1, 2) for side in sides)
+    both = np.concatenate([gone, new])
+    return n, both[:, 0].copy(), both[:, 1].copy(), np.concatenate([np.ones(len(gone)), -np.ones(len(new))])
 
 
 def fit(
@@ -201,53 +237,47 @@ def fit(
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(bias=float(np.log(share / (1 - share))) if 0 < share < 1 else (-40.0 if share == 0 else 40.0))
-    counts: dict[str, list[int]] = {}
+    clean, bad = Counter(), Counter()
     for text, label in zip(texts, toxic, strict=True):
-        for f in features(text):
-            counts.setdefault(f, [0, 0])[label] += 1
+        (bad if label else clean).update(features(text))
     totals = np.array([len(y) - y.sum(), y.sum()])
-    names = [f for f, c in counts.items() if sum(c) >= LEAST_TEXTS]
-    table = np.array([counts[f] for f in names]).reshape(-1, 2)
+    names = [f for f in {**clean, **bad} if clean[f] + bad[f] >= LEAST_TEXTS]
+    table = np.array([(clean[f], bad[f]) for f in names]).reshape(-1, 2)
+    frequency = dict(zip(names, table.sum(axis=1).tolist(), strict=True))
+    del clean, bad  # most words stand in few texts
     evidence = dict(zip(names, _evidence(table, totals).tolist(), strict=True))
     strong = sorted((f for f, e in evidence.items() if e >= EVIDENCE), key=lambda f: (-evidence[f], f))[:FEATURES]
     swaps = [list(c) for c in classes]
     if induce:
         given = {w for c in swaps for w in c}
-        common = sorted((f for f, e in evidence.items() if e < EVIDENCE and f[-1] != "*"), key=lambda f: (-sum(counts[f]), f))[:SLOT_WORDS]
+        common = sorted((f for f, e in evidence.items() if e < EVIDENCE and f[-1] != "*"), key=lambda f: (-frequency[f], f))[:SLOT_WORDS]
         swaps += induced_classes(texts, toxic, common, given)
     terms = {f for c in swaps for w in c for f in word_features(w) if f in evidence}
     known = [*strong, *sorted(terms.difference(strong))]
     index = {f: i for i, f in enumerate(known)}
     row, col = _rows((WORDS.findall(t.lower()) for t in texts), index)
-    held_by = {w for c in swaps for w in c}
-    sentences = sorted({s for t in texts for s in SENTENCE.split(t.lower()) if not held_by.isdisjoint(WORDS.findall(s))}, key=lambda s: (zlib.crc32(s.encode()), s))
-    pairs: list[tuple[list[str], list[str]]] = []
-    for sentence in sentences:
-        if len(pairs) >= most_pairs:
-            break
-        pairs += swapped_pairs(sentence, swaps)
-    pairs = pairs[:most_pairs]
-    d_row, d_col, sign = _changes(pairs, index)
+    sentences = held_sentences(texts, {w for c in swaps for w in c}, most_pairs)  # each makes a pair at least
+    n_pairs, d_row, d_col, sign = _changes(islice(_swaps(sentences, swaps), most_pairs), index)
 
     # hold out every fifth text for the threshold
     held = np.arange(len(y)) % 5 == 0
     weight = np.where(held, 0.0, np.where(y > 0, 0.5 / max(1, (y * ~held).sum()), 0.5 / max(1, ((1 - y) * ~held).sum())))
     n, k = len(y), len(known)
-    strength = penalty / max(1, len(pairs))
+    strength = penalty / max(1, n_pairs)
 
     def slope(v: np.ndarray) -> np.ndarray:
         """Gradient at (weights, bias) of the weighted logistic loss and half the counterfactual penalty."""
         z = v[k] + np.bincount(row, weights=v[col], minlength=n)
         error = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        change = np.bincount(d_row, weights=sign * v[d_col], minlength=len(pairs) or 1)
+        change = np.bincount(d_row, weights=sign * v[d_col], minlength=n_pairs or 1)
         pull = strength * np.bincount(d_col, weights=sign * change[d_row], minlength=k)
         return np.append(np.bincount(col, weights=error[row], minlength=k) + pull, error.sum())
 
     # accelerated proximal gradient; the step follows from row sums, which bound the largest curvature
     sizes = np.bincount(row, minlength=n) + 1
     curve = 0.25 * np.bincount(col, weights=(weight * sizes)[row], minlength=k).max(initial=0) + 0.25 * float(weight @ sizes)
-    if len(pairs):
-        changed = np.bincount(d_row, minlength=len(pairs))
+    if n_pairs:
+        changed = np.bincount(d_row, minlength=n_pairs)
         curve += strength * np.bincount(d_col, weights=changed[d_row], minlength=k).max(initial=0)
     v = ahead = np.zeros(k + 1)
     momentum = 1.0
@@ -259,7 +289,7 @@ def fit(
     w, b = v[:k], v[k]
     z = b + np.bincount(row, weights=w[col], minlength=len(y))
     b += np.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut(z[held], y[held])
-    return Model(float(b), {f: float(x) for f, x in zip(known, w, strict=True) if abs(x) > 1e-6}, len(pairs))
+    return Model(float(b), {f: float(x) for f, x in zip(known, w, strict=True) if abs(x) > 1e-6}, n_pairs)
 
 
 def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
@@ -295,12 +325,14 @@ def train(
     )
     rows = docs.select(F.col(id_col).alias("label_id"), text_or_empty(text_col).alias("body"))
     found = written(rows.join(F.broadcast(chosen), "label_id").select("label_id", "body", "toxic", "place", F.octet_length("body").cast("long").alias("size")))
-    sizes = found.groupBy("place").agg(F.sum("size").alias("size")).toPandas().sort_values("place")
-    within = sizes["place"][sizes["size"].cumsum() <= sample_bytes]
-    last = int(within.iloc[-1]) if len(within) else -(1 << 63)
+    sizes = found.groupBy("place").agg(F.sum("size").alias("size")).toArrow().sort_by("place")
+    within = sizes["place"].to_numpy()[np.cumsum(sizes["size"].to_numpy()) <= sample_bytes]
+    last = int(within[-1]) if len(within) else -(1 << 63)
     table = found.filter(F.col("place") <= last).select("label_id", "body", "toxic").toArrow()
     table = table.sort_by([("label_id", "ascending"), ("body", "ascending")])
-    return fit(table.column("body").to_pylist(), table.column("toxic").to_pylist(), **fit_options)
+    texts, toxic = table.column("body").to_pylist(), table.column("toxic").to_pylist()
+    del table  # the driver holds the texts once
+    return fit(texts, toxic, **fit_options)
 
 
 def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

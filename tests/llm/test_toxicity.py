@@ -4,7 +4,7 @@ import zlib
 
 import pytest
 
-from screenloom.llm.toxicity import Model, clean_documents, fit, induced_classes, score_documents, swapped_pairs, train, training_labels
+from screenloom.llm.toxicity import WORDS, Model, clean_documents, fit, held_sentences, induced_classes, score_documents, swapped_pairs, train, training_labels
 
 
 def sentences(n, seed=1):
@@ -134,3 +134,13 @@ def test_the_sample_is_bounded_by_bytes(tables):
     docs, labels, _ = tables
     assert train(docs, labels, sample_bytes=0).weights == {}
     assert train(docs, labels, sample_bytes=20_000).weights != train(docs, labels).weights
+
+
+def test_held_sentences_are_the_smallest_of_all():
+    rng = random.Random(11)
+    texts = [". ".join(" ".join(rng.choice(["a", "b", "c", "fox", "wolf"]) for _ in range(rng.randint(0, 5))) for _ in range(8)) for _ in range(300)]
+    every = {s for t in texts for s in t.split(".") if {"fox", "wolf"} & set(WORDS.findall(s))}
+    ranked = sorted(every, key=lambda s: (zlib.crc32(s.encode()), s))
+    assert len(ranked) > 200
+    for most in (0, 1, 7, 60, 100_000):
+        assert held_sentences(texts, {"fox", "wolf"}, most) == ranked[:most]
