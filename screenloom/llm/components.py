@@ -2,8 +2,9 @@
 
 Every round is two aggregations and two equi-joins over the edge table; a node of very many
 edges is pre-aggregated before the shuffle and its join side can be split by adaptive execution.
-Nothing but two numbers (edge count and checksum) reaches the driver. Each round is cut by a
-checkpoint. The number of rounds grows with the logarithm of the longest path.
+One number (a test for stars) reaches the driver. Each round ends in a written table, which is read
+in as many tasks as its size asks for, however many wrote it. The number of rounds grows with the
+logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -11,31 +12,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenloom.llm.common import cut_lineage
+from screenloom.llm.common import written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) long pairs -> (node, root): the smallest node reachable; nodes without edges are absent."""
-    state = _fixed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    while True:
-        current, mark = state
-        if not mark[0]:
-            break
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    stars = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while not _all_stars(stars):
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = _fixed(small.unionByName(lowest.select("u", F.col("m").alias("v"))))
-        if state[1] == mark:
-            break
-    stars = state[0]
+        # a neighbour and the node itself both go to the least neighbour; rows of one node stand together, so most repeats end before the exchange
+        small = large.join(lowest, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        stars = written(small.filter("u <> v").distinct())
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
 
 
-def _fixed(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    kept = cut_lineage(edges.distinct())
-    mark = kept.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return kept, (mark[0], mark[1])
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down to a node that has none; distinct (u, v) with v < u."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return nodes.filter("down > 1 OR down + up > 1").isEmpty()

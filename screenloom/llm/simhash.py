@@ -198,7 +198,7 @@ def _shares(pairs: DataFrame, marked: DataFrame) -> DataFrame:
     known = marked.select("node", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"])
     both = pairs.join(known.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
     both = both.join(known.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
-    return cut_lineage(map_batches(both, compare, "a long, b long, share double"))
+    return written(map_batches(both, compare, "a long, b long, share double"))
 
 
 def _verified(pairs: DataFrame, marked: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -222,7 +222,7 @@ def _verified(pairs: DataFrame, marked: DataFrame, texts: DataFrame, width: int,
     both = unsure.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
     both = both.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
     sure = shares.filter(F.col("share") >= high).select("a", "b")
-    return cut_lineage(sure.unionByName(map_batches(both, verify, "a long, b long")))
+    return written(sure.unionByName(map_batches(both, verify, "a long, b long")))
 
 
 def _partners() -> list[Column]:
@@ -252,7 +252,7 @@ def open_pairs(rows: DataFrame, roots: DataFrame, marked: DataFrame, crowd: int
         named = rows.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
         groups = named.groupBy("bucket", "root").agg(F.array_distinct(F.array(*_partners())).alias("members"))
         several = groups.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        groups = cut_lineage(groups.join(several, "bucket"))
+        groups = written(groups.join(several, "bucket"))
         listed = groups.filter(F.col("n") <= crowd).groupBy("bucket").agg(F.collect_list(F.struct("root", "members")).alias("c"))
         crossed = listed.select("c", F.explode("c").alias("p")).select("p", F.explode("c").alias("q")).filter("p.root < q.root")
         crossed = crossed.select(F.explode("p.members").alias("node"), F.col("q.members").alias("others")).select("node", F.explode("others").alias("partner"))
@@ -262,23 +262,24 @@ def open_pairs(rows: DataFrame, roots: DataFrame, marked: DataFrame, crowd: int
             return functools.reduce(DataFrame.unionByName, found).distinct()
         # bands in ascending order of their keys, so that each set of bands is met once
         keys = marked.select("node", "buckets").join(crowded.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-        first = F.coalesce(*([F.col("band")] if "band" in rows.columns else []), "bucket")
-        bands = rows.select("node", "bucket", first.alias("band")).distinct()
+        # rows of a later turn are distinct already
+        bands = rows if "band" in rows.columns else rows.withColumn("band", F.col("bucket")).distinct()
         further = crowded.join(bands, ["node", "bucket"]).join(keys, "node").select("node", "bucket", F.explode(F.filter("buckets", lambda k: k > F.col("band"))).alias("band"))
-        rows = cut_lineage(further.select("node", F.xxhash64("bucket", "band").alias("bucket"), "band"))
+        rows = written(further.select("node", F.xxhash64("bucket", "band").alias("bucket"), "band"))
 
 
 def similar_components(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """(node, body), equal nodes having equal bodies -> components (node, root) of the similar ones."""
     marked = _sketched(texts, width)
     rows = marked.select("node", F.explode("buckets").alias("bucket"))
-    pairs = cut_lineage(star_pairs(rows))
+    pairs = written(star_pairs(rows))
     links = _verified(pairs, marked, texts, width, similarity)
     roots = components(links)
-    missed = cut_lineage(open_pairs(rows, roots, marked).join(pairs, ["a", "b"], "left_anti"))
+    missed = written(open_pairs(rows, roots, marked).join(pairs, ["a", "b"], "left_anti"))
     if missed.isEmpty():
         return roots
-    return components(links.unionByName(_verified(missed, marked, texts, width, similarity)))
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(stars.unionByName(_verified(missed, marked, texts, width, similarity)))
 
 
 def near_survivors(
