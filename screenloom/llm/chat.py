@@ -14,7 +14,7 @@ template's own and those of common other templates, is preceded by ESC ``1``; re
 A text can so never open or close a turn, here or in a template that is laid over it.
 
 Defined results. Null text is the empty text, a null role the empty role; a number, a truth value or a nested
-value as text is its JSON. Turns are in the order of ``turn`` (null first), ties in the order of role and
+value as text is its JSON; half of a surrogate pair, which no UTF-8 text can hold, becomes U+FFFD. Turns are in the order of ``turn`` (null first), ties in the order of role and
 text; repeated rows are turns of their own. A conversation of no turns gives no row. A record that is null, no
 JSON object or in no known layout gives no turn; ``problem`` then says why, and a conversation of such
 records alone has a row without turns. An empty table gives an empty result. Extra columns are ignored.
@@ -116,10 +116,15 @@ LAYOUTS: list[tuple[Any, Layout]] = [
 ]
 
 
+_SIGNS = re.compile(r'[.\[\]"]')
+_HALF = re.compile("[\ud800-\udfff]")
+
+
 def paths(value: Any, prefix: str = "") -> set[str]:
-    """Nested field paths; the elements of a list share one."""
+    """Nested field paths; the elements of a list share one. A name that holds a sign of paths is quoted."""
     if isinstance(value, Mapping):
-        return {p for k, v in value.items() for p in paths(v, f"{prefix}.{k}" if prefix else k)} or {prefix}
+        named = ((json.dumps(k) if _SIGNS.search(k) else k, v) for k, v in value.items())
+        return {p for k, v in named for p in paths(v, f"{prefix}.{k}" if prefix else k)} or {prefix}
     if isinstance(value, list):
         return {p for v in value for p in paths(v, f"{prefix}[]")} or {f"{prefix}[]"}
     return {prefix}
@@ -127,7 +132,7 @@ def paths(value: Any, prefix: str = "") -> set[str]:
 
 def fingerprint(record: Any) -> str:
     """Hash of the sorted field paths."""
-    return hashlib.sha256("\n".join(sorted(paths(record))).encode()).hexdigest()
+    return hashlib.sha256("\n".join(sorted(paths(record))).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 REGISTRY: dict[str, Layout] = {fingerprint(sample): mapping for sample, mapping in LAYOUTS}
@@ -148,7 +153,7 @@ def _text(value: Any) -> str:
     """A value as text: null as the empty one, what is no text as JSON."""
     if value is None:
         return ""
-    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
+    return _HALF.sub("\ufffd", value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True))
 
 
 def canonical_turns(record: Any, registry: Mapping[str, Layout] = REGISTRY) -> list[tuple[str, str]]:
@@ -159,7 +164,7 @@ def canonical_turns(record: Any, registry: Mapping[str, Layout] = REGISTRY) -> l
     if layout is None and any(record.get(x.turns) == [] for x in registry.values() if x.turns):
         return []  # an empty list of turns has no paths inside
     if layout is None:
-        raise ValueError(f"unknown layout: {', '.join(sorted(paths(record)))}")
+        raise ValueError(f"unknown layout: {_text(', '.join(sorted(paths(record))))}")
     if layout.fields:
         found = []
         for role, field in layout.fields:

@@ -7,7 +7,8 @@ a lower bound on each partition's bins; a partition that meets it is certified a
 with a gap, sequences exchange pieces first: those of the loosest ones and of others, drawn by a
 seeded generator, are packed anew in a slightly shaken order, until the gap is closed or
 ``TRIES`` draws in a row saved nothing. Then the partitions that still have a gap exchange theirs: all
-their pieces are dealt anew and packed again, for as long as that saves a bin. Only lengths and ids
+their pieces are dealt anew and packed again, for as long as a round saves a bin for every ``WORTH`` partitions
+that it packs (one at least). Only lengths and ids
 of pieces are shuffled, no text. Every row says how many bins its partition took and the bound.
 
 Defined results. Null text is the empty text: its closing id alone. Repeated rows are packed each
@@ -34,6 +35,8 @@ from screenloom.llm.common import cut_lineage, map_batches, text_or_empty
 PER_PARTITION = 50_000
 #: Exchanges inside a partition that may fail in a row, and sequences in each.
 TRIES, DRAWN = 40, 24
+#: Partitions that a round may pack for each bin that it saves; a round that costs more is the last.
+WORTH = 20
 
 
 @functools.cache
@@ -194,8 +197,11 @@ def exchanged(lengths: np.ndarray, where: np.ndarray, bins: int, bound: int, cap
     return where, offset, bins
 
 
-def _packed(items: DataFrame, n_parts: int, round_no: int, capacity: int) -> DataFrame:
-    """Items dealt to ``n_parts`` partitions and packed: with sequence_id, offset, bins, bound, first (one per bin)."""
+def _packed(items: DataFrame, n_parts: int, round_no: int, capacity: int, before: int = 0) -> DataFrame:
+    """Items dealt to ``n_parts`` partitions and packed: with sequence_id, offset, bins, bound, first (one per bin).
+
+    ``before``: partitions of earlier rounds. Partitions are numbered on from there, so no two rounds share a sequence.
+    """
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("uid", kind="stable")
@@ -204,7 +210,7 @@ def _packed(items: DataFrame, n_parts: int, round_no: int, capacity: int) -> Dat
         where, offset, bins = best_fit(lengths, capacity, np.argsort(-lengths, kind="stable"))
         if bins > bound:
             where, offset, bins = exchanged(lengths, where, bins, bound, capacity, seed=part)
-        base = (round_no << 56) | (part << 32)
+        base = (before + part) << 32
         return rows.drop(columns="part").assign(sequence_id=base + where, offset=offset, bins=bins, bound=bound, first=offset == 0)
 
     dealt = items.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(round_no)), F.lit(n_parts)))
@@ -233,18 +239,24 @@ def pack_documents(
     full = full.withColumns({"sequence_id": F.col("uid").bitwiseOR(F.lit(1 << 62)), "offset": F.lit(0).cast("long"), "bins": one, "bound": one})
     items = found.filter(F.col("length") < capacity)
     settled: list[DataFrame] = [full]
-    packed = _packed(items, max(1, -(-items.count() // per_partition)), 0, capacity)
-    round_no = 0
+    n_parts = max(1, -(-items.count() // per_partition))
+    packed = _packed(items, n_parts, 0, capacity)
+    round_no, before = 0, n_parts
     while True:
         left, bins, parts = packed.filter("bins > bound").agg(F.count("*"), F.count_if("first"), F.count_distinct(F.shiftright("sequence_id", 32))).first()
         if parts < 2:  # certified, or with nobody to exchange with
             break
         round_no += 1
-        again = _packed(packed.filter("bins > bound").select(items.columns), -(-left // per_partition), round_no % 32, capacity)
-        if again.filter("first").count() >= bins:
+        n_parts = -(-left // per_partition)
+        again = _packed(packed.filter("bins > bound").select(items.columns), n_parts, round_no, capacity, before)
+        before += n_parts
+        saved = bins - again.filter("first").count()
+        if saved <= 0:
             break
         settled.append(packed.filter("bins <= bound"))
         packed = again
+        if saved * WORTH < n_parts:
+            break
     names = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bins", "bound"]
     out = [x.select(F.col("id").alias(id_col), *names) for x in [*settled, packed]]
     return functools.reduce(DataFrame.unionByName, out)

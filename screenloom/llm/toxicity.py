@@ -313,7 +313,10 @@ def train(
     sample_bytes: int = SAMPLE_BYTES,
     **fit_options: Any,
 ) -> Model:
-    """Fit on the ``sample`` labelled rows of smallest seeded hash, as many as ``sample_bytes`` hold; the sample alone is sent around."""
+    """Fit on the ``sample`` labelled rows of smallest seeded hash; the sample alone is sent around.
+
+    Rows are taken in that order for as long as ``sample_bytes`` hold them; one that doesn't fit is passed over, not the rows after it.
+    """
     order = F.xxhash64("label_id", F.lit(seed)).alias("place")
     chosen = (
         labels.filter("toxic IS NOT NULL")
@@ -325,10 +328,13 @@ def train(
     )
     rows = docs.select(F.col(id_col).alias("label_id"), text_or_empty(text_col).alias("body"))
     found = written(rows.join(F.broadcast(chosen), "label_id").select("label_id", "body", "toxic", "place", F.octet_length("body").cast("long").alias("size")))
-    sizes = found.groupBy("place").agg(F.sum("size").alias("size")).toArrow().sort_by("place")
-    within = sizes["place"].to_numpy()[np.cumsum(sizes["size"].to_numpy()) <= sample_bytes]
-    last = int(within[-1]) if len(within) else -(1 << 63)
-    table = found.filter(F.col("place") <= last).select("label_id", "body", "toxic").toArrow()
+    sizes = found.groupBy("place").agg(F.sum("size").alias("size")).toArrow().sort_by("place")  # ``sample`` rows at most
+    taken, room = [], sample_bytes
+    for place, size in zip(sizes["place"].to_pylist(), sizes["size"].to_pylist(), strict=True):
+        if size <= room:
+            taken.append(place)
+            room -= size
+    table = found.filter(F.col("place").isin(taken)).select("label_id", "body", "toxic").toArrow()
     table = table.sort_by([("label_id", "ascending"), ("body", "ascending")])
     texts, toxic = table.column("body").to_pylist(), table.column("toxic").to_pylist()
     del table  # the driver holds the texts once

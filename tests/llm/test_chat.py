@@ -1,12 +1,13 @@
 import hashlib
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from screenloom.llm.chat import CONTROLS, ESC, OVERHEAD, canonical_turns, escape, fingerprint, format_chats, parse, render, turn_records, unescape
+from screenloom.llm.chat import CONTROLS, ESC, OVERHEAD, canonical_turns, escape, fingerprint, format_chats, parse, render, turn_records, turns_or_problem, unescape
 
 PIECES = st.lists(st.one_of(st.sampled_from([*CONTROLS, ESC, "0", "1", "<", "|>", "end|>", "\n", "a"]), st.text(max_size=3)), max_size=12).map("".join)
 
@@ -104,3 +105,31 @@ def test_records_that_hold_no_turn_say_why(spark):
         1: "null record", 2: "no JSON", 3: "no JSON object", 4: "unknown layout: z", 5: "no JSON object", 6: None, None: "no JSON object",
     }
     assert {k: r.n_turns for k, r in got.items()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 1, None: 0}
+
+
+def test_every_malformed_record_gives_a_row(spark):
+    """Random records of odd names, half surrogate pairs and nesting: each gives a row, and turns read back as they went in."""
+    rng = random.Random(8)
+    names = ["messages", "messages[]", "messages[].role", "role", "content", "turn", "text", "prompt", "completion", "conversations", "from", "value", 'a"b', "", "\ud800"]
+    leaves = ["\ud800", "x\udfffy", "ok", None, 3, 1.5, True, [], {}, [[]], "</s>"]
+
+    def value(depth):
+        if depth and rng.random() < 0.6:
+            if rng.random() < 0.5:
+                return [value(depth - 1) for _ in range(rng.randint(0, 3))]
+            return {rng.choice(names): value(depth - 1) for _ in range(rng.randint(0, 4))}
+        return rng.choice(leaves)
+
+    fixed = [{"messages": [{"role": "user", "content": "\ud800"}]}, {"messages[]": {"role": "user", "content": "x"}}, {"messages": [{"role": "\udc00", "content": 1}, 3]}, {"\ud800": 1}]
+    records = [json.dumps(r) for r in [*fixed, *(value(3) for _ in range(400))]]
+    df = spark.createDataFrame([(i, 0, r) for i, r in enumerate(records)], "conv long, turn long, record string")
+    got = {r.conv_id: r for r in format_chats(df, with_text=True).collect()}
+    empty = {i for i, r in enumerate(records) if r in ('{"messages": []}', '{"conversations": []}')}
+    assert set(got) >= set(range(len(records))) - empty - {i for i in range(len(records)) if not canonical(records[i])}
+    assert got[0].problem is None and parse(got[0].formatted)[0][:2] == ("user", "\ufffd")
+    assert got[1].problem.startswith("unknown layout") and got[2].n_turns == 1 and got[3].problem == "unknown layout: \ufffd"
+
+
+def canonical(record):
+    turns, problem = turns_or_problem(record)
+    return turns or problem

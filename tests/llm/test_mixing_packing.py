@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from screenloom.llm.mixing import mix, mixed_documents, water_fill
+from screenloom.llm import packing
 from screenloom.llm.packing import best_fit_decreasing, bin_bound, cut_points, encoder, exchanged, pack_documents
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -199,3 +200,26 @@ def test_added_tokens_in_texts_are_read_as_the_library_does(spark):
     for i, text in enumerate(texts):
         ids = np.array([*library.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
         assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_many_rounds_share_no_sequence(spark, monkeypatch):
+    """34 rounds that are all made to look worth it: every sequence still holds 64 tokens at most, gapless."""
+    plain, rounds = packing._packed, []
+
+    def gaining(items, n_parts, round_no, capacity, before=0):
+        rounds.append(round_no)
+        found = plain(items, n_parts, round_no, capacity, before)
+        if round_no >= 34:
+            return found
+        # some sequences settle in each round, whole; the others go on
+        goes_on = F.pmod(F.xxhash64("sequence_id"), F.lit(100)) >= 3
+        bound = F.when(goes_on, F.lit(-1).cast("long")).otherwise(F.col("bins"))
+        return found.withColumns({"first": (F.col("offset") == 0) & goes_on, "bound": bound})
+
+    monkeypatch.setattr(packing, "_packed", gaining)
+    monkeypatch.setattr(packing, "WORTH", 1 << 40)
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, " ".join(rng.choice(["a", "bc", "def"]) for _ in range(rng.randint(0, 40)))) for i in range(400)], "doc_id long, text string").coalesce(1)
+    rows = pack_documents(df, TOKENIZER, capacity=64, per_partition=40).collect()
+    assert max(rounds) > 32
+    check_packing(df, rows, 64)
