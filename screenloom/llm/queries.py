@@ -20,6 +20,9 @@ from screenloom.llm.suffix_dedup import remove_repeats
 from screenloom.llm.exact_dedup import exact_groups
 from screenloom.llm.mixing import mix
 from screenloom.llm.simhash import near_groups
+from screenloom.llm.secrets import ACCESS, ASSIGN, HEX, KEY, KINDS, LEAST_VALUE, PLACEHOLDERS, scan_secrets
+from screenloom.llm.source_audit import audit_sources
+from screenloom.llm.vector_codes import compress_vectors
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +93,19 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(rows.unionByName(extra))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is a repository of its own, its source the owner."""
+    return scan_secrets(table(spark, sf_dir, "documents"), most_owners=3)
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6).drop("rescued")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat": op3_chat,
     "op4_url_filter": op4_url_filter,
@@ -101,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_simhash": op8_simhash,
+    "op11_secrets": op11_secrets,
+    "op12_source_audit": op12_source_audit,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _ESCAPES = "|".join(re.escape(c) for c in [ESC, *CONTROLS]).replace("'", "''")
@@ -153,7 +172,89 @@ def _url_sql() -> str:
     """
 
 
+def _secrets_sql(most_owners: int = 3) -> str:
+    """Matches of each kind with their places, then holders of each value, then verdicts."""
+    quoted = {k: p.replace("'", "''") for k, p in zip(KINDS, (ASSIGN, ACCESS, HEX, KEY), strict=True)}
+    found = [
+        f"""SELECT r, {n} AS k, unnest(range(len(regexp_extract_all(x, '{p}')))) AS i, unnest(regexp_extract_all(x, '{p}')) AS m,
+            unnest(regexp_extract_all(x, '{p}', {2 * (kind == "assign")})) AS v, unnest(string_split_regex(x, '{p}')[:len(regexp_extract_all(x, '{p}'))]) AS g
+            FROM d WHERE regexp_matches(x, '{p}')"""
+        for n, (kind, p) in enumerate(quoted.items())
+    ]
+    named = " OR ".join(f"contains(lower(v), '{w}')" for w in PLACEHOLDERS)
+    shown = lambda keep: f"coalesce(string_agg(['assign', 'access', 'hex', 'key'][k + 1] || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER ({keep}), '')"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS x FROM documents),
+        found AS ({" UNION ALL ".join(found)}),
+        placed AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY r, k ORDER BY i) AS b, b - length(m) AS a,
+            regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT ({named}) AND len(list_distinct(string_split(v, ''))) >= 8
+            AND len(list_distinct(string_split(v, ''))) * 3 >= least(length(v), 48) AS random FROM found),
+        kept AS (SELECT * FROM placed WHERE CASE k WHEN 0 THEN length(v) >= {LEAST_VALUE} WHEN 3 THEN random ELSE true END),
+        lone AS (SELECT * FROM kept x WHERE k < 3 OR NOT EXISTS (FROM kept y WHERE y.r = x.r AND y.k < 3 AND y.a < x.b AND y.b > x.a)),
+        held AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM lone JOIN d USING (r) GROUP BY v),
+        told AS (SELECT l.*, CASE WHEN owners >= {most_owners} THEN 'copied' WHEN random THEN 'live' ELSE 'plain' END AS verdict FROM lone l JOIN held USING (v)),
+        spans AS (SELECT * FROM told WHERE k < 3 OR verdict = 'live')
+        SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+            sha256({shown("k < 3")}) AS base_sha256, {shown("k IS NOT NULL")} AS spans, count(*) FILTER (verdict = 'live') AS n_live,
+            count(*) FILTER (verdict = 'copied') AS n_copied, {shown("verdict = 'live'")} AS live
+        FROM d LEFT JOIN spans USING (r) GROUP BY r, doc_id
+    """
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds one after the other; vectors of one length, as in the table."""
+    steps = ["book0 AS (SELECT p, e, x FROM part JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < %d) USING (r))" % entries]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""near{k} AS MATERIALIZED (SELECT r, p, arg_min(e, d * {entries} + e) AS e, min(d) AS d FROM (
+                SELECT r, a.p, b.e, list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM part a JOIN book{k} b ON a.p = b.p) GROUP BY r, p)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN (
+                SELECT p, e, list(c ORDER BY i) AS x FROM (SELECT p, e, i, floor_div AS c FROM (
+                    SELECT p, e, i, sum(c)::BIGINT AS s, count(*) AS n, ((s - ((s % n) + n) % n) // n)::BIGINT AS floor_div FROM (
+                        SELECT a.p, n.e, unnest(range(len(a.x))) AS i, unnest(a.x) AS c FROM part a JOIN near{k} n ON a.r = n.r AND a.p = n.p) GROUP BY p, e, i)) GROUP BY p, e) m USING (p, e))"""
+            )
+    return f"""
+        WITH kept AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda v: floor(v::DOUBLE * 4096)::BIGINT) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+        part AS MATERIALIZED (SELECT r, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) t(p)),
+        {", ".join(steps)},
+        digest AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}),
+        coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY r)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), digest
+    """
+
+
+def _audit_sql(least_docs: int = 10, top: int = 10) -> str:
+    """Every share of every kept term in every group, written out."""
+    share = lambda n, base: f"1 + (1000000000::HUGEINT * ({n} + 2)) // ({base})"
+    apart = lambda p, q: f"(({p} - {q}) * ({p} - {q})) // ({p} + {q})"
+    return f"""
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+        tokens AS (SELECT lang, source, r, unnest(t) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS total FROM tokens GROUP BY 1, 2 HAVING count(DISTINCT r) >= {least_docs}),
+        held AS (SELECT lang, source, term, count(*) AS n FROM tokens JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+        langs AS (SELECT lang, count(*) AS v, sum(total) AS size FROM kept GROUP BY lang),
+        sizes AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS size FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN held USING (lang, source) GROUP BY 1, 2),
+        shares AS (SELECT s.lang, s.source, k.term, coalesce(n, 0) AS n, {share("coalesce(n, 0)", "s.size + 2 * v")} AS p, {share("total", "l.size + 2 * v")} AS q
+            FROM sizes s JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN held h ON h.lang = s.lang AND h.source = s.source AND h.term = k.term),
+        sums AS (SELECT x.lang, x.source, y.source AS item, sum({apart("x.p", "y.p")}) AS value FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM sizes a JOIN sizes b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        terms AS (SELECT lang, source, term AS item, {apart("p", "q")} AS value FROM shares WHERE n > 0 AND p > q),
+        told AS (SELECT 'pair' AS part, * FROM pairs UNION ALL SELECT 'term', * FROM terms)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM told) WHERE part = 'pair' OR rank <= {top}
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_secrets": _secrets_sql(),
+    "op12_source_audit": _audit_sql(),
+    "op13_vector_codes": _codes_sql(),
     "op4_url_filter": _url_sql(),
     "op2_mixing": """
         WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(doc_id || ':17') AS h FROM documents),
