@@ -12,7 +12,7 @@ ceil(r/2) meet at distance r at most, such stars join the same components as all
 Documents that stay. The radius that ball variants can afford links few pairs of texts below a similarity
 of 0.98, so ``near_survivors`` takes its candidates from MinHash bands over the same shingles. Members of a
 bucket are first paired with four of it; where that leaves several components in one bucket, their members
-are paired across, crowds by further bands. Pairs are verified by the Jaccard similarity of their shingle sets, or by
+are paired across, those of crowds wherever their sketches do not tell them apart. Pairs are verified by the Jaccard similarity of their shingle sets, or by
 their sketches alone where these lie ``SIGMAS`` deviations off the threshold. Texts count as equal if their 64-bit hashes are.
 
 Defined results. Null text is the empty text; a text without words has fingerprint zero, linked
@@ -22,11 +22,11 @@ Extra columns are ignored by ``near_groups`` and carried by ``near_survivors``.
 
 from __future__ import annotations
 
-import functools
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -44,8 +44,8 @@ _FACTORS, _TERMS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * PE
 _FACTORS |= np.uint64(1)
 #: Deviations of a sketch's estimate beyond which it decides alone: at 4.5, some 3 of a million pairs at the threshold are told wrong.
 SIGMAS = 4.5
-#: Components that are paired with each other in one bucket.
-CROWD = 16
+#: Components that are paired with each other in one bucket without a look at their sketches, and members of a block of larger crowds.
+CROWD, CROWD_BLOCK = 16, 2048
 _ORDERS = [0, *np.random.default_rng(43).integers(-(1 << 63), 1 << 63, 3).tolist()]
 
 
@@ -214,9 +214,9 @@ def _verified(pairs: DataFrame, marked: DataFrame, texts: DataFrame, width: int,
             yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
     shares = _shares(pairs, marked)
-    doubt = SIGMAS * (similarity * (1 - similarity) / (BANDS * PER_BAND)) ** 0.5
-    high = similarity + doubt
-    unsure = shares.filter((F.col("share") >= similarity - doubt) & (F.col("share") < high)).select("a", "b")
+    least = _least_share(similarity)
+    high = 2 * similarity - least
+    unsure = shares.filter((F.col("share") >= least) & (F.col("share") < high)).select("a", "b")
     ends = unsure.select(F.col("a").alias("node")).unionByName(unsure.select(F.col("b").alias("node"))).distinct()
     bodies = written(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]))
     both = unsure.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
@@ -241,31 +241,63 @@ def star_pairs(rows: DataFrame) -> DataFrame:
     return _ordered(rows.join(centre, "bucket").select("node", F.explode("partners").alias("partner")).filter("node <> partner"))
 
 
-def open_pairs(rows: DataFrame, roots: DataFrame, marked: DataFrame, crowd: int = CROWD) -> DataFrame:
+def open_pairs(rows: DataFrame, roots: DataFrame, marked: DataFrame, similarity: float, crowd: int = CROWD) -> DataFrame:
     """Pairs that stars may have missed: of every bucket that several components share, their members against each other.
 
-    A component stands in a bucket by four of its members at most. Of more than ``crowd`` components the members
-    are dealt by a second band that they share as well, then a third, and so on: so a crowd is never paired throughout.
+    A component stands in a bucket by four of its members at most. More than ``crowd`` components are compared by their
+    sketches in blocks, and only pairs that the sketches do not tell apart come out.
     """
-    found: list[DataFrame] = []
-    while True:
-        named = rows.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        groups = named.groupBy("bucket", "root").agg(F.array_distinct(F.array(*_partners())).alias("members"))
-        several = groups.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        groups = written(groups.join(several, "bucket"))
-        listed = groups.filter(F.col("n") <= crowd).groupBy("bucket").agg(F.collect_list(F.struct("root", "members")).alias("c"))
-        crossed = listed.select("c", F.explode("c").alias("p")).select("p", F.explode("c").alias("q")).filter("p.root < q.root")
-        crossed = crossed.select(F.explode("p.members").alias("node"), F.col("q.members").alias("others")).select("node", F.explode("others").alias("partner"))
-        found.append(_ordered(crossed))
-        crowded = groups.filter(F.col("n") > crowd).select("bucket", F.explode("members").alias("node"))
-        if crowded.isEmpty():
-            return functools.reduce(DataFrame.unionByName, found).distinct()
-        # bands in ascending order of their keys, so that each set of bands is met once
-        keys = marked.select("node", "buckets").join(crowded.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-        # rows of a later turn are distinct already
-        bands = rows if "band" in rows.columns else rows.withColumn("band", F.col("bucket")).distinct()
-        further = crowded.join(bands, ["node", "bucket"]).join(keys, "node").select("node", "bucket", F.explode(F.filter("buckets", lambda k: k > F.col("band"))).alias("band"))
-        rows = written(further.select("node", F.xxhash64("bucket", "band").alias("bucket"), "band"))
+    named = rows.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    groups = named.groupBy("bucket", "root").agg(F.array_distinct(F.array(*_partners())).alias("members"))
+    several = groups.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    groups = written(groups.join(several, "bucket"))
+    listed = groups.filter(F.col("n") <= crowd).groupBy("bucket").agg(F.collect_list(F.struct("root", "members")).alias("c"))
+    crossed = listed.select("c", F.explode("c").alias("p")).select("p", F.explode("c").alias("q")).filter("p.root < q.root")
+    crossed = crossed.select(F.explode("p.members").alias("node"), F.col("q.members").alias("others")).select("node", F.explode("others").alias("partner"))
+    crowded = groups.filter(F.col("n") > crowd).select("bucket", "root", F.explode("members").alias("node"))
+    found = _ordered(crossed)
+    if not crowded.isEmpty():
+        found = found.unionByName(crowd_pairs(crowded, marked, similarity)).distinct()
+    return found
+
+
+def _least_share(similarity: float) -> float:
+    """The share of equal permutations below which sketches tell two texts apart."""
+    return similarity - SIGMAS * (similarity * (1 - similarity) / (BANDS * PER_BAND)) ** 0.5
+
+
+def crowd_pairs(crowded: DataFrame, marked: DataFrame, similarity: float, block: int = CROWD_BLOCK) -> DataFrame:
+    """(bucket, root, node) -> every pair (a, b) of different roots in one bucket whose sketches agree as similar texts' would.
+
+    The members of a bucket are dealt to blocks of some ``block`` rows, and every two blocks meet in one task, which compares
+    one byte of each permutation (bytes agree wherever values do, so none is missed). Buckets of the same members are compared once.
+    """
+    least = _least_share(similarity) * BANDS * PER_BAND
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        first, second = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+        rows = rows.sort_values("node", kind="stable")
+        x, y = (rows[rows["block"] == n] for n in (first, second))
+        u, v = (np.frombuffer(b"".join(part["sketch"]), dtype=np.uint8).reshape(len(part), BANDS * PER_BAND) for part in (x, y))
+        r, q, p, o = x["root"].to_numpy(), y["root"].to_numpy(), x["node"].to_numpy(), y["node"].to_numpy()
+        out = []
+        for at in range(0, len(x), 32):
+            agree = (u[at : at + 32, None] == v[None]).sum(axis=2)
+            k, m = np.nonzero((agree >= least) & (r[at : at + 32, None] != q[None]))
+            out.append(np.stack([p[at + k], o[m]], axis=1))
+        pairs = np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
+        return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}).drop_duplicates()
+
+    members = crowded.groupBy("bucket").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"))
+    once = members.groupBy("m", "sum", "xor").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    low = F.expr(f"transform(sequence(0, {BANDS * PER_BAND - 1}), i -> substring(sketch, 4 * i + 1, 1))")
+    ends = crowded.select("node").distinct()
+    known = marked.join(ends, "node", "left_semi").dropDuplicates(["node"]).select("node", F.array_join(F.transform(low, lambda b: F.hex(b)), "").alias("hexed"))
+    known = known.select("node", F.unhex("hexed").alias("sketch"))
+    at = crowded.join(once, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(known, "node")
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    at = at.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("bucket", "i", "j", "block", "root", "node", "sketch")
+    return at.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def similar_components(texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -275,7 +307,7 @@ def similar_components(texts: DataFrame, width: int, similarity: float) -> DataF
     pairs = written(star_pairs(rows))
     links = _verified(pairs, marked, texts, width, similarity)
     roots = components(links)
-    missed = written(open_pairs(rows, roots, marked).join(pairs, ["a", "b"], "left_anti"))
+    missed = written(open_pairs(rows, roots, marked, similarity).join(pairs, ["a", "b"], "left_anti"))
     if missed.isEmpty():
         return roots
     stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
