@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from screenloom.sources.shared import materialised
+
 MISSING = -100
 
 
@@ -20,35 +23,71 @@ class Grid:
     bins: int
 
 
-def exact_percentile(rows: DataFrame, value: str, share: float, *keys: str, cells: int = 4096) -> DataFrame:
+#: Ranks of a sketch are right to one part in ACCURACY; the last selection sorts SELECTED distinct values of a group at most.
+ACCURACY, SELECTED = 10_000, 1 << 20
+
+
+def _bracketed(values: DataFrame, brackets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(keys, w, m): rows of each distinct value inside its group's bracket, and of all values below it under a null w; values above are left out."""
+    told = values.join(brackets, list(by))
+    inside = told.filter(F.col("v") <= F.col("high")).groupBy(*by, F.when(F.col("v") >= F.col("low"), F.col("v")).alias("w"))
+    return inside.agg(F.count("*").alias("m"))
+
+
+def percentile_brackets(values: DataFrame, share: float, by: Sequence[str], accuracy: int = ACCURACY, inside: DataFrame | None = None) -> DataFrame:
+    """(keys, low, high, n, first, last, part): two values around the ranks wanted, from one mergeable quantile sketch a group.
+
+    ``first`` and ``last`` are the 0-based ranks that ``share`` falls between, in the whole group. With ``inside``, brackets of an earlier
+    round with ``below``, only values in these are sketched.
+    """
+    v = F.col("v")
+    spread = 2.0 / accuracy
+    if inside is None:
+        shares = [max(0.0, share - spread), min(1.0, share + spread)]
+        told = values.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile_approx("v", shares, accuracy).alias("q"))
+        position = share * (F.col("n") - 1)
+        told = told.withColumns({"first": F.floor(position), "last": F.ceil(position), "part": position - F.floor(position)})
+        # at the ends of the range, and where an error of one rank would matter, the least and the greatest value stand
+        few = F.col("n") <= 4 * accuracy
+        low = F.when(few | (F.lit(share - spread) <= 0), F.col("least")).otherwise(F.col("q")[0])
+        high = F.when(few | (F.lit(share + spread) >= 1), F.col("most")).otherwise(F.col("q")[1])
+        return told.select(*by, low.alias("low"), high.alias("high"), "n", "first", "last", "part")
+    kept = values.join(inside, list(by)).filter((v >= F.col("low")) & (v <= F.col("high")))
+    grid = [i / 256 for i in range(257)]
+    told = kept.groupBy(*by).agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile_approx("v", grid, accuracy).alias("q")).join(inside, list(by))
+    at = [(F.col(r) - F.col("below")) / F.col("c") for r in ("first", "last")]
+    under, over = F.floor((at[0] - spread) * 256).cast("int"), F.ceil((at[1] + spread) * 256).cast("int") + 1
+    few = F.col("c") <= 4 * accuracy
+    low = F.when(few | (under <= 0), F.col("least")).otherwise(F.get("q", F.greatest(under, F.lit(0))))
+    high = F.when(few | (over >= 256), F.col("most")).otherwise(F.get("q", F.least(over, F.lit(256))))
+    return told.select(*by, low.alias("low"), high.alias("high"), "n", "first", "last", "part")
+
+
+def exact_percentile(rows: DataFrame, value: str, share: float, *keys: str, accuracy: int = ACCURACY, selected: int = SELECTED) -> DataFrame:
     """(keys, p): exact, linearly interpolated percentile of finite values; groups without values have no row.
 
-    A histogram of equal cells between the least and the largest value finds the cells of the two ranks wanted; only
-    their values are put in order, ties counted together. So no task holds all values of a group.
+    Values are written once. A quantile sketch brackets the ranks wanted in some 4 n / ``accuracy`` rows whatever the values are; one pass counts
+    what lies below and keeps what lies inside, ties counted together. While a group has more than ``selected`` distinct values
+    there, the inside is sketched again. Only then values are put in order.
     """
     v = F.col("v")
     named = rows.select(*keys, F.col(value).cast("double").alias("v")).filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    named = named.withColumn("g", F.lit(0)) if not keys else named
     by = list(keys) or ["g"]
-    position = share * (F.col("n") - 1)
-    ends = named.groupBy(*by).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
-    ends = ends.withColumns({"first": F.floor(position), "last": F.ceil(position), "part": position - F.floor(position)})
-    width = F.col("high") / cells - F.col("low") / cells
-    cell = F.when(width > 0, F.least(F.lit(cells - 1), F.floor((v - F.col("low")) / width))).otherwise(0)
-    placed = named.join(ends.select(*by, "low", "high"), by).select(*by, "v", cell.alias("cell"))
-    before = W.partitionBy(*by).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    counted = placed.groupBy(*by, "cell").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
-
-    def holds(rank: str, start: str, n: str) -> Column:
-        return (F.col(start) <= F.col(rank)) & (F.col(rank) < F.col(start) + F.col(n))
-
-    wanted = counted.join(ends, by).filter(holds("first", "before", "c") | holds("last", "before", "c"))
-    inside = placed.join(wanted.select(*by, "cell", "before"), [*by, "cell"]).groupBy(*by, "cell", "before", "v").agg(F.count("*").alias("m"))
-    below = W.partitionBy(*by, "cell").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    ranked = inside.withColumn("at", F.col("before") + F.coalesce(F.sum("m").over(below), F.lit(0))).join(ends, by)
-    found = ranked.groupBy(*by).agg(
-        F.max(F.when(holds("first", "at", "m"), v)).alias("a"), F.max(F.when(holds("last", "at", "m"), v)).alias("b"), F.max("part").alias("part")
-    )
+    named = materialised(named if keys else named.withColumn("g", F.lit(0)))
+    brackets = materialised(percentile_brackets(named, share, by, accuracy))
+    while True:
+        counted = materialised(_bracketed(named, brackets.select(*by, "low", "high"), by))
+        told = counted.groupBy(*by).agg(F.count("w").alias("distinct"), F.coalesce(F.max(F.when(F.col("w").isNull(), F.col("m"))), F.lit(0)).alias("below"))
+        if told.filter(F.col("distinct") > max(selected, 4 * accuracy)).isEmpty():
+            break
+        brackets = materialised(percentile_brackets(named, share, by, accuracy, brackets.join(told, by)))
+    upto = F.sum("m").over(W.partitionBy(*by).orderBy(F.col("w").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+    ranked = counted.withColumn("upto", upto).filter("w IS NOT NULL").join(brackets.select(*by, "first", "last", "part"), by)
+
+    def at(rank: str) -> Column:
+        return F.max(F.when((F.col("upto") - F.col("m") <= F.col(rank)) & (F.col(rank) < F.col("upto")), F.col("w")))
+
+    found = ranked.groupBy(*by).agg(at("first").alias("a"), at("last").alias("b"), F.max("part").alias("part"))
     return found.select(*keys, ((1 - F.col("part")) * F.col("a") + F.col("part") * F.col("b")).alias("p"))
 
 

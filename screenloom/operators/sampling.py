@@ -1,14 +1,19 @@
-"""Batches and blended sampling."""
+"""Batches and blended sampling.
+
+``blended_epochs`` is the sampler over tables; ``BlendedSampler`` deals one process's index lists by a fixed generator protocol, for loaders.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from screenloom.operators.ordered import RANGE_ROWS, places, runs
+
 
 def apportion(weights: DataFrame, total: int) -> DataFrame:
     """(idx, weight) to (idx, n): largest remainders, ties by index; the shares sum to ``total``."""
@@ -21,20 +26,122 @@ def apportion(weights: DataFrame, total: int) -> DataFrame:
     return ranked.select("idx", (F.col("low") + (F.col("k") <= F.col("rest")).cast("long")).alias("n"))
 
 
-def batch_runs(rows: DataFrame, size: int, *partition: str) -> DataFrame:
-    """(ord, dataset, context) with ``batch``: maximal runs of one context, cut into chunks of ``size``.
+def batch_runs(rows: DataFrame, size: int, *partition: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(ord, dataset, context) with ``batch``: maximal runs of one context in the order of ``ord``, cut into chunks of ``size``.
 
-    ``partition`` names columns that already split the order (a shard, a split); without any, the order is global.
+    ``partition`` names columns that split the order (a shard, a split), each with batches of its own from 0; without any, the
+    order is one. ``ord`` is unique. Ranges of the order are worked on side by side, so neither a shard nor the whole is one task.
     """
-    w = W.partitionBy(*partition).orderBy("ord")
-    changed = F.coalesce((F.lag("context").over(w) != F.col("context")) | (F.lag("dataset").over(w) != F.col("dataset")), F.lit(True))
-    runs = rows.withColumn("run", F.sum(changed.cast("int")).over(w))
-    place = F.row_number().over(W.partitionBy(*partition, "run").orderBy("ord")) - 1
-    chunked = runs.withColumn("chunk", F.floor(place / size))
-    starts = F.coalesce(
-        (F.lag("run").over(w) != F.col("run")) | (F.lag("chunk").over(w) != F.col("chunk")), F.lit(True)
+    cut = runs(rows, [*partition, "ord"], [*partition, "dataset", "context"], size, range_rows).withColumnRenamed("chunk", "batch")
+    if partition:
+        first = cut.groupBy(*partition).agg(F.min("batch").alias("_first"))
+        cut = cut.join(first, list(partition)).withColumn("batch", F.col("batch") - F.col("_first"))
+    return cut.select(*rows.columns, "batch")
+
+
+def gene_groups(batched: DataFrame) -> DataFrame:
+    """(batch, dataset, n, labelled) of rows with ``batch`` and ``labelled``: the rows of a batch that share a dataset's genes."""
+    return batched.groupBy("batch", "dataset").agg(F.count("*").alias("n"), F.bool_and("labelled").alias("labelled"))
+
+
+def mixed_groups(batched: DataFrame) -> DataFrame:
+    """(batch, dataset) of groups that mix labelled and query rows: must be empty."""
+    told = batched.groupBy("batch", "dataset").agg(F.min(F.col("labelled").cast("int")).alias("low"), F.max(F.col("labelled").cast("int")).alias("high"))
+    return told.filter("low <> high").select("batch", "dataset")
+
+
+# --- blended sampling -----------------------------------------------------------------------------
+
+#: A prime below 2**31, a multiplier and the rounds of the keyed permutation.
+PRIME, FACTOR, ROUNDS, WALKS = 2147483647, 48271, 8, 16
+
+
+def _mixed(x: Column | int, key: Column | int) -> Column | int:
+    """A number below PRIME from two numbers below it: a square modulo a prime, then a step."""
+    return ((((x + key) % PRIME) * ((x + key) % PRIME) + key) % PRIME * FACTOR + key) % PRIME
+
+
+def seed_key(*parts: int) -> int:
+    """A key below PRIME from numbers of 0 and more."""
+    key = 1
+    for part in parts:
+        key = _mixed(key, part % PRIME)
+    return key
+
+
+def with_permuted(df: DataFrame, name: str, x: Column, n: Column, key: Column) -> DataFrame:
+    """``df`` with ``name``: the place of ``x`` in a keyed pseudo-random permutation of 0 .. n - 1, as arithmetic on the row alone.
+
+    A Feistel network over pairs from (a, b), a = ceil(sqrt(n)), b = ceil(n / a), permutes a b >= n numbers; one that
+    lands beyond n - 1 goes through the network again until it does not. At most a - 1 numbers lie beyond, so up to n = 256 WALKS
+    turns always suffice; above, the odds against are below 1e-15 a row, and a row that met them would be an error, not a wrong place.
+    """
+    held = df.withColumns({"_x": x, "_n": n, "_key": key, "_a": F.ceil(F.sqrt(n.cast("double"))).cast("long")}).withColumn("_b", F.ceil(F.col("_n") / F.col("_a")).cast("long"))
+    n, key, a, b = (F.col(c) for c in ("_n", "_key", "_a", "_b"))
+
+    def turn(s: Column, i: Column) -> Column:
+        width = F.when(i % 2 == 0, a).otherwise(b)
+        return F.struct(s["r"].alias("l"), ((s["l"] + _mixed(s["r"] % PRIME, (key + i * FACTOR) % PRIME)) % width).alias("r"))
+
+    def once(v: Column) -> Column:
+        start = F.struct((v % a).alias("l"), F.call_function("div", v, a).alias("r"))
+        return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")), start, turn, lambda s: s["r"] * a + s["l"])
+
+    beyond = F.raise_error(F.lit("permutation left its range")).cast("long")
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once(F.col("_x")), lambda v, _: F.when(v >= n, once(v)).otherwise(v), lambda v: F.when(v < n, v).otherwise(beyond))
+    return held.withColumn(name, walked).drop("_x", "_n", "_key", "_a", "_b")
+
+
+def blend_problems(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """(group, problem) of negative weights and of weighted groups without rows; all weights 0 is the problem of a null group. Must be empty."""
+    present = rows.select("group").distinct().withColumn("there", F.lit(True))
+    told = weights.join(present, "group", "left").withColumn(
+        "problem", F.when(F.col("weight") < 0, "negative weight").when((F.col("weight") > 0) & F.col("there").isNull(), "no rows")
     )
-    return chunked.withColumn("batch", F.sum(starts.cast("int")).over(w) - 1).drop("run", "chunk")
+    none = weights.agg(F.coalesce(F.max("weight"), F.lit(0)).alias("most")).filter("most <= 0")
+    return told.filter("problem IS NOT NULL").select("group", "problem").unionByName(none.select(F.lit(None).cast(weights.schema["group"].dataType).alias("group"), F.lit("no positive weight").alias("problem")))
+
+
+def blend_counts(sizes: DataFrame, weights: DataFrame, replicas: int) -> DataFrame:
+    """(group, no, n, draws, start, total): what an epoch draws of each weighted group, by largest remainders; one row a group.
+
+    An epoch draws as many rows as the weighted groups have, made a multiple of ``replicas``.
+    """
+    used = sizes.join(weights.filter("weight > 0"), "group").withColumn("no", F.row_number().over(W.orderBy("group")) - 1)
+    total = F.ceil(F.sum("n").over(W.partitionBy()) / replicas).cast("long") * replicas
+    shared = used.withColumn("total", total).withColumn("x", F.col("weight") / F.sum("weight").over(W.partitionBy()) * F.col("total")).withColumn("low", F.floor("x"))
+    rest = F.col("total") - F.sum("low").over(W.partitionBy())
+    # fractions are compared to 1e-9, so that equal weights tie
+    rank = F.row_number().over(W.orderBy(F.round(F.col("x") - F.col("low"), 9).desc(), "no"))
+    dealt = shared.withColumns({"k": rank, "rest": rest}).withColumn("draws", F.col("low") + (F.col("k") <= F.col("rest")).cast("long"))
+    before = W.orderBy("no").rowsBetween(W.unboundedPreceding, -1)
+    return dealt.select("group", "no", "n", "draws", F.coalesce(F.sum("draws").over(before), F.lit(0)).alias("start"), "total")
+
+
+def blended_epochs(rows: DataFrame, weights: DataFrame, epochs: Sequence[int], replicas: int = 1, seed: int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(group, row) and (group, weight) -> (epoch, replica, at, group, row, cycle): every draw of some epochs and its place in a replica's share.
+
+    A group is an endless stream of cycles; each cycle takes every row once, in an order of its own, and an epoch goes on where
+    the last one stopped. Draws of all groups are dealt to an epoch's slots at random; replicas own equal, contiguous shares of these.
+    Both orders are keyed permutations, so a row knows by itself which draws take it: after rows are numbered in their groups nothing is
+    shuffled, listed or stored, for any number of epochs. (group, row) is unique; groups of weight 0 are never drawn.
+    """
+    if replicas < 1:
+        raise ValueError(f"one replica at least, not {replicas}")
+    known = rows.join(weights.filter("weight > 0").select("group"), "group", "left_semi").select("group", "row")
+    placed = places(known, ["row"], ["group"], range_rows=range_rows)
+    counts = blend_counts(placed.groupBy("group").agg(F.count("*").alias("n")), weights, replicas)
+    n, draws = F.col("n"), F.col("draws")
+    joined = placed.join(counts, "group").filter("draws > 0").withColumn("epoch", F.explode(F.array(*[F.lit(e).cast("long") for e in epochs])))
+    first = F.col("epoch") * draws
+    cycles = F.sequence(F.call_function("div", first, n), F.call_function("div", first + draws - 1, n))
+    each = joined.withColumn("cycle", F.explode(cycles))
+    cycle_key = _mixed(_mixed(F.lit(seed_key(seed, 1)).cast("long"), F.col("no")), F.col("cycle") % PRIME)
+    each = with_permuted(each, "offset", F.col("place"), n, cycle_key).withColumn("k", F.col("cycle") * n + F.col("offset") - first)
+    drawn = each.filter((F.col("k") >= 0) & (F.col("k") < draws))
+    share = F.call_function("div", F.col("total"), F.lit(replicas).cast("long"))
+    slotted = with_permuted(drawn, "slot", F.col("start") + F.col("k"), F.col("total"), _mixed(F.lit(seed_key(seed, 0)).cast("long"), F.col("epoch") % PRIME))
+    return slotted.select("epoch", F.call_function("div", F.col("slot"), share).alias("replica"), (F.col("slot") % share).alias("at"), "group", "row", "cycle")
 
 
 def largest_remainder(weights: list[float], total: int) -> list[int]:

@@ -338,3 +338,69 @@ ORACLE_SQL: dict[str, str] = {
         m AS (SELECT key, i, (v[i] + (v[len(v) + 1 - i] + v[i]) / 2 + v[i]) / 3 AS x FROM p)
         SELECT key, round(max(x) FILTER (i = 1), 6) + 0.0 AS first, round(sum(x), 6) + 0.0 AS total FROM m GROUP BY 1""",
 }
+
+
+# --- order and sampling: the sampler's arithmetic written out with aliases ---------------------------
+
+_PRIME, _FACTOR = 2147483647, 48271
+
+
+def _mix(x: str, key: str, name: str) -> str:
+    """Aliases that end in ``name``: a square modulo a prime, then a step."""
+    return f"(({x} + {key}) % {_PRIME})::BIGINT AS {name}a, (({name}a * {name}a + {key}) % {_PRIME} * {_FACTOR} + {key}) % {_PRIME} AS {name}"
+
+
+def _mix_number(x: int, key: int) -> int:
+    return ((((x + key) % _PRIME) ** 2 + key) % _PRIME * _FACTOR + key) % _PRIME
+
+
+def _walk(name: str, source: str, x: str, n: str) -> str:
+    """A recursive table: keyed rows of ``source`` through the permutation of 0 .. n - 1, again while they land beyond it."""
+    steps = ["x % a AS l0", "x // a AS r0"]
+    for i in range(8):
+        steps += [f"(key + {i * _FACTOR}) % {_PRIME} AS k{i}", _mix(f"r{i}", f"k{i}", f"m{i}"), f"r{i} AS l{i + 1}", f"(l{i} + m{i}) % {'b' if i % 2 else 'a'} AS r{i + 1}"]
+    return f"""{name} AS (SELECT id, key, {x}::BIGINT AS x, {n}::BIGINT AS n, ceil(sqrt({n}))::BIGINT AS a, ceil({n} / ceil(sqrt({n})))::BIGINT AS b, 0 AS step FROM {source}
+        UNION ALL SELECT id, key, y, n, a, b, step + 1 FROM (SELECT *, {", ".join(steps)}, r8 * a + l8 AS y FROM {name} WHERE step = 0 OR x >= n))"""
+
+
+def _blended_sql(weights: list[tuple[str, float]], epochs: tuple[int, ...], replicas: int, seed: int) -> str:
+    cycle_key, slot_key = _mix_number(_mix_number(1, seed), 1), _mix_number(_mix_number(1, seed), 0)
+    return f"""
+        WITH RECURSIVE w(g, weight) AS (VALUES {", ".join(f"('{g}', {x}::DOUBLE)" for g, x in weights if x > 0)}),
+        members AS (SELECT g, o_orderkey AS row, row_number() OVER (PARTITION BY g ORDER BY o_orderkey) - 1 AS place FROM orders JOIN w ON g = o_orderpriority),
+        sizes AS (SELECT g, count(*) AS n FROM members GROUP BY g),
+        used AS (SELECT g, n, weight, row_number() OVER (ORDER BY g) - 1 AS no, (ceil(sum(n) OVER () / {replicas}.0) * {replicas})::BIGINT AS total,
+            weight / sum(weight) OVER () * total AS x, floor(x)::BIGINT AS low FROM sizes JOIN w USING (g)),
+        dealt AS (SELECT *, low + (row_number() OVER (ORDER BY round(x - low, 9) DESC, no) <= total - sum(low) OVER ())::INT AS draws FROM used),
+        counts AS (SELECT *, coalesce(sum(draws) OVER (ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM dealt),
+        spans AS (SELECT *, epoch * draws // n AS c0, (epoch * draws + draws - 1) // n AS c1 FROM counts, (VALUES {", ".join(f"({e})" for e in epochs)}) t(epoch)),
+        each AS (SELECT row_number() OVER () AS id, epoch, cycle, g, row, place, n, no, draws, start, total
+            FROM members JOIN (SELECT * EXCLUDE (c0, c1), unnest(range(c0::BIGINT, c1::BIGINT + 1)) AS cycle FROM spans) USING (g)),
+        keyed AS (SELECT *, {_mix(str(cycle_key), "no", "q")}, {_mix("q", "cycle", "key")} FROM each),
+        {_walk("cycles", "keyed", "place", "n")},
+        drawn AS (SELECT each.*, cycle * each.n + x - epoch * draws AS k FROM each JOIN cycles USING (id) WHERE step > 0 AND x < cycles.n AND k >= 0 AND k < draws),
+        later AS (SELECT *, start + k AS i, {_mix(str(slot_key), "epoch", "key")} FROM drawn),
+        {_walk("slots", "later", "i", "total")}
+        SELECT epoch::BIGINT AS epoch, (x // (total // {replicas}))::BIGINT AS replica, (x % (total // {replicas}))::BIGINT AS at, g AS "group", row, cycle::BIGINT AS cycle
+        FROM drawn JOIN slots USING (id) WHERE step > 0 AND x < slots.n
+    """
+
+
+def _runs_sql(row: str, keys: str, size: int, told: str) -> str:
+    return f"""WITH r AS ({row}), f AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS place, coalesce(({keys} IS DISTINCT FROM lag({keys}) OVER (ORDER BY ord))::INT, 1) AS ch FROM r),
+        g AS (SELECT *, sum(ch) OVER (ORDER BY ord) AS run FROM f), p AS (SELECT *, min(place) OVER (PARTITION BY run) AS run_start FROM g),
+        c AS (SELECT *, (sum(((place - run_start) % {size} = 0)::INT) OVER (ORDER BY ord) - 1)::BIGINT AS chunk FROM p) {told}"""
+
+
+ORACLE_SQL |= {
+    "blended_epochs": _blended_sql([("1-URGENT", 4.0), ("2-HIGH", 2.0), ("3-MEDIUM", 1.0), ("4-NOT SPECIFIED", 0.0), ("5-LOW", 1.0)], (0, 3), 4, 11),
+    "global_runs": _runs_sql(
+        "SELECT o_orderkey AS ord, o_orderstatus AS dataset, o_orderpriority AS context FROM orders", "dataset || '|' || context", 2, "SELECT ord, dataset, context, place, run_start, chunk FROM c"
+    ),
+    "gene_groups": _runs_sql(
+        "SELECT o_orderkey AS ord, o_orderstatus AS dataset, o_totalprice > 50000 AS labelled FROM orders",
+        "dataset",
+        8,
+        "SELECT chunk AS batch, dataset, count(*) AS n, bool_and(labelled) AS labelled, bool_and(labelled) <> bool_or(labelled) AS mixed FROM c GROUP BY ALL",
+    ),
+}

@@ -17,7 +17,7 @@ from screenloom.operators import knowledge as K
 from screenloom.operators import labels as L
 from screenloom.operators import losses
 from screenloom.operators import metrics as M
-from screenloom.operators import sampling, splits
+from screenloom.operators import ordered, sampling, splits
 from screenloom.operators.ranksum import adjusted, ranksum
 from screenloom.plans import screen
 
@@ -683,3 +683,32 @@ def apportion(s: SparkSession, d: str) -> DataFrame:
 def batch_runs(s: SparkSession, d: str) -> DataFrame:
     rows = screen.load(s, d, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_orderstatus").alias("dataset"), F.col("o_orderpriority").alias("context"), (F.col("o_orderkey") % 8).alias("shard"))
     return sampling.batch_runs(rows, 2, "shard").select("shard", "ord", F.col("batch").cast("long").alias("batch"))
+
+
+@query
+def global_runs(s: SparkSession, d: str) -> DataFrame:
+    """Batches over one order of all orders, with the place of each row and of its run's start."""
+    rows = screen.load(s, d, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_orderstatus").alias("dataset"), F.col("o_orderpriority").alias("context"))
+    return ordered.runs(rows, ["ord"], ["dataset", "context"], 2, range_rows=1000)
+
+
+@query
+def gene_groups(s: SparkSession, d: str) -> DataFrame:
+    """Batches of mixed contexts' rows, grouped by dataset; a group mixes labelled and query rows where priced and unpriced orders meet."""
+    rows = screen.load(s, d, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_orderstatus").alias("dataset"), F.lit("all").alias("context"), (F.col("o_totalprice") > 50000).alias("labelled"))
+    batched = sampling.batch_runs(rows, 8, range_rows=1000)
+    mixed = sampling.mixed_groups(batched).withColumn("mixed", F.lit(True))
+    told = sampling.gene_groups(batched).join(mixed, ["batch", "dataset"], "left")
+    return longs(told.withColumn("mixed", F.coalesce("mixed", F.lit(False))), "batch", "n")
+
+
+@query
+def blended_epochs(s: SparkSession, d: str) -> DataFrame:
+    """Two epochs of four replicas over orders, mixed by priority."""
+    rows = screen.load(s, d, "orders").select(F.col("o_orderpriority").alias("group"), F.col("o_orderkey").alias("row"))
+    weights = s.createDataFrame(BLEND, "group string, weight double")
+    return sampling.blended_epochs(rows, weights, epochs=(0, 3), replicas=4, seed=11, range_rows=1000)
+
+
+#: The mix of ``blended_epochs``: one group weighs twice another, one is never drawn.
+BLEND = [("1-URGENT", 4.0), ("2-HIGH", 2.0), ("3-MEDIUM", 1.0), ("4-NOT SPECIFIED", 0.0), ("5-LOW", 1.0)]

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,23 @@ def test_grid_reference_sizes():
     assert [G.bins_of(t, width).bins for t in (0.33, 0.37, 0.41)] == [7, 9, 9]
 
 
+@pytest.mark.parametrize("kind", ["outlier", "heavy", "ties", "even"])
+def test_the_last_selection_of_a_percentile_stays_bounded(spark, kind, monkeypatch):
+    """Whatever the values: no more distinct values are sorted than asked, and the percentile is numpy's."""
+    rng = np.random.default_rng(5)
+    values = {
+        "outlier": np.append(rng.random(8000), 1e300), "heavy": np.exp(rng.normal(0, 12, 8000)), "ties": np.round(rng.normal(0, 1, 8000), 1), "even": np.arange(8000) * -1.0,
+    }[kind]
+    df = spark.createDataFrame([(float(x), "a") for x in values] + [(1.0, "b"), (2.0, "b"), (float("nan"), "b"), (None, "c")], "x double, k string").repartition(3)
+    seen, plain = [], G._bracketed
+    monkeypatch.setattr(G, "_bracketed", lambda *a: seen.append(out := plain(*a)) or out)
+    for share in (0.0, 0.0001, 0.37, 0.95, 0.999, 1.0):
+        got = {r.k: r.p for r in G.exact_percentile(df, "x", share, "k", accuracy=40, selected=160).collect()}
+        assert got == {"a": pytest.approx(np.percentile(values, 100 * share)), "b": pytest.approx(1 + share)}
+        assert seen[-1].filter("k = 'a' AND w IS NOT NULL").count() <= 160
+    assert len(seen) > 6 or kind == "ties"
+
+
 def test_percentile_and_fit(spark):
     rows = [("d", v) for v in (0.1, -0.2, 0.3, -0.4, 0.5, float("nan"), float("inf"))] + [("d", None)]
     df = spark.createDataFrame(rows, "dataset string, delta double")
