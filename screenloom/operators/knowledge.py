@@ -191,15 +191,35 @@ def match_compounds(external: DataFrame, identities: DataFrame) -> DataFrame:
 def nearest_dose(queries: DataFrame, measured: DataFrame, keys: Sequence[str] = ("drug",)) -> DataFrame:
     """Rows of ``measured(keys, dose, value)`` at the dose nearest to each query's on a log scale; ties to the lower dose.
 
-    Distances are compared to 1e-10, doses taken as the same to a relative 1e-8; all rows at that dose stay.
+    Distances are compared to 1e-10, doses taken as the same to a relative 1e-8; all rows at that dose stay. Doses that are not positive are
+    near to nothing. Distinct doses and queries are merged in one order a key, each query sees the doses next below and above, and an
+    equi-join on (keys, dose) brings the rows: no query meets all rows of its key.
     """
     keys = list(keys)
-    joined = queries.select(*keys, F.col("dose").alias("query_dose")).distinct().join(measured, keys)
-    distance = F.abs(F.log10(F.col("dose") / F.col("query_dose")))
-    q = W.partitionBy(*keys, "query_dose")
-    near = joined.withColumn("d", distance).withColumn("least", F.min("d").over(q)).filter(F.col("d") <= F.col("least") + TIE)
-    low = near.withColumn("low", F.min("dose").over(q)).filter(F.abs(F.col("dose") - F.col("low")) <= 1e-8 * F.abs("low"))
-    return low.drop("d", "least", "low")
+    asked = queries.select(*keys, F.col("dose").alias("query_dose")).distinct().filter("query_dose > 0")
+    doses = measured.filter("dose > 0").select(*keys, F.col("dose").alias("at")).distinct().withColumn("lg", F.log10("at"))
+    # doses that are one but for rounding stand together
+    by = ", ".join(f"`{k}`" for k in keys)
+    close = f"PARTITION BY {by} ORDER BY lg RANGE BETWEEN {2 * TIE}D PRECEDING AND {2 * TIE}D FOLLOWING"
+    doses = doses.withColumn("band", F.expr(f"collect_list(at) OVER ({close})"))
+    none = F.lit(None)
+    line = doses.select(*keys, F.col("at").alias("x"), F.lit(0).alias("asks"), "band").unionByName(
+        asked.select(*keys, F.col("query_dose").alias("x"), F.lit(1).alias("asks"), none.cast(doses.schema["band"].dataType).alias("band"))
+    )
+    ordered = W.partitionBy(*keys).orderBy("x", "asks")
+    below = F.last("band", ignorenulls=True).over(ordered.rowsBetween(W.unboundedPreceding, 0))
+    above = F.first("band", ignorenulls=True).over(ordered.rowsBetween(0, W.unboundedFollowing))
+    bands = F.concat(*[F.coalesce(b, F.array().cast("array<double>")) for b in (below, above)])
+    met = line.withColumn("near", bands).filter("asks = 1").select(*keys, F.col("x").alias("query_dose"), F.array_distinct("near").alias("near"))
+
+    def distance(x: Column) -> Column:
+        return F.abs(F.log10(x / F.col("query_dose")))
+
+    met = met.withColumn("least", F.array_min(F.transform("near", distance)))
+    met = met.withColumn("near", F.filter("near", lambda x: distance(x) <= F.col("least") + TIE)).withColumn("low", F.array_min("near"))
+    chosen = met.select(*keys, "query_dose", F.explode(F.filter("near", lambda x: F.abs(x - F.col("low")) <= 1e-8 * F.abs("low"))).alias("dose"))
+    others = [c for c in measured.columns if c not in keys]
+    return chosen.join(measured, [*keys, "dose"]).select(*keys, "query_dose", *others)
 
 
 def nearest_signature(queries: DataFrame, signatures: DataFrame, hours: float = 24.0) -> DataFrame:

@@ -89,7 +89,7 @@ def label_arrays(labels: DataFrame, axis: DataFrame, space: str = "linear") -> D
 
     Untested cells: fold change 0, fdr 1, no log fold change. A pair counts if one of its genes is on the axis.
     """
-    on_axis = labels.join(F.broadcast(axis.select("gene")), "gene", "left_semi")
+    on_axis = labels.join(axis.select("gene"), "gene", "left_semi")
     linear, log2 = fold_changes(F.col("fold_change"), space)
     found = on_axis.select("context", "pert", "gene", linear.cast("float").alias("fc"), F.col("fdr").cast("float").alias("q"), log2.alias("lfc"))
     genes = axis.agg(F.collect_list("gene").alias("genes"))  # one row of axis length, which is fixed by the assay

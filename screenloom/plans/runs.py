@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -55,7 +56,8 @@ def run_process(spark: SparkSession, cfg: Process) -> dict[str, str]:
         kept = marks.filter("keep").select("cell_id")
         tables = {"cells": cells.join(kept, "cell_id", "left_semi"), "counts": counts.join(kept, "cell_id", "left_semi"), "stats": C.knockdown_stats(marks, f.control), "dropped": C.knockdown_dropped(marks)}
         sinks.write_artifact(tables, {"version": VERSION} | asdict(f), f.output, cfg.overwrite)
-        cells, counts = spark.read.parquet(f"{f.output}/cells"), spark.read.parquet(f"{f.output}/counts")
+        kept_tables = sinks.artifact_tables(spark, f.output)
+        cells, counts = kept_tables["cells"], kept_tables["counts"]
     if "normalize" in stages:
         done = C.normalize_log1p(counts, cfg.normalize.target)
         sinks.write_table(done, cfg.normalize.output, cfg.overwrite)
@@ -110,17 +112,18 @@ def statistics_key(datasets: Sequence[Mapping], split_text: str, cfg: Statistics
 
 def fit_statistics(spark: SparkSession, datasets: Sequence[str], split_text: str, cfg: Statistics, cache: str, forbidden: DataFrame | None = None) -> str:
     """Evidence and grid of the train rows, built once per content key; donors are held against forbidden pairs either way."""
-    metas = [sinks.read_artifact(spark, d, (), VERSION)[1] for d in datasets]
+    prepared = [sinks.read_artifact(spark, d, ("cond_gene",), VERSION) for d in datasets]  # one generation of each, throughout
+    metas = [meta for _, meta in prepared]
     path = f"{cache}/{statistics_key(metas, split_text, cfg)}"
     split = S.read_split(spark, split_text, "train")
-    cond = spark.read.parquet(*[f"{d}/cond_gene" for d in datasets]).withColumnRenamed("delta_p", "delta")
+    cond = functools.reduce(DataFrame.unionByName, [tables["cond_gene"] for tables, _ in prepared]).withColumnRenamed("delta_p", "delta")
     rows = cond.select("dataset", "context", "pert").distinct().withColumn("row", F.lit(0))
     must_be_empty({"unresolved split entry": S.unresolved(split, rows)})
     train = cond.join(split.select(*S.KEY), S.KEY, "left_semi").filter("delta IS NOT NULL")
     donors = train.select(*S.KEY).distinct()
     if forbidden is not None:
         must_be_empty({"leak": S.leaks(donors, split, forbidden)})
-    if exists(spark, f"{path}/meta"):
+    if sinks.latest(spark, path) is not None:
         return path
     clip = E.clip_at(train, cfg.clip_percentile).first().clip
     parts = E.contributions(train, cfg.fdr, cfg.sign, clip)
@@ -135,7 +138,7 @@ def fit_statistics(spark: SparkSession, datasets: Sequence[str], split_text: str
         "scales": E.scales(stats),
         "grid": grid,
     }
-    sinks.write_artifact(tables, {"version": VERSION, "clip": clip}, path, overwrite=True)
+    sinks.write_artifact(tables, {"version": VERSION, "clip": clip}, path, overwrite=True, inputs={"datasets": list(datasets)})
     return path
 
 

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +73,23 @@ def test_compound_cascade(spark):
     assert {(r.ext_id, r.drug, r.how) for r in got.collect()} == {("a", 2, "inchikey"), ("b", 1, "smiles"), ("d", 3, "name")}
 
 
+def test_nearest_dose_equals_all_against_all(spark):
+    """Random doses, ties on either side, doses equal but for rounding, none positive, keys without doses."""
+    rng = random.Random(4)
+    grid = [0.0, -1.0, 0.1, 0.3, 0.1 + 0.2, 1.0, 10.0, 100.0, 33.0, 1e-9, 1 / 3, 1 / 3 + 1e-13]
+    queries = [(rng.choice("abcd"), rng.choice([*grid, rng.random() * 50])) for _ in range(60)] + [("a", None), ("none", 1.0)]
+    measured = [(rng.choice("abcx"), rng.choice([*grid, rng.random() * 50]), float(i)) for i in range(120)] + [("a", None, 1.0)]
+    want = []
+    for key, q in {x for x in queries if x[1] is not None and x[1] > 0}:
+        own = [(d, v, abs(math.log10(d / q))) for k, d, v in measured if k == key and d is not None and d > 0]
+        if own:
+            near = [(d, v) for d, v, far in own if far <= min(x[2] for x in own) + 1e-10]
+            low = min(d for d, _ in near)
+            want += [(key, q, d, v) for d, v in near if abs(d - low) <= 1e-8 * abs(low)]
+    got = K.nearest_dose(spark.createDataFrame(queries, "drug string, dose double"), spark.createDataFrame(measured, "drug string, dose double, value double"))
+    assert sorted((r.drug, r.query_dose, r.dose, r.value) for r in got.collect()) == sorted(want)
+
+
 def test_nearest_dose_ties_to_the_lower(spark):
     measured = spark.createDataFrame([("x", 0.1, 1.0), ("x", 10.0, 2.0), ("x", 0.1, 3.0), ("y", 5.0, 4.0)], "drug string, dose double, value double")
     queries = spark.createDataFrame([("x", 1.0), ("y", 1.0), ("z", 1.0)], "drug string, dose double")

@@ -80,11 +80,12 @@ def test_prep_statistics_and_eval(spark, matrix, tmp_path):
     table = {"columns": {"context": "cell", "pert": "target", "gene": "feature", "fdr": "q", "fold_change": "fc"}, "lower": True}
     cfg = config.strict(config.Prep, {"name": "d", "matrix": matrix, "output": f"{tmp_path}/d", "labels": f"{tmp_path}/labels.csv", "table": table})
     runs.run_prep(spark, cfg)
-    cond = spark.read.parquet(f"{tmp_path}/d/cond_gene")
+    tables = sinks.artifact_tables(spark, f"{tmp_path}/d")
+    cond = tables["cond_gene"]
     got = {(r.pert, r.gene): (r.fold_change, r.tested, r.delta_p) for r in cond.collect()}
     assert got[("g2", "g2")] == (4.0, True, 1.0) and got[("g2", "g1")] == (0.0, False, -1.0) and len(got) == 4
     stats = runs.fit_statistics(spark, [f"{tmp_path}/d"], '{"d.c": ["g1"]}', config.Statistics(), f"{tmp_path}/cache")
-    assert spark.read.parquet(f"{stats}/global").count() == 2
+    assert sinks.artifact_tables(spark, stats)["global"].count() == 2
     assert runs.fit_statistics(spark, [f"{tmp_path}/d"], '{"d.c": ["g1"]}', config.Statistics(), f"{tmp_path}/cache") == stats
     forbidden = spark.createDataFrame([("d", "c", "g1")], "dataset string, context string, pert string")
     with pytest.raises(ValueError, match="leak"):
@@ -97,17 +98,17 @@ def test_prep_statistics_and_eval(spark, matrix, tmp_path):
 
     schema = "dataset string, context string, pert string, row int, gene string, p_de double, lfc_pred double, delta_pred double"
     pred = runs.predict(cond.select("dataset", "context", "pert", "gene"), model, schema)
-    total = runs.run_eval(pred, cond, spark.read.parquet(f"{tmp_path}/d/ctrl_means"), f"{tmp_path}/eval").first()
+    total = runs.run_eval(pred, cond, tables["ctrl_means"], f"{tmp_path}/eval").first()
     assert total.direction_match == 0.5 and os.path.isdir(f"{tmp_path}/eval/granular")
-    axis = spark.read.parquet(f"{tmp_path}/d/axis")
+    axis = tables["axis"]
     runs.run_infer(pred, axis, f"{tmp_path}/infer")
-    assert [len(r.p_de) for r in spark.read.parquet(f"{tmp_path}/infer/predictions").collect()] == [2, 2]
+    assert [len(r.p_de) for r in sinks.artifact_tables(spark, f"{tmp_path}/infer")["predictions"].collect()] == [2, 2]
 
 
 def test_controls_only(spark, matrix, tmp_path):
     cfg = config.strict(config.Prep, {"name": "d", "matrix": matrix, "output": f"{tmp_path}/d", "controls_only": True})
     runs.run_prep(spark, cfg)
-    assert {r.gene: r.value for r in spark.read.parquet(f"{tmp_path}/d/ctrl_means").collect()} == {"g1": 10, "g2": 4}
+    assert {r.gene: r.value for r in sinks.artifact_tables(spark, f"{tmp_path}/d")["ctrl_means"].collect()} == {"g1": 10, "g2": 4}
 
 
 def test_embedding_runs_once_per_text(spark):
