@@ -114,54 +114,96 @@ def bulk_effects(ready: DataFrame) -> DataFrame:
     )
 
 
-BLOCK = 256  # perturbations of a context in one block
+BLOCK, PIVOTS = 128, 8  # perturbations of a context in one block, and truths that others are measured against
+
+
+def _matrix(rows: pd.DataFrame, value: str, axis: np.ndarray) -> np.ndarray:
+    """One row a perturbation over the gene ids of ``axis``; NaN where it has no value."""
+    out = np.full((len(rows), len(axis)), np.nan)
+    for k, (ids, values) in enumerate(zip(rows["ids"], rows[value], strict=True)):
+        out[k, np.searchsorted(axis, ids)] = values
+    return out
+
+
+def nearer_truths(pred: np.ndarray, real: np.ndarray, own: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signs (-1, 0, 1) of each prediction's distance to each truth less its own, without its own gene, and how many pairs were met.
+
+    Distances to a few pivots bound a distance from both sides (triangle inequality); the own gene's share comes off exactly. Only pairs that
+    the bounds leave open, by a margin for rounding, are summed up. Needs values everywhere; ``own`` is the own gene's place or -1.
+    """
+    pivots = real[np.linspace(0, len(real) - 1, min(PIVOTS, len(real))).astype(int)]
+    to_pred = np.stack([np.abs(pred - p).sum(axis=1) for p in pivots], axis=1)
+    to_real = np.stack([np.abs(real - p).sum(axis=1) for p in pivots], axis=1)
+    signs, met = np.zeros((len(pred), len(real)), dtype=np.int8), 0
+    for i in range(len(pred)):
+        apart = np.abs(pred[i, own[i]] - real[:, own[i]]) if own[i] >= 0 else 0.0
+        low = np.abs(to_pred[i] - to_real).max(axis=1) - apart
+        high = (to_pred[i] + to_real).min(axis=1) - apart
+        margin = 1e-6 * (1 + np.abs(limit[i]) + high)
+        signs[i] = np.where(high < limit[i] - margin, -1, np.where(low > limit[i] + margin, 1, 0))
+        open_ = np.flatnonzero(signs[i] == 0)
+        met += len(open_)
+        far = np.abs(real[open_] - pred[i])
+        if own[i] >= 0:
+            far[:, own[i]] = 0
+        signs[i, open_] = np.sign(np.round(far.sum(axis=1), 9) - limit[i])
+    return signs, np.array(met)
 
 
 def _closer(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one block of perturbations against another: how many truths lie nearer to each prediction than its own, of how many."""
-    genes, gene = np.unique(rows["gene"].to_numpy(dtype=object).astype(str), return_inverse=True)
-
-    def matrix(side: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-        own = (rows["side"] == side).to_numpy()
-        names, name = np.unique(rows["pert"].to_numpy(dtype=object)[own].astype(str), return_inverse=True)
-        out = np.full((len(names), len(genes)), np.nan)
-        out[name, gene[own]] = rows[value].to_numpy(dtype=float)[own]
-        return names, out
-
-    asked, pred = matrix("a", "pred")
-    others, real = matrix("b", "real")
-    limit = rows[rows["side"] == "a"].groupby("pert")["d"].first()
+    """Of one block of perturbations against another: how many truths lie nearer to each prediction than its own, of how many, and how many pairs were met."""
+    asked, others = (rows[rows["side"] == s].sort_values("pert") for s in ("a", "b"))
+    axis = np.unique(np.concatenate(list(rows["ids"])))
+    pred, real = _matrix(asked, "pred", axis), _matrix(others, "real", axis)
+    place = np.searchsorted(axis, asked["own"].to_numpy())
+    own = np.where((place < len(axis)) & (axis[np.minimum(place, len(axis) - 1)] == asked["own"].to_numpy()), place, -1)
+    limit, names = np.nan_to_num(asked["d"].to_numpy(dtype=float)), others["pert"].to_numpy(dtype=object)  # one without a distance has no score
+    whole = not np.isnan(pred).any() and not np.isnan(real).any() and len(axis) > 1
+    if whole:
+        signs, met = nearer_truths(pred, real, own, limit)
     out = []
-    for p, values in zip(asked, pred, strict=True):
-        far = np.abs(real - np.where(genes == p, np.nan, values))
-        met = ~np.isnan(far).all(axis=1)
-        d = np.round(np.nansum(far, axis=1), 9)
-        own = limit.get(p, np.nan)
-        nearer = met & (others != p) & ((d < own) | ((d == own) & (others < p)))
-        out.append((p, int(nearer.sum()), int(met.sum())))
+    for i, p in enumerate(asked["pert"]):
+        if whole:
+            sign, has = signs[i], np.ones(len(real), dtype=bool)
+        else:  # a gene that one side lacks counts for neither
+            far = np.abs(real - pred[i])
+            if own[i] >= 0:
+                far[:, own[i]] = np.nan
+            has, sign = ~np.isnan(far).all(axis=1), np.sign(np.round(np.nansum(far, axis=1), 9) - limit[i])
+        nearer = has & (names != p) & ((sign < 0) | ((sign == 0) & (names < p)))
+        out.append((p, int(nearer.sum()), int(has.sum()), (int(met) if i == 0 else 0) if whole else len(real)))
     keys = {k: rows[k].iloc[0] for k in CONTEXT}
-    return pd.DataFrame(out, columns=["pert", "rank", "n"]).assign(**keys)[[*PAIR, "rank", "n"]]
+    return pd.DataFrame(out, columns=["pert", "rank", "n", "met"]).assign(**keys)[[*PAIR, "rank", "n", "met"]]
+
+
+def truth_ranks(effects: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(dataset, context, pert, rank, n, met, d): truths nearer than the own one, of how many, and how many pairs had to be summed up.
+
+    A perturbation becomes one row of three arrays (gene ids, predictions, truths; ids are 64-bit hashes of names) before
+    anything is copied. Perturbations are dealt to blocks of some ``block`` and every block meets every other as two matrices. Ties go by name.
+    """
+    others = F.when(F.col("gene") != F.col("pert"), F.abs(F.col("pred") - F.col("real")))
+    entry = F.struct(F.xxhash64("gene").alias("id"), "pred", "real")
+    vectors = effects.groupBy(*PAIR).agg(F.array_sort(F.collect_list(entry)).alias("v"), F.round(F.sum(others), 9).alias("d"))
+    arrays = [F.col(f"v.{n}").alias(a) for a, n in (("ids", "id"), ("pred", "pred"), ("real", "real"))]
+    vectors = vectors.select(*PAIR, F.xxhash64("pert").alias("own"), "d", *arrays)
+    sizes = effects.select(*PAIR).distinct().groupBy(*CONTEXT).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = vectors.join(sizes, CONTEXT).withColumn("i", F.pmod(F.xxhash64("pert"), F.col("blocks")).cast("int"))
+    every, none = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), F.lit(None).cast("array<double>")
+    left = dealt.select(*PAIR, "own", "d", "ids", "pred", none.alias("real"), F.col("i").alias("x"), every.alias("y"), F.lit("a").alias("side"))
+    right = dealt.select(*PAIR, "own", "d", "ids", none.alias("pred"), "real", every.alias("x"), F.col("i").alias("y"), F.lit("b").alias("side"))
+    schema = T.StructType([*(effects.schema[k] for k in PAIR), *(T.StructField(c, T.LongType()) for c in ("rank", "n", "met"))])
+    counted = left.unionByName(right).groupBy(*CONTEXT, "x", "y").applyInPandas(_closer, schema)
+    told = counted.groupBy(*PAIR).agg(*[F.sum(c).alias(c) for c in ("rank", "n", "met")])
+    return told.join(vectors.select(*PAIR, "d"), PAIR)
 
 
 def discrimination_l1(effects: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per pair: 1 - rank / P of the own truth among all true effects of the context by L1 distance, without the gene of that name.
 
-    Every prediction must meet every truth of its context: perturbations are dealt to blocks of some ``block`` and every
-    block meets every other as two matrices, which give one row per perturbation, not one per pair and gene. Ties go by name.
     A context without perturbations gives no row.
     """
-    others = F.when(F.col("gene") != F.col("pert"), F.abs(F.col("pred") - F.col("real")))
-    own = effects.groupBy(*PAIR).agg(F.round(F.sum(others), 9).alias("d"))
-    sizes = own.groupBy(*CONTEXT).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = effects.join(own, PAIR).join(sizes, CONTEXT).withColumn("i", F.pmod(F.xxhash64("pert"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    columns = [*PAIR, "gene", "pred", "real", "d"]
-    left = dealt.select(*columns, F.col("i").alias("x"), every.alias("y"), F.lit("a").alias("side"))
-    right = dealt.select(*columns, every.alias("x"), F.col("i").alias("y"), F.lit("b").alias("side"))
-    schema = T.StructType([*(effects.schema[k] for k in PAIR), T.StructField("rank", T.LongType()), T.StructField("n", T.LongType())])
-    counted = left.unionByName(right).groupBy(*CONTEXT, "x", "y").applyInPandas(_closer, schema)
-    told = counted.groupBy(*PAIR).agg(F.sum("rank").alias("rank"), F.sum("n").alias("n"))
-    return told.join(own.filter("d IS NOT NULL").select(*PAIR), PAIR).select(*PAIR, (1 - F.col("rank") / F.col("n")).alias("discrimination_score_l1"))
+    return truth_ranks(effects, block).filter("d IS NOT NULL").select(*PAIR, (1 - F.col("rank") / F.col("n")).alias("discrimination_score_l1"))
 
 
 def row_metrics(ready: DataFrame) -> DataFrame:

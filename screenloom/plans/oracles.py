@@ -404,3 +404,10 @@ ORACLE_SQL |= {
         "SELECT chunk AS batch, dataset, count(*) AS n, bool_and(labelled) AS labelled, bool_and(labelled) <> bool_or(labelled) AS mixed FROM c GROUP BY ALL",
     ),
 }
+
+_MATRIX = f"""WITH {CELLS}, {COUNTS}, r AS (SELECT cell_id, row_number() OVER (ORDER BY cell_id) - 1 AS row FROM cells)"""
+ORACLE_SQL |= {
+    "matrix_counts": f"{_MATRIX} SELECT cell_id, row, gene, value FROM counts JOIN r USING (cell_id)",
+    "matrix_row_range": f"""{_MATRIX}, g AS (SELECT gene, row_number() OVER (ORDER BY gene) - 1 AS col FROM (SELECT DISTINCT p_brand AS gene FROM part))
+        SELECT row, count(*) AS stored, sum(value) AS total, max(col)::INT AS "last" FROM counts JOIN r USING (cell_id) JOIN g USING (gene) WHERE row >= (SELECT count(*) FROM r) // 10 GROUP BY row""",
+}

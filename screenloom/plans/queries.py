@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,8 @@ from screenloom.operators import metrics as M
 from screenloom.operators import ordered, sampling, splits
 from screenloom.operators.ranksum import adjusted, ranksum
 from screenloom.plans import screen
+from screenloom.sources import matrix
+from screenloom.sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -712,3 +715,29 @@ def blended_epochs(s: SparkSession, d: str) -> DataFrame:
 
 #: The mix of ``blended_epochs``: one group weighs twice another, one is never drawn.
 BLEND = [("1-URGENT", 4.0), ("2-HIGH", 2.0), ("3-MEDIUM", 1.0), ("4-NOT SPECIFIED", 0.0), ("5-LOW", 1.0)]
+
+
+# --- matrix folders -------------------------------------------------------------------------------
+
+
+@query
+def matrix_counts(s: SparkSession, d: str) -> DataFrame:
+    """The screen's counts out of a matrix folder that is made from them, by cells and genes."""
+    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    brands = screen.load(s, d, "part").select(F.col("p_brand").alias("gene")).distinct()
+    genes = brands.withColumn("col", (F.row_number().over(W.orderBy("gene")) - 1).cast("int"))  # 25 brands at any scale
+    matrix.write_screen(screen.cells(s, d), screen.counts(s, d), genes, path, part_rows=4000)
+    rows = matrix.read_matrix(s, path, entries=20_000).select("row", F.explode(F.arrays_zip("cols", "vals")).alias("e"))
+    told = rows.select("row", F.col("e.cols").alias("col"), F.col("e.vals").cast("double").alias("value")).join(s.read.parquet(f"{path}/genes"), "col")
+    return told.join(s.read.parquet(f"{path}/cells").select("row", "cell_id"), "row").select("cell_id", "row", "gene", "value")
+
+
+@query
+def matrix_row_range(s: SparkSession, d: str) -> DataFrame:
+    """Rows of a dense folder from a tenth of its height on, chosen in the scan; their stored entries and sums."""
+    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    brands = screen.load(s, d, "part").select(F.col("p_brand").alias("gene")).distinct()
+    genes = brands.withColumn("col", (F.row_number().over(W.orderBy("gene")) - 1).cast("int"))
+    told = matrix.write_screen(screen.cells(s, d), screen.counts(s, d), genes, path, layout="dense", part_rows=4000)
+    rows = matrix.read_matrix(s, path).filter(F.col("row") >= told["n_rows"] // 10)
+    return rows.select("row", F.size("cols").cast("long").alias("stored"), F.aggregate("vals", F.lit(0.0), lambda a, v: a + v).alias("total"), F.array_max("cols").alias("last"))

@@ -21,19 +21,13 @@ from screenloom.operators import splits as S
 from screenloom.operators.ranksum import differential_expression
 from screenloom.plans.config import Prep, Process, Statistics
 from screenloom.sources import readers, sinks
+from screenloom.sources.matrix import read_screen
 
 VERSION = 1
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists, on whatever file system Spark resolves for it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def refuse_existing(spark: SparkSession, paths: Sequence[str], overwrite: bool) -> None:
-    if not overwrite and (there := [p for p in paths if exists(spark, p)]):
+    if not overwrite and (there := [p for p in paths if sinks.exists(spark, p)]):
         raise FileExistsError(f"set overwrite to replace {there}")
 
 
@@ -48,7 +42,7 @@ def run_process(spark: SparkSession, cfg: Process) -> dict[str, str]:
     """Filter, normalise and test counts, each stage optional; effects are always those of counts, never of normalised values."""
     stages = {n: s for n, s in (("filter", cfg.filter), ("normalize", cfg.normalize), ("effects", cfg.effects)) if s.enabled}
     refuse_existing(spark, [s.output for s in stages.values()], cfg.overwrite)
-    cells, counts = spark.read.parquet(f"{cfg.input}/cells"), spark.read.parquet(f"{cfg.input}/counts")
+    cells, counts, _ = read_screen(spark, cfg.input)
     must_be_empty({"counts that are not whole": C.non_integral(counts), "cells without counts": C.empty_cells(cells, counts), "cells without a context": cells.filter("context IS NULL OR pert IS NULL")})
     if "filter" in stages:
         f = cfg.filter
@@ -71,7 +65,7 @@ def run_process(spark: SparkSession, cfg: Process) -> dict[str, str]:
 def run_prep(spark: SparkSession, cfg: Prep) -> str:
     """Labels and matrix to a dataset: conditions, cond_gene, ctrl_means, axis, meta."""
     refuse_existing(spark, [cfg.output], cfg.overwrite)
-    cells, counts = spark.read.parquet(f"{cfg.matrix}/cells"), spark.read.parquet(f"{cfg.matrix}/counts")
+    cells, counts, matrix_genes = read_screen(spark, cfg.matrix)
     meta = {"version": VERSION, "dataset": cfg.name, "control": cfg.control, "controls_only": cfg.controls_only}
     if cfg.controls_only:
         means = C.control_means(cells, counts, cfg.control)
@@ -86,7 +80,7 @@ def run_prep(spark: SparkSession, cfg: Prep) -> str:
     if cfg.genes is not None:
         axis = readers.read_gene_list(spark, cfg.genes)
     else:
-        genes = spark.read.parquet(f"{cfg.matrix}/genes") if exists(spark, f"{cfg.matrix}/genes") else counts.select("gene", F.lit(0).alias("file_ord"), F.col("gene").alias("pos")).distinct()
+        genes = matrix_genes if matrix_genes is not None else counts.select("gene", F.lit(0).alias("file_ord"), F.col("gene").alias("pos")).distinct()
         axis = L.gene_axis(genes, last)
     if axis.isEmpty():
         raise ValueError("no label gene is in the matrix")

@@ -46,6 +46,12 @@ def _files(spark: SparkSession, path: str) -> tuple[object, Callable[[str], obje
     return to_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), to_path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on whatever file system Spark resolves for it."""
+    fs, to_path = _files(spark, path)
+    return fs.exists(to_path(path))
+
+
 def _listed(spark: SparkSession, path: str) -> list[str]:
     fs, to_path = _files(spark, path)
     return sorted(x.getPath().getName() for x in fs.listStatus(to_path(path))) if fs.exists(to_path(path)) else []

@@ -1,6 +1,7 @@
 """Metric policies on hand-made rows."""
 
 import math
+import random
 
 import pytest
 
@@ -83,6 +84,34 @@ def test_discrimination(spark):
     assert [got[p] for p in "abcd"] == [1, 1, 1, 0.25]
 
 
+@pytest.mark.parametrize("gaps", [False, True])
+def test_ranks_equal_all_against_all(spark, gaps):
+    """Several blocks; perturbations that are genes and others; equal truths, whose ties go by name; genes that some lack."""
+    rng = random.Random(9)
+    genes = [f"p{i}" for i in range(12)] + ["x", "y"]
+    effects, want = [], {}
+    for context in ("c1", "c2"):
+        real = {f"p{i}": {g: rng.choice([0.0, 1.0, rng.gauss(i % 4 * 5, 1)]) for g in genes} for i in range(20)}
+        real["p3"] = dict(real["p4"])
+        pred = {p: {g: v + rng.gauss(0, 0.5) for g, v in real[p].items()} for p in real}
+        pred["p3"] = dict(pred["p4"])
+        if gaps:
+            for p in ("p1", "p7"):
+                for side in (real, pred):
+                    del side[p]["y"]
+        effects += [("d", context, p, g, real[p][g], pred[p][g]) for p in real for g in real[p]]
+        for p in real:
+            far = {q: round(sum(abs(pred[p][g] - real[q][g]) for g in genes if g != p and g in pred[p] and g in real[q]), 9) for q in real}
+            want[context, p] = (sum((far[q], q) < (far[p], p) for q in real), len(real))
+    df = spark.createDataFrame(effects, "dataset string, context string, pert string, gene string, real double, pred double").repartition(4)
+    met = []
+    for block in (7, 128):
+        got = M.truth_ranks(df, block).collect()
+        assert {(r.context, r.pert): (r["rank"], r.n) for r in got} == want
+        met.append(sum(r.met for r in got))
+    assert all(m <= 2 * 20 * 20 if gaps else m < 0.8 * 2 * 20 * 20 for m in met)
+
+
 def test_discrimination_leaves_out_the_own_gene(spark):
     real, pred = [(0, 5), (0, 0)], [(0, 0), (0, 0)]
     assert effects(spark, real, pred, ("x", "y"))["a"] == 0.5
