@@ -41,7 +41,7 @@ TEXT_BLOCK = 1 << 20
 #: Entries that a task counts before it passes them on.
 HELD = 300_000
 #: Sources in a block, rows in a block of terms, and parts into which a group's rows are dealt for joins.
-BLOCK, TERM_ROWS, SALTS = 64, 100_000, 16
+BLOCK, TERM_ROWS, SALTS = 64, 16_384, 16
 DIGIT = 11
 
 
