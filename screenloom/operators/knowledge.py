@@ -265,8 +265,8 @@ def gene_effect_matrix(wide: DataFrame, id_col: str) -> DataFrame:
 
     seen: dict[str, str] = {}
     for c in wide.columns:
-        if (m := re.fullmatch(r"(\S+) \((\d+)\)", c)) and m[1] not in seen:
-            seen[m[1]] = c
+        if (m := re.fullmatch(r"(.+)\s+\((\d+)\)", c)) and (symbol := m[1].strip()) not in seen:
+            seen[symbol] = c
     long = wide.select(F.col(id_col).alias("model"), *[F.col(f"`{c}`").cast("double").alias(s) for s, c in seen.items()]).unpivot("model", list(seen), "symbol", "value")
     ordered = F.array_sort(F.collect_list(F.struct("model", F.coalesce("value", F.lit(0.0)).alias("v"))))
     return long.groupBy("symbol").agg(F.transform(ordered, lambda x: x["v"]).alias("values"))

@@ -45,6 +45,24 @@ def normalize_labels(
     return labels.withColumns({"context": context, "pert": pert})
 
 
+def normalize_cells(cells: DataFrame, source: str, context_map: Mapping[str, str] | None = None, drug_dose: bool = False) -> DataFrame:
+    """Cell metadata in the labels' encoding: contexts and perturbations as text, contexts mapped, perturbations parsed as dose literals.
+
+    A context outside the map, none at all, or a malformed dose is an error that names ``source``.
+    """
+
+    def error(what: str, value: Column) -> Column:
+        return F.raise_error(F.concat(F.lit(f"{source}: {what} "), F.coalesce(value, F.lit("null")))).cast("string")
+
+    context, pert = F.col("context").cast("string"), F.col("pert").cast("string")
+    if context_map is not None:
+        pairs = F.create_map(*[F.lit(x) for kv in context_map.items() for x in kv])
+        context = F.coalesce(F.try_element_at(pairs, F.coalesce(context, F.lit(""))), error("context not in the map:", context))
+    if drug_dose:
+        pert = F.when(pert.isNull(), error("no perturbation:", pert)).otherwise(parse_drug_dose(pert))
+    return cells.withColumns({"context": context, "pert": pert})
+
+
 def fold_changes(value: Column, space: str) -> tuple[Column, Column]:
     """(linear fold change, log2 fold change) in double; log2 of 0 is -infinity, of a negative value NaN."""
     value = value.cast("double")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from screenloom.functions import text
+from screenloom.functions import text, variants
 from screenloom.functions.records import json_list
 from screenloom.operators import counts as C
 from screenloom.operators import evidence as E
@@ -20,9 +20,9 @@ from screenloom.operators import losses
 from screenloom.operators import metrics as M
 from screenloom.operators import ordered, sampling, splits
 from screenloom.operators.ranksum import adjusted, ranksum
-from screenloom.plans import screen
+from screenloom.plans import builders, evidence_store, screen
 from screenloom.sources import matrix
-from screenloom.sources.shared import shared_folder
+from screenloom.sources.shared import materialised, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -143,8 +143,10 @@ def fold_change_spaces(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def gene_axis_first_seen(s: SparkSession, d: str) -> DataFrame:
-    parts = screen.load(s, d, "part").select(F.col("p_brand").alias("gene"), (F.col("p_size") % 3).alias("file_ord"), F.col("p_partkey").alias("pos"))
-    return L.gene_axis(parts, screen.labels(s, d).filter("fdr < 0.05"))
+    """Matrices have brands and manufacturers, labels have brands alone."""
+    gene = F.explode(F.array("p_mfgr", "p_brand")).alias("gene")
+    parts = screen.load(s, d, "part").select(gene, (F.col("p_size") % 3).alias("file_ord"), F.col("p_partkey").alias("pos"))
+    return L.gene_axis(parts, screen.labels(s, d))
 
 
 @query
@@ -155,8 +157,9 @@ def gene_union_axis(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def label_arrays(s: SparkSession, d: str) -> DataFrame:
-    rows = L.last_wins(screen.labels(s, d).filter("fdr < 0.03"), *screen.ORDER)
-    axis = screen.load(s, d, "part").select(F.col("p_brand").alias("gene")).distinct()
+    """The axis has manufacturers too, which no label names: those cells are untested."""
+    rows = L.last_wins(screen.labels(s, d), *screen.ORDER)
+    axis = screen.load(s, d, "part").select(F.explode(F.array("p_mfgr", "p_brand")).alias("gene")).distinct()
     return rounded(L.label_arrays(rows, axis), "fold_change", "fdr", "lfc")
 
 
@@ -741,3 +744,91 @@ def matrix_row_range(s: SparkSession, d: str) -> DataFrame:
     told = matrix.write_screen(screen.cells(s, d), screen.counts(s, d), genes, path, layout="dense", part_rows=4000)
     rows = matrix.read_matrix(s, path).filter(F.col("row") >= told["n_rows"] // 10)
     return rows.select("row", F.size("cols").cast("long").alias("stored"), F.aggregate("vals", F.lit(0.0), lambda a, v: a + v).alias("total"), F.array_max("cols").alias("last"))
+
+
+# --- increments and variants ----------------------------------------------------------------------
+
+
+@query
+def evidence_increments(s: SparkSession, d: str) -> DataFrame:
+    """Donor sums of a store that took two datasets, then replaced one and took a third, by merging stored parts."""
+    cond, path = materialised(screen.conditions(s, d)), f"{shared_folder(s)}/{uuid.uuid4().hex}"
+
+    def source(name: str, digest: str) -> evidence_store.Source:
+        rows = cond.filter(F.col("dataset") == name)
+        return evidence_store.Source(digest, lambda: rows if digest == "all" else rows.filter(F.col("delta") > 0))
+
+    evidence_store.refresh(s, path, {"F": source("F", "some"), "O": source("O", "all")})
+    evidence_store.refresh(s, path, {n: source(n, "all") for n in ("F", "O", "P")})
+    return rounded(evidence_store.donor_totals(s, path), *[c for c in E.STATS if c.endswith(("sum", "sumsq"))])
+
+
+@query
+def cell_line_parts(s: SparkSession, d: str) -> DataFrame:
+    """Parts as records of four encodings, and what is read back from them."""
+    part, n = screen.load(s, d, "part"), F.col("p_partkey") % 4
+
+    def xref(accession: str) -> Column:
+        return F.struct(F.lit("DB").alias("database"), F.col(accession).alias("accession"))
+
+    old = F.struct(
+        F.array(F.struct(F.col("p_name").alias("label"), F.array(xref("p_brand")).alias("xref-list"))).alias("cell-type-list"),
+        F.array(F.struct(F.lit("Derived-From").alias("type"), F.struct(F.col("p_mfgr").alias("value")).alias("name"), F.struct(F.col("p_brand").alias("value")).alias("accession"))).alias("parent-list"),
+        F.array(F.struct(F.struct(F.lit("Transfection").alias("label")).alias("method"), F.col("p_type").alias("label"), xref("p_container").alias("xref"))).alias("genetic-integration-list"),
+    )
+    new = F.struct(
+        F.struct(F.col("p_name").alias("value"), xref("p_brand").alias("xref")).alias("cell-type"),
+        F.array(F.struct(F.col("p_mfgr").alias("label"), F.col("p_brand").alias("accession"))).alias("derived-from"),
+        F.array(F.struct(F.lit("CRISPR").alias("method"), F.struct(F.col("p_type").alias("label"), F.array(xref("p_container")).alias("xref-list")).alias("target"))).alias("genetic-integration-list"),
+    )
+    plain = F.struct(
+        F.col("p_name").alias("cell-type"),
+        F.array(F.struct(F.lit("derived-from").alias("type"), F.col("p_mfgr").alias("name"), F.col("p_brand").alias("accession")), F.struct(F.lit("other").alias("type"), F.col("p_name").alias("name"), F.lit("-").alias("accession"))).alias("parent-list"),
+        F.array(F.struct(F.lit("Genetic integration").alias("category"), F.col("p_type").alias("value")), F.struct(F.lit("Doubling").alias("category"), F.col("p_name").alias("value"))).alias("comment-list"),
+    )
+    record = F.when(n == 0, F.to_json(old)).when(n == 1, F.to_json(new)).when(n == 2, F.to_json(plain)).otherwise("{broken")
+    told = variants.cell_line_parts(part.select(F.col("p_partkey").alias("key"), record.alias("json")))
+    each = F.transform("integrations", lambda i: F.concat_ws("/", i["method"], i["label"], i["database"], i["accession"]))
+    return told.select(
+        "key", F.col("cell_type.name").alias("cell_type"), F.col("cell_type.accession").alias("cell_type_accession"),
+        F.array_join(F.transform("parents", lambda p: F.concat_ws("/", p["name"], p["accession"])), ", ").alias("parents"), F.array_join(each, ", ").alias("integrations"), "integration_text",
+    )
+
+
+# --- cell metadata and local sources --------------------------------------------------------------
+
+
+@query
+def cell_metadata(s: SparkSession, d: str) -> DataFrame:
+    """Orders as cells: priorities mapped to contexts, clerks as dose literals."""
+    pert = F.concat(F.lit("[('"), F.col("o_clerk"), F.lit("', "), (F.col("o_orderkey") % 9).cast("string"), F.lit(".5, 'uM')]"))
+    cells = screen.load(s, d, "orders").select(F.col("o_orderkey").alias("cell_id"), F.col("o_orderpriority").alias("context"), pert.alias("pert"))
+    known = {"1-URGENT": "u", "2-HIGH": "h", "3-MEDIUM": "m", "4-NOT SPECIFIED": "n", "5-LOW": "l"}
+    return L.normalize_cells(cells, "orders", known, drug_dose=True)
+
+
+@query
+def local_sources(s: SparkSession, d: str) -> DataFrame:
+    """Four sources built by their tools out of files made from the tables: keys, lengths and sums."""
+    folder = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    part, items = screen.load(s, d, "part"), screen.load(s, d, "lineitem")
+    brand = F.concat(F.regexp_replace("p_brand", "#", ""), F.lit(" ("), F.regexp_extract("p_brand", "[0-9]+", 0), F.lit(")"))
+    wide = part.groupBy(F.col("p_container").alias("model")).pivot(brand).agg(F.sum("p_size"))  # 25 brands at any scale
+    wide.write.option("header", True).csv(f"{folder}/wide")
+    vectors = screen.load(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("protein"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"))
+    vectors.write.parquet(f"{folder}/space")
+    names = screen.load(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("#string_protein_id"), F.concat(F.lit("N"), F.col("vec_id") % 97).alias("preferred_name"))
+    names.write.option("header", True).option("sep", "\t").csv(f"{folder}/names")
+    asked = part.select(F.col("p_partkey").cast("string").alias("key"), F.col("p_partkey").alias("drug"), F.col("p_size").cast("double").alias("dose"))
+    asked.write.parquet(f"{folder}/asked")
+    rows = items.select(F.col("l_partkey").alias("drug"), F.col("l_returnflag").alias("cell"), F.when(F.col("l_linestatus") == "O", "MTS010").otherwise("HTS").alias("screen"), F.col("l_quantity").cast("double").alias("dose"), F.col("l_extendedprice").cast("double").alias("value"))
+    rows.write.parquet(f"{folder}/viability")
+    part.select(F.col("p_brand").alias("key"), F.col("p_container").alias("feature"), F.col("p_size").cast("double").alias("value")).write.parquet(f"{folder}/wells")
+    inputs = {"gene_effects": (f"{folder}/wide",), "network_space": (f"{folder}/space", f"{folder}/names"), "viability_profiles": (f"{folder}/asked", f"{folder}/viability"), "morphology_profiles": (f"{folder}/wells",)}
+    paths = builders.local_registry(inputs).build(s, list(inputs), f"{folder}/out")
+    told = None
+    for name, path in paths.items():
+        total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+        one = s.read.parquet(path).select(F.lit(name).alias("source"), "key", F.size("vector").cast("long").alias("length"), F.round(total, 2).alias("total"))
+        told = one if told is None else told.unionByName(one)
+    return told.withColumn("total", F.round("total", 1) + F.lit(0.0))

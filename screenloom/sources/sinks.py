@@ -52,7 +52,8 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(to_path(path))
 
 
-def _listed(spark: SparkSession, path: str) -> list[str]:
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, ascending; none if it isn't there."""
     fs, to_path = _files(spark, path)
     return sorted(x.getPath().getName() for x in fs.listStatus(to_path(path))) if fs.exists(to_path(path)) else []
 
@@ -74,7 +75,7 @@ def write_observed(df: DataFrame, path: str) -> dict[str, object]:
 def latest(spark: SparkSession, path: str) -> dict | None:
     """The newest whole manifest of an artifact."""
     fs, to_path = _files(spark, path)
-    for name in reversed([n for n in _listed(spark, f"{path}/manifest") if n.endswith(".json")]):
+    for name in reversed([n for n in listed(spark, f"{path}/manifest") if n.endswith(".json")]):
         stream = fs.open(to_path(f"{path}/manifest/{name}"))
         try:
             return json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
@@ -94,7 +95,7 @@ def write_artifact(tables: Mapping[str, DataFrame], meta: Mapping[str, object],
     last = latest(spark, path)
     if last is not None and not overwrite:
         raise FileExistsError(f"set overwrite to replace {path}")
-    taken = [int(n.split("-")[0].split(".")[0]) for folder in ("gen", "manifest") for n in _listed(spark, f"{path}/{folder}")]
+    taken = [int(n.split("-")[0].split(".")[0]) for folder in ("gen", "manifest") for n in listed(spark, f"{path}/{folder}")]
     number = max(taken, default=0) + 1
     folder = f"gen/{number:08d}-{uuid.uuid4().hex[:8]}"
     written = {name: write_observed(df, f"{path}/{folder}/{name}") for name, df in tables.items()}
@@ -139,9 +140,9 @@ def changed_tables(spark: SparkSession, path: str, manifest: Mapping | None = No
 def expire(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
     """Delete all generations but the ``keep`` newest published ones, and what failed writes before the newest left; their folders."""
     fs, to_path = _files(spark, path)
-    numbers = sorted(int(n.split(".")[0]) for n in _listed(spark, f"{path}/manifest"))
+    numbers = sorted(int(n.split(".")[0]) for n in listed(spark, f"{path}/manifest"))
     kept = set(numbers[-keep:]) if keep else set()
-    gone = [n for n in _listed(spark, f"{path}/gen") if int(n.split("-")[0]) not in kept and numbers and int(n.split("-")[0]) < numbers[-1]]
+    gone = [n for n in listed(spark, f"{path}/gen") if int(n.split("-")[0]) not in kept and numbers and int(n.split("-")[0]) < numbers[-1]]
     for n in numbers:
         if n not in kept:
             fs.delete(to_path(f"{path}/manifest/{n:08d}.json"), False)
