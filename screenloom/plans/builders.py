@@ -42,7 +42,7 @@ def gene_effects(spark: SparkSession, path: str) -> DataFrame:
 def network_space(spark: SparkSession, vectors: str, info: str) -> DataFrame:
     """(key, vector): a protein table (protein, pos, vector) and a table of preferred names; the first protein of a name stands for it."""
     names = readers.read_strings(spark, info).select(F.col("string_protein_id").alias("protein"), F.col("preferred_name").alias("name"))
-    told = K.first_protein_per_name(spark.read.parquet(vectors), names.dropna())
+    told = K.first_protein_per_name(spark.read.parquet(vectors).select("protein", "pos", "vector"), names.dropna())
     return told.select(F.col("name").alias("key"), F.col("vector").cast("array<float>").alias("vector"))
 
 

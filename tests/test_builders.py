@@ -10,26 +10,29 @@ def table(spark, rows, schema, path):
     return str(path)
 
 
-def embed(texts):
-    return [[float(len(t)), float(t.count("A"))] for t in texts]
+def model():
+    def embed(texts):  # a function of its own, so that workers get it by value
+        return [[float(len(t)), float(t.count("A"))] for t in texts]
+
+    return embed
 
 
 def test_models_see_each_text_once(spark, tmp_path):
     drugs = table(spark, [("d1", "CCO"), ("d2", " CCO "), ("d3", "-"), ("d4", None)], "key string, smiles string", tmp_path / "d")
-    assert {r.key: r.vector for r in B.structure_vectors(spark, drugs, embed).collect()} == {"d1": [3, 0], "d2": [3, 0]}
+    assert {r.key: r.vector for r in B.structure_vectors(spark, drugs, model()).collect()} == {"d1": [3, 0], "d2": [3, 0]}
     text = "ACDA" * 5 + "AC"
     proteins = table(spark, [("long", text), ("short", "mak"), ("odd", "AC1")], "key string, sequence string", tmp_path / "p")
-    got = {r.key: r.vector for r in B.sequence_vectors(spark, proteins, embed, size=8).collect()}
+    got = {r.key: r.vector for r in B.sequence_vectors(spark, proteins, model(), size=8).collect()}
     windows = [text[i : i + 8] for i in range(0, 17, 4)]
     assert got.keys() == {"long", "short"} and got["short"] == [3, 1]
-    assert got["long"] == pytest.approx(np.mean(embed(windows), axis=0))
+    assert got["long"] == pytest.approx(np.mean(model()(windows), axis=0))
 
 
 def test_gene_texts_and_their_vectors(spark, tmp_path):
     (tmp_path / "info.tsv").write_text("#tax_id\tSymbol\ttype_of_gene\tdescription\n9606\tAAA\tprotein-coding\tfull A\n9606\tBBB\tprotein-coding\t-\n9606\tPPP\tpseudo\tx\n10090\tMMM\tprotein-coding\tx\n")
     (tmp_path / "sum.csv").write_text("Symbol,summary\nAAA,a  long summary\nBBB,\n")
     inputs = {"gene_texts": (str(tmp_path / "info.tsv"), str(tmp_path / "sum.csv"))}
-    registry = B.local_registry(inputs, {"gene_vectors": embed})
+    registry = B.local_registry(inputs, {"gene_vectors": model()})
     paths = registry.build(spark, ["gene_vectors"], str(tmp_path / "out"))
     assert {r.key: r.text for r in spark.read.parquet(paths["gene_texts"]).collect()} == {"AAA": "a long summary", "BBB": ""}
     assert {r.key for r in spark.read.parquet(paths["gene_vectors"]).collect()} == {"AAA"}
