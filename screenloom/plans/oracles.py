@@ -172,7 +172,7 @@ ORACLE_SQL: dict[str, str] = {
             QUALIFY row_number() OVER (PARTITION BY context, pert, gene ORDER BY {ORDER}) = 1)
         SELECT p.context, p.pert, a.gene, round(coalesce(v.fold_change, 0)::FLOAT::DOUBLE, 6) AS fold_change, round(coalesce(v.fdr, 1)::FLOAT::DOUBLE, 6) AS fdr,
             v.fdr IS NOT NULL AS tested, round(log2(v.fold_change), 6) AS lfc
-        FROM (SELECT DISTINCT context, pert FROM v) p CROSS JOIN (SELECT p_brand AS gene FROM part UNION SELECT p_mfgr FROM part) a LEFT JOIN v ON v.context = p.context AND v.pert = p.pert AND v.gene = a.gene""",
+        FROM (SELECT DISTINCT context, pert FROM v) p CROSS JOIN (SELECT p_brand AS gene FROM part UNION SELECT p_type FROM part) a LEFT JOIN v ON v.context = p.context AND v.pert = p.pert AND v.gene = a.gene""",
     "drug_dose_keys": """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name || '_' || p_size || '.5uM' ELSE p_name END AS key,
         CASE WHEN p_size % 2 = 0 THEN p_name END AS name, CASE WHEN p_size % 2 = 0 THEN p_size + 0.5::DOUBLE END AS dose FROM part""",
     "split_resolve": f"WITH {COND}, {ROWS} SELECT s.*, r.row FROM {split_rows(1)} s JOIN rows r USING (dataset, context, pert)",
@@ -414,7 +414,7 @@ ORACLE_SQL |= {
 
 ORACLE_SQL |= {
     "evidence_increments": f"WITH {PARTS} SELECT pert, gene, {STATS} FROM parts GROUP BY ALL",
-    "cell_line_parts": """WITH r AS (SELECT *, p_partkey % 4 AS n FROM part)
+    "cell_line_parts": """WITH r AS (SELECT *, p_partkey % 4 AS n, 'M' || p_size AS p_mfgr, 'C' || p_size AS p_container FROM part)
         SELECT p_partkey AS key, CASE WHEN n < 2 THEN p_name ELSE '' END AS cell_type, CASE WHEN n < 2 THEN p_brand ELSE '' END AS cell_type_accession,
             CASE WHEN n < 3 THEN p_mfgr || '/' || p_brand ELSE '' END AS parents,
             CASE n WHEN 0 THEN 'Transfection/' || p_type || '/DB/' || p_container WHEN 1 THEN 'CRISPR/' || p_type || '/DB/' || p_container WHEN 2 THEN '/' || p_type || '//' ELSE '' END AS integrations,
@@ -423,19 +423,19 @@ ORACLE_SQL |= {
 
 ORACLE_SQL |= {
     "cell_metadata": """SELECT o_orderkey AS cell_id, map {'1-URGENT': 'u', '2-HIGH': 'h', '3-MEDIUM': 'm', '4-NOT SPECIFIED': 'n', '5-LOW': 'l'}[o_orderpriority] AS context,
-        o_clerk || '_' || (o_orderkey % 9) || '.5uM' AS pert FROM orders""",
+        'drug' || o_custkey || '_' || (o_orderkey % 9) || '.5uM' AS pert FROM orders""",
     "local_sources": """WITH items AS (SELECT l_partkey AS drug, l_returnflag AS cell, l_linestatus = 'O' AS redo, l_quantity::DOUBLE AS dose, l_extendedprice::DOUBLE AS value FROM lineitem),
         kept AS (SELECT * FROM items QUALIFY redo OR NOT bool_or(redo) OVER (PARTITION BY drug, dose, cell)),
         near AS (SELECT p_partkey AS key, k.*, abs(log10(dose / p_size)) AS far FROM part JOIN kept k ON drug = p_partkey),
         least AS (SELECT * FROM near QUALIFY far <= min(far) OVER (PARTITION BY key) + 1e-10::DOUBLE),
         chosen AS (SELECT * FROM least QUALIFY dose = min(dose) OVER (PARTITION BY key)),
         medians AS (SELECT key, cell, median(value)::FLOAT::DOUBLE AS v FROM chosen GROUP BY ALL),
-        effects AS (SELECT p_brand, p_container, sum(p_size) AS v FROM part GROUP BY ALL),
-        wells AS (SELECT p_brand, p_container, median(p_size) AS v FROM part GROUP BY ALL),
+        effects AS (SELECT p_brand, p_type, sum(p_size) AS v FROM part GROUP BY ALL),
+        wells AS (SELECT p_brand, p_type, median(p_size) AS v FROM part GROUP BY ALL),
         space AS (SELECT vec_id % 97 AS name, list_sum(embedding::DOUBLE[]) AS v, len(embedding) AS n FROM embeddings QUALIFY vec_id = min(vec_id) OVER (PARTITION BY vec_id % 97))
         SELECT source, key, length, round(round(total, 2), 1) + 0.0 AS total FROM (
-        SELECT 'gene_effects' AS source, replace(p_brand, '#', '') AS key, (SELECT count(DISTINCT p_container) FROM part) AS length, sum(v)::DOUBLE AS total FROM effects GROUP BY p_brand
+        SELECT 'gene_effects' AS source, replace(p_brand, '#', '') AS key, (SELECT count(DISTINCT p_type) FROM part) AS length, sum(v)::DOUBLE AS total FROM effects GROUP BY p_brand
         UNION ALL SELECT 'network_space', 'N' || name, n, v FROM space
         UNION ALL SELECT 'viability_profiles', key::VARCHAR, (SELECT count(DISTINCT cell) FROM medians), sum(v) FROM medians GROUP BY key
-        UNION ALL SELECT 'morphology_profiles', p_brand, (SELECT count(DISTINCT p_container) FROM part), sum(v) FROM wells GROUP BY p_brand)""",
+        UNION ALL SELECT 'morphology_profiles', p_brand, (SELECT count(DISTINCT p_type) FROM part), sum(v) FROM wells GROUP BY p_brand)""",
 }

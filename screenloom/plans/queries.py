@@ -143,8 +143,8 @@ def fold_change_spaces(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def gene_axis_first_seen(s: SparkSession, d: str) -> DataFrame:
-    """Matrices have brands and manufacturers, labels have brands alone."""
-    gene = F.explode(F.array("p_mfgr", "p_brand")).alias("gene")
+    """Matrices have brands and types, labels have brands alone."""
+    gene = F.explode(F.array("p_type", "p_brand")).alias("gene")
     parts = screen.load(s, d, "part").select(gene, (F.col("p_size") % 3).alias("file_ord"), F.col("p_partkey").alias("pos"))
     return L.gene_axis(parts, screen.labels(s, d))
 
@@ -157,9 +157,9 @@ def gene_union_axis(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def label_arrays(s: SparkSession, d: str) -> DataFrame:
-    """The axis has manufacturers too, which no label names: those cells are untested."""
+    """The axis has types too, which no label names: those cells are untested."""
     rows = L.last_wins(screen.labels(s, d), *screen.ORDER)
-    axis = screen.load(s, d, "part").select(F.explode(F.array("p_mfgr", "p_brand")).alias("gene")).distinct()
+    axis = screen.load(s, d, "part").select(F.explode(F.array("p_type", "p_brand")).alias("gene")).distinct()
     return rounded(L.label_arrays(rows, axis), "fold_change", "fdr", "lfc")
 
 
@@ -766,7 +766,8 @@ def evidence_increments(s: SparkSession, d: str) -> DataFrame:
 @query
 def cell_line_parts(s: SparkSession, d: str) -> DataFrame:
     """Parts as records of four encodings, and what is read back from them."""
-    part, n = screen.load(s, d, "part"), F.col("p_partkey") % 4
+    size, n = F.col("p_size").cast("string"), F.col("p_partkey") % 4
+    part = screen.load(s, d, "part").withColumns({"p_mfgr": F.concat(F.lit("M"), size), "p_container": F.concat(F.lit("C"), size)})
 
     def xref(accession: str) -> Column:
         return F.struct(F.lit("DB").alias("database"), F.col(accession).alias("accession"))
@@ -800,8 +801,8 @@ def cell_line_parts(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def cell_metadata(s: SparkSession, d: str) -> DataFrame:
-    """Orders as cells: priorities mapped to contexts, clerks as dose literals."""
-    pert = F.concat(F.lit("[('"), F.col("o_clerk"), F.lit("', "), (F.col("o_orderkey") % 9).cast("string"), F.lit(".5, 'uM')]"))
+    """Orders as cells: priorities mapped to contexts, customers as dose literals."""
+    pert = F.concat(F.lit("[('drug"), F.col("o_custkey").cast("string"), F.lit("', "), (F.col("o_orderkey") % 9).cast("string"), F.lit(".5, 'uM')]"))
     cells = screen.load(s, d, "orders").select(F.col("o_orderkey").alias("cell_id"), F.col("o_orderpriority").alias("context"), pert.alias("pert"))
     known = {"1-URGENT": "u", "2-HIGH": "h", "3-MEDIUM": "m", "4-NOT SPECIFIED": "n", "5-LOW": "l"}
     return L.normalize_cells(cells, "orders", known, drug_dose=True)
@@ -813,17 +814,17 @@ def local_sources(s: SparkSession, d: str) -> DataFrame:
     folder = f"{shared_folder(s)}/{uuid.uuid4().hex}"
     part, items = screen.load(s, d, "part"), screen.load(s, d, "lineitem")
     brand = F.concat(F.regexp_replace("p_brand", "#", ""), F.lit(" ("), F.regexp_extract("p_brand", "[0-9]+", 0), F.lit(")"))
-    wide = part.groupBy(F.col("p_container").alias("model")).pivot(brand).agg(F.sum("p_size"))  # 25 brands at any scale
+    wide = part.withColumn("brand", brand).groupBy(F.col("p_type").alias("model")).pivot("brand").agg(F.sum("p_size"))  # 25 brands at any scale
     wide.write.option("header", True).csv(f"{folder}/wide")
     vectors = screen.load(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("protein"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"))
     vectors.write.parquet(f"{folder}/space")
-    names = screen.load(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("#string_protein_id"), F.concat(F.lit("N"), F.col("vec_id") % 97).alias("preferred_name"))
+    names = screen.load(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("string_protein_id"), F.concat(F.lit("N"), F.col("vec_id") % 97).alias("preferred_name"))
     names.write.option("header", True).option("sep", "\t").csv(f"{folder}/names")
     asked = part.select(F.col("p_partkey").cast("string").alias("key"), F.col("p_partkey").alias("drug"), F.col("p_size").cast("double").alias("dose"))
     asked.write.parquet(f"{folder}/asked")
     rows = items.select(F.col("l_partkey").alias("drug"), F.col("l_returnflag").alias("cell"), F.when(F.col("l_linestatus") == "O", "MTS010").otherwise("HTS").alias("screen"), F.col("l_quantity").cast("double").alias("dose"), F.col("l_extendedprice").cast("double").alias("value"))
     rows.write.parquet(f"{folder}/viability")
-    part.select(F.col("p_brand").alias("key"), F.col("p_container").alias("feature"), F.col("p_size").cast("double").alias("value")).write.parquet(f"{folder}/wells")
+    part.select(F.col("p_brand").alias("key"), F.col("p_type").alias("feature"), F.col("p_size").cast("double").alias("value")).write.parquet(f"{folder}/wells")
     inputs = {"gene_effects": (f"{folder}/wide",), "network_space": (f"{folder}/space", f"{folder}/names"), "viability_profiles": (f"{folder}/asked", f"{folder}/viability"), "morphology_profiles": (f"{folder}/wells",)}
     paths = builders.local_registry(inputs).build(s, list(inputs), f"{folder}/out")
     told = None
