@@ -113,3 +113,18 @@ def test_packing_and_run(stages, spark, folder):
     assert sum(r.length for r in after.collect()) == sum(len(encode(r.text or "")) + 1 for r in before.collect())
     rows = corpus_pipeline.run(spark, folder).drop("sequence_id", "offset").collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, after.drop("sequence_id", "offset").collect()))
+
+
+@pytest.mark.parametrize("rows", [0, 1])
+def test_every_stage_takes_empty_and_odd_tables(spark, folder, edge_docs, no_docs, rows):
+    """No rows, and rows of nulls, repeats and shared ids with further columns whose names clash with inner ones: no stage fails or changes the columns."""
+    docs = edge_docs if rows else no_docs
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, folder)
+        found = after.collect()
+        # the few labelled rows among these may make a classifier that calls all of them toxic
+        assert bool(found) == bool(rows) or name == "toxicity", name
+        if name != "packing":
+            assert after.columns == docs.columns, name
+            assert [f.dataType for f in after.schema] == [f.dataType for f in docs.schema], name
+            docs = spark.createDataFrame(found, after.schema) if found else docs
