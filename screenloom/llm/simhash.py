@@ -46,6 +46,8 @@ _FACTORS |= np.uint64(1)
 SIGMAS = 4.5
 #: Components that are paired with each other in one bucket without a look at their sketches, and members of a block of larger crowds.
 CROWD, CROWD_BLOCK = 16, 2048
+#: Nodes that are broadcast at most: 8 MB of longs.
+FEW = 1_000_000
 _ORDERS = [0, *np.random.default_rng(43).integers(-(1 << 63), 1 << 63, 3).tolist()]
 
 
@@ -186,6 +188,12 @@ def _sketched(texts: DataFrame, width: int) -> DataFrame:
     return written(map_batches(texts, mark, "node long, sketch binary, buckets array<long>"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The nodes of pairs (a, b). Up to FEW of them, counted without a shuffle, are sent to every task; more meet what they choose in a shuffle."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    return F.broadcast(ends) if 2 * pairs.count() <= FEW else ends
+
+
 def _shares(pairs: DataFrame, marked: DataFrame) -> DataFrame:
     """(a, b) -> (a, b, share): the share of permutations on which the sketches agree, which estimates their similarity."""
 
@@ -194,8 +202,7 @@ def _shares(pairs: DataFrame, marked: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(-1, BANDS * PER_BAND) for c in ("x", "y"))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x == y).mean(axis=1))], names=["a", "b", "share"])
 
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    known = marked.select("node", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    known = marked.select("node", "sketch").join(_ends(pairs), "node", "left_semi").dropDuplicates(["node"])
     both = pairs.join(known.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
     both = both.join(known.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
     return written(map_batches(both, compare, "a long, b long, share double"))
@@ -217,8 +224,7 @@ def _verified(pairs: DataFrame, marked: DataFrame, texts: DataFrame, width: int,
     least = _least_share(similarity)
     high = 2 * similarity - least
     unsure = shares.filter((F.col("share") >= least) & (F.col("share") < high)).select("a", "b")
-    ends = unsure.select(F.col("a").alias("node")).unionByName(unsure.select(F.col("b").alias("node"))).distinct()
-    bodies = written(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]))
+    bodies = written(texts.join(_ends(unsure), "node", "left_semi").dropDuplicates(["node"]))
     both = unsure.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
     both = both.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
     sure = shares.filter(F.col("share") >= high).select("a", "b")
