@@ -138,23 +138,31 @@ def resolve_genes(queries: DataFrame, index: DataFrame) -> DataFrame:
 
     ``queries(key, ensembl, symbol)``, ``index(kind, name, gene)`` with kinds ensembl, symbol, synonym. Several
     candidates are ambiguous, unless a symbol among them narrows those of an Ensembl id to one.
+    Names are summed up before the queries meet them, so that an id of very many genes costs a query one row.
     """
-    name = F.lower("name")
-    keyed = index.select("kind", name.alias("name"), "gene").distinct()
-    steps = [("ensembl", "ensembl"), ("symbol", "symbol"), ("synonym", "symbol")]
-    tried = [F.struct(F.lit(k).alias("kind"), F.lower(c).alias("name"), F.lit(i).alias("step")) for i, (k, c) in enumerate(steps)]
-    asked = queries.select("key", F.explode(F.array(*tried)).alias("q")).select("key", "q.*")
-    hits = asked.join(keyed, ["kind", "name"])
-    by_symbol = hits.filter("kind = 'symbol'").select("key", "gene").distinct().withColumn("named", F.lit(True))
-    told = hits.join(by_symbol, ["key", "gene"], "left").groupBy("key", "step").agg(
-        F.collect_set("gene").alias("genes"), F.collect_set(F.when(F.col("named"), F.col("gene"))).alias("named")
-    )
-    best = told.groupBy("key").agg(F.min_by(F.struct("step", "genes", "named"), "step").alias("b"))
-    one = F.when(F.size("b.genes") == 1, F.element_at("b.genes", 1)).when((F.col("b.step") == 0) & (F.size("b.named") == 1), F.element_at("b.named", 1))
+    kinds = ("ensembl", "symbol", "synonym")
+    keyed = index.select("kind", F.lower("name").alias("name"), "gene").distinct()
+    counted = keyed.groupBy("kind", "name").agg(F.count("gene").alias("n"), F.min("gene").alias("low"))
+    # genes that an Ensembl id shares with a symbol
+    ids, symbols = (keyed.filter(F.col("kind") == k).select("gene", F.col("name").alias(k)) for k in kinds[:2])
+    shared = ids.join(symbols, "gene").groupBy("ensembl", "symbol").agg(F.count("*").alias("m"), F.min("gene").alias("named"))
+    tried = [F.struct(F.lit(k).alias("kind"), F.lower(c).alias("name"), F.lit(i).alias("step")) for i, (k, c) in enumerate(zip(kinds, ("ensembl", "symbol", "symbol"), strict=True))]
+    asked = queries.select("key", F.explode(F.array(*tried)).alias("q")).select("key", "q.*").filter("name IS NOT NULL").distinct()
+    hits = asked.join(counted, ["kind", "name"]).select("key", "step", "n", "low")
+    both = [asked.filter(F.col("kind") == k).select("key", F.col("name").alias(k)) for k in kinds[:2]]
+    narrowed = both[0].join(both[1], "key").join(shared, ["ensembl", "symbol"]).select("key", "m", "named")
+    every = hits.unionByName(narrowed, allowMissingColumns=True)
+
+    def only(n: Column, gene: Column) -> list[Column]:
+        """How many genes the most has, and the gene if there is one alone (several names of a key may have one each)."""
+        return [F.max(n), F.when((F.max(n) == 1) & (F.min(gene) == F.max(gene)), F.min(gene))]
+
+    at = [F.col("step") == i for i in range(3)]
+    told = {f"g{i}": only(F.when(s, F.col("n")), F.when(s, F.col("low")))[1] for i, s in enumerate(at)} | {f"n{i}": F.max(F.when(s, F.col("n"))) for i, s in enumerate(at)}
+    best = every.groupBy("key").agg(*[c.alias(n) for n, c in told.items()], only(F.col("m"), F.col("named"))[1].alias("named"))
     joined = queries.select("key").join(best, "key", "left")
-    how = F.when(F.col("b").isNull(), "missing").when(one.isNull(), "ambiguous").otherwise(
-        F.element_at(F.array(*[F.lit(x) for x in ("ensembl", "symbol", "synonym")]), F.col("b.step") + 1)
-    )
+    one = F.when(F.col("n0").isNotNull(), F.coalesce("g0", "named")).when(F.col("n1").isNotNull(), F.col("g1")).otherwise(F.col("g2"))
+    how = F.when(F.coalesce("n0", "n1", "n2").isNull(), "missing").when(one.isNull(), "ambiguous").when(F.col("n0").isNotNull(), kinds[0]).when(F.col("n1").isNotNull(), kinds[1]).otherwise(kinds[2])
     return joined.select("key", one.alias("gene"), how.alias("how"))
 
 

@@ -73,6 +73,46 @@ def test_compound_cascade(spark):
     assert {(r.ext_id, r.drug, r.how) for r in got.collect()} == {("a", 2, "inchikey"), ("b", 1, "smiles"), ("d", 3, "name")}
 
 
+def test_gene_cascade_of_many_candidates(spark):
+    """Random names, keys of several rows included: what the sets of candidates say; an id of 2,000 genes costs a query no more than one row."""
+    rng = random.Random(5)
+    kinds = [("ensembl", "E"), ("symbol", "s"), ("synonym", "s")]
+    index = [(k, f"{p}{rng.randint(0, 8)}", rng.randint(0, 6)) for k, p in kinds for _ in range(9)]
+    queries = [(rng.randint(0, 60), rng.choice([None, f"e{rng.randint(0, 8)}"]), rng.choice([None, f"S{rng.randint(0, 8)}"])) for _ in range(90)]
+    want = {}
+    for key in {q[0] for q in queries}:
+        asked = [(k, (e if k == "ensembl" else s).lower()) for q, e, s in queries if q == key for k, _ in kinds if (e if k == "ensembl" else s)]
+        found = {k: {g for x, n, g in index if (x, n.lower()) in asked and x == k} for k, _ in kinds}
+        how = next((k for k, _ in kinds if found[k]), "missing")
+        genes = found.get(how, set())
+        if how == "ensembl" and len(genes) > 1:
+            genes &= found["symbol"]
+        want[key] = (*genes, how) if len(genes) == 1 else (None, "missing" if how == "missing" else "ambiguous")
+    frames = spark.createDataFrame(queries, "key int, ensembl string, symbol string"), spark.createDataFrame(index, "kind string, name string, gene int")
+    got = K.resolve_genes(*frames).collect()
+    assert sorted(r.key for r in got) == sorted(q[0] for q in queries)
+    assert {r.key: (r.gene, r.how) for r in got} == want
+    many = spark.range(2000).select(F.lit("ensembl").alias("kind"), F.lit("E1").alias("name"), F.col("id").alias("gene"))
+    asked = spark.range(2000).select(F.col("id").alias("key"), F.lit("e1").alias("ensembl"), F.lit(None).cast("string").alias("symbol"))
+    told = K.resolve_genes(asked, many)
+    assert told.filter("how = 'ambiguous' AND gene IS NULL").count() == 2000
+    assert most_rows(told) < 100_000
+
+
+def most_rows(df):
+    """The most rows that one operator of a plan puts out as it runs."""
+    run = df._jdf.queryExecution()
+    run.toRdd().count()
+    plan, most = [run.executedPlan()], 0
+    while plan:
+        p = plan.pop()
+        kind, rows = p.getClass().getSimpleName(), p.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+        inner = [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else []
+        plan += inner + [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
 def test_nearest_dose_equals_all_against_all(spark):
     """Random doses, ties on either side, doses equal but for rounding, none positive, keys without doses."""
     rng = random.Random(4)
