@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from screenloom.sources.shared import materialised
+
 TIE = 1e-10
 
 
@@ -178,22 +180,51 @@ def disease_lists(links: DataFrame, names: DataFrame) -> DataFrame:
 # --- compounds and profiles -----------------------------------------------------------------------
 
 
+#: Rows and drugs of one key and name that one task matches at a time.
+MATCH_BLOCK = 2048
+
+
+def _stacked(tables: Sequence[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for df in tables[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def match_compounds(external: DataFrame, identities: DataFrame) -> DataFrame:
     """(ext_id, drug, how): InChIKey, then keys from SMILES, then normalised name; the first kind that hits decides.
 
     ``external(ext_id, inchikey, smiles_keys array, name_key, name)``, ``identities(drug, keys array, name_key, name)``.
-    Several hits are narrowed to the exact name key, possibly to none.
+    Several hits are narrowed to the exact name key, possibly to none. Hits are counted by their keys, and only those that stay
+    are listed: by key and name, in blocks of both sides, so that a name of very many drugs and rows spreads over tasks.
     """
-    by_key = identities.select("drug", F.explode("keys").alias("k"), F.col("name_key").alias("drug_name"))
-    by_name = identities.select("drug", F.col("name_key").alias("k"), F.col("name_key").alias("drug_name"))
-    asked = external.select("ext_id", "name_key", F.col("inchikey").alias("k"), F.lit(0).alias("step"), F.lit("inchikey").alias("how"))
-    smiles = external.select("ext_id", "name_key", F.explode("smiles_keys").alias("k"), F.lit(1).alias("step"), F.lit("smiles").alias("how"))
-    names = external.select("ext_id", "name_key", F.col("name_key").alias("k"), F.lit(2).alias("step"), F.lit("name").alias("how"))
-    hits = asked.unionByName(smiles).join(by_key, "k").unionByName(names.join(by_name, "k"))
-    hits = hits.select("ext_id", "name_key", "step", "how", "drug", "drug_name").distinct()
-    best = hits.withColumn("best", F.min("step").over(W.partitionBy("ext_id"))).filter("step = best")
-    counted = best.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("ext_id")))
-    return counted.filter((F.col("n") == 1) | (F.col("drug_name") == F.col("name_key"))).select("ext_id", "drug", "how")
+    tables = [("key", identities.select(F.explode("keys").alias("k"), "drug", "name_key")), ("name", identities.select(F.col("name_key").alias("k"), "drug", "name_key"))]
+    known = materialised(_stacked([rows.select(F.lit(kind).alias("kind"), "k", "drug", F.col("name_key").alias("name")).filter("k IS NOT NULL").distinct() for kind, rows in tables]))
+    keys = [("key", "inchikey", F.array("inchikey")), ("key", "smiles", F.col("smiles_keys")), ("name", "name", F.array("name_key"))]
+    asked = _stacked([external.select("ext_id", F.col("name_key").alias("name"), F.lit(kind).alias("kind"), F.explode(k).alias("k"), F.lit(i).alias("step"), F.lit(how).alias("how")) for i, (kind, how, k) in enumerate(keys)])
+    counted = known.groupBy("kind", "k").agg(F.count("*").alias("n"), F.min(F.struct("drug", "name")).alias("hit"))
+    tried = asked.distinct().join(counted, ["kind", "k"]).withColumn("best", F.min("step").over(W.partitionBy("ext_id"))).filter("step = best")
+    # a row of several keys may hit a drug more than once
+    best = materialised(tried.withColumn("several", F.count("*").over(W.partitionBy("ext_id", "name")) > 1))
+    # the only hit of a row stays whatever its name
+    hit = F.struct("name", "hit")
+    alone = best.groupBy("ext_id", "how").agg(F.max("n").alias("n"), F.min(hit).alias("low"), F.max(hit).alias("high")).filter("n = 1 AND low <=> high")
+    alone = alone.filter(~F.coalesce(F.col("low.name") == F.col("low.hit.name"), F.lit(False))).select("ext_id", F.col("low.hit.drug").alias("drug"), "how")
+    pair = ["kind", "k", "name"]
+    sizes = best.groupBy(*pair).agg(F.count("*").alias("i_rows")).join(known.groupBy(*pair).agg(F.count("*").alias("j_rows")), pair)
+    hits = sizes.agg(F.sum(F.col("i_rows") * F.col("j_rows"))).first()[0] or 0
+    tasks = max(1, -(-hits // MATCH_BLOCK**2))
+    sizes = sizes.select(*pair, *[F.ceil(F.col(f"{c}_rows") / MATCH_BLOCK).alias(f"{c}_blocks") for c in "ij"])
+
+    def dealt(df: DataFrame, id_col: str, own: str, other: str) -> DataFrame:
+        """Rows in their own block, once for each block of the other side."""
+        at = df.join(sizes, pair).withColumn(own, F.pmod(F.xxhash64(id_col), F.col(f"{own}_blocks")))
+        return at.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1))).drop("i_blocks", "j_blocks").repartition(tasks, *pair, "i", "j")
+
+    met = dealt(best.select("ext_id", *pair, "how", "several"), "ext_id", "i", "j").join(dealt(known, "drug", "j", "i"), [*pair, "i", "j"])
+    told = ["ext_id", "drug", "how"]
+    once = met.filter("several").select("name", *told).distinct().select(told)
+    return met.filter("NOT several").select(told).unionByName(once).unionByName(alone.select(told))
 
 
 def nearest_dose(queries: DataFrame, measured: DataFrame, keys: Sequence[str] = ("drug",)) -> DataFrame:

@@ -113,6 +113,33 @@ def most_rows(df):
     return most
 
 
+def test_compound_cascade_equals_all_against_all(spark, monkeypatch):
+    """Random keys and names, nulls, rows that repeat an id or hit a drug by several keys; blocks of two rows."""
+    monkeypatch.setattr(K, "MATCH_BLOCK", 2)
+    rng = random.Random(6)
+    word = lambda c, n: rng.choice([None, *[f"{c}{i}" for i in range(n)]])
+    ids = [(i % 40, [k for k in (word("k", 12), word("k", 12)) if k], word("n", 5)) for i in range(50)]
+    ext = [(i % 70, word("k", 14), [k for k in (word("k", 14), word("k", 14)) if k and rng.random() < 0.6], word("n", 6)) for i in range(80)]
+    hits = set()
+    for e, inchi, smiles, name in ext:
+        for drug, keys, drug_name in ids:
+            tried = [(0, "inchikey", inchi in keys), (1, "smiles", bool(set(smiles) & set(keys))), (2, "name", name is not None and name == drug_name)]
+            hits |= {(e, name, step, how, drug, drug_name) for step, how, hit in tried if hit}
+    best = {e: min(h[2] for h in hits if h[0] == e) for e, *_ in hits}
+    kept = [h for h in hits if h[2] == best[h[0]]]
+    want = sorted((h[0], h[4], h[3]) for h in kept if sum(k[0] == h[0] for k in kept) == 1 or h[5] is not None and h[5] == h[1])
+    frames = spark.createDataFrame(ext, "ext_id int, inchikey string, smiles_keys array<string>, name_key string"), spark.createDataFrame(ids, "drug int, keys array<string>, name_key string")
+    assert sorted(map(tuple, K.match_compounds(*frames).collect())) == want and len(want) > 20
+
+
+def test_compounds_are_not_listed_before_they_are_told_apart(spark):
+    """3,000 rows and 3,000 drugs share a key and no name: nothing stays, and no nine million hits are listed on the way."""
+    ext = spark.range(3000).select(F.col("id").alias("ext_id"), F.lit("k").alias("inchikey"), F.array().cast("array<string>").alias("smiles_keys"), F.lit("x").alias("name_key"))
+    ids = spark.range(3000).select(F.col("id").alias("drug"), F.array(F.lit("k")).alias("keys"), F.lit("y").alias("name_key"))
+    got = K.match_compounds(ext, ids)
+    assert got.count() == 0 and most_rows(got) < 100_000
+
+
 def test_nearest_dose_equals_all_against_all(spark):
     """Random doses, ties on either side, doses equal but for rounding, none positive, keys without doses."""
     rng = random.Random(4)
