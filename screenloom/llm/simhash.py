@@ -9,9 +9,9 @@ most for radius 2), so it is bounded whatever the data. Instead of all pairs, ea
 the bucket's smallest one; the link is verified, and since variants within floor(r/2) and
 ceil(r/2) meet at distance r at most, such stars join the same components as all pairs would.
 
-Documents that stay. The radius that ball variants can afford links few pairs of texts below a similarity
-of 0.98, so ``near_survivors`` takes its candidates from MinHash bands over the same shingles. Members of a
-bucket are first paired with four of it; where that leaves several components in one bucket, their members
+Documents that stay. ``near_survivors`` takes the links of the ball variants, over fingerprints of each text's set of
+shingles, as candidates. The radius that these can afford links few pairs of texts below a similarity of 0.98, so MinHash
+bands over the same shingles give further ones. Members of a band's bucket are first paired with four of it; where that leaves several components in one bucket, their members
 are paired across, those of crowds wherever their sketches do not tell them apart. Pairs are verified by the Jaccard similarity of their shingle sets, or by
 their sketches alone where these lie ``SIGMAS`` deviations off the threshold. Texts count as equal if their 64-bit hashes are.
 
@@ -161,6 +161,14 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint, as a signed long, of a set of shingle hashes; of none, zero."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 4096):
+        ones += np.unpackbits(hashes[at : at + 4096].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big", signed=True)
+
+
 def buckets(least: np.ndarray) -> list[int]:
     """One signed long for each band of a sketch."""
     keys = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, PER_BAND))]
@@ -176,16 +184,20 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def _sketched(texts: DataFrame, width: int) -> DataFrame:
-    """(node, sketch of 4 bytes a permutation, buckets) of (node, body)."""
+    """(node, fp, sketch of 4 bytes a permutation, buckets) of (node, body)."""
 
     def mark(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            least = [sketch(shingles(t.as_py(), width)) for t in batch.column("body").cast(pa.binary())]
+            prints, least = [], []
+            for t in batch.column("body").cast(pa.binary()):
+                hashes = shingles(t.as_py(), width)
+                prints.append(majority(hashes))
+                least.append(sketch(hashes))
             short = [((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32).tobytes() for x in least]
-            columns = [batch.column("node"), pa.array(short, type=pa.binary()), pa.array([buckets(x) for x in least], type=pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "sketch", "buckets"])
+            columns = [batch.column("node"), pa.array(prints, type=pa.int64()), pa.array(short, type=pa.binary()), pa.array([buckets(x) for x in least], type=pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "fp", "sketch", "buckets"])
 
-    return written(map_batches(texts, mark, "node long, sketch binary, buckets array<long>"))
+    return written(map_batches(texts, mark, "node long, fp long, sketch binary, buckets array<long>"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -240,6 +252,15 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
 
 
+def ball_pairs(marked: DataFrame, radius: int) -> DataFrame:
+    """(node, fp) -> pairs (a, b): nodes of one fingerprint with its least node, and the least nodes of fingerprints that ball variants link."""
+    prints = written(marked.groupBy("fp").agg(F.min("node").alias("partner")))
+    same = marked.select("node", "fp").join(prints, "fp").filter("node <> partner").select("node", "partner")
+    links = ball_links(prints.select("fp"), radius)
+    near = links.join(prints.select(F.col("fp").alias("a"), F.col("partner").alias("node")), "a").join(prints.select(F.col("fp").alias("b"), "partner"), "b")
+    return _ordered(same.unionByName(near.select("node", "partner")))
+
+
 def star_pairs(rows: DataFrame) -> DataFrame:
     """(node, bucket) -> pairs (a, b) of every member of a bucket with the bucket's least nodes in four orders."""
     centre = rows.groupBy("bucket").agg(F.array_distinct(F.array(*_partners())).alias("partners"), F.min("node").alias("low"), F.max("node").alias("top"))
@@ -306,11 +327,11 @@ def crowd_pairs(crowded: DataFrame, marked: DataFrame, similarity: float, block:
     return at.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def similar_components(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+def similar_components(texts: DataFrame, width: int, similarity: float, radius: int = 2) -> DataFrame:
     """(node, body), equal nodes having equal bodies -> components (node, root) of the similar ones."""
     marked = _sketched(texts, width)
     rows = marked.select("node", F.explode("buckets").alias("bucket"))
-    pairs = written(star_pairs(rows))
+    pairs = written(star_pairs(rows).unionByName(ball_pairs(marked, radius)).distinct())
     links = _verified(pairs, marked, texts, width, similarity)
     roots = components(links)
     missed = written(open_pairs(rows, roots, marked, similarity).join(pairs, ["a", "b"], "left_anti"))

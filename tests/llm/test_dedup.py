@@ -220,3 +220,22 @@ def test_a_crowd_that_shares_one_bucket_alone_is_compared_throughout(spark, bloc
     nobody = spark.createDataFrame([], "node long, root long")
     rows = marked.select("node", F.explode("buckets").alias("bucket"))
     assert {(r.a, r.b) for r in simhash_module.open_pairs(rows, nobody, marked, 0.8).collect()} == set(pairs)
+
+
+def test_near_survivors_link_by_ball_variants(spark, monkeypatch):
+    """Without any band, texts whose fingerprints lie within the radius are still linked, and those alone."""
+    monkeypatch.setattr(simhash_module, "star_pairs", lambda rows: simhash_module._ordered(rows.filter("false").select("node", F.col("node").alias("partner"))))
+    monkeypatch.setattr(simhash_module, "open_pairs", lambda rows, roots, marked, similarity: rows.filter("false").select(F.col("node").alias("a"), F.col("node").alias("b")))
+    rng = random.Random(3)
+    texts = [" ".join(str(rng.randint(0, 999)) for _ in range(300)) for _ in range(30)]
+    texts += [t.rsplit(" ", k)[0] for k in (1, 2, 30) for t in texts[:10]]
+    prints = [simhash_module.majority(simhash_module.shingles(t.encode(), 5)) for t in texts]
+    near = {(i, j) for i in range(60) for j in range(i) if bin((prints[i] ^ prints[j]) & (1 << 64) - 1).count("1") <= 2}
+    sets = [simhash_module.shingles(t.encode(), 5) for t in texts]
+    root = list(range(60))
+    for i, j in sorted(near):
+        if simhash_module.alike(sets[i], sets[j], 0.8):
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_survivors(docs).collect()) == sorted(set(root)) and len(set(root)) < 50
