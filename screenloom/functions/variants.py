@@ -6,18 +6,28 @@ different fields. Each field is a chain of paths over the record's variant; the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenloom.functions.text import clean, clean_list
+from screenloom.functions.text import clean_list, strip
+
+
+#: Records that one task reads.
+TASK_RECORDS = 5000
+
+
+def bound(value: Column, told: Callable[[Column], Column]) -> Column:
+    """``told`` of a value that is worked out once: expressions in lambdas are not shared, each mention is a computation of its own."""
+    return F.element_at(F.transform(F.array(value), told), 1)
 
 
 def scalar(v: Column, path: str) -> Column:
     """The cleaned text at a path; empty for what is missing, null, an object or a list."""
     kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    return F.when(kind.rlike("^(OBJECT|ARRAY)"), "").otherwise(clean(F.try_variant_get(v, path, "string")))
+    text = strip(F.coalesce(F.try_variant_get(v, path, "string"), F.lit("")))
+    return F.when(kind.rlike("^(OBJECT|ARRAY)"), "").otherwise(F.regexp_replace(text, r"\A-\z", ""))
 
 
 def members(v: Column, path: str) -> Column:
@@ -32,36 +42,38 @@ def is_object(v: Column) -> Column:
 
 def first_text(*values: Column) -> Column:
     """The first that is not empty, or the empty text."""
-    return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
+    return F.coalesce(F.get(F.filter(F.array(*values), lambda v: v != ""), 0), F.lit(""))
 
 
 def reference(v: Column, *paths: str) -> Column:
     """struct(database, accession) at the first of ``paths`` that has either; a path ends in the object that holds both."""
-    database, accession = F.lit(""), F.lit("")
-    for path in reversed(paths):
-        d, a = scalar(v, f"{path}.database"), scalar(v, f"{path}.accession")
-        found = (d != "") | (a != "")
-        database, accession = F.when(found, d).otherwise(database), F.when(found, a).otherwise(accession)
-    return F.struct(database.alias("database"), accession.alias("accession"))
+    told = F.array(*[F.struct(scalar(v, f"{path}.database").alias("database"), scalar(v, f"{path}.accession").alias("accession")) for path in paths])
+    found = F.filter(told, lambda x: (x["database"] != "") | (x["accession"] != ""))
+    return F.coalesce(F.get(found, 0), F.struct(F.lit("").alias("database"), F.lit("").alias("accession")))
 
 
 def distinct_records(records: Column, fields: Sequence[str]) -> Column:
     """Records with something in them, the first of each case-insensitive value, in the order of (lower, raw) of their fields."""
     keyed = F.transform(records, lambda r: F.struct(F.array(*[F.lower(r[f]) for f in fields]).alias("k"), r.alias("r")))
-    keyed = F.filter(keyed, lambda x: F.array_max(x["k"]) != "")
-    first = F.transform(F.array_distinct(F.transform(keyed, lambda x: x["k"])), lambda k: F.get(F.filter(keyed, lambda x: x["k"] == k), 0)["r"])
-    ordered = F.array_sort(F.transform(first, lambda r: F.struct(*[c for f in fields for c in (F.lower(r[f]).alias(f"{f}_l"), r[f].alias(f"{f}_r"))])))
+
+    def first(keyed: Column) -> Column:
+        return F.transform(F.array_distinct(F.transform(keyed, lambda x: x["k"])), lambda k: F.get(F.filter(keyed, lambda x: x["k"] == k), 0)["r"])
+
+    told = bound(F.filter(keyed, lambda x: F.array_max(x["k"]) != ""), first)
+    ordered = F.array_sort(F.transform(told, lambda r: F.struct(*[c for f in fields for c in (F.lower(r[f]).alias(f"{f}_l"), r[f].alias(f"{f}_r"))])))
     return F.transform(ordered, lambda o: F.struct(*[o[f"{f}_r"].alias(f) for f in fields]))
 
 
 def cell_type(v: Column) -> Column:
     """struct(name, database, accession): of the first in the list of cell types, else of the one given alone; empties if that is no object."""
     listed = F.try_variant_get(v, "$['cell-type-list'][0]", "variant")
-    item = F.coalesce(listed, F.try_variant_get(v, "$['cell-type']", "variant"))
-    told = reference(item, "$['xref-list'][0]", "$.xref")
-    name = first_text(scalar(item, "$.label"), scalar(item, "$.value"))
-    fine = is_object(item)
-    return F.struct(*[F.when(fine, x).otherwise("").alias(n) for n, x in (("name", name), ("database", told["database"]), ("accession", told["accession"]))])
+
+    def told(item: Column) -> Column:
+        name = first_text(scalar(item, "$.label"), scalar(item, "$.value"))
+        fields = bound(reference(item, "$['xref-list'][0]", "$.xref"), lambda r: F.struct(name.alias("name"), r["database"].alias("database"), r["accession"].alias("accession")))
+        return F.when(is_object(item), fields).otherwise(F.struct(*[F.lit("").alias(n) for n in ("name", "database", "accession")]))
+
+    return bound(F.coalesce(listed, F.try_variant_get(v, "$['cell-type']", "variant")), told)
 
 
 def parents(v: Column) -> Column:
@@ -84,9 +96,10 @@ def integrations(v: Column) -> Column:
     """array<struct(method, label, database, accession)>: the list's entries, and comments of that category."""
 
     def entry(i: Column) -> Column:
-        told = reference(i, "$.xref", "$.target['xref-list'][0]", "$")
         label = first_text(scalar(i, "$.label"), _nested(i, "$.target"), _nested(i, "$.xref"))
-        return F.struct(_nested(i, "$.method").alias("method"), label.alias("label"), told["database"].alias("database"), told["accession"].alias("accession"))
+        method = _nested(i, "$.method")
+        told = reference(i, "$.xref", "$.target['xref-list'][0]", "$")
+        return bound(told, lambda r: F.struct(method.alias("method"), label.alias("label"), r["database"].alias("database"), r["accession"].alias("accession")))
 
     listed = F.transform(members(v, "$['genetic-integration-list']"), entry)
     comments = F.filter(members(v, "$['comment-list']"), lambda c: F.lower(scalar(c, "$.category")) == "genetic integration")
@@ -102,8 +115,12 @@ def integration_line(i: Column) -> Column:
 
 
 def cell_line_parts(raw: DataFrame, json_col: str = "json") -> DataFrame:
-    """(key, cell_type, parents, integrations, integration_text) of JSON records; malformed ones give empties."""
+    """(key, cell_type, parents, integrations, integration_text) of JSON records; malformed ones give empties.
+
+    Records are small and the work on each is not, so they are dealt to tasks by their number, not by their bytes.
+    """
     v = F.col("v")
-    parsed = raw.select("key", F.coalesce(F.try_parse_json(json_col), F.parse_json(F.lit("{}"))).alias("v"))
+    dealt = raw.select("key", json_col).repartition(max(1, -(-raw.count() // TASK_RECORDS)))
+    parsed = dealt.select("key", F.coalesce(F.try_parse_json(json_col), F.parse_json(F.lit("{}"))).alias("v"))
     told = parsed.select("key", cell_type(v).alias("cell_type"), parents(v).alias("parents"), integrations(v).alias("integrations"))
     return told.withColumn("integration_text", F.array_join(clean_list(F.transform("integrations", integration_line)), ", "))

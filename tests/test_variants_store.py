@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from screenloom.functions import variants
 from screenloom.functions.variants import cell_line_parts
 from screenloom.operators import evidence as E
 from screenloom.plans import evidence_store as S
@@ -88,6 +89,15 @@ def test_integration_text(spark):
     assert got.integration_text == "CRISPR, GFP, SV40 via Transfection"
 
 
+def test_records_are_dealt_by_their_number(spark, monkeypatch):
+    """40 small records of one file fill four tasks of ten."""
+    monkeypatch.setattr(variants, "TASK_RECORDS", 10)
+    records = spark.createDataFrame([(i, json.dumps({"cell-type": {"label": f"t{i}"}})) for i in range(40)], "key int, json string").coalesce(1)
+    got = cell_line_parts(records)
+    assert got.rdd.getNumPartitions() == 4
+    assert {r.key: r.cell_type.name for r in got.select("key", "cell_type").collect()} == {i: f"t{i}" for i in range(40)}
+
+
 def rows_of(spark, dataset, seed):
     rng = random.Random(seed)
     rows = [(dataset, f"c{c}", f"p{p}", f"g{g}", rng.choice([0.0, 0.5, 2.0, 8.0]), rng.random() / 5, rng.random() < 0.8, rng.randint(-8, 8) / 4) for c in range(2) for p in range(4) for g in range(5)]
