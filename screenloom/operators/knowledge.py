@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from screenloom.sources.shared import materialised
 
 TIE = 1e-10
+#: Rows that one task sorts, more or less.
+TASK_ROWS = 1 << 20
 
 
 # --- keys -----------------------------------------------------------------------------------------
@@ -264,12 +266,14 @@ def nearest_dose(queries: DataFrame, measured: DataFrame, keys: Sequence[str] =
 def nearest_signature(queries: DataFrame, signatures: DataFrame, hours: float = 24.0) -> DataFrame:
     """(drug, dose, cell, value): median over signatures nearest in abs(log10 dose ratio) + abs(log2 hours ratio); ties within 1e-10 together.
 
-    Doses in um, nm, mm or m; -666 is a missing value.
+    Doses in um, nm, mm or m; -666 is a missing value. Rows are dealt by drug to as many tasks as their number asks for, so what one task
+    sorts does not grow with the table.
     """
     unit = F.create_map(*[F.lit(x) for x in ("um", 1.0, "nm", 1e-3, "mm", 1e3, "m", 1e6)])
     dose = F.col("pert_dose") * F.try_element_at(unit, F.lower("dose_unit"))
     rows = signatures.filter("value <> -666").withColumn("um", dose).filter("um > 0 AND hours > 0")
-    joined = queries.select("drug", "dose").distinct().join(rows, "drug")
+    tasks = max(-(-signatures.count() // TASK_ROWS), int(signatures.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    joined = queries.select("drug", "dose").distinct().repartition(tasks, "drug").join(rows.repartition(tasks, "drug"), "drug")
     distance = F.abs(F.log10(F.col("um") / F.col("dose"))) + F.abs(F.log2(F.col("hours") / hours))
     q = W.partitionBy("drug", "dose", "cell")
     near = joined.withColumn("d", distance).withColumn("least", F.min("d").over(q)).filter(F.col("d") <= F.col("least") + TIE)

@@ -170,6 +170,16 @@ def test_nearest_signature(spark):
     assert {r.cell: r.value for r in got.collect()} == {"c": pytest.approx(0.3), "d": 0.7}
 
 
+def test_signatures_are_dealt_by_their_number(spark, monkeypatch):
+    """100 signatures at ten a task fill ten tasks, whatever the session's number of shuffle partitions is."""
+    monkeypatch.setattr(K, "TASK_ROWS", 10)
+    rows = [(str(i % 20), "c", 1.0, "uM", 24.0, float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "drug string, cell string, pert_dose double, dose_unit string, hours double, value double")
+    got = K.nearest_signature(spark.createDataFrame([(str(i), 1.0) for i in range(20)], "drug string, dose double"), df)
+    assert got.rdd.getNumPartitions() == 10
+    assert {r.drug: r.value for r in got.collect()} == {str(i): i + 40.0 for i in range(20)}
+
+
 def test_redo_preference(spark):
     rows = [("x", 1, "c", "MTS005", 1.0), ("x", 1, "c", "MTS010", -3.0), ("x", 1, "d", "MTS005", 0.5), ("x", 1, "e", "MTS010", float("nan")), ("x", 1, "e", "MTS005", 2.0)]
     df = spark.createDataFrame(rows, "drug string, dose int, cell string, screen string, value double")
