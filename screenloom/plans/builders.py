@@ -16,6 +16,7 @@ from screenloom.operators import knowledge as K
 from screenloom.plans.runs import embed_distinct, must_be_empty
 from screenloom.plans.tools import Registry, Tool
 from screenloom.sources import readers
+from screenloom.sources.shared import materialised
 
 Embed = Callable[[list[str]], list[list[float]]]
 
@@ -130,7 +131,7 @@ def local_registry(inputs: Mapping[str, Sequence[str]], embed: Mapping[str, Embe
 
     def checked(build: Callable[[SparkSession], DataFrame]) -> Callable[[SparkSession, Mapping[str, DataFrame]], DataFrame]:
         def run(spark: SparkSession, _: Mapping[str, DataFrame]) -> DataFrame:
-            found = build(spark)
+            found = materialised(build(spark))  # the checks and the copy that is kept read it, none builds it again
             must_be_empty(source_problems(found))
             return found
 

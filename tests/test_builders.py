@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from screenloom.operators import labels as L
 from screenloom.plans import builders as B
@@ -55,6 +56,20 @@ def test_sources_are_checked_before_they_are_written(spark, tmp_path):
         B.local_registry({"structure_vectors": ("x",)})
 
 
+def test_sources_are_built_once(spark, tmp_path, monkeypatch):
+    """The checks of a source and its copy read what was built; none builds it again."""
+    built = spark.sparkContext.accumulator(0)
+
+    def key(i):
+        built.add(1)
+        return f"k{i}"
+
+    table = spark.range(6).select(F.udf(key)("id").alias("key"), F.array(F.lit(1.0)).cast("array<float>").alias("vector"))
+    monkeypatch.setattr(B, "morphology_profiles", lambda spark, path: table)
+    paths = B.local_registry({"morphology_profiles": ("x",)}).build(spark, ["morphology_profiles"], str(tmp_path / "out"))
+    assert spark.read.parquet(paths["morphology_profiles"]).count() == 6 and built.value == 6
+
+
 def test_gene_effect_columns(spark, tmp_path):
     (tmp_path / "w.csv").write_text("id,A B (12),X (3),X (4),plain\nm2,1.5,,9,0\nm1,2.5,4,9,0\n")
     got = {r.key: r.vector for r in B.gene_effects(spark, str(tmp_path / "w.csv")).collect()}
