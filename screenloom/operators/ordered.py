@@ -2,7 +2,7 @@
 
 Rows are dealt to ranges of the order and written once with their range's number. What a range must know of the ranges before it
 (how many rows, which key came last, where the open run began) is summarised in one row a range; windows over these
-summaries carry it on, and windows inside the ranges do the rest. Equal keys of the order stand in one range.
+summaries carry it on, and sorting or windows inside the ranges do the rest. Equal keys of the order stand in one range.
 """
 
 from __future__ import annotations
@@ -16,16 +16,30 @@ from pyspark.sql import functions as F
 from screenloom.sources.shared import materialised
 
 RANGE_ROWS = 1 << 20
+#: A range is a task and a file: beyond these, ranges of less than RANGE_ROWS rows take more rows instead of becoming more.
+MOST_RANGES = 1024
+
+
+def ranges_of(n: int, range_rows: int) -> int:
+    """Into how many ranges ``n`` rows go: some ``range_rows`` each, more only where there would be over MOST_RANGES small ones."""
+    return max(1, min(-(-n // range_rows), max(MOST_RANGES, -(-n // max(range_rows, RANGE_ROWS)))))
+
+
+def _dealt(rows: DataFrame, order: Sequence[str], range_rows: int) -> DataFrame:
+    return rows.repartitionByRange(ranges_of(rows.count(), range_rows), *_ascending(order))
+
+
+def _ascending(order: Sequence[str]) -> list[Column]:
+    return [F.col(c).asc_nulls_first() for c in order]
 
 
 def in_ranges(rows: DataFrame, order: Sequence[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """``rows`` with ``part``: the number of their range of ``order``, ascending; some ``range_rows`` each. Written once."""
-    ranges = max(1, -(-rows.count() // range_rows))
-    return materialised(rows.repartitionByRange(ranges, *[F.col(c).asc_nulls_first() for c in order]).withColumn("part", F.spark_partition_id()))
+    return materialised(_dealt(rows, order, range_rows).withColumn("part", F.spark_partition_id()))
 
 
-def _inside(order: Sequence[str], *by: str) -> W:
-    return W.partitionBy("part", *by).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+def _inside(order: Sequence[str]) -> W:
+    return W.partitionBy("part").orderBy(*_ascending(order))
 
 
 def _earlier(*by: str) -> W:
@@ -37,16 +51,19 @@ def places(rows: DataFrame, order: Sequence[str], by: Sequence[str] = (), name:
     """``rows`` with ``name``: the 0-based place in ``order``, in each group of ``by``.
 
     A group of very many rows spreads over ranges. Rows that tie throughout ``order`` take their places in any order.
+    Ranges are sorted as they are written, with each row's number in its range (the lower 33 bits of Spark's increasing id), so nothing
+    but the summaries is shuffled after that; these are written too, so that Spark knows how small they are when it plans the join.
     """
     by = list(by)
-    dealt = in_ranges(rows, [*by, *order], range_rows)
-    counts = dealt.groupBy("part", *by).agg(F.count("*").alias("_n"))
-    starts = counts.select("part", *by, F.coalesce(F.sum("_n").over(_earlier(*by)), F.lit(0)).alias("_start")).withColumnsRenamed({c: f"_{c}" for c in ["part", *by]})
+    ordered = _dealt(rows, [*by, *order], range_rows).sortWithinPartitions(*_ascending([*by, *order]))
+    dealt = materialised(ordered.withColumns({"part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    counts = dealt.groupBy("part", *by).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(_earlier(*by)), F.lit(0))
+    starts = materialised(counts.select("part", *by, (before - F.col("_first")).alias("_start")).withColumnsRenamed({c: f"_{c}" for c in ["part", *by]}))
     match = F.col("part") == F.col("_part")
     for c in by:
         match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    numbered = dealt.withColumn("_at", F.row_number().over(_inside(order, *by)) - 1)
-    return numbered.join(starts, match).select(*rows.columns, (F.col("_start") + F.col("_at")).alias(name))
+    return dealt.join(starts, match).select(*rows.columns, (F.col("_start") + F.col("_at")).alias(name))
 
 
 def _differs(now: Sequence[str], before: Sequence[Column]) -> Column:

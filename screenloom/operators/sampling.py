@@ -8,11 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from screenloom.operators.ordered import RANGE_ROWS, places, runs
+from screenloom.sources.shared import materialised
 
 
 def apportion(weights: DataFrame, total: int) -> DataFrame:
@@ -53,10 +56,10 @@ def mixed_groups(batched: DataFrame) -> DataFrame:
 # --- blended sampling -----------------------------------------------------------------------------
 
 #: A prime below 2**31, a multiplier and the rounds of the keyed permutation.
-PRIME, FACTOR, ROUNDS, WALKS = 2147483647, 48271, 8, 16
+PRIME, FACTOR, ROUNDS = 2147483647, 48271, 8
 
 
-def _mixed(x: Column | int, key: Column | int) -> Column | int:
+def _mixed(x: Column | np.ndarray | int, key: Column | np.ndarray | int) -> Column | np.ndarray | int:
     """A number below PRIME from two numbers below it: a square modulo a prime, then a step."""
     return ((((x + key) % PRIME) * ((x + key) % PRIME) + key) % PRIME * FACTOR + key) % PRIME
 
@@ -69,27 +72,40 @@ def seed_key(*parts: int) -> int:
     return key
 
 
-def with_permuted(df: DataFrame, name: str, x: Column, n: Column, key: Column) -> DataFrame:
-    """``df`` with ``name``: the place of ``x`` in a keyed pseudo-random permutation of 0 .. n - 1, as arithmetic on the row alone.
+def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The places of ``x`` in keyed pseudo-random permutations of 0 .. n - 1, element by element.
 
     A Feistel network over pairs from (a, b), a = ceil(sqrt(n)), b = ceil(n / a), permutes a b >= n numbers; one that
-    lands beyond n - 1 goes through the network again until it does not. At most a - 1 numbers lie beyond, so up to n = 256 WALKS
-    turns always suffice; above, the odds against are below 1e-15 a row, and a row that met them would be an error, not a wrong place.
+    lands beyond n - 1 goes through the network again until it does not, which ends, since its cycle leads back to ``x``. At most
+    a - 1 numbers lie beyond.
     """
-    held = df.withColumns({"_x": x, "_n": n, "_key": key, "_a": F.ceil(F.sqrt(n.cast("double"))).cast("long")}).withColumn("_b", F.ceil(F.col("_n") / F.col("_a")).cast("long"))
-    n, key, a, b = (F.col(c) for c in ("_n", "_key", "_a", "_b"))
+    if ((x < 0) | (x >= n)).any():
+        raise ValueError("a place to permute lies outside its range")
+    a = np.ceil(np.sqrt(n.astype(float))).astype(np.int64)
+    b = np.ceil(n / np.maximum(a, 1)).astype(np.int64)
+
+    def once(v: np.ndarray, a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
+        left, right = v % a, v // a
+        for i in range(ROUNDS):
+            left, right = right, (left + _mixed(right % PRIME, (key + i * FACTOR) % PRIME)) % (b if i % 2 else a)
+        return right * a + left
+
+    out = once(x, a, b, key)
+    while len(beyond := np.flatnonzero(out >= n)):
+        out[beyond] = once(out[beyond], a[beyond], b[beyond], key[beyond])
+    return out
+
 
-    def turn(s: Column, i: Column) -> Column:
-        width = F.when(i % 2 == 0, a).otherwise(b)
-        return F.struct(s["r"].alias("l"), ((s["l"] + _mixed(s["r"] % PRIME, (key + i * FACTOR) % PRIME)) % width).alias("r"))
+def with_permuted(df: DataFrame, name: str, x: Column, n: Column, key: Column) -> DataFrame:
+    """``df`` with ``name``: the place of ``x`` in a keyed permutation of 0 .. n - 1, as arithmetic on the row alone; all three are longs.
+
+    The function counts as non-deterministic for one reason: Spark then computes it once a row, and not again in each condition on it.
+    """
 
-    def once(v: Column) -> Column:
-        start = F.struct((v % a).alias("l"), F.call_function("div", v, a).alias("r"))
-        return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")), start, turn, lambda s: s["r"] * a + s["l"])
+    def places_of(x: pa.Array, n: pa.Array, key: pa.Array) -> pa.Array:
+        return pa.array(permuted(*[v.to_numpy(zero_copy_only=False) for v in (x, n, key)]))
 
-    beyond = F.raise_error(F.lit("permutation left its range")).cast("long")
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once(F.col("_x")), lambda v, _: F.when(v >= n, once(v)).otherwise(v), lambda v: F.when(v < n, v).otherwise(beyond))
-    return held.withColumn(name, walked).drop("_x", "_n", "_key", "_a", "_b")
+    return df.withColumn(name, F.arrow_udf(places_of, T.LongType()).asNondeterministic()(x, n, key))
 
 
 def blend_problems(rows: DataFrame, weights: DataFrame) -> DataFrame:
@@ -124,15 +140,17 @@ def blended_epochs(rows: DataFrame, weights: DataFrame, epochs: Sequence[int], r
     A group is an endless stream of cycles; each cycle takes every row once, in an order of its own, and an epoch goes on where
     the last one stopped. Draws of all groups are dealt to an epoch's slots at random; replicas own equal, contiguous shares of these.
     Both orders are keyed permutations, so a row knows by itself which draws take it: after rows are numbered in their groups nothing is
-    shuffled, listed or stored, for any number of epochs. (group, row) is unique; groups of weight 0 are never drawn.
+    shuffled, listed or stored, for any number of epochs. Weights and counts, one row a group, are written, so that Spark knows how small
+    they are when it joins rows to them. (group, row) is unique; groups of weight 0 are never drawn.
     """
     if replicas < 1:
         raise ValueError(f"one replica at least, not {replicas}")
-    known = rows.join(weights.filter("weight > 0").select("group"), "group", "left_semi").select("group", "row")
+    used = materialised(weights.filter("weight > 0").select("group", "weight"))
+    known = rows.join(used, "group", "left_semi").select("group", "row")
     placed = places(known, ["row"], ["group"], range_rows=range_rows)
-    counts = blend_counts(placed.groupBy("group").agg(F.count("*").alias("n")), weights, replicas)
+    counts = materialised(blend_counts(placed.groupBy("group").agg(F.count("*").alias("n")), used, replicas).filter("draws > 0"))
     n, draws = F.col("n"), F.col("draws")
-    joined = placed.join(counts, "group").filter("draws > 0").withColumn("epoch", F.explode(F.array(*[F.lit(e).cast("long") for e in epochs])))
+    joined = placed.join(counts, "group").withColumn("epoch", F.explode(F.array(*[F.lit(e).cast("long") for e in epochs])))
     first = F.col("epoch") * draws
     cycles = F.sequence(F.call_function("div", first, n), F.call_function("div", first + draws - 1, n))
     each = joined.withColumn("cycle", F.explode(cycles))

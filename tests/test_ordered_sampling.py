@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +22,20 @@ def test_places(spark):
         assert {(r.g, r.x, r.part_): r.place for r in got} == want and len(got) == len(rows)
 
 
+def test_ranges_grow_before_they_become_too_many(spark, monkeypatch):
+    """A fixed number of rows a range must not make tasks and files without end; places and runs stay the same."""
+    of = ordered.ranges_of
+    assert [of(n, 1000) for n in (0, 1, 1000, 1001, 1024 * 1000)] == [1, 1, 1, 2, 1024]
+    assert of(43_000_000, 1000) == of(1 << 30, 1000) == 1024 and of(1 << 31, 1000) == of(1 << 31, ordered.RANGE_ROWS) == 2048
+    assert of(1 << 31, 1 << 22) == 512
+    monkeypatch.setattr(ordered, "MOST_RANGES", 3)
+    df = spark.range(100).select((99 - F.col("id")).alias("x"), F.lit("k").alias("context"))
+    assert ordered.in_ranges(df, ["x"], 10).select("part").distinct().count() == 3
+    assert sorted((r.x, r.place) for r in ordered.places(df, ["x"], range_rows=10).collect()) == [(i, i) for i in range(100)]
+    got = ordered.runs(df, ["x"], ["context"], 7, 10).collect()
+    assert sorted((r.x, r.place, r.run_start, r.chunk) for r in got) == brute_runs([(i, "k") for i in range(100)], 7)
+
+
 def brute_runs(rows, size):
     out, start, chunk, last = [], 0, -1, object()
     for i, (o, k) in enumerate(rows):
@@ -104,6 +119,29 @@ def test_blended_epochs(spark, replicas):
     assert sorted(again) == sorted(r for r in got if r.epoch == 4)
 
 
+def test_draws_are_computed_once_and_without_a_shuffle(spark):
+    """After rows are numbered an epoch takes two permutations a row, each once, and no task is as large as a group."""
+    rows = spark.createDataFrame([("a" if i % 50 else "b", i) for i in range(2000)], "group string, row long")
+    table = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "group string, weight double")
+    got = sampling.blended_epochs(rows, table, [0, 1], 2, seed=1, range_rows=100)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan and "Window" not in plan
+    assert plan.count("places_of(") == 2
+    assert got.count() == 4000
+
+
+def test_permuted_numbers_in_their_range_only():
+    x = np.arange(1 << 12)
+    n, key = np.full(len(x), len(x)), np.full(len(x), 5)
+    assert sorted(sampling.permuted(x, n, key)) == list(range(len(x))) and len(sampling.permuted(x[:0], n[:0], key[:0])) == 0
+    large = (1 << 46) + 12345  # the most that squares below PRIME need
+    far = sampling.permuted(np.array([0, large - 1]), np.array([large] * 2), np.array([7, 7]))
+    assert ((far >= 0) & (far < large)).all() and far[0] != far[1]
+    for bad in (-1, 1 << 12):
+        with pytest.raises(ValueError, match="outside its range"):
+            sampling.permuted(np.array([bad]), n[:1], key[:1])
+
+
 def test_blend_problems(spark):
     rows = spark.createDataFrame([("a", 1)], "group string, row long")
     make = lambda *w: {(r.group, r.problem) for r in sampling.blend_problems(rows, spark.createDataFrame(list(w), "group string, weight double")).collect()}
