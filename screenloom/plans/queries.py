@@ -730,9 +730,10 @@ def matrix_counts(s: SparkSession, d: str) -> DataFrame:
     brands = screen.load(s, d, "part").select(F.col("p_brand").alias("gene")).distinct()
     genes = brands.withColumn("col", (F.row_number().over(W.orderBy("gene")) - 1).cast("int"))  # 25 brands at any scale
     matrix.write_screen(screen.cells(s, d), screen.counts(s, d), genes, path, part_rows=4000)
-    rows = matrix.read_matrix(s, path, entries=20_000).select("row", F.explode(F.arrays_zip("cols", "vals")).alias("e"))
-    told = rows.select("row", F.col("e.cols").alias("col"), F.col("e.vals").cast("double").alias("value")).join(s.read.parquet(f"{path}/genes"), "col")
-    return told.join(s.read.parquet(f"{path}/cells").select("row", "cell_id"), "row").select("cell_id", "row", "gene", "value")
+    rows = matrix.read_matrix(s, path, entries=20_000).join(s.read.parquet(f"{path}/cells").select("row", "cell_id"), "row")  # before a row becomes its entries
+    told = rows.select("cell_id", "row", F.explode(F.arrays_zip("cols", "vals")).alias("e"))
+    told = told.select("cell_id", "row", F.col("e.cols").alias("col"), F.col("e.vals").cast("double").alias("value"))
+    return told.join(s.read.parquet(f"{path}/genes"), "col").select("cell_id", "row", "gene", "value")
 
 
 @query

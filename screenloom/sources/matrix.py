@@ -21,16 +21,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from screenloom.operators.ordered import in_ranges, places
+from screenloom.operators.ordered import places
 from screenloom.sources.shared import materialised
 from screenloom.sources.sinks import exists
 
 ENTRIES = 1 << 22
+#: A partition is a Python task: beyond these, partitions of less than ENTRIES values take more values instead of becoming more.
+MOST_PARTITIONS = 256
+#: Rows that one task writes, as one part or several.
+TASK_ROWS = 1 << 16
 BATCH_ROWS = 4096
 SCHEMA = "row long, cols array<int>, vals array<float>"
 
@@ -59,14 +64,18 @@ class Rows(InputPartition):
 
 
 def planned(parts: Sequence[dict], low: int, high: int, entries: int) -> list[list[tuple[dict, int, int]]]:
-    """Partitions of the rows low .. high: large parts are cut evenly by their rows, neighbouring small pieces stand together."""
+    """Partitions of the rows low .. high: large parts are cut evenly by their rows, neighbouring small pieces stand together.
+
+    Some ``entries`` values each; where that made more than MOST_PARTITIONS, as many more as it takes, up to ENTRIES.
+    """
+    wanted = [(p, max(0, low - p["first_row"]), min(p["rows"], high - p["first_row"]), max(1.0, p["nnz"] / max(1, p["rows"]))) for p in sorted(parts, key=lambda p: p["first_row"])]
+    values = sum(max(0, end - first) * weight for _, first, end, weight in wanted)
+    entries = max(entries, min(ENTRIES, math.ceil(values / MOST_PARTITIONS)))
     out: list[list[tuple[dict, int, int]]] = []
     room = 0.0
-    for part in sorted(parts, key=lambda p: p["first_row"]):
-        first, end = max(0, low - part["first_row"]), min(part["rows"], high - part["first_row"])
+    for part, first, end, weight in wanted:
         if first >= end:
             continue
-        weight = max(1.0, part["nnz"] / part["rows"])
         pieces = max(1, math.ceil((end - first) * weight / entries))
         cuts = [first + (end - first) * i // pieces for i in range(pieces + 1)]
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -116,6 +125,10 @@ class MatrixReader(DataSourceReader):
             low, high = (min(kept), max(kept) + 1) if kept else (0, 0)
         return [Rows(r) for r in planned(self.manifest["parts"], low, high, self.entries)] or [Rows([])]
 
+    def __getstate__(self) -> dict:
+        """What tasks need: each has its own parts in its partition, and not those of the whole folder."""
+        return self.__dict__ | {"manifest": {k: v for k, v in self.manifest.items() if k != "parts"}}
+
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         fs, at = file_system(self.path)
         for part, first, end in partition.ranges:
@@ -198,7 +211,7 @@ def read_screen(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
 
 def matrix_rows(cells: DataFrame, counts: DataFrame, genes: DataFrame) -> DataFrame:
     """(row, cols, vals) and the cells' columns: cells numbered by ``cell_id``, entries in the order of ``genes`` (gene, col)."""
-    numbered = places(cells, ["cell_id"], name="row")
+    numbered = places(materialised(cells), ["cell_id"], name="row")  # counted, sampled and dealt: three reads
     entries = counts.join(genes.select("gene", "col"), "gene").groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct(F.col("col").cast("int").alias("col"), F.col("value").cast("float").alias("value")))).alias("e"))
     joined = numbered.join(entries, "cell_id", "left")
     kinds = {"cols": "array<int>", "vals": "array<float>"}
@@ -209,8 +222,8 @@ def matrix_rows(cells: DataFrame, counts: DataFrame, genes: DataFrame) -> DataFr
 def write_matrix(rows: DataFrame, path: str, n_cols: int, layout: str = "rows", part_rows: int = 1 << 16) -> dict:
     """Write (row, cols, vals), rows numbered from 0 without gaps, as a matrix folder; its manifest, which comes last.
 
-    Each range of rows is one part, written by one task under a name of its own and moved into place when whole, so that a repeated
-    task leaves the same files.
+    Each ``part_rows`` rows are one part, known by the row's number alone. It is written by one task under a name of its own and moved
+    into place when whole, so that a repeated task leaves the same files. Tasks are dealt some TASK_ROWS rows, or one part.
     """
     if layout not in ("rows", "dense"):
         raise ValueError(f"unknown layout: {layout}")
@@ -223,7 +236,7 @@ def write_matrix(rows: DataFrame, path: str, n_cols: int, layout: str = "rows",
             row = table["row"].to_numpy()
             if (np.diff(row) != 1).any():
                 raise ValueError(f"rows are not numbered without gaps from {row[0]} to {row[-1]}")
-            lengths = np.concatenate([[0], np.cumsum([len(x) for x in table["cols"].to_pylist()])]).astype("<i8")
+            lengths = np.concatenate([[0], np.cumsum(pc.list_value_length(table["cols"]).to_numpy())]).astype("<i8")
             flat = [table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("cols", "vals")]
             name = f"part-{row[0]:012d}"
             fs, at = file_system(path)
@@ -243,8 +256,9 @@ def write_matrix(rows: DataFrame, path: str, n_cols: int, layout: str = "rows",
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["name", "first_row", "rows", "nnz"])
 
-    dealt = in_ranges(rows.select("row", "cols", "vals"), ["row"], part_rows).withColumnRenamed("part", "_part")
-    ordered = dealt.repartition("_part").sortWithinPartitions("_part", "row")
+    dealt = rows.select("row", "cols", "vals", F.call_function("div", F.col("row"), F.lit(part_rows)).alias("_part"))
+    tasks = max(1, -(-dealt.count() // max(part_rows, TASK_ROWS)))
+    ordered = dealt.repartition(tasks, "_part").sortWithinPartitions("row")
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a task may hold several ranges; each is a part of its own

@@ -1,11 +1,15 @@
 import json
+import pickle
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from screenloom.plans import config, runs
 from screenloom.sources import matrix as M
+from screenloom.sources.shared import shared_folder
 
 
 def stored(path, parts, layout="rows", n_cols=6):
@@ -64,6 +68,31 @@ def test_plans_touch_what_filters_leave(tmp_path):
     assert M.spans(np.array([1, 2, 3, 7, 9, 10])) == [(1, 4), (7, 8), (9, 11)] and M.spans(np.array([], dtype=int)) == []
 
 
+def test_partitions_take_more_values_before_they_become_too_many(tmp_path, monkeypatch):
+    """A fixed number of values a partition must not make tasks without end, nor a task carry the list of all parts."""
+    parts = [{"name": f"p{k}", "first_row": 40 * k, "rows": 40, "nnz": 150} for k in range(30_000)]
+    got = M.planned(parts, 0, 1_200_000, 200)
+    assert M.MOST_PARTITIONS <= len(got) <= 2 * M.MOST_PARTITIONS
+    covered = [(p["first_row"] + a, p["first_row"] + b) for x in got for p, a, b in x]
+    assert covered[0][0] == 0 and covered[-1][1] == 1_200_000 and all(x[1] == y[0] for x, y in zip(covered, covered[1:], strict=False))
+    assert len(M.planned(parts, 80, 160, 200)) == 2  # few rows are wanted: partitions stay small
+    monkeypatch.setattr(M, "ENTRIES", 1000)  # never beyond the usual size
+    assert len(M.planned(parts, 0, 1_200_000, 200)) == 5000
+    (tmp_path / "manifest.json").write_text(json.dumps({"layout": "rows", "n_rows": 1_200_000, "n_cols": 6, "parts": parts}))
+    reader = M.MatrixReader(str(tmp_path), 200)
+    assert len(pickle.dumps(reader)) < 1000 and pickle.loads(pickle.dumps(reader)).manifest["n_cols"] == 6 and len(reader.manifest["parts"]) == 30_000
+
+
+def test_parts_are_known_by_the_row_alone(spark, tmp_path):
+    """Each part has its rows exactly, however many a task writes, and rows are neither sampled nor written again for it."""
+    rows = spark.range(0, 1003).select((1002 - F.col("id")).alias("row"), F.array((F.col("id") % 5).cast("int")).alias("cols"), F.array(F.lit(1.0).cast("float")).alias("vals")).repartition(7)
+    before = set(Path(shared_folder(spark).removeprefix("file:")).iterdir())
+    told = M.write_matrix(rows, str(tmp_path / "m"), 5, part_rows=100)
+    assert [(p["first_row"], p["rows"], p["nnz"]) for p in told["parts"]] == [(100 * k, min(100, 1003 - 100 * k), min(100, 1003 - 100 * k)) for k in range(11)]
+    assert set(Path(shared_folder(spark).removeprefix("file:")).iterdir()) == before
+    assert entries(M.read_matrix(spark, str(tmp_path / "m"))) == {(1002 - i, i % 5, 1.0) for i in range(1003)}
+
+
 def test_what_cannot_be_read(spark, tmp_path):
     (tmp_path / "manifest.json").write_text(json.dumps({"layout": "columns", "n_rows": 1, "n_cols": 1, "parts": []}))
     with pytest.raises(ValueError, match="column-major"):
