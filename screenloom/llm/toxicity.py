@@ -8,7 +8,7 @@ hold it. Swap classes are a parameter (groups of people, by default) and are als
 training texts: words that are no evidence for either label and fill the same slots, in toxic and in
 clean texts alike. All terms of the classes are features, and the model says how many pairs the penalty saw.
 
-The fit is sparse (L1) and runs on the driver over a bounded sample: at most ``sample`` labelled rows, those of
+The fit is sparse (L1) and runs in one task over a bounded sample (the driver gets the model alone): at most ``sample`` labelled rows, those of
 smallest seeded hash, of ``sample_bytes`` in all, and at most ``pairs`` sentence pairs, of smallest hash. Features need
 ``LEAST_TEXTS`` texts and ``EVIDENCE`` (of a likelihood ratio test) to enter; the strongest ``FEATURES`` do, which at
 12,000 texts of the test tables are all. Scoring reads every text whole, in one map.
@@ -22,6 +22,7 @@ empty result. Extra columns are ignored by ``score_documents`` and kept by ``cle
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -313,7 +314,7 @@ def train(
     sample_bytes: int = SAMPLE_BYTES,
     **fit_options: Any,
 ) -> Model:
-    """Fit on the ``sample`` labelled rows of smallest seeded hash; the sample alone is sent around.
+    """Fit on the ``sample`` labelled rows of smallest seeded hash, in one task; sizes of rows and the model alone reach the driver.
 
     Rows are taken in that order for as long as ``sample_bytes`` hold them; one that doesn't fit is passed over, not the rows after it.
     """
@@ -334,11 +335,19 @@ def train(
         if size <= room:
             taken.append(place)
             room -= size
-    table = found.filter(F.col("place").isin(taken)).select("label_id", "body", "toxic").toArrow()
-    table = table.sort_by([("label_id", "ascending"), ("body", "ascending")])
-    texts, toxic = table.column("body").to_pylist(), table.column("toxic").to_pylist()
-    del table  # the driver holds the texts once
-    return fit(texts, toxic, **fit_options)
+    wanted = np.array(taken, dtype=np.int64)
+
+    def fitted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b.filter(pa.array(np.isin(b.column("place").to_numpy(), wanted))).select(["label_id", "body", "toxic"]) for b in it]
+        texts, toxic = [], []
+        if parts:
+            table = pa.Table.from_batches(parts).sort_by([("label_id", "ascending"), ("body", "ascending")])
+            texts, toxic = table.column("body").to_pylist(), table.column("toxic").to_pylist()
+            del table, parts  # the texts are held once
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, toxic, **fit_options))], type=pa.binary())], names=["model"])
+
+    model = map_batches(found.select("label_id", "body", "toxic", "place").coalesce(1), fitted, "model binary").first()
+    return pickle.loads(model["model"])
 
 
 def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

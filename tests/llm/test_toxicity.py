@@ -1,3 +1,4 @@
+import os
 import pickle
 import random
 import zlib
@@ -5,6 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from screenloom.llm import toxicity
 from screenloom.llm.toxicity import WORDS, Model, clean_documents, fit, held_sentences, induced_classes, score_documents, swapped_pairs, train, training_labels
 
 
@@ -137,6 +139,13 @@ def test_the_sample_is_bounded_by_bytes(tables):
     assert train(docs, labels, sample_bytes=20_000).weights != train(docs, labels).weights
 
 
+def test_the_sample_does_not_reach_the_driver(tables, monkeypatch):
+    docs, labels, rows = tables
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, **options: Model(float(os.getpid()), {}, len(texts)))
+    model = train(docs, labels)
+    assert model.pairs == len(rows) and model.bias != os.getpid()
+
+
 def test_held_sentences_are_the_smallest_of_all():
     rng = random.Random(11)
     texts = [". ".join(" ".join(rng.choice(["a", "b", "c", "fox", "wolf"]) for _ in range(rng.randint(0, 5))) for _ in range(8)) for _ in range(300)]
